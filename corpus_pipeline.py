@@ -21,12 +21,12 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without letters or without a leading language go."""
     found = langid.with_languages(docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and resemble trusted text; the others go."""
-    return quality.with_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return quality.with_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
