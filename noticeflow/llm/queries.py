@@ -47,12 +47,24 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import text_features
 
     return text_features(table(spark, sf_dir, "documents"))
 
 
+def op8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import stored_ids
+
+    return stored_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import rules
 
@@ -77,7 +89,9 @@ QUERIES = {
     "op3_shard": op3_shard,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
+    "op6_warc": op6_warc,
     "op7_tiff": op7_tiff,
+    "op8_ids": op8_ids,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
     "pipeline": pipeline,
