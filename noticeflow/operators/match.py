@@ -28,13 +28,6 @@ def word_keys(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.transform(starts, cut(k)) for k in range(1, KEY + 1)])))
 
 
-def word_starts(text: Column) -> Column:
-    """Positions (from 1) at which words start."""
-    parts = F.split(text, r"(?U)(?<![\w-])(?=.)")
-    begin = F.aggregate(parts, F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    return F.filter(begin, lambda p: p <= F.length(text))
-
-
 def _phrase_parts(term: Column, stop_words: Sequence[str]) -> Column:
     """Stems of a phrase's words with whether the word must match whole."""
     words = F.filter(F.split(term, " "), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True))
@@ -58,21 +51,20 @@ def _word_hit(text: Column, term: Column, bare: Column, blocked: Column) -> Colu
     return F.rlike(text, pattern(term)) | ((bare != term) & F.rlike(text, pattern(bare)))
 
 
-def _phrase_hit(text: Column, starts: Column, parts: Column) -> Column:
+def _phrase_hit(text: Column, parts: Column) -> Column:
     """Each part's first place at or after the end of the part before; places too far off end the search."""
+    padded = F.concat(F.lit(" "), text)
 
     def step(acc, p):
-        size = F.length(p["part"])
-
-        def fits(s):
-            after = F.substring(text, s + size, F.lit(1))
-            return (s >= acc["at"]) & (F.substring(text, s, size) == p["part"]) & (~p["whole"] | ~after.rlike(r"(?U)[\w-]"))
-
-        place = F.array_min(F.filter(starts, fits))
-        near = acc["ok"] & place.isNotNull() & (acc["first"] | (place - acc["at"] <= GAP))
-        return F.struct(F.coalesce(place + size, acc["at"]).alias("at"), near.alias("ok"), F.lit(False).alias("first"))
-
-    begin = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.lit(True).alias("first"))
+        # from one character before, which the look-behind must see
+        rest = F.substring(padded, acc["at"] - 1, F.length(padded))
+        pattern = F.concat(F.lit(r"(?Us)(?<=.)(?<![\w-])"), quoted(p["part"]), F.when(p["whole"], r"(?![\w-])").otherwise(""))
+        place = F.when(acc["ok"], F.regexp_instr(rest, pattern)).otherwise(0)
+        begin = acc["at"] + place - 2
+        near = acc["ok"] & (place > 0) & (acc["first"] | (begin - acc["at"] <= GAP))
+        return F.struct(F.when(near, begin + F.length(p["part"])).otherwise(acc["at"]).alias("at"), near.alias("ok"), F.lit(False).alias("first"))
+
+    begin = F.struct(F.lit(2).alias("at"), F.lit(True).alias("ok"), F.lit(True).alias("first"))
     return (F.size(parts) > 0) & F.aggregate(parts, begin, step, lambda acc: acc["ok"])
 
 
@@ -90,14 +82,14 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col
     keys = word_keys(F.col("_text")) if title_col is None else F.array_distinct(F.concat(word_keys(F.col("_text")), word_keys(F.col("_title"))))
     found = t.select("_id", F.explode(keys).alias("key")).join(F.broadcast(rules.withColumn("key", F.explode("keys")).drop("keys")), "key")
     found = found.groupBy("_id").agg(F.collect_set(F.struct("term", "phrase", "blocked", "bare", "parts")).alias("_found"))
-    both = t.join(found, "_id").withColumn("_starts", F.when(F.exists("_found", lambda c: c["phrase"]), word_starts(F.col("_text"))))
+    both = t.join(found, "_id")
 
     def verified(c):
         word = _word_hit(F.col("_title"), c["term"], c["bare"], c["blocked"])
-        phrase = F.contains(F.col("_text"), c["term"]) | _phrase_hit(F.col("_text"), F.col("_starts"), c["parts"])
+        phrase = F.contains(F.col("_text"), c["term"]) | _phrase_hit(F.col("_text"), c["parts"])
         return F.when(c["phrase"], phrase).otherwise(word)
 
-    return both.select(F.col("_id").alias(id_col), F.explode(F.filter("_found", verified))["term"].alias("term")).distinct()
+    return both.select(F.col("_id").alias(id_col), F.explode(F.transform(F.filter("_found", verified), lambda c: c["term"])).alias("term")).distinct()
 
 
 def best_category(matches: DataFrame, dictionary: DataFrame, id_col: str = "id") -> DataFrame:
