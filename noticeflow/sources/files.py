@@ -35,7 +35,7 @@ def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequenc
     A row needs a title and a number or link; bad rows do not stop a file. Without a link
     it is import://file/number; without a source, the file's name. Lines are records.
     """
-    lines = spark.read.text(path).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("_n"))
+    lines = spark.read.text(path).select("value", F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("_n"))
     text = F.regexp_replace("value", "^\ufeff", "")
     heads = lines.groupBy("file").agg(F.min_by(text, "_n").alias("_head"), F.min("_n").alias("_first"))
     count = lambda c: F.length("_head") - F.length(F.replace("_head", F.lit(c), F.lit("")))
