@@ -1,5 +1,6 @@
 """Queries of the library's operators over given tables."""
 
+from . import more  # noqa: F401  registers its queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
