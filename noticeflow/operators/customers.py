@@ -120,15 +120,17 @@ def queue_plan(source: DataFrame, queue: DataFrame, stops: DataFrame, priority:
     claims = events.withColumn("taken", F.coalesce(F.last("claim").over(before), F.lit(False))).where("kind = 2").select(F.col("at").alias("_at"), F.col("email").alias("_e"), "taken")
     rows = rows.join(claims, (cast == F.col("_at")) & (F.col("email") == F.col("_e")), "left")
     rows = suppressed(rows, stops)
-    decision = (
-        F.when(F.col("email").isNull(), F.struct(F.lit("excluded").alias("d"), F.lit("missing_or_invalid_email").alias("r")))
-        .when(is_system_email("email"), F.struct(F.lit("excluded"), F.lit("system_email")))
-        .when(F.col("stopped"), F.struct(F.lit("suppressed"), F.lit("stoplist")))
-        .when(F.coalesce("taken", F.lit(False)), F.struct(F.lit("excluded"), F.lit("duplicate_email")))
-        .when(blank_null("contact_source").isNull() | ~F.lower(F.coalesce("evidence", F.lit(""))).rlike("^https?://"), F.struct(F.lit("excluded"), F.lit("no_evidence")))
-        .otherwise(F.struct(F.lit("needs_review"), F.lit("new_contact")))
-    )
-    return rows.select("org_key", "action", candidate_id(F.lit(version), "org_key", F.coalesce("email", F.lit(""))).alias("candidate_id"), "email", decision["d"].alias("decision"), decision["r"].alias("reason"))
+    ladder = [
+        (F.col("email").isNull(), "excluded", "missing_or_invalid_email"),
+        (is_system_email("email"), "excluded", "system_email"),
+        (F.col("stopped"), "suppressed", "stoplist"),
+        (F.coalesce("taken", F.lit(False)), "excluded", "duplicate_email"),
+        (blank_null("contact_source").isNull() | ~F.lower(F.coalesce("evidence", F.lit(""))).rlike("^https?://"), "excluded", "no_evidence"),
+    ]
+    what, why = F.lit("needs_review"), F.lit("new_contact")
+    for condition, decision, reason in reversed(ladder):
+        what, why = F.when(condition, decision).otherwise(what), F.when(condition, reason).otherwise(why)
+    return rows.select("org_key", "action", candidate_id(F.lit(version), "org_key", F.coalesce("email", F.lit(""))).alias("candidate_id"), "email", what.alias("decision"), why.alias("reason"))
 
 
 def queue_counts(queue: DataFrame) -> DataFrame:
