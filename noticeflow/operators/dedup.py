@@ -36,7 +36,6 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
     known = rows.where("_off is not null").select(F.col("_off").alias("_k")).distinct()
     rows = rows.join(known, rows["_own"] == known["_k"], "left").withColumn("bucket", F.coalesce("_off", "_k")).drop("_k")
     alone = rows.where("bucket is null").withColumn("cluster", F.col(seq))
-    same = Window.partitionBy("bucket")
     sources = rows.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(normalize(source)).alias("_s"), F.min(seq).alias("_least"))
     tagged = rows.where("bucket is not null").join(sources, "bucket")
     whole = tagged.where("_n = _s").withColumn("cluster", F.col("_least"))
@@ -63,7 +62,6 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
     kind = df.schema[seq].dataType.simpleString()
     replayed = small.groupBy("bucket").applyInPandas(replay, f"seq {kind}, cluster {kind}").withColumnRenamed("seq", "_seq")
     mixed = mixed.join(replayed, mixed[seq] == replayed["_seq"]).drop("_seq")
-    del same
     names = [*df.columns, "cluster"]
     return alone.select(*names).unionByName(whole.select(*names)).unionByName(mixed.select(*names))
 
@@ -149,8 +147,12 @@ def latest_versions(df: DataFrame, key: str = "tender_number", published: str =
 
 def deduplicate(df: DataFrame, rank: Column, region_bucket: Column, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Clusters by official number, then by exact card among their merged rows, merged to one row each."""
-    ranked = df.withColumn("_rank", rank).withColumn("region_bucket", region_bucket)
-    first = merge_clusters(official_clusters(ranked, seq=seq), "cluster", "_rank", filled, largest, joined, seq) if "cluster" not in df.columns else ranked
-    first = first.drop("cluster")
+    ranked = df.drop("cluster").withColumn("_rank", rank).withColumn("region_bucket", region_bucket)
+    first = merge_clusters(official_clusters(ranked, seq=seq), "cluster", "_rank", filled, largest, joined, seq).drop("cluster")
     out = merge_clusters(card_clusters(first, seq=seq), "cluster", "_rank", filled, largest, joined, seq)
     return out.drop("cluster", "_rank", "region_bucket")
+
+
+def review_list(df: DataFrame, deadline: str = "deadline", title: str = "title") -> DataFrame:
+    """Sorted by deadline, those without one last, then by normalized title."""
+    return df.orderBy(F.asc_nulls_last(deadline), normalize(title))
