@@ -8,10 +8,10 @@ consistent weighted sampling draws BANDS x ROWS samples of each text, equal with
 a probability of the weighted Jaccard similarity; texts that share a band are
 candidates, and links are candidates whose weighted Jaccard similarity reaches
 the least. Within a band's bucket every text is compared with three leaders;
-after components of these links are known, texts outside a bucket's main
-component are compared with all of the bucket that are not in theirs, so that
-no pair in a bucket that could join two classes stays uncompared, and no bucket
-is expanded into all its pairs where its texts are alike.
+after components of these links are known, all pairs of a bucket that are still
+in two components are compared in blocks of MEMBERS texts: only links leave a
+block, so no pair in a bucket that could join two classes stays uncompared and
+no bucket is expanded into its pairs.
 
 Null texts are alone; empty texts equal each other and texts without words equal
 only equal texts; repeated rows share a class; a null id is alone; an empty table
@@ -32,8 +32,8 @@ from .components import components
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
 CELLS, FLOOR = 1 << 20, 0.8
-#: Shingles sampled at a time.
-BLOCK = 1 << 16
+#: Shingles sampled at a time; texts of a bucket in one block.
+BLOCK, MEMBERS = 1 << 16, 256
 
 _WORD = np.ones(256, bool)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = False
@@ -86,7 +86,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 def _shingle_rows(batches):
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 1 << 20):
             sh, tf, at = shingles(batch.column("text"))
             bounds = at.tolist()
             bodies = [sh[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -204,6 +204,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, factor: np.ndarray, least: flo
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _features(sh: list[bytes], tf: list[bytes], factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as sets: the k-th occurrence of a shingle is an element of its own, so that common weights add up to the minimum.
+
+    Returns numbers of elements, their weights, and where each text's begin.
+    """
+    parts, levels = [], []
+    for body, times in zip(sh, tf, strict=True):
+        s = np.frombuffer(body, "<u4").astype(np.uint64)
+        n = np.frombuffer(times, "<u4").astype(np.int64) if times else np.ones(len(s), np.int64)
+        level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        parts.append((np.repeat(s, n) << np.uint64(32)) | level.astype(np.uint64))
+        levels.append(level)
+    every, level = np.concatenate(parts), np.concatenate(levels)
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    gain = np.where(level == 1, 1.0, np.log(level) - np.log(np.maximum(level - 1, 1)))
+    weight = factor[(every >> np.uint64(44)).astype(np.int64)] * gain
+    return np.unique(every, return_inverse=True)[1], weight, at
+
+
+def _block_links(rows: list[tuple], lo: int, hi: int, factor: np.ndarray, least: float) -> list[tuple]:
+    """Linked pairs of one block, or of two, that no leader compared, in the first bucket that both share."""
+    if len(rows) < 2:
+        return []
+    key = rows[0][0]
+    ids, block, component, leader, keys, sh, tf = (list(c) for c in list(zip(*rows, strict=True))[3:])
+    block, leader, keys = np.array(block), np.array(leader), np.array(keys)
+    component = np.unique(np.array(component), return_inverse=True)[1]
+    element, weight, at = _features(sh, tf, factor)
+    total = np.add.reduceat(weight, at[:-1])
+    out = []
+    for x in range(len(rows)):
+        y = np.arange(x + 1, len(rows))
+        y = y[(component[y] != component[x]) & ~leader[y] & ~leader[x] & ((block[y] != block[x]) if lo != hi else True)]
+        y = y[np.minimum(total[y], total[x]) >= least * np.maximum(total[y], total[x])]
+        if len(y) == 0:
+            continue
+        same = keys[y] == keys[x]
+        y = y[keys[x][same.argmax(1)] == key]
+        if len(y) == 0:
+            continue
+        inside = np.zeros(int(element.max()) + 1, bool)
+        inside[element[at[x] : at[x + 1]]] = True
+        both = np.add.reduceat(np.where(inside[element], weight, 0.0), at[:-1])[y]
+        for k in y[both / (total[x] + total[y] - both) >= least].tolist():
+            out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+    return out
+
+
+def _in_blocks(rest: DataFrame, texts: DataFrame, factor: np.ndarray, least: float) -> DataFrame:
+    """Links among a bucket's texts of different components. A bucket is dealt into blocks of about MEMBERS texts, and each two blocks meet in one group."""
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("leader", F.col("id").isin(F.col("l0"), F.col("l1"), F.col("l2"))).select("key", "id", "block", "component", "leader", "blocks")
+    rows = rows.join(texts.select("id", "keys", "sh", "tf"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component", "leader", "keys", "sh", "tf")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    kind = rest.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        from itertools import chain, groupby
+
+        every = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        for (key, lo, hi), group in groupby(every, key=lambda r: r[:3]):
+            if found := _block_links(list(group), lo, hi, factor, least):
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -227,8 +296,8 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
             keys = bands(sampler, sh, weights(sh, tf, factor), at)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["id", "keys"])
 
-    keyed = texts.mapInArrow(sample, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("key"))
-    keyed = stored(keyed, "bands")
+    sampled = stored(texts.mapInArrow(sample, f"id {kind}, keys array<long>"), "bands")
+    keyed = sampled.select("id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("id").alias("l0"),
@@ -241,15 +310,11 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
     links = stored(_verified(pairs, texts, factor, least), "verified")
     found = stored(components(links), "components")
 
-    # what the leaders did not join: texts outside their bucket's main component against the rest of it
-    placed = shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = stored(placed, "placed")
-    mains = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    split = placed.join(stored(mains.where("parts > 1"), "mains"), "key")
-    rest = split.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    again = split.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    more = rest.join(again, "key").where("cx <> cy").select(*_ordered("x", "y")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = stored(_verified(more, texts, factor, least), "verified")
+    # what the leaders did not join: every pair of a bucket that is still in two classes, in blocks
+    placed = stored(shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    rest = placed.where("n > 2").join(stored(split, "split"), "key")
+    late = stored(_in_blocks(rest, texts.join(sampled, "id"), factor, least), "verified")
     if not late.isEmpty():
         found = stored(components(links.union(late)), "components")
 
