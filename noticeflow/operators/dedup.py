@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import blank_null
 from ..functions.text import normalize, number_key, title_key
+from .lineage import cut_lineage
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -31,19 +32,17 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
     cluster; the rare others are replayed in the order of seq, so that no cluster holds two
     rows of a source. Other rows are clusters of their own. A cluster is named by its least seq.
     """
-    own, off = number_key(number), number_key(official)
-    rows = df.withColumn("_own", own).withColumn("_off", off)
+    rows = df.withColumns({"_own": number_key(number), "_off": number_key(official)})
     known = rows.where("_off is not null").select(F.col("_off").alias("_k")).distinct()
     rows = rows.join(known, rows["_own"] == known["_k"], "left").withColumn("bucket", F.coalesce("_off", "_k")).drop("_k")
-    alone = rows.where("bucket is null").withColumn("cluster", F.col(seq))
-    sources = rows.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(normalize(source)).alias("_s"), F.min(seq).alias("_least"))
-    tagged = rows.where("bucket is not null").join(sources, "bucket")
-    whole = tagged.where("_n = _s").withColumn("cluster", F.col("_least"))
-    mixed = tagged.where("_n <> _s")
-    small = mixed.select(F.col(seq).alias("seq"), "bucket", normalize(source).alias("source"), "_own", "_off")
+    # rows without a bucket are windows of their own, so that they don't meet in one
+    bucket = Window.partitionBy(F.coalesce("bucket", F.concat(F.lit("~"), F.col(seq).cast("string"))))
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(bucket), "_s": F.size(F.collect_set(normalize(source)).over(bucket)), "_least": F.min(seq).over(bucket)})
+    small = rows.where("bucket is not null and _n <> _s").select(F.col(seq).alias("seq"), "bucket", normalize(source).alias("source"), "_own", "_off")
+
+    kind = df.schema[seq].dataType.simpleString()
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["bucket"].iloc[0]
         clusters: list[dict] = []
         for row in pdf.sort_values("seq").itertuples(index=False):
             cur = {"rows": [row.seq], "sources": {row.source}, "off": {row[4]} - {None}, "own": {row[3]} - {None}}
@@ -57,13 +56,12 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
                 clusters.remove(found)
                 cur = {k: found[k] + cur[k] if k == "rows" else found[k] | cur[k] for k in found}
             clusters.append(cur)
-        return pd.DataFrame([{"seq": s, "cluster": min(c["rows"])} for c in clusters for s in c["rows"]], columns=["seq", "cluster"]).assign(bucket=key)[["seq", "cluster"]]
+        return pd.DataFrame([{"seq": s, "cluster": min(c["rows"])} for c in clusters for s in c["rows"]], columns=["seq", "cluster"])
 
-    kind = df.schema[seq].dataType.simpleString()
-    replayed = small.groupBy("bucket").applyInPandas(replay, f"seq {kind}, cluster {kind}").withColumnRenamed("seq", "_seq")
-    mixed = mixed.join(replayed, mixed[seq] == replayed["_seq"]).drop("_seq")
-    names = [*df.columns, "cluster"]
-    return alone.select(*names).unionByName(whole.select(*names)).unionByName(mixed.select(*names))
+    replayed = small.groupBy("bucket").applyInPandas(replay, f"seq {kind}, cluster {kind}").select(F.col("seq").alias("_seq"), F.col("cluster").alias("_replayed"))
+    rows = rows.join(replayed, F.col(seq) == F.col("_seq"), "left")
+    cluster = F.when(F.col("bucket").isNull(), F.col(seq)).otherwise(F.coalesce("_replayed", "_least"))
+    return rows.withColumn("cluster", cluster).select(*df.columns, "cluster")
 
 
 def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline", price: str = "price", bucket: str = "region_bucket", source: str = "source", number: str = "tender_number", official: str = "official_number", seq: str = "seq", most: int = 20_000) -> DataFrame:
@@ -74,16 +72,14 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
     more, which no cluster crosses; a band of more than `most` rows fails instead of
     being gathered. Rows without title, price or deadline are alone.
     """
-    key = title_key(title)
-    rows = df.withColumn("_title", key).withColumn("_day", F.to_date(deadline))
+    rows = df.withColumns({"_title": title_key(title), "_day": F.to_date(deadline)})
     able = (F.col("_title") != "") & F.col("_day").isNotNull() & F.col(price).isNotNull()
-    by_price = Window.partitionBy("_title", "_day").orderBy(price, seq)
-    banded = rows.where(able).withColumn("_gap", (F.col(price) - F.lag(price).over(by_price) >= 1.0).cast("int")).withColumn("_band", F.sum(F.coalesce("_gap", F.lit(0))).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    band = Window.partitionBy("_title", "_day", "_band")
-    banded = banded.withColumn("_size", F.count(F.lit(1)).over(band))
-    single = banded.where("_size = 1").withColumn("cluster", F.col(seq))
-    several = banded.where("_size > 1")
-    small = several.select(F.col(seq).alias("seq"), "_title", "_day", "_band", F.col(price).alias("price"), F.coalesce(bucket, F.lit("")).alias("bucket"), normalize(source).alias("source"), normalize(number).alias("number"), F.coalesce(number_key(official), F.lit("")).alias("official"))
+    rows = rows.withColumn("_card", F.when(able, F.concat_ws("|", "_day", "_title")).otherwise(F.concat(F.lit("~"), F.col(seq).cast("string"))))
+    by_price = Window.partitionBy("_card").orderBy(price, seq)
+    rows = rows.withColumn("_gap", (F.col(price) - F.lag(price).over(by_price) >= 1.0).cast("int")).withColumn("_band", F.sum(F.coalesce("_gap", F.lit(0))).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_card", "_band")))
+    several = rows.where("_size > 1")
+    small = several.select(F.col(seq).alias("seq"), "_card", "_band", F.col(price).alias("price"), F.coalesce(bucket, F.lit("")).alias("bucket"), normalize(source).alias("source"), normalize(number).alias("number"), F.coalesce(number_key(official), F.lit("")).alias("official"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
@@ -108,11 +104,9 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
         return pd.DataFrame([(s, min(c["seqs"])) for c in clusters for s in c["seqs"]], columns=["seq", "cluster"])
 
     kind = df.schema[seq].dataType.simpleString()
-    fitted = small.groupBy("_title", "_day", "_band").applyInPandas(fit, f"seq {kind}, cluster {kind}").withColumnRenamed("seq", "_seq")
-    several = several.join(fitted, several[seq] == fitted["_seq"])
-    alone = rows.where(~able).withColumn("cluster", F.col(seq))
-    names = [*df.columns, "cluster"]
-    return alone.select(*names).unionByName(single.select(*names)).unionByName(several.select(*names))
+    fitted = small.groupBy("_card", "_band").applyInPandas(fit, f"seq {kind}, cluster {kind}").select(F.col("seq").alias("_seq"), F.col("cluster").alias("_fitted"))
+    rows = rows.join(fitted, F.col(seq) == F.col("_seq"), "left")
+    return rows.withColumn("cluster", F.coalesce("_fitted", seq)).select(*df.columns, "cluster")
 
 
 def merge_clusters(df: DataFrame, cluster: str, rank: str, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
@@ -147,8 +141,8 @@ def latest_versions(df: DataFrame, key: str = "tender_number", published: str =
 
 def deduplicate(df: DataFrame, rank: Column, region_bucket: Column, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Clusters by official number, then by exact card among their merged rows, merged to one row each."""
-    ranked = df.drop("cluster").withColumn("_rank", rank).withColumn("region_bucket", region_bucket)
-    first = merge_clusters(official_clusters(ranked, seq=seq), "cluster", "_rank", filled, largest, joined, seq).drop("cluster")
+    ranked = cut_lineage(df.drop("cluster").withColumn("_rank", rank).withColumn("region_bucket", region_bucket))
+    first = cut_lineage(merge_clusters(official_clusters(ranked, seq=seq), "cluster", "_rank", filled, largest, joined, seq).drop("cluster"))
     out = merge_clusters(card_clusters(first, seq=seq), "cluster", "_rank", filled, largest, joined, seq)
     return out.drop("cluster", "_rank", "region_bucket")
 
