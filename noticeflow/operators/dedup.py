@@ -64,11 +64,17 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
     return rows.withColumn("cluster", cluster).select(*df.columns, "cluster")
 
 
+def card_member(price: str = "price", bucket: str = "region_bucket", source: str = "source", number: str = "tender_number", official: str = "official_number") -> Column:
+    """What the card rules need to know of a row; merged rows carry those of all their members."""
+    return F.struct(F.col(price).alias("price"), F.coalesce(bucket, F.lit("")).alias("bucket"), normalize(source).alias("source"), normalize(number).alias("number"), F.coalesce(number_key(official), F.lit("")).alias("official"))
+
+
 def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline", price: str = "price", bucket: str = "region_bucket", source: str = "source", number: str = "tender_number", official: str = "official_number", seq: str = "seq", most: int = 20_000) -> DataFrame:
     """Adds cluster: rows with the same title and deadline date and prices within one unit, first fit in the order of seq.
 
     Regions must be equal or unknown on one side, a source may bring one number, and
-    official numbers may not differ. Rows are split into price bands at gaps of one or
+    official numbers may not differ. A merged row stands for its members where the column
+    `members` (card_member) lists them. Rows are split into price bands at gaps of one or
     more, which no cluster crosses; a band of more than `most` rows fails instead of
     being gathered. Rows without title, price or deadline are alone.
     """
@@ -79,28 +85,34 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
     rows = rows.withColumn("_gap", (F.col(price) - F.lag(price).over(by_price) >= 1.0).cast("int")).withColumn("_band", F.sum(F.coalesce("_gap", F.lit(0))).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_card", "_band")))
     several = rows.where("_size > 1")
-    small = several.select(F.col(seq).alias("seq"), "_card", "_band", F.col(price).alias("price"), F.coalesce(bucket, F.lit("")).alias("bucket"), normalize(source).alias("source"), normalize(number).alias("number"), F.coalesce(number_key(official), F.lit("")).alias("official"))
+    small = several.select(F.col(seq).alias("seq"), "_card", "_band", F.col("members") if "members" in df.columns else F.array(card_member(price, bucket, source, number, official)).alias("members"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
             raise ValueError(f"{len(pdf)} rows in one price band of a title and day")
         clusters: list[dict] = []
         for r in pdf.sort_values("seq").itertuples(index=False):
+            prices = [m["price"] for m in r.members if m["price"] is not None]
+            regions, officials = {m["bucket"] for m in r.members} - {""}, {m["official"] for m in r.members} - {""}
+            numbers: dict[str, set] = {}
+            for m in r.members:
+                if m["number"]:
+                    numbers.setdefault(m["source"], set()).add(m["number"])
             for c in clusters:
-                near = max(c["high"], r.price) - min(c["low"], r.price) < 1.0
-                region = not c["regions"] or not r.bucket or c["regions"] == {r.bucket}
-                numbers = not r.number or c["numbers"].get(r.source, {r.number}) == {r.number}
-                if near and region and numbers and len(c["official"] | ({r.official} - {""})) < 2:
+                near = max(*c["prices"], *prices) - min(*c["prices"], *prices) < 1.0
+                place = not c["regions"] or not regions or c["regions"] == regions
+                one_each = all(len(n | c["numbers"].get(s, set())) < 2 for s, n in numbers.items()) and all(len(n) < 2 for n in c["numbers"].values())
+                if near and place and one_each and len(c["official"] | officials) < 2:
                     break
             else:
-                c = {"seqs": [], "high": r.price, "low": r.price, "regions": set(), "numbers": {}, "official": set()}
+                c = {"seqs": [], "prices": [], "regions": set(), "numbers": {}, "official": set()}
                 clusters.append(c)
             c["seqs"].append(r.seq)
-            c["high"], c["low"] = max(c["high"], r.price), min(c["low"], r.price)
-            c["regions"] |= {r.bucket} - {""}
-            c["official"] |= {r.official} - {""}
-            if r.number:
-                c["numbers"].setdefault(r.source, set()).add(r.number)
+            c["prices"] += prices
+            c["regions"] |= regions
+            c["official"] |= officials
+            for s, n in numbers.items():
+                c["numbers"].setdefault(s, set()).update(n)
         return pd.DataFrame([(s, min(c["seqs"])) for c in clusters for s in c["seqs"]], columns=["seq", "cluster"])
 
     kind = df.schema[seq].dataType.simpleString()
@@ -142,9 +154,11 @@ def latest_versions(df: DataFrame, key: str = "tender_number", published: str =
 def deduplicate(df: DataFrame, rank: Column, region_bucket: Column, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Clusters by official number, then by exact card among their merged rows, merged to one row each."""
     ranked = cut_lineage(df.drop("cluster").withColumn("_rank", rank).withColumn("region_bucket", region_bucket))
-    first = cut_lineage(merge_clusters(official_clusters(ranked, seq=seq), "cluster", "_rank", filled, largest, joined, seq).drop("cluster"))
+    clustered = official_clusters(ranked, seq=seq)
+    clustered = clustered.withColumn("members", F.collect_list(card_member()).over(Window.partitionBy("cluster")))
+    first = cut_lineage(merge_clusters(clustered, "cluster", "_rank", filled, largest, joined, seq).drop("cluster"))
     out = merge_clusters(card_clusters(first, seq=seq), "cluster", "_rank", filled, largest, joined, seq)
-    return out.drop("cluster", "_rank", "region_bucket")
+    return out.drop("cluster", "_rank", "region_bucket", "members")
 
 
 def review_list(df: DataFrame, deadline: str = "deadline", title: str = "title") -> DataFrame:

@@ -62,6 +62,15 @@ def test_card_prices_are_not_transitive(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_cards_see_members_of_merged_rows(spark):
+    day = dt.datetime(2026, 1, 1)
+    rows = [(1, "a", "1", "N", 10.0, "t"), (2, "b", "2", "N", 10.9, "t"), (3, "c", "3", None, 9.5, "t"), (4, "d", "4", None, 10.2, "t")]
+    df = spark.createDataFrame(rows, "seq long, source string, tender_number string, official_number string, price double, title string").withColumn("deadline", F.lit(day))
+    got = dedup.deduplicate(df, F.when(F.col("source") == "a", 50).otherwise(40), F.lit(""), ["price"])
+    # 3 fits the merged row's own price but not that of its second member; 4 fits both
+    assert sorted(r["seq"] for r in got.collect()) == [1, 3]
+
+
 def test_upsert_rules(spark):
     schema = "unique_key string, title string, price double, detail_status string, source_confidence double, official_number string, resolution_method string"
     old = spark.createDataFrame([("a", "old", 5.0, "done", 0.9, "N", "x"), ("b", "only", 1.0, "done", 0.1, None, None)], schema)
