@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import sys
 import tempfile
 import uuid
 import zlib
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
+
 ROOT = Path(__file__).resolve().parents[2]
 
 #: Entries in one block of a summed vector.
@@ -65,6 +67,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that arrays no longer need back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +117,9 @@ def _sum_blocks(batches):
 def summed(parts: DataFrame, length: int, most_names: int = 1000) -> dict[str, np.ndarray]:
     """Sums of vectors of a fixed length, added up on the executors; at most `most_names` come to the driver."""
     added = parts.repartition("name", "blk").mapInArrow(_sum_blocks, VECTOR_SCHEMA)
-    # the batches of one task may hold a block more than once
+    # one row per name, block and batch
     out: dict[str, np.ndarray] = {}
-    for row in added.toLocalIterator():
+    for row in added.collect():
         if row["name"] not in out and len(out) >= most_names:
             raise ValueError(f"more than {most_names} names")
         v = np.frombuffer(zlib.decompress(bytes(row["body"])), dtype="<i8")
@@ -120,6 +131,3 @@ def unsigned_crc(column: str):
     """crc32 of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))
 
-
-def log(*what) -> None:
-    print(*what, file=sys.stderr)

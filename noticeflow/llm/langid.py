@@ -108,7 +108,7 @@ def infer(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def with_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Columns row (all columns of df), lang_pred, score."""
     names, table = train(df, id_col, text_col, lang_col)
-    most = (16 << 20) // max(4, len(names))
+    most = (8 << 20) // max(4, len(names))
 
     def run(batches):
         for whole in batches:

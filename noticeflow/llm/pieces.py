@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units remembered by one worker before it starts anew.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 400_000
 
 
 def load(path: str):
@@ -90,7 +90,8 @@ def _cut(texts: pa.Array, separator: str):
 
 
 def _runs(ids: list[int], ends: np.ndarray) -> list[list[int]]:
-    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    bounds = [0, *ends.tolist()]
+    return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class WordPieces:
