@@ -5,8 +5,9 @@ capacity x salts. The configuration linear program over it (least number of
 sequences, each filled by a combination of lengths, every length used up) is
 solved by multiplicative weights: a length that lags behind gains weight, and a
 knapsack dynamic program prices, for each length, the most valuable sequence
-that holds it. Full sequences of the fractional solution are rounded down; what
-is left goes by best fit over the histogram. Rows then find their sequence by their rank among
+that holds it. Full sequences of the fractional solution are rounded down, rare
+ones to none, by the rounding of several that needs the fewest sequences; what is
+left goes by best fit over the histogram. Rows then find their sequence by their rank among
 the rows of their length, which spreads over salted windows.
 
 Null and empty texts are documents of one closing id; tables without rows give
@@ -31,6 +32,8 @@ CAPACITY = 2048
 SALTS = 32
 #: Steps of the weights, pricings at most, the weights' rate, and the share of each length that rounding leaves to best fit.
 PHASES, ROUNDS, RATE, REST = 6, 48, 1.0, 0.3
+#: Roundings that are tried: a configuration counts from so many whole copies on.
+LEAST_COPIES = (1, 2, 4, 8, 16, 64)
 
 
 def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         best[c] = best[c - 1]
         if k:
             gain = v[:k] + best[c - sizes[:k]]
-            j = int(gain.argmax())
+            j = k - 1 - int(gain[::-1].argmax())  # of equal values the longest, which fits least elsewhere
             if gain[j] > best[c]:
                 best[c], pick[c] = gain[j], sizes[j]
     return best, pick
@@ -148,14 +151,19 @@ def plan(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list, float]:
     rest = demand.astype(np.int64).copy()
     rest[capacity] = 0
     used, bound = fractional(rest, capacity)
-    groups = [(((capacity, 1),), full)] if full else []
-    for pattern, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-        copies = min([int(amount + 1e-6), *(int(rest[s]) // n for s, n in pattern)])
-        if copies:
-            groups.append((pattern, copies))
-            for s, n in pattern:
-                rest[s] -= copies * n
-    return groups + best_fit(rest, capacity), full + bound
+    best: list | None = None
+    for least in LEAST_COPIES:
+        left, groups = rest.copy(), [(((capacity, 1),), full)] if full else []
+        for pattern, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+            copies = min([int(amount + 1e-6), *(int(left[s]) // n for s, n in pattern)])
+            if copies >= least:
+                groups.append((pattern, copies))
+                for s, n in pattern:
+                    left[s] -= copies * n
+        groups += best_fit(left, capacity)
+        if best is None or sum(c for _, c in groups) < sum(c for _, c in best):
+            best = groups
+    return best, full + bound
 
 
 class Places:
@@ -191,7 +199,7 @@ def cut(df: DataFrame, tokenizer: str, capacity: int, end_id: int | None, id_col
     def run(batches):
         encode = encoder(WordPieces, tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 12 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, at = encode(batch.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, at[1:], np.uint32(end_id))
