@@ -30,19 +30,16 @@ from .common import slices, work_path
 from .pieces import WordPieces, encoder, gather
 
 MAGIC, HEAD = b"NFGRAM\0\0", "<6I"
-BLOCK, ROUNDS, RULES, LEAST = 1 << 20, 8, 2000, 6
+BLOCK, ROUNDS, RULES, LEAST, CELL_BITS = 1 << 20, 8, 2000, 6, 20
 
 
-def _taken(hit: np.ndarray) -> np.ndarray:
-    """Of overlapping pairs, those that a scan from the left replaces: every other one of a run."""
-    place = np.flatnonzero(hit)
-    if len(place) == 0:
-        return place
+def _taken(place: np.ndarray) -> np.ndarray:
+    """Which of the sorted places of overlapping pairs a scan from the left replaces: every other one of a run."""
     new = np.ones(len(place), bool)
     new[1:] = np.diff(place) > 1
     begin = np.flatnonzero(new)
     nth = np.arange(len(place)) - np.repeat(begin, np.diff(np.append(begin, len(place))))
-    return place[nth % 2 == 0]
+    return nth % 2 == 0
 
 
 def compress(ids: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,10 +53,13 @@ def compress(ids: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, n
             break
         narrow = first + len(rules) + take <= 1 << 16
         key = (symbols[:-1] << np.uint32(16)) | symbols[1:] if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = np.ones(len(key), bool)
+        shift, low = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
+        # the largest key stands for the end of a document and is never replaced
+        none = np.array(-1).astype(key.dtype)
         ends = at[1:-1]
-        inside[ends[(ends > 0) & (ends < len(symbols))] - 1] = False
-        ordered = np.sort(key[inside])
+        key[ends[(ends > 0) & (ends < len(symbols))] - 1] = none
+        ordered = np.sort(key)
+        ordered = ordered[: np.searchsorted(ordered, none)]
         if len(ordered) == 0:
             break
         begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -70,22 +70,19 @@ def compress(ids: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, n
         if len(often) > take:
             often = often[np.argsort(-count[often], kind="stable")[:take]]
         chosen = np.sort(ordered[begin[often]])
-        shift, low = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        starts = np.zeros(first + len(rules) + 1, bool)
-        starts[(chosen >> shift).astype(np.int64)] = True
-        maybe = np.flatnonzero(inside & starts[symbols[:-1]])
+        # a small table of hashes leaves few places to search for
+        cell = lambda k: (k * k.dtype.type(0x9E3779B1)) >> k.dtype.type(8 * k.itemsize - CELL_BITS)
+        cells = np.zeros(1 << CELL_BITS, bool)
+        cells[cell(chosen)] = True
+        maybe = np.flatnonzero(cells[cell(key)])
         slot = np.minimum(np.searchsorted(chosen, key[maybe]), len(chosen) - 1)
         same = chosen[slot] == key[maybe]
-        which = np.zeros(len(key), np.int64)
-        hit = np.zeros(len(key), bool)
-        hit[maybe[same]] = True
-        which[maybe[same]] = slot[same]
-        place = _taken(hit)
-        symbols[place] = first + len(rules) + which[place]
-        keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
-        symbols = symbols[keep]
-        at = np.concatenate([[0], np.cumsum(keep)])[at]
+        place, slot = maybe[same], slot[same]
+        kept = _taken(place)
+        place, slot = place[kept], slot[kept]
+        symbols[place] = first + len(rules) + slot
+        at = at - np.searchsorted(place + 1, at)
+        symbols = np.delete(symbols, place + 1)
         rules = np.concatenate([rules, np.stack([chosen >> shift, chosen & low], axis=1).astype(np.uint32)])
     return rules, symbols, at
 
@@ -174,7 +171,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_c
             return row
 
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 3 << 20):
                 ids, at = encode(batch.column("text"))
                 if end_id is not None:
                     ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
