@@ -62,3 +62,14 @@ def test_unique_key(spark):
 @pytest.mark.parametrize(("value", "want"), [("=SUM(A1)", "'=SUM(A1)"), ("a=b", "a=b"), ("\x07x", "x")])
 def test_formula_safe(spark, value, want):
     assert one(spark, value, ids.formula_safe) == want
+
+
+def test_devices(spark):
+    from noticeflow.functions import devices
+
+    df = spark.createDataFrame([("Картридж для HP-2035n и лоток 12", "Картридж hp-2035n черный"), ("Стол", None)], "x string, y string")
+    kinds = {"картридж": ["картридж", "тонер"], "лоток": ["лоток"]}
+    kind, models = devices.item_kind("x", kinds), devices.device_models("x")
+    rows = df.select(models.alias("m"), kind.alias("k"), devices.same_kind("x", "y", kinds).alias("s"), devices.search_queries(kind, models, F.array(F.lit("CE505A")), {"картридж": ["тонер"]}).alias("q"), devices.is_any_of(["^стол"], "x").alias("a")).collect()
+    assert [r["m"] for r in rows] == [["hp-2035n"], []] and [r["k"] for r in rows] == ["картридж", None] and [r["s"] for r in rows] == ["pass", "unknown"]
+    assert rows[0]["q"] == ["CE505A", "картридж hp-2035n", "тонер hp-2035n"] and [r["a"] for r in rows] == [False, True]

@@ -140,3 +140,43 @@ def test_no_quadratic_join(spark):
     p = spark.range(10).selectExpr("id as product_id", "'s' as supplier_id", "'насос' as name", "'' as article", "'' as category", "1.0D as price", "0 as priority")
     plan = products.match_products(q, p)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_migrate_and_append_once(spark):
+    from noticeflow.operators import links
+
+    old = spark.createDataFrame([(" 5 ", "x")], "`Цена` string, `Имя` string")
+    got = register.migrate(old, {"price": ["цена"], "name": ["имя"]}, {"name": "string", "price": "int", "new": "date"})
+    assert [tuple(r) for r in got.collect()] == [("x", 5, None)] and got.columns == ["name", "price", "new"]
+    runs = spark.createDataFrame([("r1", 1)], "stamp string, n int")
+    more = spark.createDataFrame([("r1", 2), ("r2", 3), ("r2", 3)], "stamp string, n int")
+    assert sorted(tuple(r) for r in links.append_once(runs, more, ["stamp"]).collect()) == [("r1", 1), ("r2", 3)]
+
+
+def test_suppliers_of_requests(spark):
+    from noticeflow.operators import customers
+
+    requests = spark.createDataFrame([(1, 1, "A", "new"), (1, 2, "", "new"), (2, 1, "B", "new"), (3, 1, "C", "new")], "line_id int, n int, supplier string, status string")
+    change = spark.createDataFrame([(1, "Z", "sent"), (2, "Y", "sent"), (3, "C", "sent")], "line_id int, supplier string, status string")
+    got = sorted(tuple(r) for r in customers.assign_supplier(change, requests).collect())
+    assert got == [(1, 1, "A", "new"), (1, 2, "Z", "sent"), (2, 1, "B", "new"), (2, 2, "Y", "sent"), (3, 1, "C", "sent")]
+    ids = customers.with_suffixes(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "supplier_id string, seq int"), spark.createDataFrame([("a", 1)], "supplier_id string, n int"))
+    assert sorted(r["new_id"] for r in ids.collect()) == ["a-2", "a-3", "b"]
+
+
+def test_table_items(spark):
+    from noticeflow.operators import cases
+
+    rows = [(1, "t", 1, ["№", "Наименование", "ОКПД", "Характеристика", "Значение", "Ед", "Кол-во"]), (1, "t", 2, ["1.", "Насос", "x", "Мощность", "2 кВт", "шт", "3"]), (1, "t", 3, ["", "", "", "Цвет", "белый", "", ""]), (1, "t", 4, ["2", "Труба", "x", "", "", "м", "4,5"])]
+    got = cases.table_items(spark.createDataFrame(rows, "case_id int, `table` string, `row` int, cells array<string>")).collect()
+    assert sorted((r["line_id"], r["name"], r["quantity"], r["unit"], r["required_specs"]) for r in got) == [("1", "Насос", "3", "шт", "Мощность: 2 кВт; Цвет: белый"), ("2", "Труба", "4.5", "м", "")]
+
+
+def test_carry_and_history(spark):
+    from noticeflow.operators import cases
+
+    profile = spark.createDataFrame([("A", 0, "насос", 0)], "category string, cat_ord int, term string, term_ord int")
+    defaults = spark.createDataFrame([("B", 0, "труба", 0)], profile.schema)
+    required = spark.createDataFrame([("a", 9, "НАСОС", 0), ("C", 9, "котел", 0)], profile.schema)
+    assert sorted(r["term"] for r in cases.build_dictionary(profile, defaults, required).collect()) == ["котел", "насос"]
+    assert sorted(r["term"] for r in cases.build_dictionary(profile.limit(0), defaults, required).collect()) == ["НАСОС", "котел", "труба"]
