@@ -63,6 +63,18 @@ def fn_tokens(spark, sf):
     return spark.table("documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"))
 
 
+@query(
+    rf"""
+SELECT doc_id, regexp_replace({_NORM.format("text")}, '[^\p{{L}}\p{{N}}_]+', '', 'g') AS title_key,
+       len(list_distinct([x for x in regexp_extract_all({_NORM.format("text")}, '[a-zа-я0-9]+(?:[-/.][a-zа-я0-9]+)*') if length(x) >= 2])) AS n_tokens
+FROM documents"""
+)
+def fn_tokens_all(spark, sf):
+    """FN-03, FN-09: title key and search tokens of whole texts."""
+    load(spark, sf, "documents")
+    return spark.table("documents").select("doc_id", text.title_key("text").alias("title_key"), F.size(text.search_tokens("text")).cast("long").alias("n_tokens"))
+
+
 @query(
     """
 SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18, 2))::DOUBLE * CASE o_orderkey % 3 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1 END AS price,

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from noticeflow import plans
 
@@ -36,3 +35,25 @@ def test_terms_with_a_gap(spark, table):
     found = {(r["doc_id"], r["term"]) for r in got.collect() if " " in r["term"]}
     assert found == {(i, t) for i, x in enumerate(texts) for t in ("of the", "en la") if first_match(x, t)}
     assert {(0, "of the"), (2, "of the"), (7, "en la")} <= found and (3, "of the") not in found
+
+
+def test_tokens_after_the_first_thousands(spark, table):
+    text = "aa " * 1500 + "late"
+    r = plans.QUERIES["fn_tokens_all"](spark, table("documents", [(1, text)], "doc_id long, text string")).first()
+    assert r["n_tokens"] == 2 and r["title_key"].endswith("late") and len(r["title_key"]) == 3004
+
+
+def test_evidence_of_short_and_spaced_texts(spark, table):
+    texts = ["red ring", "a  red  ring for sale", "ring", "bored ring", ""]
+    got = plans.QUERIES["jn_evidence_all"](spark, table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    norm = [" ".join(t.split()) for t in texts]
+    title = [" ".join(t[:24].split()) for t in texts]
+    want = {(i, j) for i, t in enumerate(title) for j, x in enumerate(norm) if t and t in x}
+    assert {(r["k"], r["doc_id"]) for r in got.collect()} == want and {(0, 1), (2, 3), (1, 1)} <= want
+
+
+def test_every_line_and_organization(spark, sf_dir):
+    lines = plans.QUERIES["jn_requirements_all"](spark, sf_dir)
+    assert lines.select("line_id").distinct().count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    actions = {r["action"]: r["count"] for r in plans.QUERIES["up_queue_all"](spark, sf_dir).groupBy("action").count().collect()}
+    assert actions["update"] > 20 and actions["append"] > 20
