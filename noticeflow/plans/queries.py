@@ -591,6 +591,23 @@ def ec_taxes(spark, sf):
     return out.select("case_id", "scenario", *[F.col(c).cast("double").alias(c) for c in ("revenue_net", "total_cost", "profit", "tax")])
 
 
+@query(
+    f"""WITH {_CASES}, {_PICK}, {_TOTALS}, s AS (SELECT * FROM (VALUES ('vat', NULL), ('simplified_10', 0.10), ('simplified_15', 0.15)) v(scenario, rate)),
+goods AS (SELECT i.case_id, sum(CAST(CAST(round(quantity * unit_cost_gross, 2) AS DOUBLE) / (1 + CASE WHEN vat_rate = 0 THEN 0.22 ELSE vat_rate END) AS DECIMAL(28, 6))) AS goods_net FROM items i JOIN pick p ON p.case_id = i.case_id AND p.line_id = i.line_id GROUP BY 1),
+net AS (SELECT l_orderkey AS case_id, sum(CAST(CAST(CAST(l_tax * 1000 AS DECIMAL(18, 2)) AS DOUBLE) / CASE WHEN l_linestatus = 'O' THEN 1.22 ELSE 1 END AS DECIMAL(28, 6))) AS spent_net FROM lineitem GROUP BY 1),
+x AS (SELECT case_id, scenario, rate, CASE WHEN rate IS NULL THEN CAST(CAST(start_price AS DOUBLE) / 1.22 AS DECIMAL(28, 6)) ELSE CAST(start_price AS DECIMAL(28, 6)) END AS rev,
+  CASE WHEN rate IS NULL THEN CAST(coalesce(goods_net, 0) + spent_net AS DECIMAL(28, 6)) ELSE CAST(cost + expenses AS DECIMAL(28, 6)) END AS total FROM price LEFT JOIN goods USING (case_id) JOIN net USING (case_id), s),
+y AS (SELECT *, CAST(round(rev - total, 2) AS DECIMAL(18, 2)) AS profit FROM x)
+SELECT case_id, scenario, CAST(round(rev, 2) AS DOUBLE) AS revenue_net, CAST(round(total, 2) AS DOUBLE) AS total_cost, CAST(profit AS DOUBLE) AS profit,
+ CASE WHEN rate IS NOT NULL THEN CAST(greatest(round(greatest(profit, 0) * CAST(rate AS DECIMAL(5, 2)), 2), round(rev * CAST(0.01 AS DECIMAL(5, 2)), 2)) AS DOUBLE) END AS tax FROM y"""
+)
+def ec_taxes_all(spark, sf):
+    """EC-05: the three scenarios of every case; who pays VAT has it taken out of price, goods and expenses."""
+    cases, lines, expenses = _case_tables(spark, sf)
+    totals = economics.case_totals(cases.join(lines.select("case_id").distinct(), "case_id", "left_semi"), lines, expenses)
+    return economics.tax_scenarios(totals, lines, expenses).select("case_id", "scenario", *[F.col(c).cast("double").alias(c) for c in ("revenue_net", "total_cost", "profit", "tax")])
+
+
 # --- search ----------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticeflow import plans
 
@@ -57,3 +58,13 @@ def test_every_line_and_organization(spark, sf_dir):
     assert lines.select("line_id").distinct().count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     actions = {r["action"]: r["count"] for r in plans.QUERIES["up_queue_all"](spark, sf_dir).groupBy("action").count().collect()}
     assert actions["update"] > 20 and actions["append"] > 20
+
+
+def test_all_tax_scenarios(spark, sf_dir):
+    got = plans.QUERIES["ec_taxes_all"](spark, sf_dir)
+    assert {r["count"] for r in got.groupBy("case_id").count().collect()} == {3}
+    vat = got.where("scenario = 'vat'")
+    assert vat.where("tax is not null").count() == 0 < vat.count()
+    # prices carry 22 % of VAT
+    gross = got.where("scenario = 'simplified_10'").select("case_id", F.col("revenue_net").alias("gross"))
+    assert vat.join(gross, "case_id").where("abs(revenue_net * 1.22 - gross) > 0.01").count() == 0
