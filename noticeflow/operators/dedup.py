@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from bisect import insort
+from collections import deque
+from collections.abc import Iterator, Sequence
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ids import blank_null
 from ..functions.text import normalize, number_key, title_key
 from .lineage import cut_lineage
 
 
+def _rows(batches) -> Iterator[dict]:
+    for b in batches:
+        yield from b.to_pylist()
+
+
+def _pairs(pairs: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(pairs, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*part, strict=True)], names=["seq", "cluster"])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key. Order must be total."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -42,23 +57,36 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
 
     kind = df.schema[seq].dataType.simpleString()
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            cur = {"rows": [row.seq], "sources": {row.source}, "off": {row[4]} - {None}, "own": {row[3]} - {None}}
-            while True:
-                def meets(c, cur=cur):
-                    linked = bool(c["off"] & (cur["off"] | cur["own"]) or cur["off"] & c["own"])
-                    return linked and not c["sources"] & cur["sources"] and len(c["off"] | cur["off"]) < 2
-                found = next((c for c in clusters if meets(c)), None)
-                if found is None:
-                    break
-                clusters.remove(found)
-                cur = {k: found[k] + cur[k] if k == "rows" else found[k] | cur[k] for k in found}
-            clusters.append(cur)
-        return pd.DataFrame([{"seq": s, "cluster": min(c["rows"])} for c in clusters for s in c["rows"]], columns=["seq", "cluster"])
-
-    replayed = small.groupBy("bucket").applyInPandas(replay, f"seq {kind}, cluster {kind}").select(F.col("seq").alias("_seq"), F.col("cluster").alias("_replayed"))
+    def replay(batches):
+        def settled(group):
+            # a bucket has one official number, so a cluster is its sources and whether a member brings the number
+            seqs, parent, waiting, place = [], [], {}, 0
+            for r in group:
+                seqs.append(r["seq"])
+                parent.append(len(parent))
+                node, sources, official = len(parent) - 1, frozenset([r["source"]]), r["_off"] is not None
+                while True:
+                    fit = [q[0] + (k,) for k, q in waiting.items() if (k[1] or official) and not k[0] & sources]
+                    if not fit:
+                        break
+                    _, other, k = min(fit, key=lambda f: f[0])
+                    waiting[k].popleft()
+                    if not waiting[k]:
+                        del waiting[k]
+                    # the lesser place is that of the lesser seq
+                    node, other = min(node, other), max(node, other)
+                    parent[other] = node
+                    sources, official = k[0] | sources, k[1] or official
+                waiting.setdefault((sources, official), deque()).append((place, node))
+                place += 1
+            for n, up in enumerate(parent):
+                parent[n] = parent[up]
+                yield seqs[n], seqs[parent[n]]
+
+        yield from _pairs((p for _, g in groupby(_rows(batches), key=lambda r: r["bucket"]) for p in settled(g)), key)
+
+    key = to_arrow_type(df.schema[seq].dataType)
+    replayed = small.repartition("bucket").sortWithinPartitions("bucket", "seq").mapInArrow(replay, f"seq {kind}, cluster {kind}").select(F.col("seq").alias("_seq"), F.col("cluster").alias("_replayed"))
     rows = rows.join(replayed, F.col(seq) == F.col("_seq"), "left")
     cluster = F.when(F.col("bucket").isNull(), F.col(seq)).otherwise(F.coalesce("_replayed", "_least"))
     return rows.withColumn("cluster", cluster).select(*df.columns, "cluster")
@@ -69,14 +97,71 @@ def card_member(price: str = "price", bucket: str = "region_bucket", source: str
     return F.struct(F.col(price).alias("price"), F.coalesce(bucket, F.lit("")).alias("bucket"), normalize(source).alias("source"), normalize(number).alias("number"), F.coalesce(number_key(official), F.lit("")).alias("official"))
 
 
-def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline", price: str = "price", bucket: str = "region_bucket", source: str = "source", number: str = "tender_number", official: str = "official_number", seq: str = "seq", most: int = 20_000) -> DataFrame:
+def _first_fit(band) -> Iterator[tuple]:
+    """Pairs (seq, cluster) of a band's rows, which come in the order of seq.
+
+    Clusters only get stricter, so a row equal to one before goes where that went; one
+    whose own members don't fit together is alone. Clusters are kept by price cell, sources,
+    regions and official number: those that have a source of the row are looked up by its number.
+    """
+    clusters: list[dict] = []
+    cells: dict[int, dict[tuple, list[int]]] = {}
+    by_number: dict[tuple, set[int]] = {}
+    before: dict[tuple, object] = {}
+    for r in band:
+        members = r["members"]
+        prices = [m["price"] for m in members if m["price"] is not None]
+        regions, official = frozenset(m["bucket"] for m in members) - {""}, frozenset(m["official"] for m in members) - {""}
+        numbers = frozenset((m["source"], m["number"]) for m in members if m["number"])
+        sources = frozenset(s for s, _ in numbers)
+        if not prices or not max(prices) - min(prices) < 1.0 or len(official) > 1 or len(sources) < len(numbers):
+            yield r["seq"], r["seq"]
+            continue
+        low, high = min(prices), max(prices)
+        same = (low, high, regions, official, numbers)
+        if same in before:
+            yield r["seq"], before[same]
+            continue
+        near = lambda n: max(high, clusters[n]["high"]) - min(low, clusters[n]["low"]) < 1.0  # noqa: B023, E731
+        best = None
+        for cell in range(math.floor(high) - 1, math.floor(low) + 2):
+            for (has, where, what), there in cells.get(cell, {}).items():
+                if (where and regions and where != regions) or len(what | official) > 1:
+                    continue
+                shared = has & sources
+                if shared:
+                    some = min((by_number.get(x, set()) for x in numbers if x[0] in shared), key=len)
+                    found = [n for n in some if clusters[n]["at"] == (cell, (has, where, what)) and all(x in clusters[n]["numbers"] for x in numbers if x[0] in shared) and near(n)]
+                    first = min(found, default=None)
+                else:
+                    first = next((n for n in there if near(n)), None)
+                if first is not None and (best is None or first < best):
+                    best = first
+        if best is None:
+            best = len(clusters)
+            clusters.append({"seq": r["seq"], "low": low, "high": high, "numbers": frozenset(), "regions": frozenset(), "official": frozenset(), "at": None})
+        c = clusters[best]
+        for x in numbers - c["numbers"]:
+            by_number.setdefault(x, set()).add(best)
+        c.update(low=min(low, c["low"]), high=max(high, c["high"]), numbers=c["numbers"] | numbers, regions=c["regions"] | regions, official=c["official"] | official)
+        at = (math.floor(c["low"]), (frozenset(s for s, _ in c["numbers"]), c["regions"], c["official"]))
+        if at != c["at"]:
+            if c["at"]:
+                cells[c["at"][0]][c["at"][1]].remove(best)
+            insort(cells.setdefault(at[0], {}).setdefault(at[1], []), best)
+            c["at"] = at
+        before[same] = c["seq"]
+        yield r["seq"], c["seq"]
+
+
+def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline", price: str = "price", bucket: str = "region_bucket", source: str = "source", number: str = "tender_number", official: str = "official_number", seq: str = "seq") -> DataFrame:
     """Adds cluster: rows with the same title and deadline date and prices within one unit, first fit in the order of seq.
 
     Regions must be equal or unknown on one side, a source may bring one number, and
     official numbers may not differ. A merged row stands for its members where the column
     `members` (card_member) lists them. Rows are split into price bands at gaps of one or
-    more, which no cluster crosses; a band of more than `most` rows fails instead of
-    being gathered. Rows without title, price or deadline are alone.
+    more, which no cluster crosses; a band is one stream of rows, of which a task holds
+    what is known of clusters. Rows without title, price or deadline are alone.
     """
     rows = df.withColumns({"_title": title_key(title), "_day": F.to_date(deadline)})
     able = (F.col("_title") != "") & F.col("_day").isNotNull() & F.col(price).isNotNull()
@@ -87,36 +172,14 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
     several = rows.where("_size > 1")
     small = several.select(F.col(seq).alias("seq"), "_card", "_band", F.col("members") if "members" in df.columns else F.array(card_member(price, bucket, source, number, official)).alias("members"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} rows in one price band of a title and day")
-        clusters: list[dict] = []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            prices = [m["price"] for m in r.members if m["price"] is not None]
-            regions, officials = {m["bucket"] for m in r.members} - {""}, {m["official"] for m in r.members} - {""}
-            numbers: dict[str, set] = {}
-            for m in r.members:
-                if m["number"]:
-                    numbers.setdefault(m["source"], set()).add(m["number"])
-            for c in clusters:
-                near = max(*c["prices"], *prices) - min(*c["prices"], *prices) < 1.0
-                place = not c["regions"] or not regions or c["regions"] == regions
-                one_each = all(len(n | c["numbers"].get(s, set())) < 2 for s, n in numbers.items()) and all(len(n) < 2 for n in c["numbers"].values())
-                if near and place and one_each and len(c["official"] | officials) < 2:
-                    break
-            else:
-                c = {"seqs": [], "prices": [], "regions": set(), "numbers": {}, "official": set()}
-                clusters.append(c)
-            c["seqs"].append(r.seq)
-            c["prices"] += prices
-            c["regions"] |= regions
-            c["official"] |= officials
-            for s, n in numbers.items():
-                c["numbers"].setdefault(s, set()).update(n)
-        return pd.DataFrame([(s, min(c["seqs"])) for c in clusters for s in c["seqs"]], columns=["seq", "cluster"])
+    def fit(batches):
+        for _, band in groupby(_rows(batches), key=lambda r: (r["_card"], r["_band"])):
+            yield from _first_fit(band)
 
     kind = df.schema[seq].dataType.simpleString()
-    fitted = small.groupBy("_card", "_band").applyInPandas(fit, f"seq {kind}, cluster {kind}").select(F.col("seq").alias("_seq"), F.col("cluster").alias("_fitted"))
+    key = to_arrow_type(df.schema[seq].dataType)
+    streamed = small.repartition("_card", "_band").sortWithinPartitions("_card", "_band", "seq").mapInArrow(lambda batches: _pairs(fit(batches), key), f"seq {kind}, cluster {kind}")
+    fitted = streamed.select(F.col("seq").alias("_seq"), F.col("cluster").alias("_fitted"))
     rows = rows.join(fitted, F.col(seq) == F.col("_seq"), "left")
     return rows.withColumn("cluster", F.coalesce("_fitted", seq)).select(*df.columns, "cluster")
 
@@ -131,8 +194,10 @@ def merge_clusters(df: DataFrame, cluster: str, rank: str, filled: Sequence[str]
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kinds = dict(df.dtypes)
     value = lambda c: blank_null(c) if kinds[c] == "string" else F.col(c)
-    out = df.withColumn("_nth", F.row_number().over(order))
-    out = out.withColumns({f"_f_{c}": F.first(value(c), ignorenulls=True).over(whole) for c in filled} | {f"_f_{c}": F.max(c).over(whole) for c in largest} | {f"_f_{c}": F.collect_list(value(c)).over(whole) for c in joined})
+    # a text that repeats is gathered once
+    out = df.withColumns({f"_d_{c}": F.row_number().over(Window.partitionBy(cluster, c).orderBy(F.desc(rank), seq)) for c in joined})
+    out = out.withColumn("_nth", F.row_number().over(order))
+    out = out.withColumns({f"_f_{c}": F.first(value(c), ignorenulls=True).over(whole) for c in filled} | {f"_f_{c}": F.max(c).over(whole) for c in largest} | {f"_f_{c}": F.collect_list(F.when(F.col(f"_d_{c}") == 1, value(c))).over(whole) for c in joined})
     out = out.where("_nth = 1")
     texts = lambda c: F.aggregate(f"_f_{c}", F.lit(""), lambda acc, t: F.when(acc == "", t).when(F.contains(acc, t), acc).when(F.contains(t, acc), t).otherwise(F.concat(acc, F.lit("\n"), t)))
     new = {c: F.col(f"_f_{c}") for c in [*filled, *largest]} | {c: texts(c) for c in joined}

@@ -1,11 +1,14 @@
 """Queries and jobs that do the whole of their task, on small tables against brute force."""
 
+import datetime as dt
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import plans
+from noticeflow.operators import dedup
 
 
 @pytest.fixture
@@ -68,3 +71,57 @@ def test_all_tax_scenarios(spark, sf_dir):
     # prices carry 22 % of VAT
     gross = got.where("scenario = 'simplified_10'").select("case_id", F.col("revenue_net").alias("gross"))
     assert vat.join(gross, "case_id").where("abs(revenue_net * 1.22 - gross) > 0.01").count() == 0
+
+
+CARD = "seq long, title string, deadline timestamp, price double, region_bucket string, source string, tender_number string, official_number string"
+
+
+def naive_cards(rows):
+    """First fit over all clusters in order; rows: seq, price, region, source, number, official."""
+    clusters, out = [], {}
+    for r in sorted(rows):
+        for c in clusters:
+            prices, numbers = [x[1] for x in [*c, r]], {(x[3], x[4]) for x in [*c, r]}
+            if max(prices) - min(prices) < 1.0 and len({x[2] for x in [*c, r]} - {""}) < 2 and len({s for s, _ in numbers}) == len(numbers) and len({x[5] for x in [*c, r]} - {""}) < 2:
+                break
+        else:
+            clusters.append(c := [])
+        c.append(r)
+        out[r[0]] = c[0][0]
+    return out
+
+
+def cards(spark, rows):
+    day = dt.datetime(2026, 1, 1)
+    full = [(s, "t", day, p, g, src, n, o or None) for s, p, g, src, n, o in rows]
+    return {r["seq"]: r["cluster"] for r in dedup.card_clusters(spark.createDataFrame(full, CARD)).select("seq", "cluster").collect()}
+
+
+def test_cards_equal_first_fit(spark):
+    rng = random.Random(5)
+    rows = [(i, 10 + rng.randrange(40) / 10, rng.choice(["", "", "e", "w"]), rng.choice("abc"), str(rng.randrange(6)), rng.choice(["", "", "N", "M"])) for i in range(700)]
+    rng.shuffle(rows)
+    assert cards(spark, rows) == naive_cards(rows)
+
+
+def test_a_hot_band_has_no_cap(spark):
+    rows = [(i, 10.0, "", "a", str(i % 9000), "") for i in range(21_000)]
+    assert cards(spark, rows) == {i: i % 9000 for i in range(21_000)}
+
+
+def naive_official(rows):
+    clusters = []
+    for seq, source, own, off in sorted(rows):
+        cur = [[seq], {source}, {off} - {None}, {own}]
+        while found := next((c for c in clusters if (c[2] & (cur[2] | cur[3]) or cur[2] & c[3]) and not c[1] & cur[1] and len(c[2] | cur[2]) < 2), None):
+            clusters.remove(found)
+            cur = [found[0] + cur[0]] + [a | b for a, b in zip(found[1:], cur[1:], strict=True)]
+        clusters.append(cur)
+    return {s: min(c[0]) for c in clusters for s in c[0]}
+
+
+def test_official_equals_replay(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abcd"), rng.choice(["k", f"z{i}"]), rng.choice([None, "k"])) for i in range(400)]
+    got = dedup.official_clusters(spark.createDataFrame(rows, "seq long, source string, tender_number string, official_number string"))
+    assert {r["seq"]: r["cluster"] for r in got.collect()} == naive_official(rows)
