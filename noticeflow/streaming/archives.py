@@ -59,8 +59,8 @@ def ingest(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint:
 
 
 def retry(spark: SparkSession, rejects: DataFrame) -> DataFrame:
-    """Reads failed files again: members, or the error that they still have."""
-    paths = [r["path"] for r in rejects.select("path").distinct().limit(10_000).collect()]
+    """Reads all failed files again: members, or the error that they still have."""
+    paths = [r["path"] for r in rejects.select("path").distinct().toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], ENTRY)
     return unpacked(spark.read.format("binaryFile").load(paths).select("path", "content"))

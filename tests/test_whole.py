@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeflow import plans
 from noticeflow.operators import dedup
+from noticeflow.streaming import archives
 
 
 @pytest.fixture
@@ -125,3 +126,19 @@ def test_official_equals_replay(spark):
     rows = [(i, rng.choice("abcd"), rng.choice(["k", f"z{i}"]), rng.choice([None, "k"])) for i in range(400)]
     got = dedup.official_clusters(spark.createDataFrame(rows, "seq long, source string, tender_number string, official_number string"))
     assert {r["seq"]: r["cluster"] for r in got.collect()} == naive_official(rows)
+
+
+def test_retry_asks_for_every_failed_file(spark):
+    asked = []
+
+    class Reader:
+        read = property(lambda self: self)
+        format = lambda self, kind: self
+
+        def load(self, paths):
+            asked.extend(paths)
+            return spark.createDataFrame([], "path string, content binary")
+
+    rejects = spark.range(10_050).select(F.concat(F.lit("/x/"), "id").alias("path"))
+    archives.retry(Reader(), rejects.union(rejects))
+    assert sorted(asked) == sorted(f"/x/{i}" for i in range(10_050))
