@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.llm import langid, neardup, packing, quality
-from noticeflow.llm.common import table, work_path
+from noticeflow.llm.common import stored, table, work_path
 from noticeflow.llm.queries import vocabulary
 
 #: A document whose largest language has a smaller share is in no language.
@@ -30,9 +30,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    classes = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near duplicates, repeated rows among them: that with the smallest doc_id.
+
+    Rows without a text or a doc_id are alone and stay.
+    """
+    # a number for each row, as a doc_id may repeat; written, so that it holds
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nth")), "rows")
+    known = rows.where("row.doc_id is not null").select("nth", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    classes = neardup.classes(known.select("nth", "text"), id_col="nth")
+    first = known.select("nth", "doc_id").join(classes, "nth").groupBy("class_id").agg(F.min(F.struct("doc_id", "nth")).alias("least")).select("least.nth")
+    kept = rows.join(first, "nth", "left_semi").select("row.*")
+    return kept.union(rows.where("row.doc_id is null").select("row.*"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

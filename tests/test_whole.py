@@ -142,3 +142,14 @@ def test_retry_asks_for_every_failed_file(spark):
     rejects = spark.range(10_050).select(F.concat(F.lit("/x/"), "id").alias("path"))
     archives.retry(Reader(), rejects.union(rejects))
     assert sorted(asked) == sorted(f"/x/{i}" for i in range(10_050))
+
+
+def test_unique_keeps_one_row_of_a_group(spark, sf_dir):
+    import corpus_pipeline as pipe
+
+    a, b = "one two three four five six seven " * 9, "quite another text of eight words and more " * 5
+    rows = [(5, a, 0), (5, a, 1), (3, a, 2), (3, a, 3), (9, b, 4), (5, b, 5), (None, a, 6), (None, None, 7), (8, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"] == b, r["n"]) for r in pipe.unique(spark, docs, sf_dir).collect())
+    assert [x[:2] for x in got] == [(0, False), (0, False), (3, False), (5, True), (8, False)]
+    assert {x[2] for x in got} - {2, 3} == {5, 6, 7, 8}
