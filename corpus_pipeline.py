@@ -14,14 +14,11 @@ from noticeflow.llm import langid, neardup, packing, quality
 from noticeflow.llm.common import stored, table, work_path
 from noticeflow.llm.queries import vocabulary
 
-#: A document whose largest language has a smaller share is in no language.
-LEAST_SHARE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without letters or without a leading language go."""
+    """Documents in the learned languages, one or a mixture; those without letters go."""
     found = langid.with_languages(docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where(F.col("lang_pred") != "und").select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import VECTOR_SCHEMA, slices, summed, vector_rows
 from .grams import BUCKETS, hashed, padded
 
-#: N-grams in a window, languages in a set at most, steps of the estimation.
-WINDOW, MOST_LANGUAGES, STEPS = 48, 5, 12
+#: N-grams in a window, steps of the estimation.
+WINDOW, STEPS = 48, 12
 #: Overlapping 4-grams repeat evidence; penalty per language in units of log(windows + 1).
 TEMPER, PENALTY, SMOOTH = 0.25, 1.0, 0.5
 
@@ -96,7 +96,7 @@ def infer(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.argsort(order, axis=1)
     best = np.full(len(first), -np.inf)
     chosen = np.zeros_like(share)
-    for n in range(1, min(MOST_LANGUAGES, table.shape[1]) + 1):
+    for n in range(1, table.shape[1] + 1):
         part, fit = _mixture(ll, first, count, rank < n)
         value = fit - PENALTY * n * np.log(count + 1)
         better = value > best

@@ -153,3 +153,27 @@ def test_unique_keeps_one_row_of_a_group(spark, sf_dir):
     got = sorted((r["doc_id"] or 0, r["text"] == b, r["n"]) for r in pipe.unique(spark, docs, sf_dir).collect())
     assert [x[:2] for x in got] == [(0, False), (0, False), (3, False), (5, True), (8, False)]
     assert {x[2] for x in got} - {2, 3} == {5, 6, 7, 8}
+
+
+def test_mixed_documents_stay(spark, sf_dir):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = docs.where("lang is not null").groupBy("lang").agg(F.array_join(F.slice(F.collect_list("text"), 1, 40), " ").alias("t")).orderBy("lang").limit(3)
+    parts = [r["t"][:n] for r, n in zip(whole.collect(), (4000, 3000, 3000), strict=True)]
+    mixed = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast(docs.schema["doc_id"].dataType), "text": F.lit(" ".join(parts)), "lang": F.lit(None).cast("string")})
+    assert pipe.language(spark, docs.unionByName(mixed), sf_dir).where("doc_id = -1").count() == 1
+
+
+def test_shares_of_seven_languages():
+    import numpy as np
+    import pyarrow as pa
+
+    from noticeflow.llm import langid
+
+    rng = random.Random(3)
+    runs = ["".join(rng.choice(abc) for _ in range(4800)) for abc in ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu")]
+    counts = np.array([np.bincount(langid.hashed(langid.padded(pa.array([r]), letters=True)[0]), minlength=langid.BUCKETS) for r in runs]) + 0.5
+    table = np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
+    _, share = langid.infer(pa.array(["".join(runs)]), table)
+    assert abs(share[0] - 1 / 7) < 0.02
