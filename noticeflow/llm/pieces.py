@@ -95,9 +95,16 @@ def _runs(ids: list[int], ends: np.ndarray) -> list[list[int]]:
 
 
 class WordPieces:
-    """For tokenizers that drop white space, fold case and mark word ends, such as word_bpe_49k."""
+    """For tokenizers that drop white space, fold case and mark word ends, such as word_bpe_49k.
+
+    The tokenizer composes (NFC) before it lowers. Letters in ASCII may be lowered
+    first only where nothing composes with them, so texts that hold a combining mark
+    go to the library whole.
+    """
 
     LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+    #: The marks with which ASCII characters compose.
+    MARKS = "[\u0300-\u036f]"
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -122,7 +129,7 @@ class WordPieces:
         """Ids of all texts as one array, and where each text's begin (one more entry than texts)."""
         if texts.null_count:
             texts = texts.fill_null("")
-        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        special = np.flatnonzero(pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, self.MARKS)).to_numpy(zero_copy_only=False))
         whole = [texts[int(i)].as_py() for i in special]
         low = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
         words, at, ends = _cut(pc.replace_substring_regex(low, CUT, r"\1 \2"), " ")

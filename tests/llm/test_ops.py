@@ -26,6 +26,22 @@ def texts_of(df):
 ODD = ["", " ", "a  b", " lead", "trail ", "x\n\ny z \n q", "foo <|endoftext|> bar<|endoftext|>", "déjà vu  café", "it's we'll 'S don't", "1234 5 67a", "中文 测试 \U0001f600 ok", "tab\tsep \t x", "\x1c x\x1fy", "ΑΣ ΟΔΟΣ İstanbul É́", "FOO,BAR's !!x<|startoftext|>", "<|ENDOFTEXT|>", "a\0b c", "\n", "\n\n a", "x\n y"]
 
 
+ODD += ["T\u0308a H\u0331 W\u030a J\u030c", "<\u0338 a=\u0338b", "\u212a \u212b \u1fef \u037e", "X\u0345Y", "e\u0301E\u0301 N\u0303", "\u1112\u1161\u11ab"]
+
+
+@pytest.mark.parametrize(("kind", "name"), [(pieces.WordPieces, WORD), (pieces.BytePieces, BYTE)])
+def test_pieces_equal_library_on_random_texts(kind, name, vocab):
+    """20,000 texts of letters, marks that compose, blanks and signs."""
+    rng = np.random.default_rng(11)
+    letters = list("abTHWJEXéÀßŁ中ΣςİK1 ,.'<=>-\n\t") + ["\u0308", "\u0331", "\u030a", "\u0301", "\u0338", "\u0345", "\u212a", "\u1161", "\u3099", "\xa0", "<|", "'s", "  "]
+    texts = ["".join(rng.choice(letters, int(rng.integers(1, 14)))) for _ in range(20_000)]
+    encode, tokenizer = kind(vocab(name)), pieces.load(vocab(name))
+    ids, at = encode(pa.array(texts))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b, w in zip(texts, at, at[1:], want, strict=False) if ids[a:b].tolist() != w]
+    assert not wrong, wrong[:5]
+
+
 @pytest.mark.parametrize(("kind", "name"), [(pieces.WordPieces, WORD), (pieces.BytePieces, BYTE)])
 def test_pieces_equal_library(kind, name, vocab):
     encode, tokenizer = kind(vocab(name)), pieces.load(vocab(name))
