@@ -10,7 +10,8 @@ bear the loss. Control strings are single tokens, so no token crosses a span.
 Null roles and texts are empty; turns sort by turn, then role, then text (nulls
 first), and repeated rows are turns of their own; rows without a conversation id
 are one conversation; a conversation is rendered in one task, whatever its
-length; an empty table gives no rows.
+length, and conversations are gathered until they hold GATHERED characters; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .pieces import BytePieces, encoder
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: Characters, and conversations, that are encoded at a time; a longer conversation stands alone.
+GATHERED, MOST = 4 << 20, 1000
 CONTROL = re.compile(re.escape(START) + "|" + re.escape(SEP) + "|" + re.escape(END))
 
 
@@ -125,14 +129,17 @@ def conversations(df: DataFrame, tokenizer: str, learn: str = "assistant", conv_
     def run(batches):
         chat = encoder(Chat, tokenizer)
         groups: list[tuple] = []
-        for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not groups or groups[-1][0] != conv:
-                    if len(groups) >= 1000:
-                        yield finished(chat, groups)
-                        groups = []
-                    groups.append((conv, []))
-                groups[-1][1].append((role, text))
+        size = 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not groups or groups[-1][0] != conv:
+                        if len(groups) >= MOST or size >= GATHERED:
+                            yield finished(chat, groups)
+                            groups, size = [], 0
+                        groups.append((conv, []))
+                    groups[-1][1].append((role, text))
+                    size += len(role) + len(text)
         if groups:
             yield finished(chat, groups)
 
