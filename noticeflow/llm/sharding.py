@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import unsigned_crc
 
-#: Stretches into which the hash and the fractional rank are divided.
-STRETCHES = 1024
+#: Rows that a stretch of the hash, or of the fractional rank, holds about; stretches at least.
+STRETCH_ROWS, LEAST_STRETCHES = 1 << 16, 1024
 
 
 def _global_rank(df: DataFrame, keys: list[str], stretch: str, order: list[Column], rank: str, total: str) -> DataFrame:
@@ -41,6 +41,8 @@ def _global_rank(df: DataFrame, keys: list[str], stretch: str, order: list[Colum
 
 def interleave(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Returns id_col, source, size (bytes and one), text_crc32, law, shard, slot, grown_shard (null: law `rows`)."""
+    # a power of two that grows with the table
+    stretches = max(LEAST_STRETCHES, 1 << (df.count() // STRETCH_ROWS).bit_length())
     rows = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -49,10 +51,10 @@ def interleave(df: DataFrame, shards: int = 16, seed: int = 17, id_col: str = "d
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
     )
     # the top bits of the hash, shifted to be unsigned
-    rows = rows.withColumn("stretch", F.shiftright("h", 64 - STRETCHES.bit_length() + 1))
+    rows = rows.withColumn("stretch", F.shiftright("h", 64 - stretches.bit_length() + 1))
     rows = _global_rank(rows, ["source"], "stretch", [F.col("h"), F.col("id"), F.col("text_crc32"), F.col("size")], "rank", "of_source")
     rows = rows.withColumn("f", (F.col("rank") - 0.5) / F.col("of_source"))
-    rows = rows.withColumn("part", F.floor(F.col("f") * STRETCHES).cast("int")).withColumn("one", F.lit(0))
+    rows = rows.withColumn("part", F.floor(F.col("f") * stretches).cast("int")).withColumn("one", F.lit(0))
     rows = _global_rank(rows.drop("stretch"), ["one"], "part", [F.col("f"), F.col("source"), F.col("rank")], "place", "total")
     # places p * shards div total: each shard gets total div shards rows or one more
     shard = F.expr(f"(place - 1) * {shards} div total")
