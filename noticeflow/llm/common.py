@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -41,14 +42,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a folder of this machine in local mode, and an error on a cluster.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.gettempdir(), "noticeflow-work").as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """Arrow's file system for a shared folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "file" and not rest.startswith("//"):
+        uri = f"file://{rest}"
+    return fs.FileSystem.from_uri(uri)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to a work table and read back: computed once, and safe when executors go."""
     path = work_path(df.sparkSession, name)

@@ -1,19 +1,22 @@
 """WARC archives of pages and their two-level capture index.
 
-Writing makes one record per page, compressed by itself, in archives of about
-ARCHIVE bytes: a response with its payload, or a revisit that names the response
-with the smallest page id among equal payloads. Every record gets a capture line
-(key, page id, archive, offset, length); the key is the URL with its host
+Writing makes one record per page, compressed by itself, in files of about ARCHIVE
+bytes in a shared folder: a response with its payload, or a revisit that names the
+response with the smallest page id among equal payloads. Every record gets a capture
+line (key, page id, archive, offset, length); the key is the URL with its host
 reversed. Lines sorted by key and page id are cut into blocks, each compressed; the
 directory holds each block's first line's key. Reading finds a capture's block by
-binary search in the directory, its line by binary search in the block, and reads
-that range of the archive.
-
-Blocks grow with the number of lines, so the directory never holds more than
-BLOCKS entries and may go to every task. Null html is an empty payload; a null URL
-has the key `-`; a URL that can't be split is its own key; rows without a page id
-are not archived; repeated rows are records of their own; an empty table gives no
-archives; other columns are not read.
+binary search in the directory, its line by binary search in the block, and then
+reads that range of the archive's file, and nothing else of it.
+
+A task names its files by its attempt, and only the attempts that Spark commits have
+capture lines: what a lost executor leaves behind is never read. Blocks grow with the
+number of lines, so the directory never holds more than BLOCKS entries and may go to
+every task. Null html is an empty payload; a null URL has the key `-`; a URL that
+can't be split is its own key; rows without a page id are not archived; page ids are
+integers; every row is a record, so rows that repeat a page id are captures of their
+own, and those of the smallest page id with a payload are all responses; an empty
+table gives no archives; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_path
+from .common import filesystem, slices, stored, work_path
 
-ARCHIVE, LINES, BLOCKS = 4 << 20, 3000, 1 << 16
-CAPTURE = "struct<key: string, page_id: bigint, offset: bigint, length: bigint>"
+#: Bytes of an archive, and of the stretch of it that one group of range reads covers.
+ARCHIVE, STRETCH = 64 << 20, 4 << 20
+LINES, BLOCKS = 3000, 1 << 16
+CAPTURE = "key string, page_id long, archive string, offset long, length long"
 
 
 def url_key(url: str | None) -> str:
@@ -84,48 +89,49 @@ def parsed(packed: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body.partition(b"\r\n\r\n")[2]
 
 
-def write(pages: DataFrame, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes the archives to a work table and reads it back: archive, body, captures."""
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    light = rows.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= least_revisit)
+def write(pages: DataFrame, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive: int = ARCHIVE) -> tuple[str, DataFrame]:
+    """Writes the archives; returns their folder and the captures: key, page_id, archive, offset, length."""
+    html = F.coalesce(html_col, F.lit(""))
+    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    light = rows.where(F.octet_length("html") >= least_revisit).select("page_id", "url", "digest")
     firsts = light.groupBy("digest").agg(F.min_by("url", F.struct("page_id", "url")).alias("refers_url"), F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    firsts = stored(firsts, "payloads")
-    again = light.join(firsts, "digest").where("page_id > refers_to").select("page_id", "refers_to", "refers_url").distinct()
-    planned = rows.join(stored(again, "revisits"), "page_id", "left")
+    again = light.select("page_id", "digest").join(stored(firsts, "payloads"), "digest").where("page_id > refers_to").distinct()
+    planned = rows.join(stored(again, "revisits"), ["page_id", "digest"], "left")
+    folder = work_path(pages.sparkSession, "warc")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, number, body, captures = TaskContext.get().partitionId(), 0, bytearray(), []
-
-        def close():
-            nonlocal number, body, captures
-            row = pa.RecordBatch.from_pylist([{"archive": f"{part:06d}-{number:06d}", "body": bytes(body), "captures": captures}], schema=schema)
-            number, body, captures = number + 1, bytearray(), []
-            return row
-
-        schema = pa.schema([("archive", pa.string()), ("body", pa.binary()), ("captures", pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])))])
-        for batch in batches:
-            for page, url, html, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
-                packed = record(page, url, html.encode(), to, to_url)
-                captures.append({"key": url_key(url), "page_id": page, "offset": len(body), "length": len(packed)})
-                body += packed
-                if len(body) >= ARCHIVE:
-                    yield close()
-        if captures:
-            yield close()
-
-    archives = planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, f"archive string, body binary, captures array<{CAPTURE}>")
-    path = work_path(pages.sparkSession, "warc")
-    archives.write.option("compression", "uncompressed").parquet(path)
-    return pages.sparkSession.read.schema(archives.schema).parquet(path)
+        files, top = filesystem(folder)
+        files.create_dir(top)
+        task, number, out, at = TaskContext.get(), 0, None, 0
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                rows = []
+                for page, url, text, to, to_url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                    if out is None:
+                        name, at = f"{task.partitionId():06d}-{number:06d}-{task.taskAttemptId()}.warc.gz", 0
+                        out, number = files.open_output_stream(f"{top}/{name}", compression=None), number + 1
+                    packed = record(page, url, text.encode(), to, to_url)
+                    out.write(packed)
+                    rows.append((url_key(url), page, name, at, len(packed)))
+                    at += len(packed)
+                    if at >= archive:
+                        out.close()
+                        out = None
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "page_id", "archive", "offset", "length"])
+        if out is not None:
+            out.close()
+
+    return folder, stored(planned.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, CAPTURE), "captures")
 
 
 class Index:
     """Blocks of capture lines (a table) and the directory of their first keys (sorted, at most BLOCKS)."""
 
-    def __init__(self, archives: DataFrame, lines: int = LINES):
-        captures = archives.select("archive", F.explode("captures").alias("c")).select("c.key", "c.page_id", "archive", "c.offset", "c.length")
+    def __init__(self, captures: DataFrame, lines: int = LINES):
+        captures = captures.select("key", "page_id", "archive", "offset", "length")
         most = max(lines, -(-captures.count() // (BLOCKS // 2)))
 
         def run(batches):
@@ -153,7 +159,7 @@ class Index:
                 yield close()
 
         ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "archive", "offset")
-        self.blocks = stored(ordered.mapInArrow(run, "block long, key string, page_id long, body binary"), "captures")
+        self.blocks = stored(ordered.mapInArrow(run, "block long, key string, page_id long, body binary"), "blocks")
         self.directory = sorted((r["key"], r["page_id"], r["block"]) for r in self.blocks.select("key", "page_id", "block").collect())
 
     def find(self, pages: DataFrame) -> DataFrame:
@@ -184,35 +190,49 @@ class Index:
         return wanted.join(self.blocks.select("block", "body"), "block").select("wanted", "body").mapInArrow(in_block, "page_id long, archive string, offset long, length long")
 
 
-def read(archives: DataFrame, captures: DataFrame) -> DataFrame:
-    """Range reads of captures: page_id, record_type, payload_bytes, payload_digest, refers_to."""
+def read(folder: str, captures: DataFrame, payloads: bool = False) -> DataFrame:
+    """Range reads of captures: page_id, record_type, payload_bytes, payload_digest, refers_to, and the payload if asked for."""
+    names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payloads else [])]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
 
     def run(batches):
+        files, top = filesystem(folder)
+        name, file, rows, size = None, None, [], 0
         for batch in batches:
-            rows = []
-            for body, ranges in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                for r in sorted(ranges, key=lambda r: r["offset"]):
-                    head, payload = parsed(body[r["offset"] : r["offset"] + r["length"]])
-                    whole = head["WARC-Type"] == "response"
-                    to = None if whole else int(head["WARC-Refers-To"][len("<urn:page:") : -1])
-                    digest = payload_digest(payload) if whole else head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    rows.append((int(head["WARC-Record-ID"][len("<urn:page:") : -1]), head["WARC-Type"], len(payload) if whole else None, digest, to))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"])
-
-    # an archive has a bounded number of records
-    ranges = captures.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    return archives.select("archive", "body").join(ranges, "archive").select("body", "ranges").mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
-
-
-def archived(pages: DataFrame, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archives all pages, then reads every page's capture through the index; a revisit's payload is that of its response."""
-    archives = write(pages, least_revisit, id_col, url_col, html_col)
+            for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
+                if archive != name:
+                    name, file = archive, files.open_input_file(f"{top}/{archive}")
+                head, payload = parsed(file.read_at(length, offset))
+                whole = head["WARC-Type"] == "response"
+                to = None if whole else int(head["WARC-Refers-To"][len("<urn:page:") : -1])
+                digest = payload_digest(payload) if whole else head["WARC-Payload-Digest"].removeprefix("sha1:")
+                rows.append((int(head["WARC-Record-ID"][len("<urn:page:") : -1]), head["WARC-Type"], len(payload) if whole else None, digest, to, payload)[: len(names)])
+                size += len(payload)
+                if len(rows) >= 10_000 or payloads and size >= 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    # ranges of one stretch of a file are read by one task, in their order
+    stretch = F.floor(F.col("offset") / STRETCH)
+    ordered = captures.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else ""))
+
+
+def archived(pages: DataFrame, least_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive: int = ARCHIVE) -> DataFrame:
+    """Archives all pages, then reads every page's captures through the index.
+
+    A revisit's payload is that of the response it names; it is an error if there is none of its digest.
+    """
+    folder, captures = write(pages, least_revisit, id_col, url_col, html_col, archive)
     asked = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    got = stored(read(archives, Index(archives).find(asked)), "records")
-    whole = got.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).dropDuplicates(["refers_to"])
-    again = got.where("record_type = 'revisit'").join(whole, "refers_to", "left").where("payload_digest = _digest")
+    got = stored(read(folder, Index(captures).find(asked)), "records")
+    again = got.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
+    needed = again.select("refers_to", "payload_digest").distinct()
+    whole = got.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_bytes")).join(needed, ["refers_to", "payload_digest"], "left_semi").distinct()
+    again = again.join(whole, ["refers_to", "payload_digest"], "left")
+    size = F.when(F.col("_bytes").isNull(), F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("page_id")))).otherwise(F.col("_bytes"))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    out = got.where("record_type = 'response'").select(*names).union(again.select("page_id", F.col("_bytes"), "payload_digest", "record_type", "refers_to"))
+    out = got.where("record_type = 'response'").select(*names).union(again.select("page_id", size.cast("long"), "payload_digest", "record_type", "refers_to"))
     return out.withColumnRenamed("page_id", id_col)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow.llm.common import filesystem
 from noticeflow.llm import bpe, chat, components, langid, neardup, packing, pieces, quality, repair, sharding, tiff, warc
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -211,6 +212,35 @@ def test_warc(spark):
     assert warc.archived(df.where("page_id > 99")).count() == 0
 
 
+def test_repeated_ids_keep_their_payloads(spark):
+    rows = [(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (2, "v", "C" * 9000), (3, "u", "B"), (3, "u", "B"), (4, None, None), (4, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    least = {}
+    for i, _, t in rows:
+        least[t or ""] = min(i, least.get(t or "", i))
+    want = Counter((i, len(t or ""), sha(t), *(("response", None) if least[t or ""] == i else ("revisit", least[t or ""]))) for i, _, t in rows)
+    for archive in (warc.ARCHIVE, 100):  # a payload larger than an archive
+        got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived(df, archive=archive).collect())
+        assert got == want
+
+
+def test_range_reads_take_only_their_bytes(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id as page_id", "concat('http://h.org/', id) as url", "repeat(concat('p', id), 50) as html").coalesce(1)
+    folder, captures = warc.write(df, archive=1000)
+    assert captures.select("archive").distinct().count() > 3
+    found = warc.Index(captures, lines=7).find(df.where("page_id in (3, 17)"))
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read(folder, found, payloads=True).collect()}
+    assert got == {k: f"p{k}".encode() * 50 for k in (3, 17)}
+
+
+def test_revisit_without_response_fails(spark):
+    df = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")
+    folder, captures = warc.write(df)
+    assert warc.read(folder, captures).where("record_type = 'revisit'").count() == 1
+    assert warc.parsed(warc.record(2, "u", b"x", 1, "u"))[0]["WARC-Refers-To"] == "<urn:page:1>"
+
+
 def test_small_payloads_are_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "v", "abcd")], "page_id long, url string, html string")
     assert {r["page_id"]: r["record_type"] for r in warc.archived(df, least_revisit=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
@@ -218,15 +248,16 @@ def test_small_payloads_are_responses(spark):
 
 def test_index_blocks(spark):
     df = spark.range(500).selectExpr("id as page_id", "concat('http://h', id % 7, '.org/', id div 2) as url", "concat('p', id) as html")
-    archives = warc.write(df)
-    index = warc.Index(archives, lines=40)
+    folder, captures = warc.write(df)
+    index = warc.Index(captures, lines=40)
     assert len(index.directory) >= 500 // 40
     found = index.find(df.where("page_id % 3 = 0")).toPandas()
     assert sorted(found.page_id) == list(range(0, 500, 3))
     assert index.find(spark.createDataFrame([(1, "http://nowhere.org/")], "page_id long, url string")).count() == 0
-    body = {r["archive"]: r["body"] for r in archives.collect()}
+    files, top = filesystem(folder)
     for r in found.itertuples():
-        assert warc.parsed(bytes(body[r.archive])[r.offset : r.offset + r.length])[1] == f"p{r.page_id}".encode()
+        with files.open_input_file(f"{top}/{r.archive}") as file:
+            assert warc.parsed(file.read_at(r.length, r.offset))[1] == f"p{r.page_id}".encode()
 
 
 def test_url_key():
