@@ -2,14 +2,19 @@
 
 Reading walks the chain of image directories, decodes strips or tiles (none,
 PackBits, LZW, deflate), undoes horizontal differencing and yields each page's
-samples. A null file has no pages; a file that can't be read gives one row with
-null samples and the error's text; directories that repeat end the chain. Other
-columns are not read; an empty table gives no rows.
+samples. A null file has no pages; a file that can't be read gives the pages before
+the fault and one row with null samples and the error's text; directories that
+repeat end the chain. Other columns are not read; an empty table gives no rows.
+
+Texts are stored in one of FORMS (compression, predictor, strips or tiles), which a
+checksum of the text picks, so that equal texts are equal files and a table holds
+all forms.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,11 +28,15 @@ from .common import slices, work_path
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: TIFF's codes of tags and the sizes of their types.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 KINDS = {1: "B", 3: "H", 4: "I"}
 
 #: Samples in a row, rows in a strip and in a page of a stored payload.
 LINE, STRIP_ROWS, PAGE_ROWS = 64, 1024, 16384
+#: How a text may be stored: compression, predictor, and the side of a tile (0: strips).
+FORMS = [(DEFLATE, 1, 0), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, 32), (PACKBITS, 1, 32), (NONE, 1, 32)]
+#: Samples of one page at most; a directory that claims more is taken as broken.
+MOST_SAMPLES = 1 << 30
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -47,9 +56,10 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 def unlzw(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, highest bit first; the width grows one code early."""
-    out, words, width = bytearray(), [], 9
-    last = None
+    out, words, width = [], [], 9
+    last, done = None, 0
     buffer = bits = 0
+    fresh = [bytes([k]) for k in range(256)] + [b"", b""]
     for byte in data:
         buffer, bits = ((buffer << 8) | byte) & 0xFFFFFF, bits + 8
         if bits < width:
@@ -59,10 +69,12 @@ def unlzw(data: bytes, size: int) -> bytes:
         if code == 257:
             break
         if code == 256:
-            words, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
+            words, width, last = fresh[:], 9, None
             continue
         if not words:
             raise ValueError("LZW data without a first clear code")
+        if code > len(words) or (last is None and code > 255):
+            raise ValueError(f"LZW code {code} is not known yet")
         if last is None:
             word = words[code]
         else:
@@ -70,11 +82,80 @@ def unlzw(data: bytes, size: int) -> bytes:
             words.append(last + word[:1])
             if len(words) + 1 >= 1 << width and width < 12:
                 width += 1
-        out += word
+        out.append(word)
+        done += len(word)
         last = word
-        if len(out) >= size:
+        if done >= size:
             break
-    return bytes(out)
+    return b"".join(out)
+
+
+def to_lzw(data: bytes) -> bytes:
+    """The inverse of unlzw; the table starts anew before its codes outgrow 12 bits."""
+    out = bytearray()
+    buffer, bits, width, after = 256, 9, 9, 258
+    table: dict[tuple[int, int], int] = {}
+    code = -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = table.get((code, byte))
+        if longer is not None:
+            code = longer
+            continue
+        buffer, bits = (buffer << width) | code, bits + width
+        if bits >= 1024:
+            bits, whole = bits % 8, bits // 8
+            out += (buffer >> bits).to_bytes(whole, "big")
+            buffer &= (1 << bits) - 1
+        table[code, byte] = after
+        after += 1
+        code = byte
+        if after + 1 > 1 << width:  # the reader is one entry behind
+            if width < 12:
+                width += 1
+        if after >= 4094:
+            buffer, bits = (buffer << width) | 256, bits + width
+            table, width, after = {}, 9, 258
+    if code >= 0:
+        buffer, bits = (buffer << width) | code, bits + width
+        if after + 2 > 1 << width and width < 12:
+            width += 1
+    buffer, bits = (buffer << width) | 257, bits + width
+    return bytes(out) + (buffer << (-bits % 8)).to_bytes((bits + 7) // 8, "big")
+
+
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
+def to_pack_bits(data: bytes) -> bytes:
+    """Runs of three or more equal bytes as two bytes, the rest as literals."""
+    out, at = [], 0
+
+    def literal(a, b):
+        for k in range(a, b, 128):
+            out.append(bytes([min(128, b - k) - 1]))
+            out.append(data[k : min(k + 128, b)])
+
+    for run in _RUN.finditer(data):
+        literal(at, run.start())
+        out.append(bytes([257 - (run.end() - run.start()), data[run.start()]]))
+        at = run.end()
+    literal(at, len(data))
+    return b"".join(out)
+
+
+def packed(data: bytes, compression: int, level: int = 1) -> bytes:
+    if compression == NONE:
+        return data
+    if compression == DEFLATE:
+        return zlib.compress(data, level)
+    if compression == PACKBITS:
+        return to_pack_bits(data)
+    if compression == LZW:
+        return to_lzw(data)
+    raise ValueError(f"compression {compression} is not known")
 
 
 def unpacked(data: bytes, compression: int, size: int) -> bytes:
@@ -89,56 +170,90 @@ def unpacked(data: bytes, compression: int, size: int) -> bytes:
     raise ValueError(f"compression {compression} is not known")
 
 
+def _directory(file: bytes, e: str, at: int) -> tuple[dict[int, tuple], int]:
+    """The tags of the directory at a place, and the place of the next."""
+    (n,) = struct.unpack_from(e + "H", file, at)
+    tags = {}
+    for k in range(n):
+        where = at + 2 + 12 * k
+        tag, kind, count = struct.unpack_from(e + "HHI", file, where)
+        if kind in KINDS:
+            size = struct.calcsize(KINDS[kind]) * count
+            place = where + 8 if size <= 4 else struct.unpack_from(e + "I", file, where + 8)[0]
+            if place + size > len(file):
+                raise ValueError(f"values of tag {tag} lie outside the file")
+            tags[tag] = struct.unpack_from(f"{e}{count}{KINDS[kind]}", file, place)
+    return tags, struct.unpack_from(e + "I", file, at + 2 + 12 * n)[0]
+
+
+def _page(file: bytes, tags: dict[int, tuple]) -> tuple[int, int, int, bytes]:
+    def one(tag, default=0):
+        return (tags.get(tag) or (default,))[0]
+
+    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    if not width or not height or not samples or width * height * samples > MOST_SAMPLES:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples")
+    if set(tags.get(BITS, (1,))) != {8}:
+        raise ValueError("samples are not of 8 bits")
+    if one(PLANAR, 1) != 1 and samples > 1:
+        raise ValueError("samples in planes are not known")
+    if one(PREDICTOR, 1) not in (1, 2):
+        raise ValueError(f"predictor {one(PREDICTOR)} is not known")
+    tiled = TILES in tags
+    wide, high = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS, height), height))
+    if not wide or not high or wide * high * samples > MOST_SAMPLES:
+        raise ValueError(f"strips or tiles of {wide} x {high}")
+    offsets, sizes = (tags.get(t, ()) for t in ((TILES, TILE_BYTES) if tiled else (STRIPS, STRIP_BYTES)))
+    across = -(-width // wide)
+    if len(offsets) != len(sizes) or len(offsets) != across * -(-height // high):
+        raise ValueError(f"{len(offsets)} strips or tiles with {len(sizes)} sizes don't make the page")
+    image = np.zeros((height, width, samples), np.uint8)
+    for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
+        y, x = k // across * high, k % across * wide
+        rows = high if tiled else min(high, height - y)
+        body = unpacked(file[offset : offset + size], one(COMPRESSION, NONE), rows * wide * samples)
+        if len(body) < rows * wide * samples:
+            raise ValueError(f"strip or tile {k} is too short")
+        block = np.frombuffer(body, np.uint8)[: rows * wide * samples].reshape(rows, wide, samples)
+        if one(PREDICTOR, 1) == 2:
+            block = np.cumsum(block, axis=1, dtype=np.uint8)
+        image[y : y + rows, x : x + wide] = block[: height - y, : width - x]
+    return width, height, samples, image.tobytes()
+
+
 def pages(file: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """Width, height, samples per pixel and samples of each page."""
-    if file[:4] not in (b"II*\0", b"MM\0*"):
+    """Width, height, samples per pixel and samples of each page; ValueError where the file is broken."""
+    if file[:4] not in (b"II*\0", b"MM\0*") or len(file) < 8:
         raise ValueError("not a TIFF file")
     e = "<" if file[:2] == b"II" else ">"
     at, seen = struct.unpack_from(e + "I", file, 4)[0], set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(e + "H", file, at)
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(e + "HHI", file, at + 2 + 12 * k)
-            if kind in KINDS:
-                form = f"{e}{count}{KINDS[kind]}"
-                where = at + 10 + 12 * k
-                tags[tag] = struct.unpack_from(form, file, where if struct.calcsize(form) <= 4 else struct.unpack_from(e + "I", file, where)[0])
-        one = lambda tag, default=None: tags.get(tag, (default,))[0]  # noqa: E731, B023
-        width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        if set(tags.get(BITS, (1,))) != {8}:
-            raise ValueError("samples are not of 8 bits")
-        wide = one(TILE_WIDTH, width)
-        high = one(TILE_HEIGHT) or min(one(ROWS, height), height)
-        offsets, sizes = tags[TILES if TILES in tags else STRIPS], tags[TILE_BYTES if TILES in tags else STRIP_BYTES]
-        across = -(-width // wide)
-        image = np.zeros((height, width, samples), np.uint8)
-        for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
-            y, x = k // across * high, k % across * wide
-            rows = high if TILES in tags else min(high, height - y)
-            body = unpacked(file[offset : offset + size], one(COMPRESSION, NONE), rows * wide * samples)
-            block = np.frombuffer(body, np.uint8)[: rows * wide * samples].reshape(rows, wide, samples)
-            if one(PREDICTOR, 1) == 2:
-                block = np.cumsum(block, axis=1, dtype=np.uint8)
-            elif one(PREDICTOR, 1) != 1:
-                raise ValueError(f"predictor {one(PREDICTOR)} is not known")
-            image[y : y + rows, x : x + wide] = block[: height - y, : width - x]
-        yield width, height, samples, image.tobytes()
-        (at,) = struct.unpack_from(e + "I", file, at + 2 + 12 * n)
-
-
-def written(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, level: int = 1) -> bytes:
-    """A file of grey pages, in strips; not compressed or by deflate."""
+        try:
+            tags, at = _directory(file, e, at)
+            page = _page(file, tags)
+        except (struct.error, zlib.error) as error:
+            raise ValueError(str(error)) from error
+        yield page
+
+
+def _differences(image: np.ndarray) -> np.ndarray:
+    return np.diff(image, axis=1, prepend=np.zeros((len(image), 1), np.uint8)).astype(np.uint8)
+
+
+def written(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: int = 0, level: int = 1) -> bytes:
+    """A file of grey pages, in strips or in square tiles."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for image in images:
         height, width = image.shape
-        if predictor == 2:
-            image = np.diff(image, axis=1, prepend=np.zeros((height, 1), np.uint8)).astype(np.uint8)
+        if tile:
+            full = np.pad(image, ((0, -height % tile), (0, -width % tile)))
+            blocks = [full[y : y + tile, x : x + tile] for y in range(0, height, tile) for x in range(0, width, tile)]
+        else:
+            blocks = [image[y : y + strip_rows] for y in range(0, height, strip_rows)]
         offsets, sizes = [], []
-        for y in range(0, height, strip_rows):
-            body = image[y : y + strip_rows].tobytes()
-            body = zlib.compress(body, level) if compression == DEFLATE else body
+        for block in blocks:
+            body = packed((_differences(block) if predictor == 2 else block).tobytes(), compression, level)
             offsets.append(len(out))
             sizes.append(len(body))
             out += body
@@ -149,7 +264,9 @@ def written(images: list[np.ndarray], compression: int = DEFLATE, predictor: int
                 out += struct.pack(f"<{len(values)}I", *values)
         out += b"\0" * (len(out) % 2)
         struct.pack_into("<I", out, link, len(out))
-        tags = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (STRIPS, 4, len(offsets), tables[0]), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, strip_rows), (STRIP_BYTES, 4, len(sizes), tables[1]), (PREDICTOR, 3, 1, predictor)]
+        n = len(offsets)
+        shape = [(TILE_WIDTH, 4, 1, tile), (TILE_HEIGHT, 4, 1, tile), (TILES, 4, n, tables[0]), (TILE_BYTES, 4, n, tables[1])] if tile else [(STRIPS, 4, n, tables[0]), (ROWS, 4, 1, strip_rows), (STRIP_BYTES, 4, n, tables[1])]
+        tags = sorted([(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1), (PREDICTOR, 3, 1, predictor), *shape])
         out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
         link = len(out)
         out += b"\0\0\0\0"
@@ -162,7 +279,8 @@ def text_media(text: bytes) -> bytes:
     image = np.zeros(size, np.uint8)
     image[: len(text)] = np.frombuffer(text, np.uint8)
     image = image.reshape(-1, LINE)
-    return written([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)])
+    compression, predictor, tile = FORMS[zlib.crc32(text) % len(FORMS)]
+    return written([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,13 +312,14 @@ def read_pages(files: DataFrame, carry: list[str], media_col: str = "media") ->
                     file += 1
                     if body is None:
                         continue
-                    page = 0
+                    done = 0
                     try:
-                        for page, (w, h, s, pixels) in enumerate(pages(body)):
-                            cells.append((file, page, w, h, s, pixels, None))
+                        for w, h, s, pixels in pages(body):
+                            cells.append((file, done, w, h, s, pixels, None))
                             rows.append(i)
-                    except (ValueError, KeyError, struct.error, zlib.error) as error:
-                        cells.append((file, page, None, None, None, None, str(error)))
+                            done += 1
+                    except ValueError as error:
+                        cells.append((file, done, None, None, None, None, str(error)))
                         rows.append(i)
                 at = pa.array(rows, pa.int64())
                 columns = list(zip(*cells, strict=True)) or [[]] * 7

@@ -311,6 +311,49 @@ def lzw(data):
     return (out << (-bits % 8)).to_bytes((bits + 7) // 8, "big")
 
 
+@pytest.mark.parametrize("size", [1, 2, 300, 5000, 70_000])
+@pytest.mark.parametrize("letters", [2, 7, 256])
+def test_encoders_return(size, letters):
+    data = bytes(np.random.default_rng(size).integers(0, letters, size).astype(np.uint8))
+    for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        assert tiff.unpacked(tiff.packed(data, compression), compression, size) == data
+    if size < 10_000:
+        assert tiff.to_lzw(data) == lzw(data)
+
+
+def test_every_form_holds_a_text():
+    texts = [("line %d of a text that is stored, " % k * (1 + k * k // 3)).encode() for k in range(60)] + [b"", b"\0" * 300, bytes(range(256)) * 20]
+    used = {zlib.crc32(t) % len(tiff.FORMS) for t in texts}
+    assert used == set(range(len(tiff.FORMS)))
+    for t in texts:
+        assert b"".join(p for *_, p in tiff.pages(tiff.text_media(t))) == t + bytes(-len(t) % 64 if t else 64)
+
+
+def broken_files():
+    """Files with one fault each: no width, width 0, rows per strip 0, an LZW code out of range, planes, cut off."""
+    body = tiff.written([np.zeros((40, 64), np.uint8)], compression=tiff.LZW, strip_rows=10)
+
+    def with_tag(tag, new, value):
+        at = struct.unpack_from("<I", body, 4)[0]
+        out = bytearray(body)
+        for k in range(struct.unpack_from("<H", body, at)[0]):
+            where = at + 2 + 12 * k
+            if struct.unpack_from("<H", body, where)[0] == tag:
+                struct.pack_into("<H", out, where, new)
+                struct.pack_into("<I", out, where + 8, value)
+        return bytes(out)
+
+    bad_code = bytearray(body)
+    bad_code[8:11] = (256 << 15 | 400 << 6).to_bytes(3, "big")
+    return [with_tag(256, 999, 64), with_tag(256, 256, 0), with_tag(278, 278, 0), bytes(bad_code), with_tag(279, 999, 0), with_tag(257, 257, 1 << 31), with_tag(317, 317, 3), with_tag(259, 259, 77), with_tag(273, 273, 1 << 30), body[:-30], body[:9], b"II*\0" + struct.pack("<I", 1 << 31)]
+
+
+def test_broken_files_give_an_error_row(spark):
+    files = broken_files()
+    rows = tiff.read_pages(spark.createDataFrame(list(enumerate(files)), "id long, media binary"), ["id"]).select("id", "error").collect()
+    assert sorted(r["id"] for r in rows if r["error"]) == list(range(len(files)))
+
+
 @pytest.mark.parametrize("size", [1, 300, 5000])
 def test_decoders(size):
     data = bytes(np.random.default_rng(size).integers(65, 70, size).astype(np.uint8))
