@@ -34,7 +34,7 @@ KINDS = {1: "B", 3: "H", 4: "I"}
 #: Samples in a row, rows in a strip and in a page of a stored payload.
 LINE, STRIP_ROWS, PAGE_ROWS = 64, 1024, 16384
 #: How a text may be stored: compression, predictor, and the side of a tile (0: strips).
-FORMS = [(DEFLATE, 1, 0), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, 32), (PACKBITS, 1, 32), (NONE, 1, 32)]
+FORMS = [(DEFLATE, 1, 0), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, 32), (DEFLATE, 1, 32)]
 #: Samples of one page at most; a directory that claims more is taken as broken.
 MOST_SAMPLES = 1 << 30
 
