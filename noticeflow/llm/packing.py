@@ -2,13 +2,20 @@
 
 The lengths are reduced to a histogram, which no input makes larger than
 capacity x salts. The configuration linear program over it (least number of
-sequences, each filled by a combination of lengths, every length used up) is
-solved by multiplicative weights: a length that lags behind gains weight, and a
-knapsack dynamic program prices, for each length, the most valuable sequence
-that holds it. Full sequences of the fractional solution are rounded down, rare
-ones to none, by the rounding of several that needs the fewest sequences; what is
-left goes by best fit over the histogram. Rows then find their sequence by their rank among
-the rows of their length, which spreads over salted windows.
+sequences, each filled by a combination of lengths, every length used up) gets its
+columns by multiplicative weights: a length that the proposed configurations use too
+much loses weight, one that they neglect gains, and a knapsack dynamic program prices,
+for each length, the most valuable sequence that holds it. The weights' dual value
+bounds the number of sequences from below. The amounts of the proposed configurations
+are then scaled, again multiplicatively, until they exhaust the lengths and overuse
+none. Rounding keeps the amounts' sum (a configuration's copies are the whole numbers
+that its stretch of the running sum passes); what it leaves is a program of its own,
+and so on until a program places nothing more. Best fit takes that rest. Where the
+result stays above the bound, it is tried again with other first weights and with
+faster ones; should best fit alone need fewer sequences, its result stands.
+
+Rows then find their sequence by their rank among the rows of their length, which
+spreads over salted windows.
 
 Null and empty texts are documents of one closing id; tables without rows give
 no rows; repeated documents are packed as often as they occur; columns other
@@ -30,79 +37,141 @@ from .pieces import WordPieces, encoder
 CAPACITY = 2048
 #: Windows over which the rows of one length are ranked.
 SALTS = 32
-#: Steps of the weights, pricings at most, the weights' rate, and the share of each length that rounding leaves to best fit.
-PHASES, ROUNDS, RATE, REST = 6, 48, 1.0, 0.3
-#: Roundings that are tried: a configuration counts from so many whole copies on.
-LEAST_COPIES = (1, 2, 4, 8, 16, 64)
-
-
-def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value of each capacity, and the size it takes first (0: leave one unit free)."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    sizes = np.flatnonzero(value > 0)
-    sizes = sizes[(sizes > 0) & (sizes <= capacity)]
-    v = value[sizes]
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(sizes, c, side="right"))
-        best[c] = best[c - 1]
-        if k:
-            gain = v[:k] + best[c - sizes[:k]]
-            j = k - 1 - int(gain[::-1].argmax())  # of equal values the longest, which fits least elsewhere
-            if gain[j] > best[c]:
-                best[c], pick[c] = gain[j], sizes[j]
-    return best, pick
-
-
-def _pattern(first: int, pick: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
-    counts, room = {first: 1}, capacity - first
-    while room > 0:
-        if size := int(pick[room]):
-            counts[size] = counts.get(size, 0) + 1
-            room -= size
-        else:
-            room -= 1
-    return tuple(sorted(counts.items(), reverse=True))
-
-
-def fractional(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[dict, float]:
-    """Configurations with the amounts used of each, and a lower bound on the number of sequences from the dual prices."""
-    need = demand.astype(float)
-    sizes = np.flatnonzero(need > 0)
-    used, bound = {}, 0.0
-    if len(sizes) == 0:
-        return used, bound
-    left = need.copy()
+#: Rates of the weights, and whether they begin with the heaviest weights or with the lengths, tried in this order; pricings of one program; steps of the amounts; programs at most.
+TRIES, PRICINGS, STEPS, PROGRAMS = ((2e-3, False), (2e-3, True), (0.5, True)), 10, 60, 30
+#: What a configuration's value may lack to the best, in programs that place ever less.
+SLACKS = (0.0, 1e-3, 0.03, 1.0)
+#: A result within this share of the bound, or one sequence, is good.
+GAP = 2e-4
+
+Configuration = tuple[tuple[int, int], ...]
+
+
+def price(value: np.ndarray, limit: np.ndarray, capacity: int) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Bounded knapsack: the best value of each room from 0 to capacity, and the (size, count) entries that fill it.
+
+    Sizes come in powers of two, the largest size first, so that of equal fills the one of few large items stands.
+    """
+    items = []
+    for size in np.flatnonzero((value > 0) & (limit > 0))[::-1].tolist():
+        left, k = min(int(limit[size]), capacity // size), 1
+        while left > 0:
+            items.append((size, min(k, left)))
+            left, k = left - k, 2 * k
+    best, taken = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    least = 1e-9 * float(value.max(initial=0.0))
+    for j, (size, n) in enumerate(items):
+        gain = best[: capacity + 1 - size * n] + value[size] * n
+        taken[j, size * n :] = better = gain > best[size * n :] + least
+        np.copyto(best[size * n :], gain, where=better)
+    room, fills = np.arange(capacity + 1), [[] for _ in range(capacity + 1)]
+    for j in range(len(items) - 1, -1, -1):  # all rooms are traced back at once
+        at = np.flatnonzero(taken[j, room])
+        room[at] -= items[j][0] * items[j][1]
+        for r in at.tolist():
+            fills[r].append(items[j])
+    return best, fills
+
+
+def _configuration(first: int, fill: list[tuple[int, int]]) -> dict[int, int]:
+    counts = {first: 1}
+    for size, n in fill:
+        counts[size] = counts.get(size, 0) + n
+    return counts
+
+
+def heaviest_weights(demand: np.ndarray, capacity: int) -> np.ndarray:
+    """Of a family of weights under which no sequence weighs more than `capacity`, those under which all lengths weigh most.
+
+    Lengths below k weigh next to nothing, those above capacity - k a whole sequence, the others their tokens.
+    """
+    size = np.arange(capacity + 1)
+    below, tokens = np.cumsum(demand * size), np.cumsum(demand)
+    k = np.arange(capacity // 2 + 1)
+    total = below[capacity - k] - np.where(k > 0, below[np.maximum(k - 1, 0)], 0) + (tokens[capacity] - tokens[capacity - k]) * capacity
+    k = int(total.argmax())
+    return np.where(size < k, 1e-6 * size, np.where(size > capacity - k, capacity, size))
+
+
+def columns(demand: np.ndarray, capacity: int, rate: float, slack: float, heaviest: bool = False) -> tuple[dict[Configuration, float], float]:
+    """Configurations with the amounts proposed of each, and the best dual bound of the pricings."""
+    sizes = np.flatnonzero(demand)
+    need = demand[sizes].astype(float)
+    per_token = heaviest_weights(demand, capacity)[sizes] / sizes if heaviest else np.ones(len(sizes))
     weight = np.zeros(capacity + 1)
-    weight[sizes] = sizes  # per item; the first prices are the lengths, whose bound is tokens / capacity
-    phase, since = 1, 0
-    for _ in range(ROUNDS):
-        value = np.where(left > 1e-9, weight, 0.0)
-        best, pick = price(value, capacity)
-        if best[capacity] > 0 and (left[sizes] > 1e-9).all():  # dual prices of all lengths, scaled to be feasible
-            bound = max(bound, float(need @ weight) / best[capacity])
-        goal = need * (1 - (1 - REST) * phase / PHASES)  # what may be left after this phase
-        moved = False
-        for size in sizes[::-1]:
-            if left[size] <= goal[size] + 1e-9:
+    found: dict[Configuration, float] = {}
+    bound = 0.0
+    for _ in range(PRICINGS):
+        weight[sizes] = sizes * per_token
+        best, fills = price(weight, demand, capacity)
+        bound = max(bound, float(need @ weight[sizes]) / best[capacity])
+        used = np.zeros(capacity + 1)
+        for size in sizes[::-1].tolist():
+            counts = _configuration(size, fills[capacity - size])
+            if any(n > demand[s] for s, n in counts.items()):
                 continue
-            pattern = _pattern(int(size), pick, capacity)
-            if sum(s * n for s, n in pattern) < capacity:
-                continue  # not in an optimal solution where others are full; best fit may still use it
-            amount = min([(left[size] - goal[size]) / dict(pattern)[size], *(left[s] / n for s, n in pattern)])
-            if amount <= 1e-9:
-                continue
-            used[pattern] = used.get(pattern, 0.0) + amount
-            for s, n in pattern:
-                left[s] -= amount * n
-            moved = True
-        lag = left[sizes] / need[sizes]
-        weight[sizes] *= np.exp(RATE * (lag - lag.mean()) / PHASES)
-        since += 1
-        if (left[sizes] <= goal[sizes] + 1e-9).all() or not moved or since >= ROUNDS // PHASES:
-            phase, since = min(PHASES, phase + 1), 0
-        if (left[sizes] <= need[sizes] * REST + 1e-9).all():
+            amount = float(demand[size]) / counts[size]
+            value = 0.0
+            for s, n in counts.items():
+                used[s] += amount * n
+                value += weight[s] * n
+            if value >= best[capacity] * (1 - slack) - 1e-6:
+                key = tuple(sorted(counts.items(), reverse=True))
+                found[key] = found.get(key, 0.0) + amount
+        much = used[sizes] / need
+        per_token *= np.clip(much / max(much.mean(), 1e-9), 1 / 8, 8) ** -rate
+        per_token /= per_token.mean()
+    return found, bound
+
+
+def amounts(found: dict[Configuration, float], demand: np.ndarray) -> np.ndarray:
+    """Amounts of the configurations that exhaust lengths and overuse none."""
+    x = np.array(list(found.values()))
+    lens = np.array([len(c) for c in found])
+    flat = np.array([entry for c in found for entry in c], np.int64).reshape(-1, 2)
+    of, start = np.repeat(np.arange(len(x)), lens), np.cumsum(lens) - lens
+    need = np.maximum(demand, 1).astype(float)
+    for step in range(STEPS + 1):
+        use = np.bincount(flat[:, 0], weights=x[of] * flat[:, 1], minlength=len(demand)) / need
+        most = np.maximum.reduceat(use[flat[:, 0]], start)
+        x = x * most**-0.7 if step < STEPS else x / np.maximum(1.0, most)
+    return x
+
+
+def rounded(found: dict[Configuration, float], x: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Whole copies that keep the sum of the amounts, as far as lengths are left; takes them off `left`."""
+    known, out = list(found), []
+    order = np.lexsort((-x, [capacity - sum(s * n for s, n in c) for c in known])).tolist()
+    total = np.floor(np.cumsum(x[order]) + 0.5).astype(np.int64)
+    once = np.diff(total, prepend=0)
+    # then, where chance passed a configuration over, what lengths still allow of it
+    for wanted in (once, np.ceil(x[order]).astype(np.int64)):
+        for j, n in zip(order, wanted.tolist(), strict=True):
+            n = min([n, *(int(left[s]) // k for s, k in known[j])]) if n else 0
+            if n > 0:
+                out.append((known[j], n))
+                for s, k in known[j]:
+                    left[s] -= k * n
+    return out
+
+
+def program(demand: np.ndarray, capacity: int, rate: float, heaviest: bool = False) -> tuple[list[tuple[Configuration, int]], np.ndarray, float]:
+    """Sequences by programs over what the one before left, the rest that none places, and the first program's bound."""
+    left, groups, bound, k = demand.astype(np.int64).copy(), [], 0.0, 0
+    tokens = np.arange(capacity + 1)
+    for n in range(PROGRAMS):
+        if not left.any():
             break
-    return used, bound
+        found, dual = columns(left, capacity, rate, SLACKS[k], heaviest)
+        bound = dual if n == 0 else bound
+        placed = rounded(found, amounts(found, left), left, capacity) if found else []
+        groups += placed
+        # a program that places little of what there is may take configurations of less value next
+        if sum(c for _, c in placed) < 0.1 * (left @ tokens) / capacity or not placed:
+            k += 1
+            if k == len(SLACKS):
+                break
+    return groups, left, bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -145,25 +214,25 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int
     return done + [(p, c) for groups in room.values() for p, c in groups]
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list, float]:
-    """Groups (pattern, copies) that use up the histogram exactly, and the lower bound."""
-    full = int(demand[capacity])
+def plan(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[Configuration, int]], float, int]:
+    """Groups (configuration, copies) that use up the histogram exactly, the lower bound, and how many sequences the program made."""
     rest = demand.astype(np.int64).copy()
-    rest[capacity] = 0
-    used, bound = fractional(rest, capacity)
-    best: list | None = None
-    for least in LEAST_COPIES:
-        left, groups = rest.copy(), [(((capacity, 1),), full)] if full else []
-        for pattern, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            copies = min([int(amount + 1e-6), *(int(left[s]) // n for s, n in pattern)])
-            if copies >= least:
-                groups.append((pattern, copies))
-                for s, n in pattern:
-                    left[s] -= copies * n
-        groups += best_fit(left, capacity)
-        if best is None or sum(c for _, c in groups) < sum(c for _, c in best):
-            best = groups
-    return best, full + bound
+    full, rest[capacity] = int(rest[capacity]), 0
+    whole = [(((capacity, 1),), full)] if full else []
+    count = lambda groups: sum(c for _, c in groups)
+    alone = best_fit(rest, capacity)
+    best, made, bound = None, 0, 0.0
+    for rate, heaviest in TRIES if rest.any() else ():
+        groups, left, dual = program(rest, capacity, rate, heaviest)
+        bound, by_program = max(bound, dual), count(groups)
+        groups = groups + best_fit(left, capacity)
+        if best is None or count(groups) < count(best):
+            best, made = groups, by_program
+        if count(best) <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)):
+            break
+    if best is None or count(alone) < count(best):
+        best, made = alone, 0
+    return whole + best, full + bound, full + made
 
 
 class Places:
@@ -233,7 +302,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int |
     counts = np.zeros((capacity + 1, SALTS), np.int64)
     for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity x SALTS rows
         counts[row["length"], row["salt"]] = row["count"]
-    groups, bound = plan(counts.sum(1), capacity)
+    groups, _, _ = plan(counts.sum(1), capacity)
     places = Places(groups, capacity)
     before = np.cumsum(counts, axis=1) - counts
 
