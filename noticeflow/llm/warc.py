@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import filesystem, slices, stored, work_path
 
 #: Bytes of an archive, and of the stretch of it that one group of range reads covers.
-ARCHIVE, STRETCH = 64 << 20, 4 << 20
+ARCHIVE, STRETCH = 64 << 20, 1 << 20
+#: Bytes that a task reads about.
+TASK = 16 << 20
 LINES, BLOCKS = 3000, 1 << 16
 CAPTURE = "key string, page_id long, archive string, offset long, length long"
 
@@ -214,9 +216,10 @@ def read(folder: str, captures: DataFrame, payloads: bool = False) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    # ranges of one stretch of a file are read by one task, in their order
-    stretch = F.floor(F.col("offset") / STRETCH)
-    ordered = captures.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    # ranges of one stretch of a file are read by one task, in their order; tasks by the bytes to read, not by those of the ranges
+    ranges = captures.select("archive", "offset", "length")
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(ranges.agg(F.sum("length")).first()[0] or 0) // TASK))
+    ordered = ranges.repartition(tasks, "archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else ""))
 
 
@@ -227,7 +230,7 @@ def archived(pages: DataFrame, least_revisit: int = 0, id_col: str = "page_id",
     """
     folder, captures = write(pages, least_revisit, id_col, url_col, html_col, archive)
     asked = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    got = stored(read(folder, Index(captures).find(asked)), "records")
+    got = stored(read(folder, stored(Index(captures).find(asked), "ranges")), "records")
     again = got.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
     needed = again.select("refers_to", "payload_digest").distinct()
     whole = got.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_bytes")).join(needed, ["refers_to", "payload_digest"], "left_semi").distinct()

@@ -61,24 +61,87 @@ def test_pieces_forget(vocab, monkeypatch):
 # --- 1 packing -------------------------------------------------------------
 
 
+def valid(groups, demand, capacity):
+    used = np.zeros(capacity + 1, int)
+    for pattern, copies in groups:
+        assert sum(s * n for s, n in pattern) <= capacity
+        for s, n in pattern:
+            used[s] += n * copies
+    assert (used == demand).all()
+    return sum(c for _, c in groups)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_histogram_exactly(seed):
     rng = np.random.default_rng(seed)
     demand = np.bincount(rng.integers(1, 65, 500 * (seed + 1)), minlength=65)
-    groups, bound = packing.plan(demand, 64)
-    used = np.zeros(65, int)
-    for pattern, copies in groups:
-        assert sum(s * n for s, n in pattern) <= 64
-        for s, n in pattern:
-            used[s] += n * copies
-    bins = sum(c for _, c in groups)
-    assert (used == demand).all() and bound <= bins + 1e-6 and bins <= sum(c for _, c in packing.best_fit(demand.copy(), 64))
+    groups, bound, made = packing.plan(demand, 64)
+    bins = valid(groups, demand, 64)
+    assert bound <= bins + 1e-6 and bins <= 1.01 * np.ceil(bound) + 1 and bins <= sum(c for _, c in packing.best_fit(demand.copy(), 64))
+    assert made <= bins
+
+
+def least_bins(items, capacity):
+    """The least number of bins, by trying every place of every item."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def go(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(items):
+            best = len(bins)
+            return
+        for room in set(bins):
+            if room >= items[k]:
+                rest = list(bins)
+                rest.remove(room)
+                go(k + 1, [*rest, room - items[k]])
+        go(k + 1, [*bins, capacity - items[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_against_exact_solver(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(8, 30))
+    items = rng.integers(1 + (seed % 3) * capacity // 5, capacity, int(rng.integers(1, 10))).tolist()
+    groups, bound, _ = packing.plan(np.bincount(items, minlength=capacity + 1), capacity)
+    bins, exact = valid(groups, np.bincount(items, minlength=capacity + 1), capacity), least_bins(items, capacity)
+    assert bound <= exact + 1e-6 and exact <= bins <= exact + (1 if exact > 3 else 0)
+
+
+@pytest.mark.parametrize(("demand", "least"), [({1100: 50, 700: 30, 300: 20}, 50), ({1100: 50, 1000: 30, 300: 20}, 65), ({683: 100}, 50), ({1025: 10, 1023: 7}, 10), ({512: 8, 1: 2048}, 3), ({2048: 3}, 3)])
+def test_plan_of_few_lengths(demand, least):
+    h = np.zeros(2049, np.int64)
+    for size, n in demand.items():
+        h[size] = n
+    groups, bound, _ = packing.plan(h)
+    assert valid(groups, h, 2048) == least and bound <= least + 1e-6
+
+
+def test_plan_of_documents_is_made_by_the_program(sf_dir, vocab):
+    import pyarrow.parquet as pq
+
+    encode = pieces.WordPieces(vocab(WORD))
+    _, at = encode(pq.read_table(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")["text"].combine_chunks())
+    sizes = np.diff(at) + 1
+    demand = np.bincount(sizes % 2048, minlength=2049)
+    demand[0], demand[2048] = 0, (sizes // 2048).sum()
+    groups, bound, made = packing.plan(demand)
+    assert valid(groups, demand, 2048) == np.ceil(bound - 1e-6) and made >= 0.98 * np.ceil(bound)
 
 
 def test_price_is_knapsack():
-    value = np.zeros(11)
+    value, limit = np.zeros(11), np.full(11, 9)
     value[[3, 4, 5]] = [4, 5.5, 7]
-    assert packing.price(value, 10)[0][10] == 14 and packing.price(value, 9)[0][9] == 12.5
+    best, fills = packing.price(value, limit, 10)
+    assert best[10] == 14 and best[9] == 12.5 and sorted(fills[9]) == [(4, 1), (5, 1)]
+    limit[5] = 1
+    best, fills = packing.price(value, limit, 10)
+    assert best[10] == 13.5 and sorted(fills[10]) == [(3, 2), (4, 1)]
 
 
 def test_pack(edge, nothing, vocab):
