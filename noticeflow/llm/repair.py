@@ -1,19 +1,23 @@
 """Token ids in files, compressed by a grammar of pairs.
 
 Documents in ascending order of their ids are encoded and gathered into blocks of
-about BLOCK ids. In each block frequent pairs of neighbouring symbols are replaced
-by new symbols, round after round, never across documents; the block keeps the
-rules, the length each expands to, the symbols, and where each document begins. A
-document, or a stretch of it, is decoded from its own symbols alone: expansion
-lengths lead by binary search to the symbols that cover the stretch.
-
-Layout, little-endian: magic, then unsigned 32-bit version, width of a symbol in
-bytes, first rule's symbol, numbers of documents, rules and symbols; document ids
-(64-bit); first symbol of each document and the end (64-bit); left and right side
-of each rule (symbols); length of each rule's expansion (64-bit); symbols.
+about BLOCK ids. In each block pairs of neighbouring symbols that occur LEAST times or
+more are replaced by new symbols, the most frequent of overlapping pairs first, round
+after round until no such pair is left, never across documents. A rule costs about as
+much as LEAST / 2 places save, so rarer pairs stay. The block keeps the rules, the
+length each expands to, the symbols, and where each document begins. A document, or a
+stretch of it, is decoded from its own symbols alone: expansion lengths lead by binary
+search to the symbols that cover the stretch.
+
+Layout, little-endian: magic, then unsigned 32-bit version, bits of a symbol, first
+rule's symbol, numbers of documents, rules and symbols; document ids (64-bit); first
+symbol of each document and the end (64-bit); left and right side of each rule
+(symbols); length of each rule's expansion (32-bit); symbols. A run of symbols is
+their low 16 bits, then for each further bit a plane of one bit per symbol.
 
 Null and empty texts hold the closing id alone; equal ids stand in the order of
-their texts; other columns are not read; an empty table gives no blocks.
+their texts; rows without an id are not written; other columns are not read; an empty
+table gives no blocks.
 """
 
 from __future__ import annotations
@@ -30,73 +34,108 @@ from .common import slices, work_path
 from .pieces import WordPieces, encoder, gather
 
 MAGIC, HEAD = b"NFGRAM\0\0", "<6I"
-BLOCK, ROUNDS, RULES, LEAST, CELL_BITS = 1 << 20, 8, 2000, 6, 20
+#: Ids of a block about; occurrences from which a pair is frequent; ids that `read` decodes by random access.
+BLOCK, LEAST, TAIL = 1 << 20, 6, 64
 
 
-def _taken(place: np.ndarray) -> np.ndarray:
-    """Which of the sorted places of overlapping pairs a scan from the left replaces: every other one of a run."""
+def _every_other(place: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Of sorted places at which a symbol repeats, those that a scan from the left of each run replaces."""
     new = np.ones(len(place), bool)
-    new[1:] = np.diff(place) > 1
+    new[1:] = following[place[:-1]] != place[1:]
     begin = np.flatnonzero(new)
     nth = np.arange(len(place)) - np.repeat(begin, np.diff(np.append(begin, len(place))))
     return nth % 2 == 0
 
 
+def _grouped(key: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and their places."""
+    shift = np.uint64(most.bit_length())
+    if int(key.max(initial=0)).bit_length() + int(shift) <= 64:
+        both = np.sort((key << shift) | place.astype(np.uint64))
+        return both >> shift, (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], place[order]
+
+
 def compress(ids: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), the symbols left, and where each document's begin."""
-    symbols, at = ids.astype(np.uint32), at.astype(np.int64)
-    room = (1 << 16) - first if first < 1 << 16 else 1 << 31
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        take = min(RULES, room - len(rules))
-        if len(symbols) < 2 or take <= 0:
-            break
-        narrow = first + len(rules) + take <= 1 << 16
-        key = (symbols[:-1] << np.uint32(16)) | symbols[1:] if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        shift, low = (np.uint32(16), np.uint32(0xFFFF)) if narrow else (np.uint64(32), np.uint64(0xFFFFFFFF))
-        # the largest key stands for the end of a document and is never replaced
-        none = np.array(-1).astype(key.dtype)
-        ends = at[1:-1]
-        key[ends[(ends > 0) & (ends < len(symbols))] - 1] = none
-        ordered = np.sort(key)
-        ordered = ordered[: np.searchsorted(ordered, none)]
-        if len(ordered) == 0:
-            break
-        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(begin, len(ordered)))
+    n = len(ids)
+    at = at.astype(np.int64)
+    symbols = np.append(ids, 0).astype(np.uint32)
+    # neighbours of each place; n stands for none
+    kind = np.int32 if n < (1 << 31) - 2 else np.int64
+    following, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
+    ends, begins = at[1:][at[1:] > at[:-1]] - 1, at[:-1][at[1:] > at[:-1]]
+    following[ends], before[begins] = n, n
+    alive, weight, mark = np.ones(n + 1, bool), np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
+    alive[n] = False
+    rules = [np.zeros((0, 2), np.uint32)]
+    made, look = 0, np.flatnonzero(following[:n] < n).astype(kind)
+    while len(look):
+        bits = np.uint64(int(first + made).bit_length())
+        a, b = symbols[look], symbols[following[look]]
+        whole, same = (a.astype(np.uint64) << bits) | b, np.flatnonzero(a == b)
+        if len(same):
+            odd = same[~_every_other(look[same], following)]
+            single = np.ones(len(look), bool)
+            single[odd] = False
+            key, place = _grouped(whole[single], look[single], n)
+        else:
+            key, place = _grouped(whole, look, n)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(begin, len(key)))
         often = np.flatnonzero(count >= LEAST)
         if len(often) == 0:
             break
-        if len(often) > take:
-            often = often[np.argsort(-count[often], kind="stable")[:take]]
-        chosen = np.sort(ordered[begin[often]])
-        # a small table of hashes leaves few places to search for
-        cell = lambda k: (k * k.dtype.type(0x9E3779B1)) >> k.dtype.type(8 * k.itemsize - CELL_BITS)
-        cells = np.zeros(1 << CELL_BITS, bool)
-        cells[cell(chosen)] = True
-        maybe = np.flatnonzero(cells[cell(key)])
-        slot = np.minimum(np.searchsorted(chosen, key[maybe]), len(chosen) - 1)
-        same = chosen[slot] == key[maybe]
-        place, slot = maybe[same], slot[same]
-        kept = _taken(place)
-        place, slot = place[kept], slot[kept]
-        symbols[place] = first + len(rules) + slot
-        at = at - np.searchsorted(place + 1, at)
-        symbols = np.delete(symbols, place + 1)
-        rules = np.concatenate([rules, np.stack([chosen >> shift, chosen & low], axis=1).astype(np.uint32)])
-    return rules, symbols, at
+        # of overlapping pairs the most frequent wins, so the most frequent of all wins everywhere
+        often = often[np.argsort(count[often], kind="stable")]
+        rank = np.zeros(len(count), np.int32)
+        rank[often] = np.arange(1, len(often) + 1)
+        weight[place] = np.repeat(rank, count)
+        own = weight[look]
+        win = (own > weight[before[look]]) & (own > weight[following[look]])
+        weight[look] = 0
+        times = np.bincount(own[win], minlength=len(often) + 1)
+        good = times >= LEAST
+        good[0] = False
+        win &= good[own]
+        number = np.cumsum(good) - 1
+        chosen = key[begin[often[good[1:]]]]
+        new = look[win]
+        gone = following[new]
+        symbols[new] = (first + made + number[own[win]]).astype(np.uint32)
+        after = following[gone]
+        following[new] = after
+        before[after] = new
+        alive[gone] = False
+        rules.append(np.stack([chosen >> bits, chosen & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32))
+        made += len(chosen)
+        # a pair that is frequent after this was so before, or holds a new symbol
+        keep = look[own > 0]
+        mark[keep] = mark[new] = mark[before[new]] = True
+        if len(same):
+            mark[look[same]] = True
+        seen = np.flatnonzero(mark)
+        mark[seen] = False
+        look = seen[alive[seen]].astype(kind)
+        look = look[following[look] < n]
+    kept = alive[:n]
+    return np.concatenate(rules), symbols[:n][kept], np.concatenate([[0], np.cumsum(kept)])[at]
+
+
+def _planes(values: np.ndarray, bits: int) -> bytes:
+    return values.astype("<u2").tobytes() + b"".join(np.packbits((values >> np.uint32(k)).astype(np.uint8) & 1).tobytes() for k in range(16, bits))
 
 
 def block(doc_ids: np.ndarray, ids: np.ndarray, at: np.ndarray, first: int) -> bytes:
     """The file image of documents and their ids; rules get symbols from `first` on."""
     rules, symbols, starts = compress(ids, at, first)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
-    kind = f"<u{width}"
+    bits = max(16, (first + len(rules)).bit_length())
     lengths = np.ones(first + len(rules), np.int64)
     for k, (a, b) in enumerate(rules.tolist()):
         lengths[first + k] = lengths[a] + lengths[b]
-    head = MAGIC + struct.pack(HEAD, 1, width, first, len(doc_ids), len(rules), len(symbols))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), rules[:, 0].astype(kind).tobytes(), rules[:, 1].astype(kind).tobytes(), lengths[first:].astype("<i8").tobytes(), symbols.astype(kind).tobytes()])
+    head = MAGIC + struct.pack(HEAD, 2, bits, first, len(doc_ids), len(rules), len(symbols))
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), _planes(rules[:, 0], bits), _planes(rules[:, 1], bits), lengths[first:].astype("<u4").tobytes(), _planes(symbols, bits)])
 
 
 class Block:
@@ -105,7 +144,7 @@ class Block:
     def __init__(self, body: bytes):
         if body[:8] != MAGIC:
             raise ValueError("not a block of token ids")
-        _, width, self.first, docs, rules, symbols = struct.unpack_from(HEAD, body, 8)
+        _, bits, self.first, docs, rules, symbols = struct.unpack_from(HEAD, body, 8)
         at = 8 + struct.calcsize(HEAD)
 
         def part(kind, n):
@@ -114,10 +153,15 @@ class Block:
             at += out.nbytes
             return out
 
-        kind = f"<u{width}"
+        def run(n):
+            out = part("<u2", n).astype(np.uint32)
+            for k in range(16, bits):
+                out |= np.unpackbits(part(np.uint8, -(-n // 8)), count=n).astype(np.uint32) << np.uint32(k)
+            return out
+
         self.doc_ids, self.starts = part("<i8", docs), part("<i8", docs + 1)
-        self.left, self.right = part(kind, rules), part(kind, rules)
-        self.lengths, self.symbols = part("<i8", rules), part(kind, symbols)
+        self.left, self.right = run(rules), run(rules)
+        self.lengths, self.symbols = part("<u4", rules).astype(np.int64), run(symbols)
         self._flat = None
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +232,10 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_c
 
 
 def read(spark, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Returns id_col, start, n_tokens, ids_crc32 of each document, from the blocks."""
+    """Returns id_col, start, n_tokens, ids_crc32 and tail_crc32 of each document, from the blocks.
+
+    The last checksum is that of the document's last TAIL ids, which are decoded by themselves.
+    """
     blocks = spark.read.schema("part int, block int, n_tokens long, body binary").parquet(path)
 
     def run(batches):
@@ -198,10 +245,11 @@ def read(spark, path: str, id_col: str = "doc_id") -> DataFrame:
                 ids, at = one.all()
                 view, bounds = memoryview(np.ascontiguousarray(ids, dtype="<u4")), at.tolist()
                 crc = [zlib.crc32(view[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(one.doc_ids), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["part", "block", "id", "within", "n_tokens", "ids_crc32"])
+                n, size = len(crc), np.diff(at)
+                tail = [zlib.crc32(one.range(k, max(0, m - TAIL), m).astype("<u4").tobytes()) for k, m in enumerate(size.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(one.doc_ids), pa.array(at[:-1]), pa.array(size), pa.array(crc, pa.int64()), pa.array(tail, pa.int64())], names=["part", "block", "id", "within", "n_tokens", "ids_crc32", "tail_crc32"])
 
-    docs = blocks.select("part", "block", "body").mapInArrow(run, "part int, block int, id long, within long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("part", "block", "body").mapInArrow(run, "part int, block int, id long, within long, n_tokens long, ids_crc32 long, tail_crc32 long")
     # ids before each part, then before each block of it: one row per part in the first window
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
@@ -209,7 +257,7 @@ def read(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     starts = blocks.select("part", "block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("block_start")).join(parts, "part")
     starts = starts.select("part", "block", (F.col("part_start") + F.col("block_start")).alias("before"))
     out = docs.join(starts, ["part", "block"])
-    return out.select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select(F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "tail_crc32")
 
 
 def stored_ids(df: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
