@@ -5,7 +5,8 @@ rows, summed on the executors. A document is divided into windows of WINDOW
 n-grams; a window's log likelihood under each language is the sum over its
 n-grams. Expectation-maximisation over the windows estimates the share of each
 language; among the sets made of the largest shares, that of the best likelihood
-less a penalty per language is taken, and its largest share names the document.
+less a penalty per language is taken, and its largest share names the document. Sets
+are tried in growing size until none larger could make up for its penalty.
 
 Null texts and texts without letters are `und` with score 0. Without training
 rows every document is `und`. A null id counts as not held out. Texts of any
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from .common import VECTOR_SCHEMA, slices, summed, vector_rows
 from .grams import BUCKETS, hashed, padded
 
-#: N-grams in a window, steps of the estimation.
-WINDOW, STEPS = 48, 12
+#: N-grams in a window. A document's estimation ends when no share moves by more than SETTLED, or after STEPS.
+WINDOW, STEPS, SETTLED = 48, 200, 1e-4
 #: Overlapping 4-grams repeat evidence; penalty per language in units of log(windows + 1).
 TEMPER, PENALTY, SMOOTH = 0.25, 1.0, 0.5
+#: What an estimation that has settled may lack in likelihood.
+NEAR = 0.01
 
 
 def _count(batches):
@@ -67,10 +70,19 @@ def _mixture(ll: np.ndarray, first: np.ndarray, count: np.ndarray, allowed: np.n
     top = ll.max(1, keepdims=True)
     lik = np.exp(ll - top)
     share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(STEPS if allowed.shape[1] > 1 else 1):
-        part = lik * share[doc]
+    # documents still moving; each goes on by itself, so its result doesn't depend on its neighbours
+    moving = np.flatnonzero(allowed.sum(1) > 1)
+    for _ in range(STEPS):
+        if len(moving) == 0:
+            break
+        n = count[moving]
+        begin = np.cumsum(n) - n
+        part = lik[np.repeat(first[moving] - begin, n) + np.arange(n.sum())] * np.repeat(share[moving], n, axis=0)
         part /= part.sum(1, keepdims=True)
-        share = np.add.reduceat(part, first, axis=0) / count[:, None]
+        now = np.add.reduceat(part, begin, axis=0) / n[:, None]
+        far = np.abs(now - share[moving]).max(1) > SETTLED
+        share[moving] = now
+        moving = moving[far]
     return share, np.add.reduceat(np.log((lik * share[doc]).sum(1)) + top[:, 0], first)
 
 
@@ -91,16 +103,21 @@ def infer(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         score[at[1:] - k] = 0
     ll = np.add.reduceat(score, begin, axis=0).astype(float) * TEMPER
     everything = np.ones((len(first), table.shape[1]), bool)
-    share, fit = _mixture(ll, first, count, everything)
+    share, most = _mixture(ll, first, count, everything)
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1)
     best = np.full(len(first), -np.inf)
     chosen = np.zeros_like(share)
     for n in range(1, table.shape[1] + 1):
-        part, fit = _mixture(ll, first, count, rank < n)
-        value = fit - PENALTY * n * np.log(count + 1)
-        better = value > best
-        best[better], chosen[better] = value[better], part[better]
+        # no set fits better than all languages together
+        at = np.flatnonzero(most - PENALTY * n * np.log(count + 1) + NEAR > best)
+        if len(at) == 0:
+            break
+        rows = np.repeat(first[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
+        part, fit = _mixture(ll[rows], np.cumsum(count[at]) - count[at], count[at], rank[at] < n)
+        value = fit - PENALTY * n * np.log(count[at] + 1)
+        better = value > best[at]
+        best[at[better]], chosen[at[better]] = value[better], part[better]
     lang = chosen.argmax(1)
     return lang, chosen[np.arange(len(lang)), lang]
 
