@@ -245,6 +245,45 @@ def test_language(spark, edge, nothing, sf_dir):
     assert rows.select("row.*").columns == edge.columns and rows.count() == edge.count()
 
 
+def brute_language(text, table, temper, window=langid.WINDOW):
+    """Shares of the best set of languages, by plain expectation-maximisation of one text over every set of the largest shares."""
+    from noticeflow.llm.grams import hashed, padded
+
+    data, _ = padded(pa.array([text]), True)
+    score = table[hashed(data)].astype(float) * temper
+    ll = np.array([score[k : k + window].sum(0) for k in range(0, max(len(score), 1), window)])
+
+    def run(allowed):
+        share = np.where(allowed, 1 / allowed.sum(), 0.0)
+        lik = np.exp(ll - ll[:, allowed].max(1, keepdims=True)) * allowed
+        for _ in range(2000):
+            part = lik * share
+            share = (part / part.sum(1, keepdims=True)).mean(0)
+        return share, (np.log((lik * share).sum(1)) + ll[:, allowed].max(1)).sum()
+
+    n = table.shape[1]
+    order = np.argsort(-run(np.ones(n, bool))[0], kind="stable")
+    sets = [np.isin(np.arange(n), order[: k + 1]) for k in range(n)]
+    value = [run(a)[1] - langid.PENALTY * a.sum() * np.log(len(ll) + 1) for a in sets]
+    return run(sets[int(np.argmax(value))])[0]
+
+
+def test_language_against_brute_force():
+    rng = np.random.default_rng(2)
+    languages = 7
+    table = np.log(rng.dirichlet(np.full(65536, 0.02), languages) + 1e-7).T.astype(np.float32)
+    letters = np.array(list("abcdefgh"))
+    texts = ["".join(rng.choice(letters, int(rng.integers(4, 2500)))) for _ in range(40)]
+    lang, share = langid.infer(pa.array(texts), table)
+    for t, k, s in zip(texts, lang, share, strict=True):
+        want = brute_language(t, table, langid.TEMPER)
+        assert want[k] >= want.max() - 0.01 and abs(s - want[k]) < 0.01
+    # a text's result doesn't depend on its neighbours
+    for i in (3, 17):
+        one, only = langid.infer(pa.array([texts[i]]), table)
+        assert one[0] == lang[i] and only[0] == share[i]
+
+
 def test_mixture():
     table = np.full((65536, 2), -10.0, np.float32)
     from noticeflow.llm.grams import hashed, padded
@@ -518,6 +557,46 @@ def test_quality(spark, edge, nothing, sf_dir):
     assert (got.kept[got.quality == 1]).mean() > 0.95
 
 
+def brute_rules(texts, labels, folds):
+    """kept of each text by counting n-grams in dictionaries, with each fold's rows left out of the ratio that scores them."""
+    grams = [[hash_of(b" " + (t or "").encode() + b"  ", k) for k in range(len((t or "").encode()))] for t in texts]
+    corpus = Counter(g for one in grams for g in one)
+
+    def ratio(rows):
+        trusted = Counter(g for i in rows for g in grams[i])
+        nt, nc = (sum(c.values()) + quality.SMOOTH * 65536 for c in (trusted, corpus))
+        return lambda g: np.log((trusted[g] + quality.SMOOTH) / nt) - np.log((corpus[g] + quality.SMOOTH) / nc)
+
+    score = lambda i, r: sum(map(r, grams[i])) / max(len(grams[i]), 1)
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in map(brute, texts)]
+    good = [i for i, q in labels.items() if q == 1]
+    seen = [(q, score(i, ratio([g for g in good if folds[g] != folds[i]]))) for i, q in labels.items() if not failed[i]]
+    values = sorted({v for _, v in seen})
+    cuts = [-np.inf] + [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+    share = lambda q, hit: np.mean([hit(v) for k, v in seen if k == q])
+    cut = min(cuts, key=lambda c: (round(quality.GOOD * share(1, lambda v: v < c) + share(0, lambda v: v >= c), 9), c))
+    whole = ratio(good)
+    return [not f and score(i, whole) >= cut for i, f in enumerate(failed)]
+
+
+def hash_of(data, k):
+    code = int.from_bytes(data[k : k + 4], "little")
+    return (code * 2654435761 & 0xFFFFFFFF) >> 16
+
+
+def test_quality_verdict_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [[f"{a}{k}" for k in range(300)] for a in ("fine", "spam")]
+    texts = [" ".join(rng.choice(words[int(i % 3 == 0)] if rng.random() < 0.8 else words[1 - int(i % 3 == 0)], int(rng.integers(40, 160)))) for i in range(90)] + [None, "", "é" * 400]
+    texts[5] = texts[4]
+    known = {i: int(i % 3 != 0) for i in range(0, 60)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("fold", F.lit("clash")).withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    folds = {r["id"]: r["f"] for r in spark.range(60).selectExpr("id", f"pmod(xxhash64(id), {quality.FOLDS}) as f").collect()}
+    got = {r["doc_id"]: r["kept"] for r in quality.rules(docs, labels).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_rules(texts, known, folds)
+
+
 def test_threshold():
     assert quality.threshold(np.array([1, 1, 0, 0]), np.array([3.0, 2.0, 1.0, 0.0])) == 1.5
     assert quality.threshold(np.array([1, 1]), np.array([3.0, 2.0])) == -np.inf
