@@ -111,7 +111,7 @@ def vector_rows(vectors: dict[str, np.ndarray]) -> pa.RecordBatch:
     names, blocks, bodies = [], [], []
     for name, v in vectors.items():
         for k in range(0, len(v), BLOCK):
-            part = v[k : k + BLOCK].astype("<i8")
+            part = v[k : k + BLOCK].round().astype("<i8")
             if part.any():
                 names.append(name)
                 blocks.append(k // BLOCK)

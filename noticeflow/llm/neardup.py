@@ -2,20 +2,24 @@
 
 Equal texts are one text. A text is the multiset of its runs of five words
 (lower case, split at ASCII marks; fewer words: the one run of all); a shingle
-weighs (1 + ln tf) x (FLOOR + (1 - FLOOR) idf), idf from 0 to 1 by the number of
-different texts, counted in 2**20 hashed cells less their mean load. Improved
-consistent weighted sampling draws BANDS x ROWS samples of each text, equal with
-a probability of the weighted Jaccard similarity; texts that share a band are
+weighs (1 + ln tf) x idf, idf = ln(1 + n / df) / ln(1 + n). n and df count texts up to
+copies: a text counts one over the number of texts with the same sketch (its smallest
+shingle under two orders), so that a group of thousands of near copies doesn't make
+its own words common. All counts are kept in 2**20 hashed cells less their mean load.
+Improved consistent weighted sampling draws BANDS x ROWS samples of each text, equal
+with a probability of the weighted Jaccard similarity; texts that share a band are
 candidates, and links are candidates whose weighted Jaccard similarity reaches
-the least. Within a band's bucket every text is compared with three leaders;
-after components of these links are known, all pairs of a bucket that are still
-in two components are compared in blocks of MEMBERS texts: only links leave a
-block, so no pair in a bucket that could join two classes stays uncompared and
-no bucket is expanded into its pairs.
+the least. Within a band's bucket every text is compared with three leaders. After
+components of these links are known, a bucket that still holds several is compared
+outside its largest component: the others' texts meet those of the largest, and each
+other, in blocks of MEMBERS texts. Only links leave a block, so no pair in a bucket
+that could join two classes stays uncompared, and a text of the largest component is
+sent once for MEMBERS others.
 
 Null texts are alone; empty texts equal each other and texts without words equal
-only equal texts; repeated rows share a class; a null id is alone; an empty table
-gives no rows.
+only equal texts; repeated rows share a class; a null id is alone; where an id has
+several texts, each of its rows belongs to its own text's class; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from .components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
-CELLS, FLOOR = 1 << 20, 0.8
+CELLS = 1 << 20
+#: A text's part in the counts is a whole number of 1 / PARTS.
+PARTS = 1 << 12
 #: Shingles sampled at a time; texts of a bucket in one block.
 BLOCK, MEMBERS = 1 << 16, 256
 
@@ -84,6 +90,15 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return key[where].astype(np.uint32), np.diff(np.append(where, len(key))), ends
 
 
+def sketches(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One number of each text that has shingles: its smallest shingle, and its smallest under another order."""
+    full = at[:-1][np.diff(at) > 0]
+    if len(full) == 0:
+        return np.zeros(0, np.uint64)
+    other = np.minimum.reduceat(sh * np.uint32(0x9E3779B1) ^ (sh >> np.uint32(15)), full)
+    return _mix((sh[full].astype(np.uint64) << np.uint64(32)) | other)
+
+
 def _shingle_rows(batches):
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
@@ -92,7 +107,9 @@ def _shingle_rows(batches):
             bodies = [sh[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             more = np.concatenate([[0], np.cumsum(tf > 1)])[at]
             times = [tf[a:b].astype("<u4").tobytes() if d else b"" for a, b, d in zip(bounds, bounds[1:], np.diff(more).tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary()), pa.array(times, pa.binary())], names=["id", "sh", "tf"])
+            sketch = np.zeros(len(at) - 1, np.uint64)
+            sketch[np.diff(at) > 0] = sketches(sh, at)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary()), pa.array(times, pa.binary()), pa.array(sketch.view(np.int64))], names=["id", "sh", "tf", "sketch"])
 
 
 def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,20 +122,48 @@ def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sh, tf, at
 
 
-def _count(batches):
+def _cell(sketch: np.ndarray) -> np.ndarray:
+    return (sketch.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+
+def _less_load(cells: np.ndarray) -> np.ndarray:
+    """What a cell holds of its own: its count less the mean of the others."""
+    return cells - (cells.sum() - cells) / (CELLS - 1)
+
+
+def _count_sketches(batches):
     total = np.zeros(CELLS, np.int64)
-    texts = 0
     for batch in batches:
-        sh, _, at = _unpack(batch)
-        total += np.bincount(sh >> np.uint32(12), minlength=CELLS)
-        texts += int((np.diff(at) > 0).sum())
-    yield vector_rows({"cells": total, "texts": np.array([texts])})
+        total += np.bincount(_cell(batch.column("sketch").to_numpy()), minlength=CELLS)
+    yield vector_rows({"sketches": total})
+
+
+def parts(sketch: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """How much each text counts: PARTS over the number of texts of its sketch, at least 1."""
+    return np.maximum(PARTS / np.maximum(_less_load(alike)[_cell(sketch)], 1.0), 1.0).round()
 
 
-def idf(cells: np.ndarray, texts: int) -> np.ndarray:
-    """Factor of each cell: 1 for rare shingles, FLOOR for those in all texts."""
-    df = np.clip(cells - (cells.sum() - cells) / (CELLS - 1), 1, max(1, texts))
-    return (FLOOR + (1 - FLOOR) * np.log1p(texts / df) / np.log1p(max(1, texts))).astype(np.float32)
+def idf(cells: np.ndarray, texts: float) -> np.ndarray:
+    """Factor of each cell: 1 for shingles of one text, least for those in all texts."""
+    df = np.clip(_less_load(cells), 1, max(1.0, texts))
+    return (np.log1p(texts / df) / np.log1p(max(1.0, texts))).astype(np.float32).clip(max=1)
+
+
+def factors(texts: DataFrame) -> np.ndarray:
+    """The idf factor of each cell over all texts (columns sh, tf, sketch)."""
+    alike = summed(texts.select("sketch").mapInArrow(_count_sketches, VECTOR_SCHEMA), CELLS).get("sketches", np.zeros(CELLS, np.int64))
+
+    def count(batches):
+        total, of_texts = np.zeros(CELLS), 0
+        for batch in batches:
+            sh, _, at = _unpack(batch)
+            part = parts(batch.column("sketch").to_numpy(), alike)
+            total += np.bincount(sh >> np.uint32(12), weights=np.repeat(part, np.diff(at)), minlength=CELLS)
+            of_texts += int(part.sum())
+        yield vector_rows({"cells": total, "texts": np.array([of_texts])})
+
+    counts = summed(texts.select("sh", "tf", "sketch").mapInArrow(count, VECTOR_SCHEMA), CELLS)
+    return idf(counts.get("cells", np.zeros(CELLS, np.int64)) / PARTS, int(counts.get("texts", np.zeros(1))[0]) / PARTS)
 
 
 def weights(sh: np.ndarray, tf: np.ndarray, factor: np.ndarray) -> np.ndarray:
@@ -253,14 +298,20 @@ def _block_links(rows: list[tuple], lo: int, hi: int, factor: np.ndarray, least:
 
 
 def _in_blocks(rest: DataFrame, texts: DataFrame, factor: np.ndarray, least: float) -> DataFrame:
-    """Links among a bucket's texts of different components. A bucket is dealt into blocks of about MEMBERS texts, and each two blocks meet in one group."""
-    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rows = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.withColumn("leader", F.col("id").isin(F.col("l0"), F.col("l1"), F.col("l2"))).select("key", "id", "block", "component", "leader", "blocks")
-    rows = rows.join(texts.select("id", "keys", "sh", "tf"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component", "leader", "keys", "sh", "tf")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    kind = rest.schema["id"].dataType.simpleString()
+    """Links among a bucket's texts of different components.
+
+    Texts outside the bucket's largest component are dealt into blocks 0 to few - 1 and
+    those of the largest into blocks few and up, MEMBERS texts each about. A group is one
+    of the first blocks with itself or with any other block.
+    """
+    sizes = rest.groupBy("key", "component").count()
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"))
+    main = main.select("key", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / MEMBERS).cast("int").alias("few"), F.ceil(F.col("m.count") / MEMBERS).cast("int").alias("many"))
+    rows = rest.join(main, "key").withColumn("leader", F.col("id").isin(F.col("l0"), F.col("l1"), F.col("l2")))
+    rows = rows.withColumn("stray", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("few")).otherwise(F.col("many"))).cast("int") + F.when(F.col("stray"), 0).otherwise(F.col("few")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component", "leader").join(texts.select("id", "keys", "sh", "tf"), "id")
+    rows = rows.select("key", "lo", "hi", "id", "block", "component", "leader", "keys", "sh", "tf").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
 
     def run(batches):
         from itertools import chain, groupby
@@ -270,7 +321,7 @@ def _in_blocks(rest: DataFrame, texts: DataFrame, factor: np.ndarray, least: flo
             if found := _block_links(list(group), lo, hi, factor, least):
                 yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _ordered(x: str, y: str) -> list:
@@ -280,14 +331,13 @@ def _ordered(x: str, y: str) -> list:
 def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col and class_id, the smallest id of the row's class."""
     rows = df.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"))
-    heads = stored(rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head")), "heads")
-    # one row of each different text
-    firsts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(heads.select(F.col("head").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    kind = df.schema[id_col].dataType.simpleString()
-    texts = stored(firsts.mapInArrow(_shingle_rows, f"id {kind}, sh binary, tf binary").where("length(sh) > 0"), "shingles")
-
-    counts = summed(texts.mapInArrow(_count, VECTOR_SCHEMA), CELLS)
-    factor = idf(counts.get("cells", np.zeros(CELLS, np.int64)), int(counts.get("texts", np.zeros(1))[0]))
+    # each different text gets a number, written so that it holds, and the smallest of its ids
+    heads = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
+    heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    owned = df.select(F.col(id_col).alias("head"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest")).where("text is not null")
+    firsts = owned.join(heads, ["head", "digest"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+    texts = stored(firsts.mapInArrow(_shingle_rows, "id long, sh binary, tf binary, sketch long").where("length(sh) > 0"), "shingles")
+    factor = factors(texts)
 
     def sample(batches):
         sampler = Sampler()
@@ -296,7 +346,7 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
             keys = bands(sampler, sh, weights(sh, tf, factor), at)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], names=["id", "keys"])
 
-    sampled = stored(texts.mapInArrow(sample, f"id {kind}, keys array<long>"), "bands")
+    sampled = stored(texts.select("id", "sh", "tf").mapInArrow(sample, "id long, keys array<long>"), "bands")
     keyed = sampled.select("id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
@@ -318,6 +368,9 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
     if not late.isEmpty():
         found = stored(components(links.union(late)), "components")
 
-    out = rows.join(heads, "digest", "left").select("id", F.coalesce("head", "id").alias("head"))
-    out = out.join(found.withColumnRenamed("node", "head"), "head", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("component", "head")).alias("class_id"))
+    # a class is named by the smallest id of its texts
+    named = heads.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", "head", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("component").agg(F.min("head").alias("class_id"))
+    named = named.join(several, "component").select("digest", "class_id")
+    out = rows.join(named, "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))

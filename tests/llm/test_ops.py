@@ -620,38 +620,102 @@ def corpus(seed=0):
     return texts
 
 
-def brute_classes(texts, factor):
-    sh, tf, at = neardup.shingles(pa.array(texts))
-    parent = list(range(len(texts)))
+def brute_shingles(text):
+    """Runs of five words of a text, by plain string operations, and how often each occurs."""
+    words = [w for w in re.split(r"[\x00-\x2f:-@\[-`{-\x7f]+", text.lower()) if w]
+    return Counter(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1))))
+
+
+def brute_similarity(texts):
+    """Weighted Jaccard similarity of all pairs of different texts, by dictionaries."""
+    terms = [brute_shingles(t) for t in texts]
+    sh, _, at = neardup.shingles(pa.array(texts))
+    alike = Counter(neardup.sketches(sh, at).tolist())
+    counts = iter(1 / alike[k] for k in neardup.sketches(sh, at).tolist())
+    part = [next(counts) if t else 0 for t in terms]
+    n = sum(part)
+    df = Counter()
+    for t, p in zip(terms, part, strict=True):
+        for g in t:
+            df[g] += p
+    weight = [{g: (1 + np.log(k)) * min(1, np.log1p(n / max(1, df[g])) / np.log1p(max(1, n))) for g, k in t.items()} for t in terms]
+    total = [sum(w.values()) for w in weight]
+    for i, a in enumerate(weight):
+        for j in range(i):
+            both = sum(min(w, weight[j][g]) for g, w in a.items() if g in weight[j])
+            if both:
+                yield j, i, both / (total[i] + total[j] - both)
 
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    part = lambda i: (sh[at[i] : at[i + 1]], tf[at[i] : at[i + 1]].astype(np.float32))
-    for i in range(len(texts)):
-        for j in range(i):
-            if neardup.similarity(*part(i), *part(j), factor) >= neardup.LEAST:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return [root(i) for i in range(len(texts))]
+def brute_classes(texts):
+    """The smallest place of each text's class; equal texts are one."""
+    different = list(dict.fromkeys(texts))
+    parent = {t: t for t in different}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for i, j, s in brute_similarity(different):
+        if s >= neardup.LEAST:
+            parent[root(different[i])] = root(different[j])
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(root(t), k)
+    return [first[root(t)] for t in texts]
 
 
 @pytest.mark.parametrize("members", [256, 4])
 def test_near_duplicates(spark, members, monkeypatch):
     monkeypatch.setattr(neardup, "MEMBERS", members)
-    texts = corpus()
-    sh, _, _ = neardup.shingles(pa.array(list(dict.fromkeys(texts))))
-    factor = neardup.idf(np.bincount(sh >> np.uint32(12), minlength=neardup.CELLS), len(set(texts)))
+    texts = corpus() + ["Short one", "short, ONE", "the shared passage of a license that many documents hold " * 3]
+    texts += [f"{t} the shared passage of a license that many documents hold" for t in texts[:30]]
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_classes(texts, factor)
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_near_duplicates_of_documents(spark, sf_dir):
+    """Every pair of the given documents that is similar enough shares a class, and every class is such pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    want = brute_classes([t for _, t in rows])
+    names = {k: min(rows[i][0] for i, w in enumerate(want) if w == k) for k in set(want)}
+    assert [got[d] for d, _ in rows] == [names[w] for w in want]
+
+
+@pytest.mark.parametrize("members", [8, 2])
+def test_strays_meet_a_large_component(spark, members, monkeypatch):
+    """Blocks give the links between a large component and others, and among the others, whatever their numbers."""
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(int(rng.integers(0, 3))):
+            words[int(rng.integers(0, 60))] = f"x{rng.integers(0, 99)}"
+        rows.append((i, " ".join(words)))
+    sh, tf, at = neardup.shingles(pa.array([t for _, t in rows]))
+    factor = np.ones(neardup.CELLS, np.float32)
+    part = lambda i: (sh[at[i] : at[i + 1]], tf[at[i] : at[i + 1]].astype(np.float32))
+    component = [0 if i < 30 else i // 3 for i in range(40)]
+    table = spark.createDataFrame([(i, [7] * neardup.BANDS, sh[at[i] : at[i + 1]].tobytes(), b"") for i in range(40)], "id long, keys array<long>, sh binary, tf binary")
+    rest = spark.createDataFrame([(7, i, 40, 0, 1, 2, c) for i, c in enumerate(component)], "key long, id long, n long, l0 long, l1 long, l2 long, component long")
+    got = {(r["a"], r["b"]) for r in neardup._in_blocks(rest, table, factor, 0.7).collect()}
+    want = {(i, j) for j in range(3, 40) for i in range(3, j) if component[i] != component[j] and neardup.similarity(*part(i), *part(j), factor) >= 0.7}
+    assert got == want and want
 
 
 def test_near_duplicate_edges(spark, edge, nothing):
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(edge).collect()}
     assert got[4] == got[50] == got[51] == 4 and all(got[d] == d for d in (0, 1, 2, 3, 5, 6, 7, 8, 9))
     assert neardup.classes(edge).count() == edge.count() and neardup.classes(nothing).count() == 0
+    # an id with two texts: each row goes with its text
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "pqr"]
+    both = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1] + " end"), (4, texts[2]), (4, texts[2])], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in neardup.classes(both).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
     ids = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "a b c")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in neardup.classes(ids).collect()) == [(-1, -1), (-1, -1), (7, 7)]
 
