@@ -34,7 +34,7 @@ KINDS = {1: "B", 3: "H", 4: "I"}
 #: Samples in a row, rows in a strip and in a page of a stored payload.
 LINE, STRIP_ROWS, PAGE_ROWS = 64, 1024, 16384
 #: How a text may be stored: compression, predictor, and the side of a tile (0: strips).
-FORMS = [(DEFLATE, 1, 0), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, 32), (DEFLATE, 1, 32)]
+FORMS = [(DEFLATE, 1, 0), (LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 1, 32), (DEFLATE, 1, 32)]
 #: Samples of one page at most; a directory that claims more is taken as broken.
 MOST_SAMPLES = 1 << 30
 
@@ -146,7 +146,7 @@ def to_pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def packed(data: bytes, compression: int, level: int = 1) -> bytes:
+def packed(data: bytes, compression: int, level: int = 4) -> bytes:
     if compression == NONE:
         return data
     if compression == DEFLATE:
@@ -241,7 +241,7 @@ def _differences(image: np.ndarray) -> np.ndarray:
     return np.diff(image, axis=1, prepend=np.zeros((len(image), 1), np.uint8)).astype(np.uint8)
 
 
-def written(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: int = 0, level: int = 1) -> bytes:
+def written(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, strip_rows: int = STRIP_ROWS, tile: int = 0, level: int = 4) -> bytes:
     """A file of grey pages, in strips or in square tiles."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for image in images:
