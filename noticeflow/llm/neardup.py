@@ -2,10 +2,12 @@
 
 Equal texts are one text. A text is the multiset of its runs of five words
 (lower case, split at ASCII marks; fewer words: the one run of all); a shingle
-weighs (1 + ln tf) x idf, idf = ln(1 + n / df) / ln(1 + n). n and df count texts up to
-copies: a text counts one over the number of texts with the same sketch (its smallest
-shingle under two orders), so that a group of thousands of near copies doesn't make
-its own words common. All counts are kept in 2**20 hashed cells less their mean load.
+weighs (1 + ln tf) x idf. The idf is FLOOR + (1 - FLOOR) x ln(1 + n / df) / ln(1 + sqrt n),
+at most 1: runs in fewer than sqrt n texts are rare, those in all texts weigh about
+FLOOR. n and df count texts up to copies: a text counts one over the number of texts
+with the same smallest shingle, so that a group of thousands of near copies doesn't
+make its own words common. All counts are kept in 2**20 hashed cells less their mean
+load.
 Improved consistent weighted sampling draws BANDS x ROWS samples of each text, equal
 with a probability of the weighted Jaccard similarity; texts that share a band are
 candidates, and links are candidates whose weighted Jaccard similarity reaches
@@ -35,7 +37,7 @@ from .components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
-CELLS = 1 << 20
+CELLS, FLOOR = 1 << 20, 0.25
 #: A text's part in the counts is a whole number of 1 / PARTS.
 PARTS = 1 << 12
 #: Shingles sampled at a time; texts of a bucket in one block.
@@ -91,12 +93,8 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number of each text that has shingles: its smallest shingle, and its smallest under another order."""
-    full = at[:-1][np.diff(at) > 0]
-    if len(full) == 0:
-        return np.zeros(0, np.uint64)
-    other = np.minimum.reduceat(sh * np.uint32(0x9E3779B1) ^ (sh >> np.uint32(15)), full)
-    return _mix((sh[full].astype(np.uint64) << np.uint64(32)) | other)
+    """One number of each text that has shingles, by its smallest shingle."""
+    return _mix(sh[at[:-1][np.diff(at) > 0]].astype(np.uint64))
 
 
 def _shingle_rows(batches):
@@ -144,9 +142,9 @@ def parts(sketch: np.ndarray, alike: np.ndarray) -> np.ndarray:
 
 
 def idf(cells: np.ndarray, texts: float) -> np.ndarray:
-    """Factor of each cell: 1 for shingles of one text, least for those in all texts."""
+    """Factor of each cell: 1 for rare shingles, about FLOOR for those in all texts."""
     df = np.clip(_less_load(cells), 1, max(1.0, texts))
-    return (np.log1p(texts / df) / np.log1p(max(1.0, texts))).astype(np.float32).clip(max=1)
+    return (FLOOR + (1 - FLOOR) * (np.log1p(texts / df) / np.log1p(max(1.0, texts) ** 0.5)).clip(max=1)).astype(np.float32)
 
 
 def factors(texts: DataFrame) -> np.ndarray:

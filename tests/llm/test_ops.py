@@ -638,7 +638,8 @@ def brute_similarity(texts):
     for t, p in zip(terms, part, strict=True):
         for g in t:
             df[g] += p
-    weight = [{g: (1 + np.log(k)) * min(1, np.log1p(n / max(1, df[g])) / np.log1p(max(1, n))) for g, k in t.items()} for t in terms]
+    rare = lambda d: min(1, np.log1p(n / max(1, d)) / np.log1p(max(1, n) ** 0.5))
+    weight = [{g: (1 + np.log(k)) * (neardup.FLOOR + (1 - neardup.FLOOR) * rare(df[g])) for g, k in t.items()} for t in terms]
     total = [sum(w.values()) for w in weight]
     for i, a in enumerate(weight):
         for j in range(i):
