@@ -77,12 +77,6 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_chat": op2_chat,
@@ -94,7 +88,6 @@ QUERIES = {
     "op8_ids": op8_ids,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
