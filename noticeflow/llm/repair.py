@@ -3,8 +3,8 @@
 Documents in ascending order of their ids are encoded and gathered into blocks of
 about BLOCK ids. In each block pairs of neighbouring symbols that occur LEAST times or
 more are replaced by new symbols, the most frequent of overlapping pairs first, round
-after round until no such pair is left, never across documents. A rule costs about as
-much as LEAST / 2 places save, so rarer pairs stay. The block keeps the rules, the
+after round until no such pair is left, never across documents. A rule takes about as
+many bytes as five places save, so rarer pairs stay. The block keeps the rules, the
 length each expands to, the symbols, and where each document begins. A document, or a
 stretch of it, is decoded from its own symbols alone: expansion lengths lead by binary
 search to the symbols that cover the stretch.
@@ -35,7 +35,7 @@ from .pieces import WordPieces, encoder, gather
 
 MAGIC, HEAD = b"NFGRAM\0\0", "<6I"
 #: Ids of a block about; occurrences from which a pair is frequent; ids that `read` decodes by random access.
-BLOCK, LEAST, TAIL = 1 << 20, 6, 64
+BLOCK, LEAST, TAIL = 1 << 20, 10, 64
 
 
 def _every_other(place: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -181,18 +181,33 @@ class Block:
         size = lens[self.symbols]
         return gather(flat, starts[self.symbols], size), np.concatenate([[0], np.cumsum(size)])[self.starts]
 
-    def range(self, doc: int, begin: int = 0, end: int | None = None) -> np.ndarray:
-        """Ids begin..end of the doc-th document; only the symbols that cover them are expanded."""
+    def ranges(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids begin[i]..end[i] of the block for each i, one after another, and where each begins; only the symbols that cover them are expanded."""
         flat, starts, lens = self.expansions()
-        symbols = self.symbols[self.starts[doc] : self.starts[doc + 1]]
-        ends = np.cumsum(lens[symbols])
-        total = int(ends[-1]) if len(ends) else 0
-        end = total if end is None else min(end, total)
-        if begin >= end:
-            return flat[:0]
-        a, b = int(np.searchsorted(ends, begin, side="right")), int(np.searchsorted(ends, end)) + 1
-        skip = begin - (int(ends[a - 1]) if a else 0)
-        return gather(flat, starts[symbols[a:b]], lens[symbols[a:b]])[skip : skip + end - begin]
+        ends = np.cumsum(lens[self.symbols])
+        some = end > begin
+        a = np.searchsorted(ends, begin, side="right")
+        b = np.where(some, np.searchsorted(ends, end) + 1, a)
+        which = gather(self.symbols, a, b - a)
+        size = lens[which]
+        ids = gather(flat, starts[which], size)
+        # where each range's symbols begin among all expanded, and what of the first one lies before the range
+        piece = np.concatenate([[0], np.cumsum(size)])[np.cumsum(b - a) - (b - a)]
+        before = np.where(some, begin - (ends - lens[self.symbols])[np.minimum(a, max(len(ends) - 1, 0))], 0) if len(ends) else np.zeros(len(begin), np.int64)
+        length = np.maximum(end - begin, 0)
+        return gather(ids, piece + before, length), np.concatenate([[0], np.cumsum(length)])
+
+    def range(self, doc: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Ids begin..end of the doc-th document."""
+        at = self.bounds()
+        low, high = int(at[doc]), int(at[doc + 1])
+        end = high if end is None else min(low + end, high)
+        return self.ranges(np.array([low + begin]), np.array([max(end, low + begin)]))[0]
+
+    def bounds(self) -> np.ndarray:
+        """Where each document's ids begin, and the end."""
+        lens = self.expansions()[2]
+        return np.concatenate([[0], np.cumsum(lens[self.symbols])])[self.starts]
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -246,7 +261,9 @@ def read(spark, path: str, id_col: str = "doc_id") -> DataFrame:
                 view, bounds = memoryview(np.ascontiguousarray(ids, dtype="<u4")), at.tolist()
                 crc = [zlib.crc32(view[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 n, size = len(crc), np.diff(at)
-                tail = [zlib.crc32(one.range(k, max(0, m - TAIL), m).astype("<u4").tobytes()) for k, m in enumerate(size.tolist())]
+                last, cut = one.ranges(np.maximum(at[1:] - TAIL, at[:-1]), at[1:])
+                ends, cut = memoryview(np.ascontiguousarray(last, dtype="<u4")), cut.tolist()
+                tail = [zlib.crc32(ends[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(one.doc_ids), pa.array(at[:-1]), pa.array(size), pa.array(crc, pa.int64()), pa.array(tail, pa.int64())], names=["part", "block", "id", "within", "n_tokens", "ids_crc32", "tail_crc32"])
 
     docs = blocks.select("part", "block", "body").mapInArrow(run, "part int, block int, id long, within long, n_tokens long, ids_crc32 long, tail_crc32 long")
