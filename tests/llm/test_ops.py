@@ -736,29 +736,3 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | dict.fromkeys((100, 101, 102, 103), 100)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-# --- pipeline --------------------------------------------------------------
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline as pipe
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = docs
-    for name, stage in pipe.STAGES[:-1]:
-        after = stage(spark, at, sf_dir)
-        assert after.columns == docs.columns, name
-        kept = after.select("doc_id").distinct().count()
-        assert 0 < kept <= at.count()
-        at = spark.createDataFrame(after.toPandas(), docs.schema)
-    packed = pipe.run(spark, sf_dir).toPandas()
-    assert set(packed.doc_id) == {r["doc_id"] for r in at.select("doc_id").collect()}
-
-
-def test_pipeline_edges(spark, edge, nothing, sf_dir):
-    import corpus_pipeline as pipe
-
-    for docs in (edge, nothing):
-        for _, stage in pipe.STAGES:
-            assert stage(spark, docs, sf_dir).count() <= docs.count() * 100
