@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 The lengths are reduced to a histogram, which no input makes larger than
-capacity x salts. The configuration linear program over it (least number of
+capacity x MOST_SALTS. The configuration linear program over it (least number of
 sequences, each filled by a combination of lengths, every length used up) gets its
 columns by multiplicative weights: a length that the proposed configurations use too
 much loses weight, one that they neglect gains, and a knapsack dynamic program prices,
@@ -35,8 +35,8 @@ from .common import slices, stored
 from .pieces import WordPieces, encoder
 
 CAPACITY = 2048
-#: Windows over which the rows of one length are ranked.
-SALTS = 32
+#: Windows over which the rows of one length are ranked: at least and at most so many, one for so many rows.
+LEAST_SALTS, MOST_SALTS, SALT_ROWS = 32, 256, 1 << 20
 #: Rates of the weights, and whether they begin with the heaviest weights or with the lengths, tried in this order; pricings of one program; steps of the amounts; programs at most.
 TRIES, PRICINGS, STEPS, PROGRAMS = ((2e-3, False), (2e-3, True), (0.5, True)), 10, 60, 30
 #: What a configuration's value may lack to the best, in programs that place ever less.
@@ -297,10 +297,11 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int |
     Returns one row per piece: id_col, piece, start, length, ids_crc32,
     sequence_id, offset. Only documents longer than a sequence are cut.
     """
-    salt = F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")
-    pieces = stored(cut(df, tokenizer, capacity, end_id, id_col, text_col).withColumn("salt", salt), "packing")
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity x SALTS rows
+    pieces = stored(cut(df, tokenizer, capacity, end_id, id_col, text_col), "packing")
+    salts = int(np.clip(pieces.count() // SALT_ROWS, LEAST_SALTS, MOST_SALTS))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = np.zeros((capacity + 1, salts), np.int64)
+    for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity x MOST_SALTS rows
         counts[row["length"], row["salt"]] = row["count"]
     groups, _, _ = plan(counts.sum(1), capacity)
     places = Places(groups, capacity)
