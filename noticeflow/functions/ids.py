@@ -29,9 +29,19 @@ def law_for_number(number: Column | str) -> Column:
     return F.when(n.rlike(r"^\d{11}$"), "223-ФЗ").when(n.rlike(r"^\d{19,20}$"), "44-ФЗ")
 
 
+def law_by_label(number: Column | str, text: Column | str) -> Column:
+    """The law that a text names, 44-ФЗ first, else that of the number's digits: 19, or 11 that begin with 3."""
+    n, t = F.regexp_replace(F.coalesce(col(number), F.lit("")), r"\D", ""), F.lower(F.coalesce(col(text), F.lit("")))
+    return F.when(F.contains(t, F.lit("44-фз")) | (F.length(n) == 19), "44-ФЗ").when(F.contains(t, F.lit("223-фз")) | n.rlike(r"^3\d{10}$"), "223-ФЗ")
+
+
+#: Fixed value: the label, with its colon, before an official number of 19 or 20 digits or of 11 that begin with 3.
+OFFICIAL_NUMBER = r"(?U)(?<!\w)закупка\s*:\s*(?:№\s*)?(\d{19,20}|3\d{10})(?!\d)"
+
+
 def official_numbers(x: Column | str) -> Column:
-    """Different numbers that follow `закупка:`, of 19 or 20 digits or 3 and 10."""
-    return F.array_distinct(F.regexp_extract_all(normalize(x), F.lit(r"закупк[аи]\s*:?\s*№?\s*(\d{19,20}|3\d{10})(?!\d)"), F.lit(1)))
+    """Different numbers that follow the label `закупка:`."""
+    return F.array_distinct(F.regexp_extract_all(normalize(x), F.lit(OFFICIAL_NUMBER), F.lit(1)))
 
 
 def one_official(x: Column | str) -> tuple[Column, Column]:
@@ -40,14 +50,20 @@ def one_official(x: Column | str) -> tuple[Column, Column]:
     return F.when(F.size(numbers) == 1, numbers[0]), F.size(numbers) > 1
 
 
+#: Words of names that mark-up splits before their ending, and those endings.
+SPLIT_WORDS = ("РЕСПУБЛИК", "ОБЛАСТ", "СЕВАСТОПОЛ", "ЗАПОРОЖСК", "КРЫМСК")
+SPLIT_ENDINGS = ("И", "Я", "ОЙ", "ИЙ")
+
+
 def clean_org(x: Column | str) -> Column:
-    """Single blanks; endings that a line break cut off rejoin their word."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(x), r"(?U)(\p{L})-\s+(\p{Ll})", "$1$2"), r"(?U)\s+", " "))
+    """Single blanks; endings that mark-up cut off rejoin their word."""
+    single = F.trim(F.regexp_replace(col(x), r"(?U)\s+", " "))
+    return F.regexp_replace(single, rf"(?iU)\b({'|'.join(SPLIT_WORDS)}) ({'|'.join(SPLIT_ENDINGS)})\b", "$1$2")
 
 
 #: Letters of the Cyrillic alphabet and what they become.
 PLAIN_FROM, PLAIN_TO = "абвгдезийклмнопрстуфыэ", "abvgdeziyklmnoprstufye"
-LONG = (("ё", "e"), ("ж", "zh"), ("х", "h"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ъ", ""), ("ь", ""), ("ю", "yu"), ("я", "ya"))
+LONG = (("ё", "e"), ("ж", "zh"), ("х", "h"), ("ц", "c"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ъ", ""), ("ь", ""), ("ю", "yu"), ("я", "ya"))
 
 
 def source_slug(x: Column | str) -> Column:
@@ -75,8 +91,14 @@ def normalize_email(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.coalesce(col(x), F.lit(""))), r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", 0), F.lit(""))
 
 
-def is_system_email(x: Column | str, names: tuple[str, ...] = ("noreply", "no-reply", "donotreply", "mailer-daemon", "postmaster")) -> Column:
-    return F.split_part(F.coalesce(col(x), F.lit("")), F.lit("@"), F.lit(1)).isin(*names)
+#: Names and domains of addresses that no person reads.
+SYSTEM_NAMES = ("noreply", "no-reply", "donotreply", "donot-reply", "do-notreply", "do-not-reply", "mailer-daemon", "postmaster", "root")
+SYSTEM_DOMAINS = ("example.com", "example.net", "example.org", "invalid", "localhost")
+
+
+def is_system_email(x: Column | str, names: tuple[str, ...] = SYSTEM_NAMES, domains: tuple[str, ...] = SYSTEM_DOMAINS) -> Column:
+    parts = F.split(F.lower(F.coalesce(col(x), F.lit(""))), "@")
+    return (F.size(parts) > 1) & (parts[0].isin(*names) | F.element_at(parts, -1).isin(*domains))
 
 
 def digits(x: Column | str, lengths: tuple[int, ...]) -> Column:

@@ -41,9 +41,11 @@ def stems(tokens: Column) -> Column:
 def parse_price(x: Column | str, require_currency: bool = True) -> Column:
     """Roubles as a number: comma is the decimal point where there is one; millions and thousands are multiplied out."""
     t = normalize(x)
-    found = F.regexp_extract(t, r"\d[\d\s.,]*\d", 0)
-    plain = F.replace(found, F.lit(" "), F.lit(""))
-    number = F.when(F.contains(plain, F.lit(",")), F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(plain)
+    # runs of digits, blanks and separators, from a digit to a digit; a single digit is no price
+    runs = F.transform(F.regexp_extract_all(t, F.lit(r"[0-9][0-9\s.,]*"), F.lit(0)), lambda r: F.rtrim(r, F.lit(" .,")))
+    found = F.coalesce(F.get(F.filter(runs, lambda r: F.length(r) > 1), F.lit(0)), F.lit(""))
+    parts = F.split(F.translate(found, " ", ""), ",")
+    number = F.when(F.size(parts) > 1, F.array_join(F.transform(parts, lambda p: F.translate(p, ".", "")), ".")).otherwise(parts[0])
     tail = F.substring(t, F.instr(t, found) + F.length(found), F.length(t))
     times = F.when(tail.rlike(r"^\s*млн"), 1_000_000.0).when(tail.rlike(r"^\s*тыс"), 1_000.0).otherwise(1.0)
     foreign = F.contains(t, F.lit("$")) | F.contains(t, F.lit("usd")) | F.contains(t, F.lit("без указания цены"))

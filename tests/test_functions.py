@@ -39,12 +39,28 @@ def test_month_name(spark, value, want):
     assert one(spark, value, lambda x: F.date_format(text.parse_month_name(x, now), "yyyy-MM-dd HH:mm")) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [("закупка: 0123456789012345678 и закупка: 0123456789012345678", ["0123456789012345678"]), ("Закупка № 31234567890", ["31234567890"]), ("номер 0123456789012345678", [])])
+@pytest.mark.parametrize(("value", "want"), [("закупка: 0123456789012345678 и закупка: 0123456789012345678", ["0123456789012345678"]), ("Закупка: № 31234567890", ["31234567890"]), ("Закупка № 31234567890", []), ("перезакупка: 31234567890", []), ("закупки: 31234567890", []), ("закупка : 81234567890", []), ("номер 0123456789012345678", [])])
 def test_official_numbers(spark, value, want):
     assert one(spark, value, ids.official_numbers) == want
 
 
-@pytest.mark.parametrize(("value", "want"), [("Площадка «Щит» №1", "ploschadka-schit-1"), ("  a__b ", "a-b")])
+@pytest.mark.parametrize(("value", "want"), [("АДМИНИСТРАЦИЯ РЕСПУБЛИК  И КРЫМ", "АДМИНИСТРАЦИЯ РЕСПУБЛИКИ КРЫМ"), ("Завод Запорожск ой области", "Завод Запорожской области"), ("Отдел и Ко", "Отдел и Ко"), ("X- y", "X- y")])
+def test_clean_org(spark, value, want):
+    assert one(spark, value, ids.clean_org) == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("root@x.ru", True), ("do-not-reply@x.ru", True), ("a@example.com", True), ("a@localhost", True), ("a@my.example.com", False), ("roots@x.ru", False), (None, False), ("root", False)])
+def test_system_email(spark, value, want):
+    assert one(spark, value, ids.is_system_email) == want
+
+
+@pytest.mark.parametrize(("number", "label", "want"), [("1" * 19, "223-ФЗ", "44-ФЗ"), ("3" + "1" * 10, None, "223-ФЗ"), ("8" + "1" * 10, "по 223-фз", "223-ФЗ"), ("8" + "1" * 10, "", None), (None, "44-ФЗ и 223-ФЗ", "44-ФЗ")])
+def test_law_by_label(spark, number, label, want):
+    df = spark.createDataFrame([(number, label)], "n string, t string")
+    assert df.select(ids.law_by_label("n", "t")).first()[0] == want
+
+
+@pytest.mark.parametrize(("value", "want"), [("Площадка «Щит» №1", "ploschadka-schit-1"), ("Цех", "ceh"), ("  a__b ", "a-b")])
 def test_slug(spark, value, want):
     assert one(spark, value, ids.source_slug) == want
 
