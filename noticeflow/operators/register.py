@@ -31,7 +31,8 @@ def _value(kind: str, x: Column) -> Column:
     return blank_null(x) if kind == "string" else x
 
 
-def _ruled(rule: str, kind: str, new: Column, old: Column, unverified: Column) -> Column:
+def ruled(rule: str, kind: str, new: Column, old: Column, unverified: Column) -> Column:
+    """What a column holds after a new value, by its rule."""
     if rule == "filled":
         return F.coalesce(_value(kind, new), old)
     if rule == "kept":
@@ -73,8 +74,8 @@ def upsert(register: DataFrame, batch: DataFrame, rules: Mapping[str, str], key:
         elif c not in register.columns:
             out.append(F.col(f"n.{c}").alias(c))
         else:
-            ruled = _ruled(rules.get(c, "overwrite"), kinds[c], F.col(f"n.{c}"), F.col(f"o.{c}"), doubt) if c in rules else F.col(f"n.{c}")
-            out.append(F.when(there, ruled).otherwise(F.col(f"o.{c}")).alias(c))
+            merged = ruled(rules.get(c, "overwrite"), kinds[c], F.col(f"n.{c}"), F.col(f"o.{c}"), doubt) if c in rules else F.col(f"n.{c}")
+            out.append(F.when(there, merged).otherwise(F.col(f"o.{c}")).alias(c))
     if seen is not None and seen_col not in register.columns and seen_col not in batch.columns:
         out.append(F.when(there, seen).alias(seen_col))
     return joined.select(*out)

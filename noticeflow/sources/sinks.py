@@ -8,6 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other failure to read is an error."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").option("pathGlobFilter", "no-such-file").load(path).schema  # noqa: B018
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def notices_json(df: DataFrame) -> DataFrame:
     """One JSON text per notice: prices that are no finite number become null, times ISO seconds."""
     out = []
@@ -37,16 +50,25 @@ def write_case_csv(df: DataFrame, path: str, keep: Column) -> None:
     df.where(keep).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
 
 
+def _last_version(spark: SparkSession, table: str) -> tuple[int, str | None]:
+    if not exists(spark, f"{table}/pointer"):
+        return -1, None
+    last = spark.read.schema("number long, version string").json(f"{table}/pointer").orderBy(F.desc("number"), F.desc("version")).limit(1).first()
+    return (-1, None) if last is None else (last["number"], last["version"])
+
+
 def publish(df: DataFrame, table: str) -> str:
-    """Writes a new version beside the old ones, then points to it; readers see the old or the new version, never a part."""
-    version = f"version={uuid.uuid4().hex}"
+    """Writes a new version beside the old ones, then points to it by the next number; readers see the old or the new version, never a part."""
+    spark, version = df.sparkSession, f"version={uuid.uuid4().hex}"
+    number = _last_version(spark, table)[0] + 1
     df.write.parquet(f"{table}/{version}")
-    spark = df.sparkSession
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{table}/pointer")
+    spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{table}/pointer")
     return version
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The version that was pointed to last."""
-    last = spark.read.schema("version string, at timestamp").json(f"{table}/pointer").orderBy(F.desc("at")).limit(1).first()
-    return spark.read.parquet(f"{table}/{last['version']}")
+    version = _last_version(spark, table)[1]
+    if version is None:
+        raise ValueError(f"{table} has no published version")
+    return spark.read.parquet(f"{table}/{version}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,11 +60,13 @@ def ingest(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint:
     query.awaitTermination()
 
 
-def retry(spark: SparkSession, rejects: DataFrame) -> DataFrame:
-    """Reads all failed files again: members, or the error that they still have."""
-    paths = [r["path"] for r in rejects.select("path").distinct().toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], ENTRY)
-    return unpacked(spark.read.format("binaryFile").load(paths).select("path", "content"))
+def retry(spark: SparkSession, rejects: DataFrame, block: int = 1000) -> Iterator[DataFrame]:
+    """Reads all failed files again, a block of paths at a time: members, or the error that they still have.
+
+    The driver holds the paths of one block; the caller writes each block before the next.
+    """
+    paths = (r["path"] for r in rejects.select("path").distinct().toLocalIterator())
+    while part := list(islice(paths, block)):
+        yield unpacked(spark.read.format("binaryFile").load(part).select("path", "content"))
 
 
