@@ -24,7 +24,7 @@ def build_dictionary(profile: DataFrame, defaults: DataFrame, required: DataFram
 
 def regional_queries(terms: DataFrame, regions: DataFrame) -> DataFrame:
     """Every term with every region; both are small rule tables."""
-    return terms.select("term").distinct().crossJoin(F.broadcast(regions.select("region").distinct())).select(F.concat_ws(" ", "term", "region").alias("query"))
+    return terms.select("term").distinct().crossJoin(regions.select("region").distinct()).select(F.concat_ws(" ", "term", "region").alias("query"))
 
 
 def active_rows(df: DataFrame, keys: Sequence[str], flag: str = "active", order: str = "seq") -> DataFrame:
@@ -41,7 +41,7 @@ def document_evidence(docs: DataFrame, dictionary: DataFrame, stops: DataFrame,
     """Per document: terms (in the dictionary's order), stop terms and region that it holds."""
     t = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     pairs = match_terms(t, dictionary.select("term").union(stops.select("term")).distinct(), id_col, "_text")
-    ranked = lambda table, o, name: pairs.join(F.broadcast(table.select(normalize("term").alias("term"), F.col(o).alias("_o")).groupBy("term").agg(F.min("_o").alias("_o"))), "term").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_set(F.struct("_o", "term"))), lambda x: x["term"]).alias(name))
+    ranked = lambda table, o, name: pairs.join(table.select(normalize("term").alias("term"), F.col(o).alias("_o")).groupBy("term").agg(F.min("_o").alias("_o")), "term").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_set(F.struct("_o", "term"))), lambda x: x["term"]).alias(name))
     out = docs.withColumn("region", region).select(id_col, "region").join(ranked(dictionary, "term_ord", "terms"), id_col, "left").join(ranked(stops, "ord", "stop_terms"), id_col, "left")
     none = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, none) for c in ("terms", "stop_terms")})
@@ -88,18 +88,37 @@ def completeness(cases: DataFrame, docs: DataFrame, required: Sequence[str], key
     return missing.union(law.select(key, F.lit("action"), F.lit("check_223_rules")))
 
 
+def questions(findings: DataFrame, metadata: DataFrame, by_code: Mapping[str, str], unless: Mapping[str, str], cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """Questions of each case, different ones: one per finding whose code is in by_code (or begins with a key that ends in *), and one per metadata field that the case lacks.
+
+    In a question {subject} stands for what follows the key in the code.
+    """
+    hit = []
+    for code, question in by_code.items():
+        stem = code.removesuffix("*")
+        named = F.col("code").startswith(stem) if code.endswith("*") else F.col("code") == stem
+        hit.append(F.when(named, F.replace(F.lit(question), F.lit("{subject}"), F.substring("code", len(stem) + 1, 200))))
+    asked = findings.select(key, F.coalesce(*hit).alias("question")).where("question is not null")
+    wanted = cases.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(q).alias("question")) for f, q in unless.items()])).alias("u")).select(key, "u.field", "u.question")
+    lacking = wanted.join(metadata.select(key, "field").distinct(), [key, "field"], "left_anti").select(key, "question")
+    return asked.union(lacking).distinct()
+
+
 #: Units of an item line.
 UNITS = ("шт", "компл", "комплект", "ед", "м", "кг", "л", "уп")
 
 
 def text_items(segments: DataFrame, keys: Sequence[str] = ("case_id",), units: Sequence[str] = UNITS, text: str = "text") -> DataFrame:
     """Item lines `1. name 5 шт.` of texts: keys, source, locator, line_id, name, quantity, unit."""
-    unit = "|".join(sorted(units, key=len, reverse=True))
-    pattern = rf"(?imU)^\s*(\d{{1,4}})[.)]\s+(.{{3,180}}?)\s+(\d+(?:[.,]\d+)?)\s*({unit})\.?\s*$"
-    lines = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = segments.select(*keys, "source", "locator", F.explode(lines).alias("_l"))
-    part = lambda k: F.regexp_extract("_l", pattern, k)
-    return rows.select(*keys, "source", "locator", part(1).alias("line_id"), F.trim(F.regexp_replace(part(2), r"(?U)\s+", " ")).alias("name"), F.replace(part(3), F.lit(","), F.lit(".")).alias("quantity"), part(4).alias("unit"))
+    single = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    rows = segments.select(*keys, "source", "locator", F.explode(single).alias("_l"))
+    # the number stands first, quantity and unit last, the name is what is left between
+    known = "|".join(sorted(units, key=len, reverse=True))
+    end = rf"(?iU) (\d+(?:[.,]\d+)?) ?({known})\.?$"
+    rows = rows.withColumns({"_n": F.regexp_extract("_l", r"^(\d{1,4})[.)] ", 1), "_q": F.regexp_extract("_l", end, 1), "_u": F.regexp_extract("_l", end, 2)})
+    rows = rows.withColumn("_name", F.trim(F.regexp_replace(F.regexp_replace("_l", r"^\d{1,4}[.)] ", ""), end, "")))
+    rows = rows.where((F.col("_n") != "") & (F.col("_q") != "") & F.length("_name").between(3, 180))
+    return rows.select(*keys, "source", "locator", F.col("_n").alias("line_id"), F.col("_name").alias("name"), F.translate("_q", ",", ".").alias("quantity"), F.col("_u").alias("unit"))
 
 
 def table_items(rows: DataFrame, keys: Sequence[str] = ("case_id", "table"), order: str = "row") -> DataFrame:
@@ -119,12 +138,20 @@ def table_items(rows: DataFrame, keys: Sequence[str] = ("case_id", "table"), ord
 
 
 def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: str = "seq", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Items of several documents with one line and quantity as one (the first with specs, else the first), and the groups whose names or codes differ."""
+    """Items of several documents with one line and quantity as one (the first with specs, else the first), and the groups whose names or codes differ.
+
+    A group whose first item repeats the name, quantity and source of an earlier group's first item is left out.
+    """
     group = [*keys, "line_id", "quantity"]
+    folded = F.trim(F.regexp_replace(F.lower("name"), r"[^a-zа-яё0-9]+", " "))
+    ranked = items.withColumn("_head", F.row_number().over(Window.partitionBy(*group).orderBy(seq))).where("_head = 1").withColumn("_fold", folded)
+    again = ranked.withColumn("_again", F.row_number().over(Window.partitionBy(*keys, "_fold", "quantity", "source").orderBy(seq))).where("_again > 1").select(*group)
+    items = items.join(again, group, "left_anti")
     nth = F.row_number().over(Window.partitionBy(*group).orderBy((F.coalesce("required_specs", F.lit("")) == "").cast("int"), seq))
     merged = items.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     code = r"\b\d{2}(?:\.\d{2}){2}\.\d{3}\b"
-    base = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), code, " "), r"[^a-zа-яё0-9]+", " "))
+    words = F.filter(F.split(F.regexp_replace(F.lower("name"), code, " "), r"[^a-zа-яё0-9]+"), lambda w: w != "")
+    base = F.array_join(words, " ")
     first = F.row_number().over(Window.partitionBy(*group).orderBy(seq))
     pairs = items.withColumns({"_base": base, "_codes": F.array_sort(F.array_distinct(F.regexp_extract_all("name", F.lit(code), F.lit(0)))), "_n": first})
     heads = pairs.where("_n = 1").select(*group, F.col("_base").alias("_b1"), F.col("_codes").alias("_c1"))
@@ -139,10 +166,16 @@ def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: s
 
 
 def promote_items(cases: DataFrame, items: DataFrame, candidates: DataFrame, prices: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
-    """Items from candidates for cases without any, and cases with the first start price found where they have none. prices: key, value, seq."""
+    """Items from candidates for cases without any, and cases with the first start price found where they have none. prices: key, value, seq.
+
+    A case without a number whose title is nothing but 10 to 25 digits takes these as its number, where cases have both columns.
+    """
     new = candidates.join(items.select(key).distinct(), key, "left_anti")
     first = prices.groupBy(key).agg(F.min_by("value", "seq").alias("_price"))
     out = cases.join(first, key, "left").withColumn("start_price", F.coalesce("start_price", F.col("_price").cast(cases.schema["start_price"].dataType))).drop("_price")
+    if {"title", "tender_number"} <= set(cases.columns):
+        digits = F.regexp_extract(F.trim(F.coalesce("title", F.lit(""))), r"^(\d{10,25})$", 1)
+        out = out.withColumn("tender_number", F.coalesce(F.nullif(F.trim("tender_number"), F.lit("")), F.nullif(digits, F.lit(""))))
     return items.unionByName(new, allowMissingColumns=True), out
 
 

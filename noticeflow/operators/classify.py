@@ -107,9 +107,16 @@ def resolve_region(rules: Regions, strict_sources: Sequence[str] = (), title: st
     return target, why
 
 
-def display_place(rules: Regions, *xs: Column | str) -> Column:
-    """The first region found over several texts, else the first text that is there."""
-    return F.coalesce(*[detect_region(x, rules) for x in xs], *[blank_null(x) for x in xs])
+def detect_city(x: Column | str, cities: Mapping[str, Sequence[str]]) -> Column:
+    """The first city, in the rules' order, of which a variant starts a word; longer names come first in the rules."""
+    return detect_region(x, Regions(cities))
+
+
+def display_place(rules: Regions, *xs: Column | str, labels: Mapping[str, str] | None = None, plain: Column | str | None = None) -> Column:
+    """The first region found over several texts, some under a common label, else `plain` (by default the first text that is there)."""
+    found = F.coalesce(*[detect_region(x, rules) for x in xs])
+    named = F.coalesce(*[F.when(found == k, v) for k, v in labels.items()], found) if labels else found
+    return F.coalesce(named, *([blank_null(x) for x in xs] if plain is None else [blank_null(plain)]))
 
 
 def money_text(x: Column) -> Column:

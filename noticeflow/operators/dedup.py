@@ -50,9 +50,9 @@ def official_clusters(df: DataFrame, source: str = "source", number: str = "tend
     rows = df.withColumns({"_own": number_key(number), "_off": number_key(official)})
     known = rows.where("_off is not null").select(F.col("_off").alias("_k")).distinct()
     rows = rows.join(known, rows["_own"] == known["_k"], "left").withColumn("bucket", F.coalesce("_off", "_k")).drop("_k")
-    # rows without a bucket are windows of their own, so that they don't meet in one
-    bucket = Window.partitionBy(F.coalesce("bucket", F.concat(F.lit("~"), F.col(seq).cast("string"))))
-    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(bucket), "_s": F.size(F.collect_set(normalize(source)).over(bucket)), "_least": F.min(seq).over(bucket)})
+    # a bucket is summed up before it is shuffled: its rows, its sources and the least seq
+    sums = rows.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct(normalize(source)).alias("_s"), F.min(seq).alias("_least"))
+    rows = rows.join(sums.withColumnRenamed("bucket", "_b"), F.col("bucket") == F.col("_b"), "left").drop("_b")
     small = rows.where("bucket is not null and _n <> _s").select(F.col(seq).alias("seq"), "bucket", normalize(source).alias("source"), "_own", "_off")
 
     kind = df.schema[seq].dataType.simpleString()
@@ -165,11 +165,13 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
     """
     rows = df.withColumns({"_title": title_key(title), "_day": F.to_date(deadline)})
     able = (F.col("_title") != "") & F.col("_day").isNotNull() & F.col(price).isNotNull()
-    rows = rows.withColumn("_card", F.when(able, F.concat_ws("|", "_day", "_title")).otherwise(F.concat(F.lit("~"), F.col(seq).cast("string"))))
-    by_price = Window.partitionBy("_card").orderBy(price, seq)
-    rows = rows.withColumn("_gap", (F.col(price) - F.lag(price).over(by_price) >= 1.0).cast("int")).withColumn("_band", F.sum(F.coalesce("_gap", F.lit(0))).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("_card", "_band")))
-    several = rows.where("_size > 1")
+    rows = rows.withColumn("_card", F.when(able, F.concat_ws("|", "_day", "_title")))
+    # bands depend on the different prices of a card alone, which are few where its rows are many
+    prices = rows.where("_card is not null").groupBy("_card", F.col(price).alias("_price")).agg(F.count(F.lit(1)).alias("_n"))
+    by_price = Window.partitionBy("_card").orderBy("_price")
+    prices = prices.withColumn("_gap", (F.col("_price") - F.lag("_price").over(by_price) >= 1.0).cast("int")).withColumn("_band", F.sum(F.coalesce("_gap", F.lit(0))).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = prices.withColumn("_size", F.sum("_n").over(Window.partitionBy("_card", "_band"))).where("_size > 1").select(F.col("_card").alias("_c"), "_price", "_band")
+    several = rows.join(bands, (F.col("_card") == F.col("_c")) & (F.col(price) == F.col("_price")))
     small = several.select(F.col(seq).alias("seq"), "_card", "_band", F.col("members") if "members" in df.columns else F.array(card_member(price, bucket, source, number, official)).alias("members"))
 
     def fit(batches):
@@ -189,39 +191,45 @@ def merge_clusters(df: DataFrame, cluster: str, rank: str, filled: Sequence[str]
 
     `filled` columns take the first value that is there in that order, `largest` the
     maximum, `joined` the different texts not contained in one before, a line each.
+    Aggregations only, so a large cluster is reduced before it is shuffled.
     """
-    order = Window.partitionBy(cluster).orderBy(F.desc(rank), seq)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct((-F.col(rank)).alias("r"), F.col(seq).alias("s"))
     kinds = dict(df.dtypes)
     value = lambda c: blank_null(c) if kinds[c] == "string" else F.col(c)
-    # a text that repeats is gathered once
-    out = df.withColumns({f"_d_{c}": F.row_number().over(Window.partitionBy(cluster, c).orderBy(F.desc(rank), seq)) for c in joined})
-    out = out.withColumn("_nth", F.row_number().over(order))
-    out = out.withColumns({f"_f_{c}": F.first(value(c), ignorenulls=True).over(whole) for c in filled} | {f"_f_{c}": F.max(c).over(whole) for c in largest} | {f"_f_{c}": F.collect_list(F.when(F.col(f"_d_{c}") == 1, value(c))).over(whole) for c in joined})
-    out = out.where("_nth = 1")
-    texts = lambda c: F.aggregate(f"_f_{c}", F.lit(""), lambda acc, t: F.when(acc == "", t).when(F.contains(acc, t), acc).when(F.contains(t, acc), t).otherwise(F.concat(acc, F.lit("\n"), t)))
-    new = {c: F.col(f"_f_{c}") for c in [*filled, *largest]} | {c: texts(c) for c in joined}
-    return out.withColumns(new).select(*df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found = [F.min_by(value(c), F.when(value(c).isNotNull(), place)).alias(f"_f_{c}") for c in filled] + [F.max(c).alias(f"_f_{c}") for c in largest]
+    out = df.groupBy(F.col(cluster).alias("_k")).agg(F.min_by(row, place).alias("_row"), *found)
+    for c in joined:
+        # a text that repeats is gathered once, at its first place
+        each = df.where(value(c).isNotNull()).groupBy(F.col(cluster).alias("_k"), F.col(c).alias("_t")).agg(F.min(place).alias("_p"))
+        texts = each.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias(f"_f_{c}"))
+        out = out.join(texts, "_k", "left")
+    lines = lambda c: F.aggregate(F.transform(F.coalesce(f"_f_{c}", F.array().cast(dict(out.dtypes)[f"_f_{c}"])), lambda x: x["_t"]), F.lit(""), lambda acc, t: F.when(acc == "", t).when(F.contains(acc, t), acc).when(F.contains(t, acc), t).otherwise(F.concat(acc, F.lit("\n"), t)))
+    new = {c: F.col(f"_f_{c}") for c in [*filled, *largest]} | {c: lines(c) for c in joined}
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def latest_versions(df: DataFrame, key: str = "tender_number", published: str = "published_at", seq: str = "seq", filled: Sequence[str] = (), largest: Sequence[str] = (), title: str = "title", placeholder: str = "") -> DataFrame:
     """The newest version per number (ties: the later), with gaps filled from older ones and a placeholder title replaced by a real one."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(published), F.desc(seq))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # of structs the one with a date is greater than that without
+    place = F.struct(F.col(published).alias("p"), F.col(seq).alias("s"))
     kinds = dict(df.dtypes)
     value = lambda c: blank_null(c) if kinds[c] == "string" else F.col(c)
-    real = F.first(F.when(F.col(title) != placeholder, F.col(title)), ignorenulls=True).over(whole)
-    new = {f"_f_{c}": F.first(value(c), ignorenulls=True).over(whole) for c in filled} | {f"_f_{c}": F.max(c).over(whole) for c in largest} | {f"_f_{title}": F.coalesce(real, F.col(title))}
-    out = df.withColumns(new).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return out.withColumns({c[3:]: F.col(c) for c in new}).select(*df.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found = [F.max_by(value(c), F.when(value(c).isNotNull(), place)).alias(f"_f_{c}") for c in filled] + [F.max(c).alias(f"_f_{c}") for c in largest]
+    out = df.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, place).alias("_row"), F.max_by(title, F.when(F.col(title) != placeholder, place)).alias("_real"), *found)
+    new = {c: F.col(f"_f_{c}") for c in [*filled, *largest]}
+    new.setdefault(title, F.coalesce("_real", F.col("_row")[title]))
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def deduplicate(df: DataFrame, rank: Column, region_bucket: Column, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Clusters by official number, then by exact card among their merged rows, merged to one row each."""
     ranked = cut_lineage(df.drop("cluster").withColumn("_rank", rank).withColumn("region_bucket", region_bucket))
-    clustered = official_clusters(ranked, seq=seq)
-    clustered = clustered.withColumn("members", F.collect_list(card_member()).over(Window.partitionBy("cluster")))
-    first = cut_lineage(merge_clusters(clustered, "cluster", "_rank", filled, largest, joined, seq).drop("cluster"))
+    clustered = cut_lineage(official_clusters(ranked, seq=seq))
+    # a cluster by official number holds a row per source at most
+    members = clustered.groupBy("cluster").agg(F.collect_list(card_member()).alias("members"))
+    first = cut_lineage(merge_clusters(clustered, "cluster", "_rank", filled, largest, joined, seq).join(members, "cluster").drop("cluster"))
     out = merge_clusters(card_clusters(first, seq=seq), "cluster", "_rank", filled, largest, joined, seq)
     return out.drop("cluster", "_rank", "region_bucket", "members")
 

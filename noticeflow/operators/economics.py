@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -79,7 +79,7 @@ def decide(totals: DataFrame, risks: DataFrame | None = None) -> DataFrame:
     return out.withColumns({"reason": F.when(down, "open_risks").otherwise(F.col("reason")), "decision": F.when(down, "manual_review").otherwise(F.col("decision"))}).drop("_risk")
 
 
-def case_risks(cases: DataFrame, lines: DataFrame, expenses: DataFrame, tolerated_days: int = 30) -> DataFrame:
+def case_risks(cases: DataFrame, lines: DataFrame, expenses: DataFrame, tolerated_days: int = 14) -> DataFrame:
     """case_id, n, kind (risk or question), text: different ones in the order of rules, then lines."""
     paid = lambda what: expenses.where((F.col("category") == what) & F.col("confirmed") & (F.col("amount_gross") > 0)).select("case_id").distinct()
     rows = lambda df, rule, kind, text, n=F.lit(0): df.select("case_id", F.lit(rule).alias("rule"), n.cast("long").alias("line"), F.lit(kind).alias("kind"), text.alias("text"))
@@ -149,3 +149,39 @@ def tax_scenarios(totals: DataFrame, lines: DataFrame, expenses: DataFrame, scen
         F.when(F.col("tax").isNotNull(), (F.col("profit") - F.col("tax")).cast(MONEY)).alias("profit_after_tax"),
         F.when(F.col("cost") > 0, F.bround(F.col("profit") / F.col("cost"), 4).cast("decimal(18,4)")).alias("profit_rate"),
     )
+
+
+#: What a line without an offer shows; the levels of the bidding table and what each means.
+NOT_FOUND = ("НЕ НАЙДЕН", "not_found", "Требуется поиск товара")
+LEVELS = (("target", "Цель 30%", "Рабочая цель торгов"), ("viable", "Рабочий порог 15%", "Ниже — только ручное решение"), ("floor", "Жесткий порог 12%", "Ниже не торговаться"))
+
+
+def summary_positions(lines: DataFrame) -> DataFrame:
+    """A row per line of each case: what is asked for and the offer chosen, or that none was found.
+
+    lines: those of case_lines; offer columns that are missing are null.
+    """
+    offer = lambda c: F.col(f"offer_{c}") if f"offer_{c}" in lines.columns else F.lit(None).cast("string")
+    own = lambda c: F.col(c) if c in lines.columns else F.lit(None).cast("string")
+    some = F.col("offer_unit_cost_gross").isNotNull()
+    return lines.select(
+        "case_id", "line_id", own("name").alias("name"), "quantity", own("unit").alias("unit"), own("required_specs").alias("required_specs"), offer("supplier").alias("supplier"), offer("sku").alias("sku"),
+        F.when(some, offer("product_name")).otherwise(NOT_FOUND[0]).alias("product_name"), F.when(some, offer("compliance_status")).otherwise(NOT_FOUND[1]).alias("compliance_status"),
+        F.col("offer_unit_cost_gross").alias("unit_cost_gross"), "total_cost_gross", offer("stock").alias("stock"), offer("lead_days").alias("lead_days"), offer("evidence").alias("evidence"),
+        F.when(some, offer("notes")).otherwise(NOT_FOUND[2]).alias("notes"),
+    )
+
+
+def summary_offers(offers: DataFrame) -> DataFrame:
+    """All offers of all cases in the order of a report: rank within the line by cost, then seq, and whether it is the line's choice."""
+    nth = F.row_number().over(Window.partitionBy("case_id", "line_id").orderBy("unit_cost_gross", "seq"))
+    chosen = select_offers(offers).select("case_id", "line_id", F.col("seq").alias("_chosen"))
+    rows = offers.withColumn("rank", nth).join(chosen, ["case_id", "line_id"], "left")
+    return rows.withColumn("chosen", F.coalesce(F.col("seq") == F.col("_chosen"), F.lit(False))).drop("_chosen")
+
+
+def summary_thresholds(totals: DataFrame) -> DataFrame:
+    """Three rows per case: level, threshold price, the reduction from the start price and its share (null without one), and what the level means."""
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("level"), F.col(f"{name}_price").alias("threshold"), F.col(f"{name}_discount").alias("discount"), F.lit(why).alias("meaning")) for k, (name, label, why) in enumerate(LEVELS)]))
+    rows = totals.select("case_id", "start_price", level.alias("l"))
+    return rows.select("case_id", F.col("l.k").alias("place"), F.col("l.level").alias("level"), F.col("l.threshold").alias("threshold"), (F.col("start_price") - F.col("l.threshold")).cast(MONEY).alias("reduction"), F.col("l.discount").alias("discount"), F.col("l.meaning").alias("meaning"))

@@ -120,6 +120,39 @@ def apply_evidence(notices: DataFrame, evidence: DataFrame, key: str = "unique_k
     return by_number.union(by_title).distinct()
 
 
+def enrich(notices: DataFrame, pairs: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
+    """Notices with what their documents say: region where there is none, terms in raw_text and document_matches, detail_status and confidence.
+
+    pairs: key, doc_id (of apply_evidence); evidence: doc_id, terms, stop_terms (arrays),
+    region. Terms come in the order of their first document. A notice whose documents hold
+    no term, stop term or region is `documents_checked`, others are `enriched`, with a
+    confidence of 0.9 at least for terms and a region, else 0.7.
+    """
+    e = pairs.select(key, "doc_id").join(evidence.select("doc_id", "terms", "stop_terms", "region"), "doc_id")
+    said = F.concat(
+        F.transform("terms", lambda t, n: F.struct(F.lit(0).alias("kind"), t.alias("value"), n.alias("n"))),
+        F.when(blank_null("region").isNotNull(), F.array(F.struct(F.lit(1).alias("kind"), F.col("region").alias("value"), F.lit(0).alias("n")))).otherwise(F.array().cast("array<struct<kind:int,value:string,n:int>>")),
+        F.transform("stop_terms", lambda t, n: F.struct(F.lit(2).alias("kind"), t.alias("value"), n.alias("n"))),
+    )
+    # each value once per notice, so that what is gathered is bounded by the dictionary
+    each = e.select(key, "doc_id", F.explode(said).alias("s")).groupBy(key, "s.kind", "s.value").agg(F.min(F.struct("doc_id", "s.n")).alias("at"))
+    of = lambda kind, name: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value")))), lambda x: x["value"]).alias(name)
+    found = each.groupBy(key).agg(of(0, "_terms"), of(1, "_regions"), of(2, "_stops"))
+    rows = notices.join(pairs.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").join(found, key, "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("_terms", "_regions", "_stops")})
+    some = F.coalesce("_hit", F.lit(False)) & (F.size("_terms") + F.size("_regions") + F.size("_stops") > 0)
+    sure = F.when((F.size("_terms") > 0) & (F.size("_regions") > 0), 0.9).otherwise(0.7)
+    new = {
+        "region": F.when(some, F.coalesce(blank_null("region"), F.get("_regions", F.lit(0)))).otherwise(F.col("region")),
+        "raw_text": F.when(some, F.concat_ws(" ", blank_null("raw_text"), F.array_join(F.concat("_terms", "_regions", "_stops"), " "))).otherwise(F.col("raw_text")),
+        "document_matches": F.when(some, F.array_distinct(F.concat(F.coalesce("document_matches", none), "_terms", "_regions"))).otherwise(F.col("document_matches")),
+        "detail_status": F.when(some, "enriched").when(F.col("_hit"), "documents_checked").otherwise(F.col("detail_status")),
+        "source_confidence": F.when(some, F.greatest("source_confidence", sure)).otherwise(F.col("source_confidence")),
+    }
+    return rows.withColumns(new).drop("_hit", "_terms", "_regions", "_stops")
+
+
 def detail_candidates(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """The first n notices worth a detail request: with a category, without price or region."""
     return df.where(blank_null("category").isNotNull() & (F.col("price").isNull() | blank_null("region").isNull())).orderBy(*order).limit(n)
@@ -128,12 +161,18 @@ def detail_candidates(df: DataFrame, n: int, order: Sequence[Column | str]) -> D
 def oem_references(items: DataFrame, references: DataFrame, models: Column, kind: str = "kind", key: str = "line_id") -> DataFrame:
     """References of an item's kind for any model in its text, the first per item. references: kind, model, part_number, n."""
     m = items.select(key, kind, F.explode(models).alias("_m"))
-    j = m.join(F.broadcast(references.select(F.col("kind").alias("_k"), normalize("model").alias("_rm"), "part_number", "n")), (F.col(kind) == F.col("_k")) & (normalize("_m") == F.col("_rm")))
+    j = m.join(references.select(F.col("kind").alias("_k"), normalize("model").alias("_rm"), "part_number", "n"), (F.col(kind) == F.col("_k")) & (normalize("_m") == F.col("_rm")))
     return j.groupBy(key).agg(F.min_by("part_number", "n").alias("part_number"))
 
 
-def append_once(history: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """History with the rows whose keys it hasn't yet."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.lit(0)]))
+def append_once(history: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """History with the rows whose keys it hasn't yet; of rows with equal keys the first, in an order that must be total."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     new = rows.join(history.select(*keys), list(keys), "left_anti").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     return history.unionByName(new, allowMissingColumns=True)
+
+
+def pin_baselines(pinned: DataFrame, runs: DataFrame, collection: str = "collection", stamp: str = "stamp") -> DataFrame:
+    """(collection, stamp): the baseline of each collection, its earliest run; one that is pinned stays."""
+    first = runs.groupBy(collection).agg(F.min(stamp).alias(stamp)).join(pinned.select(collection), collection, "left_anti")
+    return pinned.select(collection, stamp).unionByName(first)

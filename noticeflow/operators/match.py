@@ -80,7 +80,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col
     rules = dictionary_terms(terms, term_col, blocked_col, stop_words)
     # only ids and keys are exploded; a text meets its candidates once
     keys = word_keys(F.col("_text")) if title_col is None else F.array_distinct(F.concat(word_keys(F.col("_text")), word_keys(F.col("_title"))))
-    found = t.select("_id", F.explode(keys).alias("key")).join(F.broadcast(rules.withColumn("key", F.explode("keys")).drop("keys")), "key")
+    found = t.select("_id", F.explode(keys).alias("key")).join(rules.withColumn("key", F.explode("keys")).drop("keys"), "key")
     found = found.groupBy("_id").agg(F.collect_set(F.struct("term", "phrase", "blocked", "bare", "parts")).alias("_found"))
     both = t.join(found, "_id")
 
@@ -97,7 +97,7 @@ def best_category(matches: DataFrame, dictionary: DataFrame, id_col: str = "id")
 
     dictionary has category, cat_ord, term and term_ord. Returns id_col, category, terms (in the dictionary's order).
     """
-    d = F.broadcast(dictionary.select("category", "cat_ord", normalize("term").alias("term"), "term_ord").groupBy("category", "cat_ord", "term").agg(F.min("term_ord").alias("term_ord")))
+    d = dictionary.select("category", "cat_ord", normalize("term").alias("term"), "term_ord").groupBy("category", "cat_ord", "term").agg(F.min("term_ord").alias("term_ord"))
     words = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit(""))) + 1
     scored = matches.join(d, "term").groupBy(id_col, "category", "cat_ord").agg(
         F.sum(words).alias("words"), F.max(F.length("term")).alias("longest"), F.transform(F.array_sort(F.collect_set(F.struct("term_ord", "term"))), lambda x: x["term"]).alias("terms")
@@ -107,5 +107,5 @@ def best_category(matches: DataFrame, dictionary: DataFrame, id_col: str = "id")
 
 def stop_term(matches: DataFrame, stops: DataFrame, id_col: str = "id") -> DataFrame:
     """The first stop term of each text in the list's order: stops has term and ord."""
-    s = F.broadcast(stops.select(normalize("term").alias("term"), "ord").groupBy("term").agg(F.min("ord").alias("ord")))
+    s = stops.select(normalize("term").alias("term"), "ord").groupBy("term").agg(F.min("ord").alias("ord"))
     return matches.join(s, "term").groupBy(id_col).agg(F.min_by("term", "ord").alias("stop_term"))

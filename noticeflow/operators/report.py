@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import blank_null
-from ..functions.text import col
+from ..functions.text import col, normalize
+from .lineage import cut_lineage
 
 
 def count_by(df: DataFrame, key: Column | str, unknown: str = "не указано") -> DataFrame:
@@ -127,6 +128,28 @@ def review_order(now: Column, rank: Column | str, deadline: str = "deadline", pr
     ]
 
 
+def deadline_order(df: DataFrame, most: int, deadline: str = "deadline", title: str = "title", tie: str = "seq") -> DataFrame:
+    """The first rows of the register by deadline, those without one last, then by folded title."""
+    return df.orderBy(F.asc_nulls_last(deadline), normalize(title), tie).limit(most)
+
+
+def seen_order(df: DataFrame, most: int, seen: str = "last_seen_at", discovered: str = "discovered_at", tie: str = "unique_key") -> DataFrame:
+    """The first rows of the register by when they were seen last, then discovered, both from the latest."""
+    return df.orderBy(F.desc_nulls_last(seen), F.desc_nulls_last(discovered), tie).limit(most)
+
+
+def places(df: DataFrame, rows: DataFrame, order: Sequence[Column], name: str, key: str = "seq", stretches: int = 256) -> DataFrame:
+    """key and the place of some rows in the whole table's order, which must be total: a range partitioning, then counts before each part."""
+    ordered = df.select(key, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("_o"))
+    parted = ordered.repartitionByRange(stretches, "_o").withColumn("_part", F.spark_partition_id())
+    parted = cut_lineage(parted)
+    counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_o"))
+    out = parted.withColumn("_nth", nth).join(before, "_part").select(key, (F.col("_before") + F.col("_nth")).alias(name))
+    return out.join(rows.select(key), key, "left_semi")
+
+
 def closing_soon(df: DataFrame, now: Column, days: int = 3, most: int = 10, deadline: str = "deadline", tie: str = "unique_key") -> DataFrame:
     """Rows with 0 to `days` days left, the nearest first."""
     left = F.datediff(F.col(deadline), now)

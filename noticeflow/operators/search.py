@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.text import count_of, normalize, search_tokens, snippet
 
 
+#: Queries that are sent to every task.
+MOST_QUERIES = 10_000
+
+
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """query_id, id_col, score, rank, snippet: 100 per occurrence of the phrase and one per occurrence of a token.
 
-    The queries are a small given table: each document is read once, and counts every query.
+    The queries are a given table of MOST_QUERIES rows at most, more are an error: each
+    document is read once, and counts every query.
     """
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at a time")
     q = queries.select("query_id", normalize("query").alias("_q")).withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0)
     text = F.concat_ws(" ", *([F.col(path_col)] if path_col else []), F.col(text_col))
     d = docs.select(F.col(id_col), F.col(text_col).alias("_text"), normalize(text).alias("_all"))
@@ -37,6 +44,17 @@ def search_notices(register: DataFrame, queries: DataFrame, fields: Sequence[str
     return scored.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
+def fetch_documents(docs: DataFrame, ids: DataFrame, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of the wanted ids: id, the text's first characters, its length, and whether it was cut; ids without a document have null texts."""
+    wanted = ids.select(id_col).distinct().join(docs.select(id_col, F.col(text_col).alias("_t")), id_col, "left")
+    return wanted.select(id_col, F.substring("_t", 1, most_chars).alias("text"), F.length("_t").cast("long").alias("chars"), (F.length("_t") > most_chars).alias("truncated"))
+
+
+def section_counts(docs: DataFrame, section_col: str = "section") -> DataFrame:
+    """Documents per section; those without one are in `root`."""
+    return docs.groupBy(F.coalesce(F.nullif(section_col, F.lit("")), F.lit("root")).alias(section_col)).agg(F.count(F.lit(1)).alias("documents"))
+
+
 def list_documents(docs: DataFrame, most_chars: int = 2000, id_col: str = "doc_id", text_col: str = "text", section_col: str = "section") -> DataFrame:
     """id, section, the text's first characters, and whether it was cut."""
     return docs.select(id_col, section_col, F.substring(text_col, 1, most_chars).alias("text"), (F.length(text_col) > most_chars).alias("truncated"))

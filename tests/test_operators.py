@@ -111,6 +111,31 @@ def test_requirements(spark):
     assert {r["product_id"]: r["status"] for r in products.compliance(checks).collect()} == {"p": "conditional", "q": "rejected"}
 
 
+def test_requirements_by_text(spark):
+    items = spark.createDataFrame([(1, "Ресурс не менее 10 000 стр; Цвет: черный; совместим с HP; Объем: 2 ГБ")], "line_id int, required_specs string")
+    req = products.parse_requirements(items, ["line_id"])
+    assert [(r["op"], r["number"]) for r in req.orderBy("n").collect()] == [(">=", 10000.0), (None, None), (None, None), (None, None)]
+    attributes = spark.createDataFrame([("p", "Цвет", "Черный матовый", None, None), ("q", "Цвет", "белый", None, None)], "product_id string, name string, value string, number double, unit string")
+    texts = spark.createDataFrame([("p", "Картридж 5 шт 12 тыс.", "Картридж, совместим с HP"), ("q", "Картридж 9,5k", "нет")], "product_id string, title string, text string")
+    candidates = spark.createDataFrame([(1, "p"), (1, "q")], "line_id int, product_id string")
+    got = {(r["product_id"], r["n"]): r["verdict"] for r in products.check_requirements(req, attributes, candidates, texts=texts).collect()}
+    assert got == {("p", 0): "pass", ("p", 1): "pass", ("p", 2): "pass", ("p", 3): "unknown", ("q", 0): "fail", ("q", 1): "fail", ("q", 2): "unknown", ("q", 3): "unknown"}
+
+
+def test_reconciled_names(spark):
+    """Brute force over one case at a time: names that differ by their ratio, codes that differ, repeated names of a source."""
+    from difflib import SequenceMatcher
+
+    from noticeflow.operators import cases
+
+    names = ["Насос центробежный 28.13.11.110", "насос  центробежный", "Насос центробежный 28.13.11.120", "Труба стальная", "Насос погружной"]
+    rows = [(1, 1, "2", names[0], "a", "", 1), (1, 1, "2", names[1], "b", "мощность", 2), (1, 1, "2", names[2], "c", "", 3), (1, 2, "1", names[3], "a", "", 4), (1, 2, "1", names[4], "b", "", 5), (1, 3, "1", names[3], "a", "", 6), (2, 1, "1", names[3], "a", "", 7), (2, 1, "1", names[3], "b", "", 8)]
+    merged, conflicts = cases.reconcile_items(spark.createDataFrame(rows, "case_id int, line_id int, quantity string, name string, source string, required_specs string, seq int"))
+    assert sorted((r["case_id"], r["line_id"], r["seq"]) for r in merged.collect()) == [(1, 1, 2), (1, 2, 4), (2, 1, 7)]
+    assert sorted((r["case_id"], r["line_id"]) for r in conflicts.collect()) == [(1, 1), (1, 2)]
+    assert SequenceMatcher(None, "труба стальная", "насос погружной").ratio() < 0.8
+
+
 def test_risks_and_decision(spark):
     D = "decimal(18,2)"
     cases = spark.createDataFrame([(1, True, True, 60, 5)], "case_id int, own_delivery boolean, requires_installation boolean, payment_days int, delivery_days int")
@@ -149,8 +174,8 @@ def test_migrate_and_append_once(spark):
     got = register.migrate(old, {"price": ["цена"], "name": ["имя"]}, {"name": "string", "price": "int", "new": "date"})
     assert [tuple(r) for r in got.collect()] == [("x", 5, None)] and got.columns == ["name", "price", "new"]
     runs = spark.createDataFrame([("r1", 1)], "stamp string, n int")
-    more = spark.createDataFrame([("r1", 2), ("r2", 3), ("r2", 3)], "stamp string, n int")
-    assert sorted(tuple(r) for r in links.append_once(runs, more, ["stamp"]).collect()) == [("r1", 1), ("r2", 3)]
+    more = spark.createDataFrame([("r1", 2), ("r2", 3), ("r2", 4)], "stamp string, n int")
+    assert sorted(tuple(r) for r in links.append_once(runs, more, ["stamp"], [F.desc("n")]).collect()) == [("r1", 1), ("r2", 4)]
 
 
 def test_suppliers_of_requests(spark):
