@@ -12,16 +12,16 @@ from ..functions.text import normalize, parse_price, parse_ts
 
 #: Names under which an import may give each field, folded.
 ALIASES: Mapping[str, tuple[str, ...]] = {
-    "title": ("title", "название", "наименование"),
-    "url": ("url", "ссылка", "link"),
-    "tender_number": ("number", "номер"),
-    "customer": ("customer", "заказчик"),
-    "region": ("region", "регион"),
-    "price": ("price", "сумма", "цена"),
-    "deadline": ("deadline", "срок подачи"),
-    "published_at": ("published", "дата публикации"),
-    "source": ("source", "источник"),
-    "raw_text": ("description", "описание"),
+    "title": ("title", "name", "название", "наименование", "предмет", "предмет закупки"),
+    "url": ("url", "link", "ссылка", "адрес"),
+    "source": ("source", "источник", "площадка", "этп"),
+    "tender_number": ("number", "номер", "номер закупки", "номер процедуры", "извещение"),
+    "customer": ("customer", "заказчик", "организатор"),
+    "region": ("region", "регион", "место поставки", "адрес поставки"),
+    "price": ("price", "сумма", "нмцк", "начальная цена", "цена"),
+    "deadline": ("deadline", "срок подачи", "дата окончания", "окончание подачи"),
+    "published_at": ("published at", "опубликовано", "дата публикации", "размещено"),
+    "raw_text": ("raw text", "описание", "текст"),
 }
 
 
@@ -33,7 +33,8 @@ def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequenc
     """Import files to notices and rejects (file, line, reason). A file's first line is its header and settles its delimiter.
 
     A row needs a title and a number or link; bad rows do not stop a file. Without a link
-    it is import://file/number; without a source, the file's name. Lines are records.
+    it is import://file/number; the source is import- and the slug of its name or the
+    file's; without a description the text is all known values of the row. Lines are records.
     """
     lines = spark.read.text(path).select("value", F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("_n"))
     text = F.regexp_replace("value", "^\ufeff", "")
@@ -50,12 +51,15 @@ def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequenc
     reason = F.when(F.col("_title").isNull(), "no_title").when(F.col("_tender_number").isNull() & F.col("_url").isNull(), "no_number_or_url")
     rejects = rows.where(reason.isNotNull()).select("file", F.col("value").alias("line"), reason.alias("reason"))
     good = rows.where(reason.isNull())
-    source = F.coalesce(source_slug("_source"), source_slug(F.regexp_replace("file", r"\.[^.]*$", "")))
+    slug = source_slug(F.coalesce("_source", F.regexp_replace("file", r"\.[^.]*$", "")))
+    source = F.concat(F.lit("import-"), F.coalesce(blank_null(slug), F.lit("manual")))
+    known = F.array(*[F.lit(a) for names in aliases.values() for a in names])
+    values = F.transform(F.arrays_zip(F.col("_names").alias("n"), F.col("_cells").alias("c")), lambda x: F.when(F.array_contains(known, x["n"]), blank_null(F.trim(x["c"]))))
     url = F.coalesce("_url", F.concat(F.lit("import://"), F.col("file"), F.lit("/"), F.col("_tender_number")))
     notices = good.select(
         F.col("_title").alias("title"), url.alias("url"), source.alias("source"), F.col("_tender_number").alias("tender_number"), F.col("_customer").alias("customer"), F.col("_region").alias("region"),
         parse_price("_price", require_currency=False).alias("price"), parse_ts("_deadline").alias("deadline"), F.lit("Актуально").alias("status"), parse_ts("_published_at").alias("published_at"),
-        F.coalesce("_raw_text", F.lit("")).alias("raw_text"), F.lit("imported").alias("detail_status"), F.lit(0.8).alias("source_confidence"), unique_key(source, "_tender_number", url).alias("unique_key"), F.col("_n.id").alias("seq"),
+        F.coalesce(F.col("_raw_text"), F.array_join(F.array_compact(values), " ")).alias("raw_text"), F.lit("imported").alias("detail_status"), F.lit(0.8).alias("source_confidence"), unique_key(source, "_tender_number", url).alias("unique_key"), F.col("_n.id").alias("seq"),
     )
     return notices, rejects
 
@@ -94,17 +98,40 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), latin, cyrillic))
 
 
+def json_values(x: Column) -> Column:
+    """All strings, numbers and truth values of a JSON text in their order, with blanks between; names of fields and nulls are left out."""
+    tokens = F.regexp_extract_all(x, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?|-?[0-9][-+.0-9eE]*|true|false'), F.lit(0))
+    values = F.filter(tokens, lambda t: ~t.rlike(r':$') | ~t.startswith('"'))
+    return F.array_join(F.transform(values, lambda t: F.when(t.startswith('"'), F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")).otherwise(t)), " ")
+
+
+def cell_text(x: Column) -> Column:
+    """Cells of a delimited text that hold anything, with blanks between; the more frequent of ; and , delimits, quoted ones don't."""
+    count = lambda c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    sep = F.when(count(";") >= count(","), ";").otherwise(",")
+    cells = F.flatten(F.transform(F.split(x, r"\r?\n"), lambda line: F.split(line, F.concat(sep, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)')))))
+    plain = F.transform(cells, lambda c: F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    return F.array_join(F.filter(plain, lambda c: c != ""), " ")
+
+
 def read_documents(spark: SparkSession, root: str, most_bytes: int = 50_000_000) -> DataFrame:
-    """doc_id, path, section, sha256, text, error of the files under a folder; too large files have an error and no text."""
+    """doc_id, path, section, sha256, text, error of the files under a folder.
+
+    Texts are those of pages and XML without tags, of delimited files their cells, of JSON
+    its values in their order, else the content. Files that are too large, or whose JSON is
+    broken, have an error and no text.
+    """
     base = root.rstrip("/").split("/")[-1]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.element_at(F.split("path", f"/{base}/", 2), -1)
     large = F.col("length") > most_bytes
     text = decode_text(F.col("content"))
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]+>", " "), r"(?U)\s+", " "))
-    text = F.when(F.lower(path).rlike(r"\.html?$"), plain).otherwise(text)
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    broken = (suffix == "json") & F.try_parse_json(text).isNull()
+    text = F.when(suffix.isin("html", "htm", "xml"), plain).when(suffix == "json", json_values(text)).when(suffix == "csv", cell_text(text)).otherwise(text)
     section = F.when(F.contains(path, F.lit("/")), F.split_part(path, F.lit("/"), F.lit(1))).otherwise("")
-    return raw.select(F.concat(F.lit("kb-"), F.substring(F.sha2(path, 256), 1, 16)).alias("doc_id"), path.alias("path"), section.alias("section"), F.sha2("content", 256).alias("sha256"), F.when(~large, text).alias("text"), F.when(large, "too_large").alias("error"))
+    return raw.select(F.concat(F.lit("kb-"), F.substring(F.sha2(path, 256), 1, 16)).alias("doc_id"), path.alias("path"), section.alias("section"), F.sha2("content", 256).alias("sha256"), F.when(~large & ~broken, text).alias("text"), F.when(large, "too_large").when(broken, "bad_json").alias("error"))
 
 
 def accept_files(files: DataFrame, suppliers: DataFrame, ledger: DataFrame, most_bytes: int = 25_000_000, suffixes: Sequence[str] = ("xlsx", "xls", "csv", "pdf", "xml", "json", "txt"), indexable: Sequence[str] = ("xlsx", "csv", "xml", "json")) -> DataFrame:
@@ -112,7 +139,7 @@ def accept_files(files: DataFrame, suppliers: DataFrame, ledger: DataFrame, most
 
     files: file_id, name, size, sha256, sender; suppliers: supplier_id, sender (a rule table, one supplier per sender); ledger: sha256, supplier_id.
     """
-    s = F.broadcast(suppliers.select(F.lower("sender").alias("_sender"), "supplier_id"))
+    s = suppliers.select(F.lower("sender").alias("_sender"), "supplier_id")
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     rows = files.join(s, F.lower("sender") == F.col("_sender"), "left").drop("_sender").withColumn("suffix", suffix)
     old = ledger.select("sha256", "supplier_id").distinct().withColumn("_old", F.lit(True))

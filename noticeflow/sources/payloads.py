@@ -46,6 +46,68 @@ def read_notice_xml(files: DataFrame, rules: XmlRules, xml_col: str = "xml", fil
     return out, rejects
 
 
+def _inner_text(x: Column) -> Column:
+    """Character data of an element as it is written: CDATA opened, entities read, tags gone."""
+    plain = F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    return plain
+
+
+def read_rss(files: DataFrame, labels: Mapping[str, Sequence[str]], source: str = "rss", xml_col: str = "xml", file_col: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Notices and rejects of RSS feeds: title, link (else guid), pubDate, and labelled lines of the description.
+
+    A label's value runs to the next line of the description, whose tags break lines. Items
+    without a title or link are left out; feeds that declare a DTD or entities are rejected.
+    """
+    bad = F.col(xml_col).rlike(r"(?i)<!(DOCTYPE|ENTITY)")
+    items = F.regexp_extract_all(xml_col, F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))
+    rows = files.where(~bad).select(F.col(file_col).alias("file"), F.posexplode(items).alias("pos", "_item"))
+    tag = lambda name: blank_null(F.trim(_inner_text(F.regexp_extract("_item", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1))))
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(tag("description"), F.lit("")), r"(?i)<(?:br|/p|/div|/li)\s*/?>", "\n"), r"(?s)<[^>]*>", "")
+    rows = rows.select("file", "pos", tag("title").alias("title"), F.coalesce(tag("link"), tag("guid")).alias("url"), tag("pubDate").alias("_published"), lines.alias("_lines"))
+    value = lambda name: F.coalesce(*[blank_null(F.trim(F.regexp_extract("_lines", rf"(?iU)(?:^|\n)\s*{label}\s*:\s*([^\n]*)", 1))) for label in labels[name]]) if name in labels else F.lit(None).cast("string")
+    published = F.try_to_timestamp(F.regexp_replace("_published", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    out = rows.where("title is not null and url is not null").select(
+        "title", "url", F.lit(source).alias("source"), value("tender_number").alias("tender_number"), value("customer").alias("customer"), value("region").alias("region"), parse_price(value("price"), False).alias("price"),
+        parse_ts(value("deadline")).alias("deadline"), published.alias("published_at"), F.trim(F.regexp_replace(F.concat_ws(" ", "title", "_lines"), r"(?U)\s+", " ")).alias("raw_text"), unique_key(F.lit(source), value("tender_number"), "url").alias("unique_key"),
+    )
+    return out, files.where(bad).select(file_col, F.lit("doctype").alias("reason"))
+
+
+#: Names of the rouble in procedures.
+ROUBLES = ("RUB", "RUR", "РУБ", "РУБЛЬ")
+
+
+def read_procedures(files: DataFrame, source: str = "soap", xml_col: str = "xml", file_col: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Notices and rejects of SOAP answers with procedures of several lots: the price is the sum of the lots' where the currency is the rouble.
+
+    The number is registryNumber, else eisRegistryNumber, else remoteId; a procedure without
+    a title has that of its first lot with a subject; one without number or title is left out.
+    """
+    bad = F.col(xml_col).rlike(r"(?i)<!(DOCTYPE|ENTITY)")
+    plain = F.regexp_replace(F.regexp_replace(xml_col, r"<(/?)[A-Za-z_][\w.-]*:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"|\s\w+:\w+=\"[^\"]*\"", "")
+    pieces = F.regexp_extract_all(plain, F.lit(r"(?s)<procedure(?:\s[^>]*)?>.*?</procedure>"), F.lit(0))
+    rows = files.where(~bad).select(F.col(file_col).alias("file"), F.explode(pieces).alias("_xml"))
+    one = lambda path: blank_null(F.trim(F.expr(f"xpath_string(_xml, '{path}')")))
+    every = lambda path: F.expr(f"xpath(_xml, '{path}/text()')")
+    subjects, prices = every("/procedure/lots/lot/subject"), F.array_compact(F.transform(every("/procedure/lots/lot/startPrice"), lambda p: F.translate(p, ",", ".").try_cast("double")))
+    customers = F.filter(every("/procedure/lots/lot/customers/customer/fullName"), lambda c: F.trim(c) != "")
+    rows = rows.select(
+        F.coalesce(one("/procedure/title"), F.get(F.filter(subjects, lambda s: F.trim(s) != ""), F.lit(0))).alias("title"),
+        F.coalesce(one("/procedure/registryNumber"), one("/procedure/eisRegistryNumber"), one("/procedure/remoteId")).alias("tender_number"),
+        F.coalesce(one("/procedure/url_to_showcase"), F.lit("")).alias("url"),
+        F.coalesce(F.get(customers, F.lit(0)), one("/procedure/organizer/fullName")).alias("customer"),
+        F.when(F.upper(one("/procedure/currency")).isin(*ROUBLES) & (F.size(prices) > 0), F.aggregate(prices, F.lit(0.0), lambda a, p: a + p)).alias("price"),
+        one("/procedure/eisRegistryNumber").alias("official_number"),
+        parse_ts(one("/procedure/dateEndRegistration")).alias("deadline"),
+        parse_ts(one("/procedure/datePublished")).alias("published_at"),
+        F.size(every("/procedure/lots/lot/startPrice")).alias("lots"),
+    )
+    out = rows.where("title is not null and tender_number is not null").withColumns({"source": F.lit(source), "unique_key": unique_key(F.lit(source), "tender_number", "url")})
+    return out, files.where(bad).select(file_col, F.lit("doctype").alias("reason"))
+
+
 @dataclass(frozen=True)
 class JsonRules:
     """One platform's payload: the schema, the path of its array, paths per field (the first that is there counts)."""
@@ -57,6 +119,9 @@ class JsonRules:
     allow: tuple[str, Sequence[str]] | None = None
     region: str | None = None
     raw: Sequence[str] = field(default_factory=tuple)
+    #: A field of the row that holds XML, and the tags in it per notice field, tried after the row's own paths.
+    xml: str | None = None
+    tags: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 def read_notice_json(payloads: DataFrame, rules: JsonRules, json_col: str = "payload", order: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +129,15 @@ def read_notice_json(payloads: DataFrame, rules: JsonRules, json_col: str = "pay
     parsed = payloads.select(*order, F.from_json(json_col, rules.schema).alias("p")).select(*order, F.posexplode(f"p.{rules.rows}").alias("_pos", "r"))
     if rules.allow:
         parsed = parsed.where(F.col(f"r.{rules.allow[0]}").isin(*rules.allow[1]))
-    text = lambda name: F.coalesce(*[blank_null(F.trim(F.col(f"r.{p}").cast("string"))) for p in rules.fields[name]]) if name in rules.fields else F.lit(None).cast("string")
+    if rules.xml:
+        declared = F.col(f"r.{rules.xml}").rlike(r"(?i)<!(DOCTYPE|ENTITY)")
+        parsed = parsed.withColumn("_xml", F.when(~declared, F.col(f"r.{rules.xml}")))
+
+    def text(name: str) -> Column:
+        own = [blank_null(F.trim(F.col(f"r.{p}").cast("string"))) for p in rules.fields.get(name, ())]
+        inner = [blank_null(_tag(F.col("_xml"), t)) for t in rules.tags.get(name, ())] if rules.xml else []
+        return F.coalesce(*own, *inner, F.lit(None).cast("string"))
+
     rows = parsed.select(
         *order, "_pos", text("title").alias("title"), F.coalesce(text("url"), F.lit("")).alias("url"), F.lit(rules.source).alias("source"), text("tender_number").alias("tender_number"), text("customer").alias("customer"),
         (F.lit(rules.region) if rules.region else text("region")).alias("region"), F.coalesce(text("price").try_cast("double"), parse_price(text("price"), False)).alias("price"), parse_ts(text("deadline")).alias("deadline"),

@@ -16,8 +16,8 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "b.csv").write_text("title,number,source\nA,1,Портал\n", encoding="utf-8")
     notices, rejects = files.read_delimited(spark, str(tmp_path))
     got = {r["unique_key"]: r.asDict() for r in notices.collect()}
-    assert got["my-file:7"]["title"] == "Насос; большой" and got["my-file:7"]["price"] == 1000.5 and got["my-file:7"]["url"].startswith("import://")
-    assert got["portal:1"]["status"] == "Актуально" and len(got) == 2
+    assert got["import-my-file:7"]["title"] == "Насос; большой" and got["import-my-file:7"]["price"] == 1000.5 and got["import-my-file:7"]["url"].startswith("import://")
+    assert got["import-portal:1"]["status"] == "Актуально" and len(got) == 2
     assert sorted(r["reason"] for r in rejects.collect()) == ["no_number_or_url", "no_title"]
 
 
@@ -33,7 +33,12 @@ def test_documents(spark, tmp_path):
     (root / "a").mkdir(parents=True)
     (root / "a" / "x.txt").write_bytes("Привет".encode("cp1251"))
     (root / "y.html").write_text("<style>p{}</style><p>Тест &lt;</p>", encoding="utf-8")
+    (root / "z.json").write_text('{"a": "x \\"y\\": \\u0444", "b": [1, -2.5, null, true, {"c": ""}], "d:": "e:"}', encoding="utf-8")
+    (root / "bad.json").write_text('{"a": ', encoding="utf-8")
+    (root / "t.csv").write_text('a;"b;c";;d\n"e ""f""";;;1,5\n', encoding="utf-8")
     got = {r["path"]: r for r in files.read_documents(spark, str(root)).collect()}
+    assert got["z.json"]["text"] == 'x "y": ф 1 -2.5 true  e:' and got["bad.json"]["error"] == "bad_json" and got["bad.json"]["text"] is None
+    assert got["t.csv"]["text"] == 'a b;c d e "f" 1,5'
     assert got["a/x.txt"]["text"] == "Привет" and got["a/x.txt"]["section"] == "a" and got["y.html"]["text"].startswith("Тест")
     assert all(r["doc_id"].startswith("kb-") and len(r["doc_id"]) == 19 for r in got.values())
 
@@ -99,7 +104,7 @@ def test_archives(spark, tmp_path):
     assert [r["error"] for r in rejects.collect()] == ["not_an_archive"]
     with zipfile.ZipFile(src / "bad.zip", "w") as z:
         z.writestr("3.xml", "<x>3</x>")
-    assert [r["xml"] for r in archives.retry(spark, rejects).collect()] == ["<x>3</x>"]
+    assert [r["xml"] for part in archives.retry(spark, rejects) for r in part.collect()] == ["<x>3</x>"]
 
 
 ROWS = [("a", 1, "excluded"), ("b", 2, "hot"), ("a", 3, "review"), ("a", 4, "hot"), ("b", 5, "excluded"), ("c", 6, None)]
@@ -117,8 +122,42 @@ def test_streams_equal_batches(spark, tmp_path):
     assert key(spark.table("alerts")) == key(alerts.new_items_batch(table)) == [("a", 1, "first"), ("a", 3, "promoted"), ("b", 2, "first"), ("c", 6, "first")]
     path = str(tmp_path / "register")
     live.stream_register(stream, path, str(tmp_path / "ck2"), REGISTER_RULES).awaitTermination()
-    number, reg = live.register_version(spark, path)
+    number, reg = live.register_version(spark, path, REGISTER_RULES)
     assert {r["unique_key"]: r["seq"] for r in reg.collect()} == {"a": 4, "b": 5, "c": 6}
     live.apply_batch(path, REGISTER_RULES, table.where("seq = 1"), number)  # a replay changes nothing
-    assert live.register_version(spark, path)[0] == number
+    assert live.register_version(spark, path, REGISTER_RULES)[0] == number
     assert reg.where(F.col("seq") == 4).count() == 1
+
+
+def test_register_deltas_and_bases(spark, tmp_path, monkeypatch):
+    """Folding deltas into bases gives what upserting batch by batch gives, whatever the number of batches between bases."""
+    import random
+
+    from noticeflow.operators.register import upsert
+
+    rng = random.Random(1)
+    rules = {"customer": "filled", "discovered_at": "kept", "confidence": "largest", "official_number": "official", "detail_status": "checked"}
+    schema = "unique_key string, seq long, customer string, discovered_at string, confidence double, official_number string, detail_status string, resolution_method string, note string"
+    pick = lambda *xs: rng.choice(xs)
+    batches = [[(f"k{k}", 10 * b + k, pick(None, "", f"c{b}"), pick(None, f"d{b}"), pick(None, float(b), 1.0), pick(None, f"o{b}"), pick("not_checked", f"s{b}"), pick(None, "meta+unverified"), pick(None, f"n{b}")) for k in rng.sample(range(6), 4)] for b in range(5)]
+    want = None
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        want = spark.createDataFrame(upsert(want if want is not None else df.limit(0), df, rules).collect(), schema)
+    for compact in (2, 16):
+        monkeypatch.setattr(live, "COMPACT", compact)
+        path = str(tmp_path / f"register{compact}")
+        for n, rows in enumerate(batches):
+            live.apply_batch(path, rules, spark.createDataFrame(rows, schema), n)
+        last, got = live.register_version(spark, path, rules)
+        assert last == 4 and sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_broken_log_is_no_empty_register(spark, tmp_path):
+    import pytest
+
+    assert live.register_version(spark, str(tmp_path / "none"), {}) == (-1, None)
+    (tmp_path / "r" / "done").mkdir(parents=True)
+    (tmp_path / "r" / "done" / "part.json").write_text('{"batch": 0, "base": -1}')
+    with pytest.raises(Exception, match="delta-0"):  # the delta is gone: an error, not a new register
+        live.register_version(spark, str(tmp_path / "r"), {})
