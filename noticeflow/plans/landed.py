@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,18 @@ from pyspark.sql import functions as F
 
 from ..operators.register import REGISTER_RULES
 from ..sources import files, payloads, sinks
-from ..streaming.register import apply_batch, register_version
+from ..streaming.register import apply_batch, register_version, stream_register
 from .queries import BATCHES, NOTICES, query
 from .tables import batches, load, notices
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/noticeflow-work"
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where that is unset, a local one in local mode and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/noticeflow-work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -70,15 +75,15 @@ def src_intake(spark, sf):
     return files.accept_files(f, suppliers, ledger, most_bytes=5000).select(F.col("file_id").alias("doc_id"), "decision")
 
 
-@query(f"WITH {NOTICES} SELECT 'orders:' || tender_number AS unique_key, title, CASE WHEN customer = '' THEN NULL ELSE customer END AS customer, round(price, 2) AS price, strftime(deadline, '%Y-%m-%d %H:%M') AS deadline FROM n WHERE tender_number NOT LIKE 'c%'")
+@query(f"WITH {NOTICES} SELECT 'import-zakazy-ceha:' || tender_number AS unique_key, title, 'import-zakazy-ceha' AS source, title || ' ' || tender_number || CASE WHEN customer = '' THEN '' ELSE ' ' || customer END || ' ' || replace(printf('%.2f', price), '.', ',') || ' ' || strftime(deadline, '%d.%m.%Y %H:%M') || ' Заказы цеха' AS raw_text, CASE WHEN customer = '' THEN NULL ELSE customer END AS customer, round(price, 2) AS price, strftime(deadline, '%Y-%m-%d %H:%M') AS deadline FROM n WHERE tender_number NOT LIKE 'c%'")
 def src_delimited(spark, sf):
     """SRC-01, SNK-04: notices written as delimited files and imported."""
     n = notices(spark, sf)
-    rows = n.select(F.col("title").alias("Название"), F.lit("").alias("Ссылка"), F.col("tender_number").alias("Номер"), F.col("customer").alias("Заказчик"), F.replace(F.format_string("%.2f", "price"), F.lit("."), F.lit(",")).alias("Сумма"), F.date_format("deadline", "dd.MM.yyyy HH:mm").alias("Срок подачи"), F.lit("Orders").alias("Источник"))
+    rows = n.select(F.col("title").alias("Название"), F.lit("").alias("Ссылка"), F.col("tender_number").alias("Номер"), F.col("customer").alias("Организатор"), F.replace(F.format_string("%.2f", "price"), F.lit("."), F.lit(",")).alias("Начальная_цена"), F.date_format("deadline", "dd.MM.yyyy HH:mm").alias("Дата окончания"), F.lit("Заказы цеха").alias("Площадка"))
     path = shared_folder(spark, "import")
     sinks.write_case_csv(rows, path, ~F.startswith("Номер", F.lit("c")))
     out, _ = files.read_delimited(spark, path)
-    return out.select("unique_key", "title", "customer", F.round("price", 2).alias("price"), F.date_format("deadline", "yyyy-MM-dd HH:mm").alias("deadline"))
+    return out.select("unique_key", "title", "source", "raw_text", "customer", F.round("price", 2).alias("price"), F.date_format("deadline", "yyyy-MM-dd HH:mm").alias("deadline"))
 
 
 @query(
@@ -86,9 +91,13 @@ def src_delimited(spark, sf):
 SELECT unique_key, max(seq) AS seq, arg_max(source, b) AS source, arg_max(p, b) FILTER (WHERE p > 0) AS price FROM x GROUP BY 1"""
 )
 def up_stream(spark, sf):
-    """UP-14: the register after four batches, one of them replayed."""
+    """UP-14: the register fed by a file stream that is started for each landing of files, and once more without any; then a batch is replayed."""
     e = batches(spark, sf).withColumns({"price": F.when(F.col("price") > 50, F.col("price")), "batch": F.floor(F.col("d") / 8).cast("int")}).select("unique_key", "seq", "source", "price", "batch")
-    path = shared_folder(spark, "register")
-    for number in (0, 1, 1, 2, 3):
-        apply_batch(path, REGISTER_RULES, e.where(F.col("batch") == number), number)
-    return register_version(spark, path)[1].select("unique_key", "seq", "source", "price")
+    path, landing, marks = (shared_folder(spark, name) for name in ("register", "landing", "marks"))
+    rows = e.drop("batch")
+    for number in (0, 1, 2, 3, None):
+        if number is not None:
+            e.where(F.col("batch") == number).drop("batch").write.mode("append").parquet(landing)
+        stream_register(spark.readStream.schema(rows.schema).parquet(landing), path, marks, REGISTER_RULES).awaitTermination()
+    apply_batch(path, REGISTER_RULES, e.where("batch = 1").drop("batch"), 1)
+    return register_version(spark, path, REGISTER_RULES)[1].select("unique_key", "seq", "source", "price")

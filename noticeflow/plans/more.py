@@ -12,28 +12,6 @@ from .tables import batches, load, notices
 _CUST = "c AS (SELECT c_custkey AS k, 'org' || CAST(c_custkey AS STRING) AS org_key, c_nationkey % 3 AS p FROM customer)"
 
 
-@query(
-    f"""WITH {_CUST}, s AS (SELECT k AS seq, org_key, p, CASE WHEN k % 9 = 0 THEN NULL WHEN k % 13 = 0 THEN 'noreply@x.org' ELSE 'm' || CAST(k % 400 AS STRING) || '@x.org' END AS email FROM c),
-q AS (SELECT org_key, 'm' || CAST(k % 7 AS STRING) || '@x.org' AS old, k % 2 = 0 AS sent FROM c WHERE k <= 40),
-r AS (SELECT s.*, q.old, CASE WHEN q.org_key IS NULL THEN 'append' WHEN email IS NOT NULL AND email <> old AND NOT sent THEN 'update' END AS action FROM s LEFT JOIN q ON s.org_key = q.org_key),
-a AS (SELECT * FROM r WHERE action IS NOT NULL),
-ev AS (SELECT -1 AS p, -1 AS seq, 0 AS kind, old AS email, 1 AS claim FROM q UNION ALL SELECT p, seq, 1, old, 0 FROM a WHERE action = 'update' UNION ALL SELECT p, seq, 2, email, 1 FROM a WHERE email IS NOT NULL),
-t AS (SELECT *, last_value(claim) OVER (PARTITION BY email ORDER BY p, seq, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM ev)
-SELECT a.org_key, a.action, a.email, CASE WHEN a.email IS NULL THEN 'missing_or_invalid_email' WHEN a.email LIKE 'noreply@%' THEN 'system_email' WHEN a.email = 'm5@x.org' THEN 'stoplist' WHEN coalesce(t.taken, 0) = 1 THEN 'duplicate_email'
- WHEN a.seq % 17 = 0 THEN 'no_evidence' ELSE 'new_contact' END AS reason FROM a LEFT JOIN t ON t.kind = 2 AND t.seq = a.seq"""
-)
-def up_queue(spark, sf):
-    """UP-13, JN-14, WN-05: plan of a queue sync."""
-    load(spark, sf, "customer")
-    c = spark.sql(f"WITH {_CUST} SELECT * FROM c")
-    k = F.col("k")
-    address = F.when(k % 9 == 0, "none").when(k % 13 == 0, "NoReply@x.org").otherwise(F.concat(F.lit("M"), (k % 400).cast("string"), F.lit("@x.org")))
-    source = c.select("org_key", address.alias("email"), F.lit("page").alias("contact_source"), F.when(k % 17 == 0, "").otherwise("https://x.org/1").alias("evidence"), k.alias("seq"), "p")
-    queue = c.where("k <= 40").select("org_key", F.concat(F.lit("m"), (k % 7).cast("string"), F.lit("@x.org")).alias("email"), (k % 2 == 0).alias("sent"))
-    stops = spark.createDataFrame([("M5@x.org",)], "email string")
-    return customers.queue_plan(source, queue, stops, F.col("p")).select("org_key", "action", "email", "reason")
-
-
 @query(
     f"""WITH {_CUST}, s AS (SELECT k AS seq, org_key, p, CASE WHEN k % 9 = 0 THEN NULL WHEN k % 13 = 0 THEN 'noreply@x.org' ELSE 'm' || CAST(k % 400 AS STRING) || '@x.org' END AS email FROM c),
 q AS (SELECT org_key, 'm' || CAST(k * 3 % 400 AS STRING) || '@x.org' AS old, k % 2 = 0 AS sent FROM c WHERE k % 5 < 2),
@@ -44,7 +22,7 @@ t AS (SELECT *, last_value(claim) OVER (PARTITION BY email ORDER BY p, seq, kind
 SELECT a.org_key, a.action, a.email, CASE WHEN a.email IS NULL THEN 'missing_or_invalid_email' WHEN a.email LIKE 'noreply@%' THEN 'system_email' WHEN a.email = 'm5@x.org' THEN 'stoplist' WHEN coalesce(t.taken, 0) = 1 THEN 'duplicate_email'
  WHEN a.seq % 17 = 0 THEN 'no_evidence' ELSE 'new_contact' END AS reason FROM a LEFT JOIN t ON t.kind = 2 AND t.seq = a.seq"""
 )
-def up_queue_all(spark, sf):
+def up_queue(spark, sf):
     """UP-13, JN-14, WN-05: plan of a queue sync, two fifths of all organizations being queued."""
     load(spark, sf, "customer")
     c = spark.sql(f"WITH {_CUST} SELECT * FROM c")
@@ -120,23 +98,11 @@ def jn_verify(spark, sf):
     return links.verify_links(n, pages, ["не найдена"]).select("seq", "link_state")
 
 
-@query(
-    """WITH d AS (SELECT doc_id, ' ' || lower(text) AS t FROM documents WHERE doc_id < 300), n AS (SELECT doc_id AS k, substr(lower(text), 1, 24) AS title FROM documents WHERE doc_id < 300 AND length(text) > 60 AND text NOT LIKE '%  %')
-SELECT k, doc_id FROM n, d WHERE contains(regexp_replace(trim(t), '\\s+', ' ', 'g'), trim(regexp_replace(title, '\\s+', ' ', 'g')))""".replace("\\\\", "\\").replace("doc_id < 300", "true")
-)
-def jn_evidence(spark, sf):
-    """JN-05: notices whose title stands in a document."""
-    load(spark, sf, "documents")
-    d = spark.table("documents")
-    n = d.where("length(text) > 60 and text not like '%  %'").select(F.col("doc_id").alias("unique_key"), F.lit("").alias("tender_number"), F.substring("text", 1, 24).alias("title"))
-    return links.apply_evidence(n, d).select(F.col("unique_key").alias("k"), "doc_id")
-
-
 @query(
     """WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(substr(text, 1, 24), '\\s+', ' ', 'g'))) AS title FROM documents)
 SELECT n.doc_id AS k, d.doc_id FROM d AS n, d WHERE n.title <> '' AND contains(d.t, n.title)""".replace("\\\\", "\\")
 )
-def jn_evidence_all(spark, sf):
+def jn_evidence(spark, sf):
     """JN-05: notices of all documents whose title stands in a document."""
     load(spark, sf, "documents")
     d = spark.table("documents")
@@ -144,29 +110,12 @@ def jn_evidence_all(spark, sf):
     return links.apply_evidence(n, d).select(F.col("unique_key").alias("k"), "doc_id")
 
 
-@query(
-    """WITH c AS (SELECT l_orderkey AS line_id, p_partkey AS product_id, p_size, p_retailprice FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 GROUP BY ALL)
-SELECT line_id, product_id, CAST((p_size >= 10)::INT + (p_retailprice <= 1500)::INT AS BIGINT) AS passed, CAST(2 - (p_size >= 10)::INT - (p_retailprice <= 1500)::INT AS BIGINT) AS failed, 1::BIGINT AS unknown,
- CASE WHEN p_size >= 10 AND p_retailprice <= 1500 THEN 'conditional' ELSE 'rejected' END AS status FROM c"""
-)
-def jn_requirements(spark, sf):
-    """JN-06, FN-17, AG-10: requirements checked against attributes of candidate products."""
-    load(spark, sf, "lineitem", "part")
-    lines = spark.table("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("line_id"), F.col("l_partkey").alias("product_id")).distinct()
-    part = spark.table("part")
-    cand = lines.join(part.select(F.col("p_partkey").alias("product_id")), "product_id", "left_semi")
-    req = products.parse_requirements(lines.select("line_id").distinct().withColumn("required_specs", F.lit("Размер не менее 10 мм; Цена до 1500 руб\nЦвет: белый")), ["line_id"])
-    sizes = part.select(F.col("p_partkey").alias("product_id"), F.lit("размер").alias("name"), F.col("p_size").cast("string").alias("value"), (F.col("p_size") / 10.0).alias("number"), F.lit("см").alias("unit"))
-    prices = part.select(F.col("p_partkey").alias("product_id"), F.lit("цена").alias("name"), F.col("p_retailprice").cast("string").alias("value"), F.col("p_retailprice").alias("number"), F.lit("руб").alias("unit"))
-    return products.compliance(products.check_requirements(req, sizes.union(prices), cand, units=[("см", "мм", 10.0)]))
-
-
 @query(
     """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, p_partkey AS product_id, p_size, p_retailprice FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
 SELECT line_id, product_id, CAST((p_size >= 10)::INT + (p_retailprice <= 1500)::INT AS BIGINT) AS passed, CAST(2 - (p_size >= 10)::INT - (p_retailprice <= 1500)::INT AS BIGINT) AS failed, 1::BIGINT AS unknown,
  CASE WHEN p_size >= 10 AND p_retailprice <= 1500 THEN 'conditional' ELSE 'rejected' END AS status FROM c"""
 )
-def jn_requirements_all(spark, sf):
+def jn_requirements(spark, sf):
     """JN-06, FN-17, AG-10: requirements checked against attributes of candidate products, for every line."""
     load(spark, sf, "lineitem", "part")
     lines = spark.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), F.col("l_partkey").alias("product_id")).distinct()
@@ -422,11 +371,11 @@ def se_list(spark, sf):
     return list_documents(spark.table("documents").withColumn("section", F.lit("kb")))
 
 
-@query("SELECT doc_id, lower(left(text, 40)) AS key, count(*) OVER (PARTITION BY lower(left(text, 40))) AS n FROM documents WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(left(text, 40)), '\\s+', ' ', 'g')) ORDER BY doc_id) = 1".replace("\\\\", "\\").replace(", lower(left(text, 40)) AS key, count(*) OVER (PARTITION BY lower(left(text, 40))) AS n", ""))
+@query("SELECT doc_id, lower(left(text, 40)) AS key, count(*) OVER (PARTITION BY lower(left(text, 40))) AS n FROM documents WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY doc_id) = 1".replace("\\\\", "\\").replace(", lower(left(text, 40)) AS key, count(*) OVER (PARTITION BY lower(left(text, 40))) AS n", ""))
 def cl_active(spark, sf):
     """CL-14: active rows, the first of equal ones."""
     load(spark, sf, "documents")
-    d = spark.table("documents").select("doc_id", F.substring("text", 1, 40).alias("name"), F.when(F.col("doc_id") % 2 == 0, " Да ").otherwise("нет").alias("active"))
+    d = spark.table("documents").select("doc_id", F.col("text").alias("name"), F.when(F.col("doc_id") % 2 == 0, " Да ").otherwise("нет").alias("active"))
     return cases.active_rows(d, ["name"], order="doc_id").select("doc_id")
 
 

@@ -41,7 +41,7 @@ _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 @query(
     rf"""
 SELECT doc_id, length({_NORM.format("text")}) AS n_norm, substr({_NORM.format("text")}, 1, 80) AS head,
-       regexp_replace({_NORM.format("substr(text, 1, 300)")}, '[^\p{{L}}\p{{N}}_]+', '', 'g') AS title_key,
+       regexp_replace({_NORM.format("text")}, '[^\p{{L}}\p{{N}}_]+', '', 'g') AS title_key,
        substr(split_part({_NORM.format("text")}, ' ', 1), 1, CAST(greatest(4, least(10, length(split_part({_NORM.format("text")}, ' ', 1)) - 2)) AS INT)) AS stem
 FROM documents"""
 )
@@ -49,18 +49,7 @@ def fn_text(spark, sf):
     """FN-01, FN-02, FN-09: normalized text, stem, title key."""
     load(spark, sf, "documents")
     n = text.normalize("text")
-    return spark.table("documents").select("doc_id", F.length(n).cast("long").alias("n_norm"), F.substring(n, 1, 80).alias("head"), text.title_key(F.substring("text", 1, 300)).alias("title_key"), text.stem(F.split_part(n, F.lit(" "), F.lit(1))).alias("stem"))
-
-
-@query(
-    rf"""
-SELECT doc_id, len(list_distinct([x for x in regexp_extract_all({_NORM.format("substr(text, 1, 2000)")}, '[a-zа-я0-9]+(?:[-/.][a-zа-я0-9]+)*') if length(x) >= 2])) AS n_tokens FROM documents"""
-)
-def fn_tokens(spark, sf):
-    """FN-03: search tokens of the first 2,000 characters."""
-    load(spark, sf, "documents")
-    t = text.search_tokens(F.substring("text", 1, 2000))
-    return spark.table("documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"))
+    return spark.table("documents").select("doc_id", F.length(n).cast("long").alias("n_norm"), F.substring(n, 1, 80).alias("head"), text.title_key("text").alias("title_key"), text.stem(F.split_part(n, F.lit(" "), F.lit(1))).alias("stem"))
 
 
 @query(
@@ -69,7 +58,7 @@ SELECT doc_id, regexp_replace({_NORM.format("text")}, '[^\p{{L}}\p{{N}}_]+', '',
        len(list_distinct([x for x in regexp_extract_all({_NORM.format("text")}, '[a-zа-я0-9]+(?:[-/.][a-zа-я0-9]+)*') if length(x) >= 2])) AS n_tokens
 FROM documents"""
 )
-def fn_tokens_all(spark, sf):
+def fn_tokens(spark, sf):
     """FN-03, FN-09: title key and search tokens of whole texts."""
     load(spark, sf, "documents")
     return spark.table("documents").select("doc_id", text.title_key("text").alias("title_key"), F.size(text.search_tokens("text")).cast("long").alias("n_tokens"))
@@ -145,26 +134,8 @@ def _stops(spark):
 
 _TERMS = " UNION ALL ".join(f"SELECT '{c}' AS category, {o} AS cat_ord, '{t}' AS term, {i} AS term_ord" for c, o, ts_ in CATEGORIES for i, t in enumerate(ts_))
 _WORD = r"regexp_matches(' ' || lower({}) , '[^\p{{L}}\p{{N}}_-]' || {})"
-_DOC_TERMS = ("the", "with", "ing", "of the", "und", "que", "en la", "thing")
-
-
-@query(
-    "SELECT doc_id, term FROM (SELECT doc_id, " + rf"' ' || {_NORM.format('text')} AS t FROM documents) d, (" + " UNION ALL ".join(f"SELECT '{t}' AS term" for t in _DOC_TERMS) + r""") x
-WHERE CASE WHEN contains(term, ' ') THEN contains(t, term) ELSE regexp_matches(t, '[^\p{L}\p{N}_-]' || term) END"""
-)
-def cl_terms(spark, sf):
-    """CL-01 and the literal half of CL-02: terms of a dictionary in all documents; `cl_terms_all` has the whole rule."""
-    load(spark, sf, "documents")
-    terms = spark.createDataFrame([(t,) for t in _DOC_TERMS], "term string")
-    return match.match_terms(spark.table("documents"), terms, "doc_id", "text").where(~F.contains("term", F.lit(" "))).union(_literal(spark, terms))
-
-
-def _literal(spark, terms):
-    d = match.match_terms(spark.table("documents"), terms.where(F.contains("term", F.lit(" "))), "doc_id", "text")
-    return d.join(spark.table("documents").select("doc_id", text.normalize("text").alias("_t")), "doc_id").where(F.contains("_t", F.col("term"))).drop("_t")
-
-
 _EDGE = r"[^\p{L}\p{N}_-]"
+_DOC_TERMS = ("the", "with", "ing", "of the", "und", "que", "en la", "thing")
 
 
 @query(
@@ -174,7 +145,7 @@ _EDGE = r"[^\p{L}\p{N}_-]"
 SELECT doc_id, term FROM p WHERE CASE WHEN contains(term, ' ') THEN contains(t, term) OR head <> '' AND length(regexp_extract(substr(t, length(head) + 1), '^(.*?{_EDGE})' || two || '{_EDGE}', 1, 's')) BETWEEN 1 AND {match.GAP}
  ELSE regexp_matches(t, '{_EDGE}' || term) END"""
 )
-def cl_terms_all(spark, sf):
+def cl_terms(spark, sf):
     """CL-01, CL-02: terms of a dictionary in all documents, phrases also by their words in order with a gap between."""
     load(spark, sf, "documents")
     # the SQL has the gap rule of phrases of two short words, which must match whole
@@ -578,19 +549,6 @@ def ec_totals(spark, sf):
     return t.select("case_id", *[F.col(c).cast("double").alias(c) for c in ("procurement_gross", "expenses_gross", "target_price", "viable_price", "floor_price", "headroom")], "decision")
 
 
-@query(
-    f"""WITH {_CASES}, {_PICK}, {_TOTALS}, s AS (SELECT * FROM (VALUES ('simplified_10', 0.10), ('simplified_15', 0.15)) v(scenario, rate)),
-x AS (SELECT case_id, scenario, rate, start_price AS rev, CAST(cost + expenses AS DECIMAL(18, 2)) AS total, CAST(start_price - cost - expenses AS DECIMAL(18, 2)) AS profit FROM price, s)
-SELECT case_id, scenario, CAST(rev AS DOUBLE) AS revenue_net, CAST(total AS DOUBLE) AS total_cost, CAST(profit AS DOUBLE) AS profit, CAST(greatest(round(greatest(profit, 0) * CAST(rate AS DECIMAL(5, 2)), 2), round(rev * CAST(0.01 AS DECIMAL(5, 2)), 2)) AS DOUBLE) AS tax FROM x"""
-)
-def ec_taxes(spark, sf):
-    """EC-05: the two simplified scenarios of every case."""
-    cases, lines, expenses = _case_tables(spark, sf)
-    totals = economics.case_totals(cases.join(lines.select("case_id").distinct(), "case_id", "left_semi"), lines, expenses)
-    out = economics.tax_scenarios(totals, lines, expenses).where("scenario <> 'vat'")
-    return out.select("case_id", "scenario", *[F.col(c).cast("double").alias(c) for c in ("revenue_net", "total_cost", "profit", "tax")])
-
-
 @query(
     f"""WITH {_CASES}, {_PICK}, {_TOTALS}, s AS (SELECT * FROM (VALUES ('vat', NULL), ('simplified_10', 0.10), ('simplified_15', 0.15)) v(scenario, rate)),
 goods AS (SELECT i.case_id, sum(CAST(CAST(round(quantity * unit_cost_gross, 2) AS DOUBLE) / (1 + CASE WHEN vat_rate = 0 THEN 0.22 ELSE vat_rate END) AS DECIMAL(28, 6))) AS goods_net FROM items i JOIN pick p ON p.case_id = i.case_id AND p.line_id = i.line_id GROUP BY 1),
@@ -601,7 +559,7 @@ y AS (SELECT *, CAST(round(rev - total, 2) AS DECIMAL(18, 2)) AS profit FROM x)
 SELECT case_id, scenario, CAST(round(rev, 2) AS DOUBLE) AS revenue_net, CAST(round(total, 2) AS DOUBLE) AS total_cost, CAST(profit AS DOUBLE) AS profit,
  CASE WHEN rate IS NOT NULL THEN CAST(greatest(round(greatest(profit, 0) * CAST(rate AS DECIMAL(5, 2)), 2), round(rev * CAST(0.01 AS DECIMAL(5, 2)), 2)) AS DOUBLE) END AS tax FROM y"""
 )
-def ec_taxes_all(spark, sf):
+def ec_taxes(spark, sf):
     """EC-05: the three scenarios of every case; who pays VAT has it taken out of price, goods and expenses."""
     cases, lines, expenses = _case_tables(spark, sf)
     totals = economics.case_totals(cases.join(lines.select("case_id").distinct(), "case_id", "left_semi"), lines, expenses)

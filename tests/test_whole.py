@@ -36,7 +36,7 @@ def first_match(text, term):
 
 def test_terms_with_a_gap(spark, table):
     texts = ["of all the", "of the", "of " + "x" * 18 + " the", "of " + "x" * 19 + " the", "of one of the", "the of", "off the", "en casa la", "of-the", "of, (the)", ""]
-    got = plans.QUERIES["cl_terms_all"](spark, table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    got = plans.QUERIES["cl_terms"](spark, table("documents", list(enumerate(texts)), "doc_id long, text string"))
     found = {(r["doc_id"], r["term"]) for r in got.collect() if " " in r["term"]}
     assert found == {(i, t) for i, x in enumerate(texts) for t in ("of the", "en la") if first_match(x, t)}
     assert {(0, "of the"), (2, "of the"), (7, "en la")} <= found and (3, "of the") not in found
@@ -44,13 +44,13 @@ def test_terms_with_a_gap(spark, table):
 
 def test_tokens_after_the_first_thousands(spark, table):
     text = "aa " * 1500 + "late"
-    r = plans.QUERIES["fn_tokens_all"](spark, table("documents", [(1, text)], "doc_id long, text string")).first()
+    r = plans.QUERIES["fn_tokens"](spark, table("documents", [(1, text)], "doc_id long, text string")).first()
     assert r["n_tokens"] == 2 and r["title_key"].endswith("late") and len(r["title_key"]) == 3004
 
 
 def test_evidence_of_short_and_spaced_texts(spark, table):
     texts = ["red ring", "a  red  ring for sale", "ring", "bored ring", ""]
-    got = plans.QUERIES["jn_evidence_all"](spark, table("documents", list(enumerate(texts)), "doc_id long, text string"))
+    got = plans.QUERIES["jn_evidence"](spark, table("documents", list(enumerate(texts)), "doc_id long, text string"))
     norm = [" ".join(t.split()) for t in texts]
     title = [" ".join(t[:24].split()) for t in texts]
     want = {(i, j) for i, t in enumerate(title) for j, x in enumerate(norm) if t and t in x}
@@ -58,14 +58,14 @@ def test_evidence_of_short_and_spaced_texts(spark, table):
 
 
 def test_every_line_and_organization(spark, sf_dir):
-    lines = plans.QUERIES["jn_requirements_all"](spark, sf_dir)
+    lines = plans.QUERIES["jn_requirements"](spark, sf_dir)
     assert lines.select("line_id").distinct().count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
-    actions = {r["action"]: r["count"] for r in plans.QUERIES["up_queue_all"](spark, sf_dir).groupBy("action").count().collect()}
+    actions = {r["action"]: r["count"] for r in plans.QUERIES["up_queue"](spark, sf_dir).groupBy("action").count().collect()}
     assert actions["update"] > 20 and actions["append"] > 20
 
 
 def test_all_tax_scenarios(spark, sf_dir):
-    got = plans.QUERIES["ec_taxes_all"](spark, sf_dir)
+    got = plans.QUERIES["ec_taxes"](spark, sf_dir)
     assert {r["count"] for r in got.groupBy("case_id").count().collect()} == {3}
     vat = got.where("scenario = 'vat'")
     assert vat.where("tax is not null").count() == 0 < vat.count()
@@ -74,6 +74,31 @@ def test_all_tax_scenarios(spark, sf_dir):
     assert vat.join(gross, "case_id").where("abs(revenue_net * 1.22 - gross) > 0.01").count() == 0
 
 
+def test_merge_equals_sorted_lists(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(40), rng.choice([10, 20, 20]), rng.choice(["", None, f"c{rng.randrange(5)}"]), rng.choice([None, float(rng.randrange(9))]), rng.choice([None, "", "a", "ab", "b", "xay"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "seq long, cluster long, rank int, customer string, price double, raw_text string")
+    got = {r["cluster"]: r for r in dedup.merge_clusters(df, "cluster", "rank", ["customer"], ["price"], ["raw_text"]).collect()}
+    for k in {r[1] for r in rows}:
+        group = sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))
+        lines = ""
+        for t in (r[5] for r in group if r[5]):
+            lines = t if lines == "" or lines in t else lines if t in lines else f"{lines}\n{t}"
+        want = (group[0][0], next((r[3] for r in group if r[3]), None), max((r[4] for r in group if r[4] is not None), default=None), lines)
+        assert (got[k]["seq"], got[k]["customer"], got[k]["price"], got[k]["raw_text"]) == want
+    assert len(got) == len({r[1] for r in rows})
+
+
+def test_versions_equal_sorted_lists(spark):
+    rng = random.Random(12)
+    day = dt.datetime(2026, 1, 1)
+    rows = [(i, f"n{rng.randrange(30)}", rng.choice([None, day + dt.timedelta(days=rng.randrange(5))]), rng.choice(["?", "real", "other"]), rng.choice([None, "", f"c{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, tender_number string, published_at timestamp, title string, customer string")
+    for r in dedup.latest_versions(df, filled=["customer"], placeholder="?").collect():
+        group = sorted((x for x in rows if x[1] == r["tender_number"]), key=lambda x: (x[2] is not None, x[2] or day, x[0]), reverse=True)
+        assert (r["seq"], r["title"], r["customer"]) == (group[0][0], next((x[3] for x in group if x[3] != "?"), "?"), next((x[4] for x in group if x[4]), None))
+
+
 CARD = "seq long, title string, deadline timestamp, price double, region_bucket string, source string, tender_number string, official_number string"
 
 
@@ -128,6 +153,12 @@ def test_official_equals_replay(spark):
     assert {r["seq"]: r["cluster"] for r in got.collect()} == naive_official(rows)
 
 
+def test_official_bucket_of_fifty_thousand(spark):
+    rows = spark.range(50_000).selectExpr("id as seq", "concat('s', id % 3) as source", "concat('z', id) as tender_number", "'k' as official_number")
+    got = dedup.official_clusters(rows).groupBy("cluster").count()
+    assert got.count() == 16_667 and got.agg(F.max("count")).first()[0] == 3
+
+
 def test_retry_asks_for_every_failed_file(spark):
     asked = []
 
@@ -140,40 +171,5 @@ def test_retry_asks_for_every_failed_file(spark):
             return spark.createDataFrame([], "path string, content binary")
 
     rejects = spark.range(10_050).select(F.concat(F.lit("/x/"), "id").alias("path"))
-    archives.retry(Reader(), rejects.union(rejects))
-    assert sorted(asked) == sorted(f"/x/{i}" for i in range(10_050))
-
-
-def test_unique_keeps_one_row_of_a_group(spark, sf_dir):
-    import corpus_pipeline as pipe
-
-    a, b = "one two three four five six seven " * 9, "quite another text of eight words and more " * 5
-    rows = [(5, a, 0), (5, a, 1), (3, a, 2), (3, a, 3), (9, b, 4), (5, b, 5), (None, a, 6), (None, None, 7), (8, None, 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
-    got = sorted((r["doc_id"] or 0, r["text"] == b, r["n"]) for r in pipe.unique(spark, docs, sf_dir).collect())
-    assert [x[:2] for x in got] == [(0, False), (0, False), (3, False), (5, True), (8, False)]
-    assert {x[2] for x in got} - {2, 3} == {5, 6, 7, 8}
-
-
-def test_mixed_documents_stay(spark, sf_dir):
-    import corpus_pipeline as pipe
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    whole = docs.where("lang is not null").groupBy("lang").agg(F.array_join(F.slice(F.collect_list("text"), 1, 40), " ").alias("t")).orderBy("lang").limit(3)
-    parts = [r["t"][:n] for r, n in zip(whole.collect(), (4000, 3000, 3000), strict=True)]
-    mixed = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast(docs.schema["doc_id"].dataType), "text": F.lit(" ".join(parts)), "lang": F.lit(None).cast("string")})
-    assert pipe.language(spark, docs.unionByName(mixed), sf_dir).where("doc_id = -1").count() == 1
-
-
-def test_shares_of_seven_languages():
-    import numpy as np
-    import pyarrow as pa
-
-    from noticeflow.llm import langid
-
-    rng = random.Random(3)
-    runs = ["".join(rng.choice(abc) for _ in range(4800)) for abc in ("abc", "def", "ghi", "jkl", "mno", "pqr", "stu")]
-    counts = np.array([np.bincount(langid.hashed(langid.padded(pa.array([r]), letters=True)[0]), minlength=langid.BUCKETS) for r in runs]) + 0.5
-    table = np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
-    _, share = langid.infer(pa.array(["".join(runs)]), table)
-    assert abs(share[0] - 1 / 7) < 0.02
+    blocks = list(archives.retry(Reader(), rejects.union(rejects)))
+    assert len(blocks) == 11 and sorted(asked) == sorted(f"/x/{i}" for i in range(10_050))
