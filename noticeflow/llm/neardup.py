@@ -333,7 +333,8 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
     heads = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
     heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
     owned = df.select(F.col(id_col).alias("head"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest")).where("text is not null")
-    firsts = owned.join(heads, ["head", "digest"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+    # repeated rows go where the join has dealt them
+    firsts = owned.join(heads, ["head", "digest"]).dropDuplicates(["head", "digest"]).select(F.col("node").alias("id"), "text")
     texts = stored(firsts.mapInArrow(_shingle_rows, "id long, sh binary, tf binary, sketch long").where("length(sh) > 0"), "shingles")
     factor = factors(texts)
 
