@@ -138,10 +138,10 @@ def seen_order(df: DataFrame, most: int, seen: str = "last_seen_at", discovered:
     return df.orderBy(F.desc_nulls_last(seen), F.desc_nulls_last(discovered), tie).limit(most)
 
 
-def places(df: DataFrame, rows: DataFrame, order: Sequence[Column], name: str, key: str = "seq", stretches: int = 256) -> DataFrame:
+def places(df: DataFrame, rows: DataFrame, order: Sequence[Column], name: str, key: str = "seq") -> DataFrame:
     """key and the place of some rows in the whole table's order, which must be total: a range partitioning, then counts before each part."""
     ordered = df.select(key, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("_o"))
-    parted = ordered.repartitionByRange(stretches, "_o").withColumn("_part", F.spark_partition_id())
+    parted = ordered.repartitionByRange("_o").withColumn("_part", F.spark_partition_id())
     parted = cut_lineage(parted)
     counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
