@@ -40,8 +40,8 @@ BANDS, ROWS = 14, 4
 CELLS, FLOOR = 1 << 20, 0.25
 #: A text's part in the counts is a whole number of 1 / PARTS.
 PARTS = 1 << 12
-#: Shingles sampled at a time; texts of a bucket in one block.
-BLOCK, MEMBERS = 1 << 16, 256
+#: Shingles sampled at a time; texts of a bucket in one block; shares of a bucket's rows.
+BLOCK, MEMBERS, SALTS = 1 << 16, 256, 16
 
 _WORD = np.ones(256, bool)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = False
@@ -296,16 +296,16 @@ def _block_links(rows: list[tuple], lo: int, hi: int, factor: np.ndarray, least:
 
 
 def _in_blocks(rest: DataFrame, texts: DataFrame, factor: np.ndarray, least: float) -> DataFrame:
-    """Links among a bucket's texts of different components.
+    """Links among the texts of buckets that hold several components. A bucket's rows meet its sizes in SALTS shares.
 
     Texts outside the bucket's largest component are dealt into blocks 0 to few - 1 and
     those of the largest into blocks few and up, MEMBERS texts each about. A group is one
     of the first blocks with itself or with any other block.
     """
     sizes = rest.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"))
-    main = main.select("key", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / MEMBERS).cast("int").alias("few"), F.ceil(F.col("m.count") / MEMBERS).cast("int").alias("many"))
-    rows = rest.join(main, "key").withColumn("leader", F.col("id").isin(F.col("l0"), F.col("l1"), F.col("l2")))
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = main.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / MEMBERS).cast("int").alias("few"), F.ceil(F.col("m.count") / MEMBERS).cast("int").alias("many"))
+    rows = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int")).join(stored(main, "split"), ["key", "salt"]).withColumn("leader", F.col("id").isin(F.col("l0"), F.col("l1"), F.col("l2")))
     rows = rows.withColumn("stray", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("few")).otherwise(F.col("many"))).cast("int") + F.when(F.col("stray"), 0).otherwise(F.col("few")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component", "leader").join(texts.select("id", "keys", "sh", "tf"), "id")
@@ -361,9 +361,7 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
 
     # what the leaders did not join: every pair of a bucket that is still in two classes, in blocks
     placed = stored(shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = placed.where("n > 2").join(stored(split, "split"), "key")
-    late = stored(_in_blocks(rest, texts.join(sampled, "id"), factor, least), "verified")
+    late = stored(_in_blocks(placed.where("n > 2"), texts.join(sampled, "id"), factor, least), "verified")
     if not late.isEmpty():
         found = stored(components(links.union(late)), "components")
 

@@ -177,6 +177,18 @@ def test_chat(spark, vocab):
     assert chat.conversations(df.where("conv_id > 9"), vocab(BYTE)).count() == 0
 
 
+def test_long_conversations(spark, vocab):
+    """Many turns, and a text of two million characters."""
+    long = "long words <|im_end|> and more " * 70_000
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(3000)] + [(2, 0, "user", "?"), (2, 1, "assistant", long), (3, 0, "assistant", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.digests(chat.conversations(df, vocab(BYTE)), vocab(BYTE)).collect()}
+    for conv in (1, 2, 3):
+        loss = "".join(t for c, _, role, t in rows if c == conv and role == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"]) == (sum(r[0] == conv for r in rows), len(loss))
+        assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_escape_is_reversible():
     for text in ("<|", "<\\|", "<\\\\|", "a<|b<\\|c|>", "<<||", "\\<|"):
         assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
