@@ -140,7 +140,8 @@ def table_items(rows: DataFrame, keys: Sequence[str] = ("case_id", "table"), ord
 def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: str = "seq", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Items of several documents with one line and quantity as one (the first with specs, else the first), and the groups whose names or codes differ.
 
-    A group whose first item repeats the name, quantity and source of an earlier group's first item is left out.
+    items: keys, line_id, quantity, name, source, required_specs, seq. A group whose first
+    item repeats the name, quantity and source of an earlier group's first item is left out.
     """
     group = [*keys, "line_id", "quantity"]
     folded = F.trim(F.regexp_replace(F.lower("name"), r"[^a-zа-яё0-9]+", " "))

@@ -302,7 +302,7 @@ def cl_items(spark, sf):
 def dd_items(spark, sf):
     """DD-09: groups of items whose names differ across documents."""
     load(spark, sf, "lineitem", "part")
-    i = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_id"), F.lit("1").alias("quantity"), F.col("p_name").alias("name"), F.lit("").alias("required_specs"), F.col("l_partkey").alias("seq"))
+    i = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_id"), F.lit("1").alias("quantity"), F.col("p_name").alias("name"), F.col("l_suppkey").alias("source"), F.lit("").alias("required_specs"), F.col("l_partkey").alias("seq"))
     return cases.reconcile_items(i)[1]
 
 
