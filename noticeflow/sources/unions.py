@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import keep_first
@@ -23,7 +23,11 @@ def union_sources(*dfs: DataFrame, aliases: Mapping[str, str] | None = None, key
 def first_nonempty(df: DataFrame, priority: str = "priority", keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the first source that has any, over all or per key."""
     if keys:
-        least = F.min(priority).over(Window.partitionBy(*keys))
-        return df.withColumn("_least", least).where(F.col(priority) == F.col("_least")).drop("_least")
+        # a hot key is reduced to its least priority before it is shuffled
+        least = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(priority).alias("_least"))
+        same = F.col(priority) == F.col("_least")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return df.join(least, same, "left_semi")
     least = df.agg(F.min(priority).alias("_least"))
     return df.join(F.broadcast(least), F.col(priority) == F.col("_least")).drop("_least")
