@@ -1,5 +1,6 @@
 """Operators for building language-model training data, and their queries."""
 
-from .queries import ORACLE_SQL, QUERIES
+from .oracle import ORACLE_SQL
+from .queries import QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -77,6 +78,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_chat": op2_chat,
@@ -88,6 +96,5 @@ QUERIES = {
     "op8_ids": op8_ids,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
+    "op13_merkle": op13_merkle,
 }
-
-ORACLE_SQL: dict[str, str] = {}
