@@ -53,4 +53,33 @@ select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, own as
 from ascent, (select h from crown where total = 1) r where ascent.total = 1
 """
 
-ORACLE_SQL = {"op13_merkle": MERKLE}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = f"""
+  (select key, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f
+   from (select *, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from %s))"""
+
+RESAMPLE = f"""
+with crc as ({_CRC_TABLE}),
+doc as (select row_number() over () as key, doc_id, coalesce(text, '') as text from documents),
+aim as (select 0 as key, coalesce(text, '') as text from benchmark),
+own as (select key, f, count(*) as n from {_FEATURES % "doc"} group by all),
+their as (select f, count(*) as n from {_FEATURES % "aim"} group by all),
+code as (
+  select f, {_crc("list_transform(range(strlen(f)), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)")} % 10000 as bucket
+  from (select f, hex(encode(f)) as x from (select f from own union select f from their)), crc),
+s as (select bucket, sum(n)::bigint as n from own join code using (f) group by 1),
+t as (select bucket, sum(n)::bigint as n from their join code using (f) group by 1),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0)::bigint from s) + 10000)::double / ((coalesce(s.n, 0) + 1) * ((select coalesce(sum(n), 0)::bigint from t) + 10000))))::bigint as g
+  from range(10000) b(bucket) left join s using (bucket) left join t using (bucket)),
+weighed as (select key, sum(n)::bigint as n_features, sum(n * g)::bigint as weight from own join code using (f) join gain using (bucket) group by 1),
+scored as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from doc left join weighed using (key)),
+able as (select *, row_number() over (order by score desc, doc_id) as place, count(*) over () as total from scored where n_features >= 57)
+select s.doc_id, s.n_features, s.weight, s.score, case when place <= 5 * total // 100 then place end as rank
+from scored s left join able a on a.doc_id = s.doc_id
+"""
+
+ORACLE_SQL = {"op11_resample": RESAMPLE, "op13_merkle": MERKLE}

@@ -78,6 +78,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -96,5 +102,6 @@ QUERIES = {
     "op8_ids": op8_ids,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
+    "op11_resample": op11_resample,
     "op13_merkle": op13_merkle,
 }
