@@ -82,4 +82,31 @@ select s.doc_id, s.n_features, s.weight, s.score, case when place <= 5 * total /
 from scored s left join able a on a.doc_id = s.doc_id
 """
 
-ORACLE_SQL = {"op11_resample": RESAMPLE, "op13_merkle": MERKLE}
+JACCARD = f"""
+with recursive doc as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+runs as (
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as r from doc),
+size as (select doc_id, count(*) as n from runs group by 1),
+often as (
+  -- a similar pair shares one of the rarest 15 % of each one's runs, and one more
+  select doc_id, r from (
+    select doc_id, r, n, row_number() over (partition by doc_id order by df, r) as place
+    from (select *, count(*) over (partition by r) as df from runs) join size using (doc_id))
+  where place <= n - ceil(0.85 * n) + 1),
+pair as (select distinct a.doc_id as a, b.doc_id as b from often a join often b on a.r = b.r and a.doc_id < b.doc_id),
+link as (
+  select p.a, p.b
+  from (select a, b, count(*) as i from pair join runs x on x.doc_id = a join runs y on y.doc_id = b and y.r = x.r group by 1, 2) p
+    join size s on s.doc_id = p.a join size t on t.doc_id = p.b
+  where 100 * i >= 85 * (s.n + t.n - i)),
+step as (select a, b from link union all select b, a from link),
+reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select r.doc_id, s.b from reach r join step s on s.a = r.other)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from (select doc_id, min(other) as component_id from reach group by 1) left join size using (doc_id)
+"""
+
+ORACLE_SQL = {"op11_resample": RESAMPLE, "op12_jaccard": JACCARD, "op13_merkle": MERKLE}

@@ -84,6 +84,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -103,5 +109,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
     "op11_resample": op11_resample,
+    "op12_jaccard": op12_jaccard,
     "op13_merkle": op13_merkle,
 }
