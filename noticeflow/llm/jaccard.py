@@ -353,10 +353,10 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
 
     links = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
     found = stored(components(links), "components")
-    nodes = nodes.select("node", "n", "own", "higher")
+    compared = nodes.select("node", "n", "own", "higher")
     for share in ROUNDS:
         placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = stored(_in_blocks(stored(placed, "placed"), nodes, bands, share), "candidates")
+        pairs = stored(_in_blocks(stored(placed, "placed"), compared, bands, share), "candidates")
         if pairs.isEmpty():
             continue
         late = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
