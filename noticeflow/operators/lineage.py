@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written once to spark.checkpoint.dir, which all executors share; unchanged where that is not set."""
+    """The rows written once to spark.checkpoint.dir, which all executors share.
+
+    Where that is unset: a folder of this machine in local mode, and an error on a cluster.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or Path(tempfile.gettempdir(), "noticeflow-checkpoints").as_uri())
     return df.checkpoint()

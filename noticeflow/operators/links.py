@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import blank_null, host, law_for_number
 from ..functions.text import normalize, quoted, search_tokens
+from .contain import contained
 
 
 def direct_links(df: DataFrame, registries: Sequence[str], platforms: Sequence[str], mixed: Sequence[str], registry_host: str, registry_name: str) -> DataFrame:
@@ -96,28 +97,14 @@ def verify_links(df: DataFrame, pages: DataFrame, not_found: Sequence[str], numb
 def apply_evidence(notices: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
     """Pairs (key, doc_id) of notices whose number is a token of a document, or whose title stands in it.
 
-    Numbers join as tokens; titles join on the word after their first blank, which in a
-    text also follows a blank (titles of one word: on their own start, at any place), and
-    are then looked for. evidence: doc_id, text.
+    Numbers join as tokens, titles by their rarest grams (operators.contain). evidence: doc_id, text.
     """
     n = notices.select(key, normalize("tender_number").alias("_num"), normalize("title").alias("_title"))
     d = evidence.select("doc_id", normalize("text").alias("_text"))
     tokens = d.select("doc_id", F.explode(search_tokens("_text")).alias("_num"))
     by_number = n.where("_num <> ''").join(tokens, "_num").select(key, "doc_id")
-    second = F.split_part("_title", F.lit(" "), F.lit(2))
-    titles = n.where("_title <> ''").withColumn("_key", F.substring(F.when(second != "", second).otherwise(F.col("_title")), 1, 4))
-    cut = lambda k: lambda s: F.substring(s, 1, k)
-
-    def keys(pattern: str) -> DataFrame:
-        starts = F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)))
-        return d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.transform(starts, cut(k)) for k in (1, 2, 3, 4)])))).alias("_key"))
-
-    several = titles.where(second != "").join(keys(r"(?U)(?:^|(?<=\s))(?=(.{1,4}))"), "_key")
-    # a title of one word may stand within a word: any place can be its start
-    single = titles.where(second == "").join(keys(r"(?s)(?=(.{1,4}))"), "_key")
-    pairs = several.select(key, "doc_id", "_title").union(single.select(key, "doc_id", "_title")).distinct()
-    by_title = pairs.join(d, "doc_id").where(F.contains("_text", F.col("_title"))).select(key, "doc_id")
-    return by_number.union(by_title).distinct()
+    found = contained(d, n, "doc_id", "_text", "_title")
+    return by_number.union(n.join(found, "_title").select(key, "doc_id")).distinct()
 
 
 def enrich(notices: DataFrame, pairs: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
