@@ -4,32 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, normalize, search_tokens, snippet
+from .contain import contained
+from .lineage import cut_lineage
 
+#: What an occurrence of the whole phrase counts.
+PHRASE = 100
 
-#: Queries that are sent to every task.
-MOST_QUERIES = 10_000
 
+def document_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """Postings word, id, n of the texts' words between blanks. Written once, they serve any number of searches."""
+    words = F.split(_searched(text_col, path_col), " ")
+    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).where("word <> ''").groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"))
 
-def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """query_id, id_col, score, rank, snippet: 100 per occurrence of the phrase and one per occurrence of a token.
 
-    The queries are a given table of MOST_QUERIES rows at most, more are an error: each
-    document is read once, and counts every query.
+def _searched(text_col: str, path_col: str | None) -> Column:
+    return normalize(F.concat_ws(" ", *([F.col(path_col)] if path_col else []), F.col(text_col)))
+
+
+def _postings(index: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Postings list, id, value: `t:` lists count a token's occurrences, `p:` lists PHRASE for each of a phrase.
+
+    What has no blank stands within words, so that the index's words tell its occurrences.
+    A phrase of several words is looked for in the texts that have its rarest word; the
+    first of its words ends a word of the text, and the last begins one.
+    """
+    tokens = queries.select(F.explode("_qt").alias("s")).distinct()
+    phrases = queries.select(F.col("_q").alias("phrase")).distinct()
+    parts = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("nth", "s"), (F.size(F.split("phrase", " ")) - 1).alias("last"))
+    inside = cut_lineage(contained(index.select("word").distinct(), tokens.union(parts.select("s")), "word", "word", "s"))
+    times = count_of(F.col("word"), F.col("s"))
+    counts = lambda wanted: index.join(inside.join(wanted.select("s").distinct(), "s").withColumn("times", times), "word").groupBy("s", "id").agg(F.sum(F.col("n") * F.col("times")).alias("value"))
+    single = counts(parts.where("last = 0"))
+
+    fits = F.when(F.col("nth") == 0, F.endswith("word", F.col("s"))).when(F.col("nth") == F.col("last"), F.startswith("word", F.col("s"))).otherwise(F.col("word") == F.col("s"))
+    usable = parts.where("last > 0").join(inside, "s").where(fits)
+    holding = index.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = usable.join(holding, "word").groupBy("phrase", "nth").agg(F.sum("texts").alias("texts")).groupBy("phrase").agg(F.min_by("nth", F.struct("texts", "nth")).alias("nth"))
+    held = usable.join(rarest, ["phrase", "nth"]).join(index, "word").select("phrase", "id").distinct()
+    found = held.join(texts, "id").select(F.col("phrase").alias("s"), "id", count_of(F.col("_all"), F.col("phrase")).alias("value")).where("value > 0")
+    named = lambda kind, rows, by: rows.select(F.concat(F.lit(kind), "s").alias("list"), "id", (F.col("value") * by).alias("value"))
+    return named("t:", counts(tokens), 1).union(named("p:", single, PHRASE)).union(named("p:", found, PHRASE))
+
+
+def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """query_id, id_col, score, rank, snippet: 100 per occurrence of the phrase and one per occurrence of a token; equal scores by path, else by id.
+
+    A query's score is a sum over lists of postings, one for each token and one for the
+    phrase. The k best are found in three steps: the sum over the lists' own k best gives
+    a score that the k-th best reaches; a text that reaches it has at least an equal share
+    of it in some list; and only such texts are scored in full. The ids of docs are unique.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at a time")
     q = queries.select("query_id", normalize("query").alias("_q")).withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0)
-    text = F.concat_ws(" ", *([F.col(path_col)] if path_col else []), F.col(text_col))
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_text"), normalize(text).alias("_all"))
-    pairs = d.join(F.broadcast(q), F.exists("_qt", lambda t: F.contains(F.col("_all"), t)))
-    score = count_of(F.col("_all"), F.col("_q")) * 100 + F.aggregate("_qt", F.lit(0).cast("long"), lambda acc, t: acc + count_of(F.col("_all"), t))
-    scored = pairs.withColumn("score", score).where("score > 0")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), path_col or id_col))
-    return scored.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", id_col, "score", "rank", snippet("_text", F.col("_qt")).alias("snippet"))
+    index = cut_lineage(document_index(docs, id_col, text_col, path_col)) if index is None else index
+    tie = F.col(path_col or id_col).alias("_tie")
+    texts = docs.select(F.col(id_col).alias("id"), _searched(text_col, path_col).alias("_all"))
+    posts = cut_lineage(_postings(index, q, texts))
+    lists = q.select("query_id", F.explode(F.concat(F.transform("_qt", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("p:"), "_q")))).alias("list"), (F.size("_qt") + 1).alias("_m"))
+
+    nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    best = posts.withColumn("_nth", nth("list", F.desc("value"), "id")).where(F.col("_nth") <= k).select("list", "id", "value")
+    sums = lists.join(best, "list").groupBy("query_id", "id").agg(F.sum("value").alias("_sum"))
+    floor = sums.withColumn("_nth", nth("query_id", F.desc("_sum"), "id")).where(F.col("_nth") == k).select("query_id", F.col("_sum").alias("_floor"))
+    bound = lists.join(floor, "query_id", "left").withColumn("_least", F.coalesce(F.ceil(F.col("_floor") / F.col("_m")), F.lit(0)))
+    wanted = bound.join(posts.select("list", "value").distinct(), "list").where("value >= _least").select("query_id", "list", "value")
+    some = wanted.join(posts, ["list", "value"]).select("query_id", "id").distinct()
+    scored = some.join(lists, "query_id").join(posts, ["list", "id"]).groupBy("query_id", "id").agg(F.sum("value").alias("score"))
+    scored = scored if path_col is None else scored.join(docs.select(F.col(id_col).alias("id"), tie), "id")
+    ranked = scored.withColumn("rank", nth("query_id", F.desc("score"), "_tie" if path_col else "id")).where(F.col("rank") <= k)
+    out = ranked.join(q.select("query_id", "_qt"), "query_id").join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
+    return out.select("query_id", F.col("id").alias(id_col), "score", "rank", snippet("_text", F.col("_qt")).alias("snippet"))
 
 
 def search_notices(register: DataFrame, queries: DataFrame, fields: Sequence[str], k: int = 20, recent: int = 5000, key: str = "unique_key", title: str = "title", seen: str = "last_seen_at", deadline: str = "deadline") -> DataFrame:

@@ -589,6 +589,23 @@ def se_documents(spark, sf):
     return search.search_documents(spark.table("documents"), q).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, {_N} AS t FROM documents),
+q AS (SELECT query_id, q, list_distinct([x FOR x IN regexp_extract_all(q, '[a-zа-я0-9]+(?:[-/.][a-zа-я0-9]+)*') IF length(x) >= 2]) AS toks FROM (
+  SELECT item_id AS query_id, array_to_string(string_split({_N}, ' ')[2:4], ' ') AS q FROM benchmark UNION ALL
+  SELECT -1 - doc_id, array_to_string(string_split({_N}, ' ')[1:3], ' ') FROM documents WHERE doc_id % 100 = 0)),
+s AS (SELECT query_id, doc_id, 100 * ((length(t) - length(replace(t, q, ''))) // length(q)) + list_sum([(length(t) - length(replace(t, x, ''))) // length(x) FOR x IN toks]) AS score FROM q, d WHERE len(toks) > 0)
+SELECT query_id, doc_id, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50"""
+)
+def se_queries(spark, sf):
+    """SE-01: the best 50 documents for words of every benchmark item, and of every document whose id is divisible by 100."""
+    load(spark, sf, "documents", "benchmark")
+    words = lambda i, n: F.array_join(F.slice(F.split(text.normalize("text"), " "), i, n), " ").alias("query")
+    asked = spark.table("documents").where("doc_id % 100 = 0").select((-1 - F.col("doc_id")).alias("query_id"), words(1, 3))
+    q = spark.table("benchmark").select(F.col("item_id").alias("query_id"), words(2, 3)).union(asked)
+    return search.search_documents(spark.table("documents"), q).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"""WITH {NOTICES}, r AS (SELECT *, lower(title) AS t, lower(title || ' ' || customer || ' ' || region) AS a FROM n ORDER BY discovered_at DESC, seq LIMIT 5000),
 q AS (SELECT 0 AS query_id, unnest(['small', 'ring']) AS tok UNION ALL SELECT 1, unnest(['asia', 'gear'])),
