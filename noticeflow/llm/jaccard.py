@@ -13,8 +13,9 @@ the next band is sketched for that too.
 Candidates pass where the sketches, folded to eight bits a part, differ in at most k bits,
 and link where the sets themselves are similar enough. Within a key's bucket every
 set meets the smallest. Where a bucket then still holds several components, the sets
-outside its largest one meet all others in blocks, first by a part of the pairs and, where
-these leave several, by all; only sketches go to blocks, and only candidates leave them.
+outside its largest one meet all others in blocks; in large buckets first by a part of the
+pairs, so that few components are left for the rest. Only sketches go to blocks, and
+only candidates leave them.
 
 Null texts and texts without words are empty sets, which link with nothing; fewer
 words than WORDS are one run; repeated rows and equal texts share a component; a null id
@@ -38,8 +39,8 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Bits of a part, at most; sizes of the first band; sets in one block; shares of a bucket's rows.
 PART_BITS, FIRST, MEMBERS, SALTS = 1 << 16, 6, 256, 16
-#: Parts of 1024 of the pairs that the rounds in blocks compare.
-ROUNDS = (32, 1024)
+#: Parts of 1024 of the pairs that are compared first, in buckets of several blocks.
+SOME = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -291,8 +292,13 @@ def _in_blocks(placed: DataFrame, nodes: DataFrame, bands: Bands, share: int) ->
     """
     sizes = placed.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and n > 2")
+    if share < 1024:
+        main = main.where(F.col("n") - F.col("m.count") > MEMBERS)
     main = main.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / MEMBERS).cast("int").alias("few"), F.ceil(F.col("m.count") / MEMBERS).cast("int").alias("many"))
-    rows = placed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(stored(main, "split"), ["key", "salt"])
+    main = stored(main, "split")
+    if main.isEmpty():
+        return placed.sparkSession.createDataFrame([], "a long, b long")
+    rows = placed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(main, ["key", "salt"])
     rows = rows.withColumn("stray", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("few")).otherwise(F.col("many"))).cast("int") + F.when(F.col("stray"), 0).otherwise(F.col("few")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "component", (F.col("node") == F.col("leader")).alias("leads")).join(nodes, "node")
@@ -349,12 +355,13 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
         """Sets of the nodes in the pairs."""
         some = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         some = nodes.select("node", "id", "k1", "k2").join(some, "node")
-        return texts.join(some, "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
+        # the nodes grow with the table, and are not to be sent to every task
+        return texts.join(some.hint("merge"), "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
 
     links = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
     found = stored(components(links), "components")
     compared = nodes.select("node", "n", "own", "higher")
-    for share in ROUNDS:
+    for share in (SOME, 1024):
         placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs = stored(_in_blocks(stored(placed, "placed"), compared, bands, share), "candidates")
         if pairs.isEmpty():
