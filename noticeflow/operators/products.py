@@ -1,4 +1,4 @@
-"""Notices and queries against supplier products: scored matching over stems, requirement checks, routes."""
+"""Notices and queries against supplier products: scored matching over stems, tasks and routes."""
 
 from __future__ import annotations
 
@@ -58,85 +58,6 @@ def match_products(queries: DataFrame, products: DataFrame, k: int = 10, least:
     return scored.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "product_id", *names, "score", "matched_tokens", "rank")
 
 
-#: Words of comparison and the operator each means.
-COMPARISONS = (("не менее", ">="), ("не ниже", ">="), ("от", ">="), ("не более", "<="), ("не выше", "<="), ("до", "<="), ("более", ">"), ("менее", "<"))
-
-
-def parse_requirements(items: DataFrame, id_cols: Sequence[str], specs: str = "required_specs") -> DataFrame:
-    """A row per requirement: id columns, n, requirement, name, op, number, unit. Split at ; and line ends."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(specs), F.lit("")), r"[;\n]"), F.trim), lambda x: x != "")
-    rows = items.select(*id_cols, F.posexplode(parts).alias("n", "requirement"))
-    text = normalize("requirement")
-    symbol = F.nullif(F.regexp_extract(text, r"(>=|<=|>|<|=)", 1), F.lit(""))
-    op = F.coalesce(symbol, *[F.when(text.rlike(rf"(?U)(?<!\w){w}(?!\w)"), o) for w, o in COMPARISONS], F.lit(None).cast("string"))
-    # a number without a word or sign of comparison is part of a value
-    found = F.translate(F.regexp_extract(text, r"(\d+(?: \d{3})*(?:[.,]\d+)?)", 1), " ", "")
-    number = F.when(op.isNotNull(), F.replace(found, F.lit(","), F.lit(".")).try_cast("double"))
-    unit = F.nullif(F.regexp_extract(text, r"\d+(?:[.,]\d+)?\s*([a-zа-я%/°]+)", 1), F.lit(""))
-    words = "|".join(w for w, _ in COMPARISONS)
-    name = F.trim(F.regexp_replace(F.regexp_extract(text, r"^([^0-9<>=:]*)", 1), rf"(?U)(?<!\w)(?:{words})(?!\w)", " "))
-    return rows.withColumns({"name": name, "op": op, "number": number, "unit": unit})
-
-
-def to_unit(value: Column, unit: Column, wanted: Column, table: Sequence[tuple[str, str, float]]) -> Column:
-    """A value in another unit by a table of (from, to, factor); the same where units are equal or one is unknown."""
-    same = unit.isNull() | wanted.isNull() | (unit == wanted)
-    return F.when(same, value).otherwise(F.coalesce(*[F.when((unit == a) & (wanted == b), value * f) for a, b, f in table], F.lit(None).cast("double")))
-
-
-def check_requirements(requirements: DataFrame, attributes: DataFrame, candidates: DataFrame, item: str = "line_id", product: str = "product_id", units: Sequence[tuple[str, str, float]] = (), overlap: float = 0.5, texts: DataFrame | None = None) -> DataFrame:
-    """Verdict of each requirement for each candidate product of its item: item, product, n, verdict, reason.
-
-    The attribute whose name shares most words with the requirement's (at least `overlap`
-    of them) decides: numbers by the operator after conversion, texts by containment; a
-    requirement without such an attribute is unknown. attributes has product, name, value, number, unit.
-    With texts (product, title, text) a number of pages in the title stands in for a missing
-    attribute, and a requirement whose words stand in the text passes.
-    """
-    want = requirements.withColumn("_want", search_tokens("name"))
-    have = attributes.select(F.col(product), F.col("name").alias("a_name"), "value", F.col("number").alias("a_number"), F.col("unit").alias("a_unit")).withColumn("_have", search_tokens("a_name"))
-    pairs = candidates.select(item, product).distinct().join(want, item).join(have, product, "left")
-    share = F.size(F.array_intersect("_want", "_have")) / F.greatest(F.size("_want"), F.lit(1))
-    pairs = pairs.withColumn("_share", F.coalesce(share, F.lit(0.0)))
-    best = F.max_by(F.struct("a_name", "value", "a_number", "a_unit"), F.struct(F.col("_share"), F.col("a_name"))).alias("a")
-    keys = [item, product, "n", "requirement", "op", "number", "unit"]
-    rows = pairs.groupBy(*keys).agg(best, F.max("_share").alias("_share"))
-    value = to_unit(F.col("a.a_number"), F.col("a.a_unit"), F.col("unit"), units)
-    numeric = F.when(F.col("op") == ">=", value >= F.col("number")).when(F.col("op") == "<=", value <= F.col("number")).when(F.col("op") == ">", value > F.col("number")).when(F.col("op") == "<", value < F.col("number")).otherwise(value == F.col("number"))
-    # `label: value` is compared by its value, other wordings as a whole
-    exact = F.regexp_extract("requirement", r"(?s)^.{2,100}?\s*[:=]\s*(.+)$", 1)
-    wanted = normalize(F.when(exact != "", exact).otherwise(F.col("requirement")))
-    text = F.contains(wanted, normalize("a.value")) | F.contains(normalize("a.value"), wanted)
-    ok = F.when(F.col("number").isNotNull(), numeric).otherwise(text)
-    none = F.col("_share") < overlap
-    verdict = F.when(none, "unknown").when(ok.isNull(), "unknown").when(ok, "pass").otherwise("fail")
-    reason = F.when(none, "нет характеристики").otherwise(F.concat(F.coalesce("a.a_name", F.lit("")), F.lit(": "), F.coalesce("a.value", F.lit(""))))
-    if texts is not None:
-        t = texts.select(F.col(product).alias("_p"), normalize("title").alias("_title"), normalize("text").alias("_text"))
-        rows = rows.join(t, F.col(product) == F.col("_p"), "left")
-        pages = page_number(F.col("_title"))
-        compare = F.when(F.col("op") == ">=", pages >= F.col("number")).when(F.col("op") == "<=", pages <= F.col("number")).when(F.col("op") == ">", pages > F.col("number")).when(F.col("op") == "<", pages < F.col("number")).otherwise(pages == F.col("number"))
-        fits = F.col("unit").isNull() | F.col("unit").rlike("^(лист|стр|pages)")
-        instead = F.when(F.col("number").isNotNull(), F.when(fits, compare)).otherwise(F.when(F.contains("_text", normalize("requirement")), F.lit(True)))
-        verdict = F.when(none, F.when(instead.isNull(), "unknown").when(instead, "pass").otherwise("fail")).otherwise(verdict)
-        reason = F.when(none & instead.isNotNull(), F.when(F.col("number").isNotNull(), pages.cast("string")).otherwise(F.col("requirement"))).otherwise(reason)
-    return rows.select(item, product, "n", verdict.alias("verdict"), reason.alias("reason"))
-
-
-def page_number(title: Column) -> Column:
-    """The last number of pages in a normalized title: `12 тыс.`, `3k`, `500 стр`; thousands are multiplied out."""
-    units = r"(?:тыс|k|к|стр|лист)"
-    hit = F.try_element_at(F.regexp_extract_all(title, F.lit(rf"(\d+(?: \d{{3}})*(?:[.,]\d+)?) ?{units}"), F.lit(0)), F.lit(-1))
-    number = F.replace(F.translate(F.regexp_extract(hit, r"^(\d+(?: \d{3})*(?:[.,]\d+)?)", 1), " ", ""), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(hit.rlike(r"(тыс|k|к)$") & (number < 1000), number * 1000).otherwise(number)
-
-
-def compliance(checks: DataFrame, item: str = "line_id", product: str = "product_id") -> DataFrame:
-    """Tally per candidate: passed, failed, unknown, status (rejected, compliant or conditional)."""
-    out = checks.groupBy(item, product).agg(*[F.count_if(F.col("verdict") == v).alias(n) for v, n in (("pass", "passed"), ("fail", "failed"), ("unknown", "unknown"))])
-    return out.withColumn("status", F.when(F.col("failed") > 0, "rejected").when(F.col("unknown") == 0, "compliant").otherwise("conditional"))
-
-
 def alternative_tasks(lines: DataFrame, candidates: DataFrame, line: str = "line_id") -> DataFrame:
     """Status per line: backup (a compliant product in stock), verify (some not rejected), required (none); lines without products included."""
     tally = candidates.groupBy(line).agg(F.count_if((F.col("status") == "compliant") & F.col("in_stock")).alias("ready"), F.count_if(F.col("status") != "rejected").alias("viable"), F.count(F.lit(1)).alias("found"))

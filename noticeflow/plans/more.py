@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, customers, dedup, economics, freshness, links, products, register, report
+from ..operators import cases, customers, dedup, economics, freshness, links, products, register, report, requirements
 from ..sources import sinks
 from .queries import _CASES, _PICK, BATCHES, NOTICES, _case_tables, _old_new, query, ts
 from .tables import batches, load, notices
@@ -110,21 +110,67 @@ def jn_evidence(spark, sf):
     return links.apply_evidence(n, d).select(F.col("unique_key").alias("k"), "doc_id")
 
 
-@query(
-    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, p_partkey AS product_id, p_size, p_retailprice FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
-SELECT line_id, product_id, CAST((p_size >= 10)::INT + (p_retailprice <= 1500)::INT AS BIGINT) AS passed, CAST(2 - (p_size >= 10)::INT - (p_retailprice <= 1500)::INT AS BIGINT) AS failed, 1::BIGINT AS unknown,
- CASE WHEN p_size >= 10 AND p_retailprice <= 1500 THEN 'conditional' ELSE 'rejected' END AS status FROM c"""
+#: Kinds of requirement lines: what is asked, and its verdict in SQL over a part (size in cm, price, brand, name, thousands of pages).
+_ASKED = (
+    ("Размер не менее 100 мм", "p_size * 10 >= 100"),
+    ("Размер корпуса: не более 25 см", "p_size <= 25"),
+    ("размер более 20 см", "p_size > 20"),
+    ("Размер, измеренный на 3 опорах, менее 0,3 м", "NULL"),
+    ("Размер ≥ 150 мм", "p_size * 10 >= 150"),
+    ("Размер ≤ 4", "p_size <= 4"),
+    ("Размер = 12 см", "p_size = 12"),
+    ("Цена не более 1 500 руб", "p_retailprice <= 1500"),
+    ("Ресурс не менее 3 000 стр", "CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE p_partkey % 9 END >= 3"),
+    ("Ресурс от 3 до 5 тысяч", "CASE WHEN p_partkey % 5 = 0 THEN true END"),
+    ("Марка: {brand}", "contains(lower(p_brand), '#4') OR contains('brand#4', lower(p_brand))"),
+    ("Совместимость с HP-2035N и LX-1: да", "p_partkey % 3 = 0"),
+    ("Совместим с XQ-77, Азия: есть", "CASE WHEN p_partkey % 4 <> 0 THEN false WHEN p_partkey % 8 = 0 THEN true END"),
+    ("{name} в наборе", "CASE WHEN p_partkey % 2 = 0 THEN true END"),
 )
+
+
+def _requirement_sql() -> str:
+    kinds = " ".join(f"WHEN {k} THEN {test}" for k, (_, test) in enumerate(_ASKED))
+    return f"""WITH c AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS line_id, l_partkey, (l_orderkey + l_linenumber) % {len(_ASKED) + 1} AS kind FROM lineitem),
+v AS (SELECT line_id, p_partkey AS product_id, kind, CASE kind {kinds} END AS ok FROM c JOIN part ON p_partkey = l_partkey)
+SELECT line_id, product_id, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok IS NULL) AS unknown,
+ CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'rejected' WHEN count(*) FILTER (WHERE ok IS NULL) = 0 THEN 'compliant' ELSE 'conditional' END AS status FROM v GROUP BY 1, 2"""
+
+
+@query(_requirement_sql())
 def jn_requirements(spark, sf):
-    """JN-06, FN-17, AG-10: requirements checked against attributes of candidate products, for every line."""
+    """JN-06, FN-17, AG-10: a requirement of one of fourteen kinds, or none, for every line, checked against its product's attributes and text."""
+    load(spark, sf, "lineitem", "part")
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % (len(_ASKED) + 1)
+    lines = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
+    asked = F.coalesce(*[F.when(kind == k, F.replace(F.replace(F.lit(said), F.lit("{name}"), F.col("p_name")), F.lit("{brand}"), F.lit("Brand#4"))) for k, (said, _) in enumerate(_ASKED)], F.lit(" ; "))
+    lines = lines.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("line_id"), F.col("l_partkey").alias("product_id"), asked.alias("required_specs")).distinct()
+    part = spark.table("part").withColumn("product_id", F.col("p_partkey"))
+    text = F.concat_ws(
+        ". ", F.concat(F.lit("Ресурс печати "), F.col("p_partkey") % 9, F.lit(" тыс. страниц")), F.when(F.col("p_partkey") % 3 == 0, "подходит к HP 2035n, lx 1"), F.when(F.col("p_partkey") % 4 == 0, "XQ77"),
+        F.when(F.col("p_partkey") % 8 == 0, "азия"), F.when(F.col("p_partkey") % 5 == 0, "Ресурс от 3 до 5 тысяч"), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" в наборе"))),
+    )
+    rows = lambda seq, name, value, number, unit: part.select("product_id", F.lit(seq).alias("seq"), F.lit(name).alias("name"), value.alias("value"), number.alias("number"), F.lit(unit).alias("unit"))
+    none = F.lit(None).cast("double")
+    size = F.concat(F.col("p_size").cast("string"), F.lit(" см"))
+    attributes = rows(0, "Размер корпуса", size, none, None).union(rows(1, "Цена", F.col("p_retailprice").cast("string"), F.col("p_retailprice"), "руб")).union(rows(2, "Марка", F.col("p_brand"), none, None))
+    req = requirements.parse_requirements(lines, ["line_id"])
+    return requirements.compliance(requirements.check_requirements(req, attributes, lines, texts=part.select("product_id", F.lit("").alias("title"), text.alias("text"))))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS line_id, l_linenumber * 1000000 + l_partkey AS product_id, CASE l_partkey % 4 WHEN 0 THEN 'compliant' WHEN 1 THEN 'conditional' WHEN 2 THEN 'rejected' ELSE 'exact' END AS status,
+ l_linenumber % 3 = 0 AS ready, CASE l_suppkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'none' END AS stock, CASE WHEN l_partkey % 5 > 0 THEN p_retailprice END AS price, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT line_id, product_id, row_number() OVER (PARTITION BY line_id ORDER BY CASE status WHEN 'conditional' THEN 1 WHEN 'rejected' THEN 2 ELSE 0 END, ready OR coalesce(stock = 'low', false) DESC, price NULLS LAST, name, product_id) AS rank FROM c"""
+)
+def wn_candidates(spark, sf):
+    """WN-09: candidates of every line by compliance, stock, price and name."""
     load(spark, sf, "lineitem", "part")
-    lines = spark.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), F.col("l_partkey").alias("product_id")).distinct()
-    part = spark.table("part")
-    cand = lines.join(part.select(F.col("p_partkey").alias("product_id")), "product_id", "left_semi")
-    req = products.parse_requirements(lines.select("line_id").distinct().withColumn("required_specs", F.lit("Размер не менее 10 мм; Цена до 1500 руб\nЦвет: белый")), ["line_id"])
-    sizes = part.select(F.col("p_partkey").alias("product_id"), F.lit("размер").alias("name"), F.col("p_size").cast("string").alias("value"), (F.col("p_size") / 10.0).alias("number"), F.lit("см").alias("unit"))
-    prices = part.select(F.col("p_partkey").alias("product_id"), F.lit("цена").alias("name"), F.col("p_retailprice").cast("string").alias("value"), F.col("p_retailprice").alias("number"), F.lit("руб").alias("unit"))
-    return products.compliance(products.check_requirements(req, sizes.union(prices), cand, units=[("см", "мм", 10.0)]))
+    c = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
+    state = F.when(F.col("l_suppkey") % 3 == 0, "low").when(F.col("l_suppkey") % 3 == 1, "none")
+    grade = F.element_at(F.array(*map(F.lit, ("compliant", "conditional", "rejected", "exact"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    c = c.select(F.col("l_orderkey").alias("line_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("product_id"), grade.alias("status"), (F.col("l_linenumber") % 3 == 0).alias("is_available"), state.alias("stock_status"), F.when(F.col("l_partkey") % 5 > 0, F.col("p_retailprice")).alias("price"), F.col("p_name").alias("name"))
+    return requirements.order_candidates(c).select("line_id", "product_id", F.col("rank").cast("long").alias("rank"))
 
 
 _ROUTE = "r AS (SELECT l_orderkey AS line_id, 's' || CAST(l_linenumber % 3 AS STRING) AS source, l_quantity > 25 AS viable FROM lineitem)"

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.operators import dedup, economics, freshness, match, products, register, report
+from noticeflow.operators import dedup, economics, freshness, match, products, register, report, requirements
 
 
 @pytest.mark.parametrize(
@@ -100,26 +100,37 @@ def test_due(spark):
     assert got == ["c", "f", "b", "d", "e"]
 
 
+def test_requirement_lines(spark):
+    """The number right after the operator counts; bare words `от` and `до` compare nothing."""
+    lines = ["Кабель 3 жилы не менее 10 м", "Объём ≥ 500 мл", "Длина от стены 5 м", "Вес до 10 кг", "Ресурс: не  более 10 000 стр.", "Цвет: белый", "Класс = 1,5", "мощность БОЛЕЕ 2 кВт", "без названия"]
+    items = spark.createDataFrame([(1, ";".join(lines) + "\n ; ."), (2, None)], "line_id int, required_specs string")
+    got = [tuple(r) for r in requirements.parse_requirements(items, ["line_id"]).orderBy("n").select("name", "op", "number", "unit", "value").collect()]
+    assert got == [
+        ("Кабель 3 жилы", ">=", 10.0, "m", None), ("Объём", ">=", 500.0, None, None), ("", None, None, None, None), ("", None, None, None, None), ("Ресурс", "<=", 10000.0, "pages", None),
+        ("Цвет", None, None, None, "белый"), ("Класс", "=", 1.5, None, None), ("мощность", ">", 2.0, "kw", None), ("", None, None, None, None),
+    ]
+
+
 def test_requirements(spark):
-    items = spark.createDataFrame([(1, "Мощность не менее 2 кВт; Цвет белый; Вес до 10 кг")], "line_id int, required_specs string")
-    req = products.parse_requirements(items, ["line_id"])
-    attributes = spark.createDataFrame([("p", "Мощность", "2500 Вт", 2500.0, "вт"), ("p", "Цвет", "белый", None, None), ("q", "Мощность", "1 кВт", 1.0, "квт")], "product_id string, name string, value string, number double, unit string")
-    candidates = spark.createDataFrame([(1, "p"), (1, "q")], "line_id int, product_id string")
-    checks = products.check_requirements(req, attributes, candidates, units=[("вт", "квт", 0.001)])
-    got = {(r["product_id"], r["n"]): r["verdict"] for r in checks.collect()}
-    assert got == {("p", 0): "pass", ("p", 1): "pass", ("p", 2): "unknown", ("q", 0): "fail", ("q", 1): "unknown", ("q", 2): "unknown"}
-    assert {r["product_id"]: r["status"] for r in products.compliance(checks).collect()} == {"p": "conditional", "q": "rejected"}
+    items = spark.createDataFrame([(1, "Мощность не менее 2 кВт; Цвет: белый; Вес до 10 кг"), (2, "")], "line_id int, required_specs string")
+    req = requirements.parse_requirements(items, ["line_id"])
+    attributes = spark.createDataFrame([("p", 0, "Мощность", "2500 кВт", 2.5, None), ("p", 1, "Цвет", "белый", None, None), ("q", 0, "Мощность", "1 kg", None, None), ("q", 1, "Мощность", "9 кВт", None, None)], "product_id string, seq int, name string, value string, number double, unit string")
+    candidates = spark.createDataFrame([(1, "p"), (1, "q"), (1, "none"), (2, "p")], "line_id int, product_id string")
+    checks = requirements.check_requirements(req, attributes, candidates)
+    got = {(r["line_id"], r["product_id"], r["n"]): r["verdict"] for r in checks.collect()}
+    # of equal attributes the first decides, whose unit can't be compared
+    assert got == {(1, "p", 0): "pass", (1, "p", 1): "pass", (1, "p", 2): "unknown", (1, "q", 0): "unknown", (1, "q", 1): "unknown", (1, "q", 2): "unknown", (1, "none", 0): "unknown", (1, "none", 1): "unknown", (1, "none", 2): "unknown", (2, "p", -1): "unknown"}
+    assert {(r["line_id"], r["product_id"]): r["status"] for r in requirements.compliance(checks).collect()} == {(1, "p"): "conditional", (1, "q"): "conditional", (1, "none"): "conditional", (2, "p"): "conditional"}
 
 
 def test_requirements_by_text(spark):
-    items = spark.createDataFrame([(1, "Ресурс не менее 10 000 стр; Цвет: черный; совместим с HP; Объем: 2 ГБ")], "line_id int, required_specs string")
-    req = products.parse_requirements(items, ["line_id"])
-    assert [(r["op"], r["number"]) for r in req.orderBy("n").collect()] == [(">=", 10000.0), (None, None), (None, None), (None, None)]
-    attributes = spark.createDataFrame([("p", "Цвет", "Черный матовый", None, None), ("q", "Цвет", "белый", None, None)], "product_id string, name string, value string, number double, unit string")
-    texts = spark.createDataFrame([("p", "Картридж 5 шт 12 тыс.", "Картридж, совместим с HP"), ("q", "Картридж 9,5k", "нет")], "product_id string, title string, text string")
+    items = spark.createDataFrame([(1, "Ресурс не менее 10 000 стр; Цвет: черный; совместим с HP; Объем: 2 ГБ; Совместим с HP-2035N, Европа: да")], "line_id int, required_specs string")
+    req = requirements.parse_requirements(items, ["line_id"])
+    attributes = spark.createDataFrame([("p", 0, "Цвет", "Черный матовый", None, None), ("q", 0, "Цвет", "белый", None, None)], "product_id string, seq int, name string, value string, number double, unit string")
+    texts = spark.createDataFrame([("p", "Картридж 5 шт", "Картридж 12 тыс., совместим с HP 2035N"), ("q", "Картридж 9,5k", "нет")], "product_id string, title string, text string")
     candidates = spark.createDataFrame([(1, "p"), (1, "q")], "line_id int, product_id string")
-    got = {(r["product_id"], r["n"]): r["verdict"] for r in products.check_requirements(req, attributes, candidates, texts=texts).collect()}
-    assert got == {("p", 0): "pass", ("p", 1): "pass", ("p", 2): "pass", ("p", 3): "unknown", ("q", 0): "fail", ("q", 1): "fail", ("q", 2): "unknown", ("q", 3): "unknown"}
+    got = {(r["product_id"], r["n"]): r["verdict"] for r in requirements.check_requirements(req, attributes, candidates, texts=texts).collect()}
+    assert got == {("p", 0): "pass", ("p", 1): "pass", ("p", 2): "pass", ("p", 3): "unknown", ("p", 4): "unknown", ("q", 0): "fail", ("q", 1): "fail", ("q", 2): "unknown", ("q", 3): "unknown", ("q", 4): "fail"}
 
 
 def test_reconciled_names(spark):
