@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import marked, marks, slices, stored, text_bytes
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -143,9 +143,10 @@ def sketches(runs: np.ndarray, at: np.ndarray, band: np.ndarray, bands: Bands) -
         folded[cell[edge]] = np.bitwise_xor.reduceat(np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)), edge)
     owner = np.repeat(np.arange(len(n)), parts)
     part = np.arange(base[-1]) - base[owner]
-    key = _mix(code ^ _mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) + np.uint64(1)))
+    # of 48 bits, as random bytes are what the join of keys moves
+    key = _mix(code ^ _mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) + np.uint64(1))) >> np.uint64(16)
     # parts of the most bits first; what ranks them is the same in two equal parts
-    rank = ((np.uint64(65535) - np.minimum(count, 65535).astype(np.uint64)) << np.uint64(48)) | (key >> np.uint64(16))
+    rank = ((np.uint64(65535) - np.minimum(count, 65535).astype(np.uint64)) << np.uint64(48)) | key
     order = np.argsort(rank)
     order = order[np.argsort(owner[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]
     keep = order[part < (most + 1)[owner]]  # places within the owner, as part counts them
@@ -197,22 +198,43 @@ def _sketch_rows(percent: int, words: int):
     return run
 
 
-def _key_rows(batches):
-    """A row for each key; a set that this task has just given isn't given again."""
-    seen: set[tuple] = set()
-    for batch in batches:
-        name = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
-        new = []
-        for i, k in enumerate(name):
-            if k not in seen:
-                seen.add(k)
-                new.append(i)
-        if len(seen) > 1 << 18:
-            seen.clear()
-        body = batch.column("keys").take(pa.array(new, pa.int64()))
-        size = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-        row = np.repeat(batch.column("nth").to_numpy()[new], size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(body.to_pylist()), "<i8")), pa.array(row)], names=["key", "nth"])
+def _key_rows(wanted: np.ndarray | None = None):
+    """A row for each key, or each that is marked; a set that a task has just given isn't given again."""
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            name = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+            new = []
+            for i, k in enumerate(name):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if len(seen) > 1 << 18:
+                seen.clear()
+            body = batch.column("keys").take(pa.array(new, pa.int64()))
+            size = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            row = np.repeat(batch.column("nth").to_numpy()[new], size)
+            key = np.frombuffer(b"".join(body.to_pylist()), "<i8")
+            if wanted is not None:
+                keep = marked(wanted, key)
+                key, row = key[keep], row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row)], names=["key", "nth"])
+
+    return run
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """(key, nth) of the keys that several rows give. Those of up to three rows are told by aggregates; of the others only marked rows are sent again."""
+    rows = rows.select("nth", "k1", "k2", "keys")
+    schema = "key long, nth long"
+    counts = rows.mapInArrow(_key_rows(), schema).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.bit_xor("nth").alias("x"))
+    counts = stored(counts.where("lo < hi"), "common")
+    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    few = counts.where("n <= 3").select("key", F.explode(F.when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "hi", third))).alias("nth"))
+    many = counts.where("n > 3").select("key")
+    again = rows.mapInArrow(_key_rows(marks(many)), schema)
+    return few.union(again.join(many, "key"))
 
 
 def _differ(x: bytes, y: bytes) -> int:
@@ -329,10 +351,8 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
     # each different set goes by the first of its rows
     heads = stored(full.groupBy("k1", "k2").agg(F.min("nth").alias("node"), F.min("id").alias("least")), "heads")
 
-    keyed = full.select("nth", "k1", "k2", "keys").mapInArrow(_key_rows, "key long, nth long")
-    common = keyed.groupBy("key").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi")).where("lo < hi").select("key")
     named = full.select("nth", "k1", "k2").join(heads, ["k1", "k2"]).select("nth", "node")
-    shared = keyed.join(common, "key").join(named, "nth").select("key", "node").distinct()
+    shared = _in_buckets(full).join(named, "nth").select("key", "node").distinct()
     shared = stored(shared, "shared")
     leaders = shared.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     shared = stored(shared.join(leaders, "key"), "buckets")
@@ -352,11 +372,17 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("node"), body], names=["node", "runs"]).filter(pa.array(same))
 
     def bodies(wanted: DataFrame) -> DataFrame:
-        """Sets of the nodes in the pairs."""
-        some = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = nodes.select("node", "id", "k1", "k2").join(some, "node")
+        """Sets of the nodes in the pairs. Texts of unmarked ids stay where they are."""
+        some = stored(nodes.select("node", "id", "k1", "k2").join(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "wanted")
+        bits = marks(some.select(F.xxhash64("id")))
+
+        def marked_texts(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(marked(bits, batch.column("h").to_numpy()))).select(["id", "text"])
+
+        near = texts.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(marked_texts, texts.schema)
         # the nodes grow with the table, and are not to be sent to every task
-        return texts.join(some.hint("merge"), "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
+        return near.join(some.hint("merge"), "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
 
     links = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
     found = stored(components(links), "components")
