@@ -89,12 +89,14 @@ def org_key(x: Column | str) -> Column:
     return F.substring(F.regexp_replace(normalize(x), r"(?U)[^\p{L}\p{N}]+", ""), 1, 180)
 
 
-def snippet(text: Column | str, tokens: Column, width: int = 240) -> Column:
-    """The part of a text around the first token in it."""
-    t = F.regexp_replace(col(text), r"(?U)\s+", " ")
-    low = F.lower(t)
-    at = F.array_min(F.filter(F.transform(tokens, lambda k: F.instr(low, k)), lambda p: p > 0))
-    return F.trim(F.substring(t, F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - width // 3), F.lit(width)))
+def snippet(text: Column | str, tokens: Column, radius: int = 240) -> Column:
+    """A text's characters on both sides of the first token in its normalized form, as many as the radius each; without one its first 2 x radius in single blanks."""
+    raw = F.coalesce(col(text), F.lit(""))
+    found = normalize(raw)
+    at = F.array_min(F.filter(F.transform(tokens, lambda k: F.instr(found, k)), lambda p: p > 0)) - 1
+    start = F.greatest(F.lit(0), at - radius)
+    single = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return F.when(at.isNull(), F.substring(single(raw), 1, 2 * radius)).otherwise(single(F.substring(raw, start + 1, at + radius - start)))
 
 
 def excerpt(text: Column | str, start: Column, end: Column, around: int = 100) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import groupby
+from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import normalize
+from .lineage import cut_lineage
 from .match import match_terms
 
 
@@ -137,33 +143,67 @@ def table_items(rows: DataFrame, keys: Sequence[str] = ("case_id", "table"), ord
     return out.withColumn("required_specs", F.array_join(F.transform("_s", lambda x: x["s"]), "; ")).drop("_s", "_item")
 
 
-def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: str = "seq", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Items of several documents with one line and quantity as one (the first with specs, else the first), and the groups whose names or codes differ.
+def names_differ(a: str, b: str, least: float = 0.8) -> bool:
+    """Whether the ratio of matching characters falls below the least; bounds of the ratio decide first."""
+    if a == b:
+        return False
+    short, both = min(len(a), len(b)), len(a) + len(b)
+    if 2 * short / both < least or 2 * (Counter(a) & Counter(b)).total() / both < least:
+        return True
+    return SequenceMatcher(None, a, b).ratio() < least
+
 
-    items: keys, line_id, quantity, name, source, required_specs, seq. A group whose first
-    item repeats the name, quantity and source of an earlier group's first item is left out.
+def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: str = "seq", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Items of several documents with one line and quantity as one, and the groups whose names or codes differ.
+
+    In order of seq, an item opens the group of its line and quantity, unless an item that
+    stands repeats its name, quantity and source: then it goes, and the group stays closed. A
+    later item of an open group is compared with the one that stands for it, and takes its
+    place if only it has specs. Only items of one quantity meet, so that each case and
+    quantity is replayed by itself, row by row; what it keeps are the items that stand.
+    items: keys, line_id, quantity, name, source, required_specs, seq (different numbers in a case).
     """
     group = [*keys, "line_id", "quantity"]
-    folded = F.trim(F.regexp_replace(F.lower("name"), r"[^a-zа-яё0-9]+", " "))
-    ranked = items.withColumn("_head", F.row_number().over(Window.partitionBy(*group).orderBy(seq))).where("_head = 1").withColumn("_fold", folded)
-    again = ranked.withColumn("_again", F.row_number().over(Window.partitionBy(*keys, "_fold", "quantity", "source").orderBy(seq))).where("_again > 1").select(*group)
-    items = items.join(again, group, "left_anti")
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy((F.coalesce("required_specs", F.lit("")) == "").cast("int"), seq))
-    merged = items.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
     code = r"\b\d{2}(?:\.\d{2}){2}\.\d{3}\b"
-    words = F.filter(F.split(F.regexp_replace(F.lower("name"), code, " "), r"[^a-zа-яё0-9]+"), lambda w: w != "")
-    base = F.array_join(words, " ")
-    first = F.row_number().over(Window.partitionBy(*group).orderBy(seq))
-    pairs = items.withColumns({"_base": base, "_codes": F.array_sort(F.array_distinct(F.regexp_extract_all("name", F.lit(code), F.lit(0)))), "_n": first})
-    heads = pairs.where("_n = 1").select(*group, F.col("_base").alias("_b1"), F.col("_codes").alias("_c1"))
-    others = pairs.where("_n > 1").join(heads, group)
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    codes = (F.size("_codes") > 0) & (F.size("_c1") > 0) & (F.col("_codes") != F.col("_c1"))
-    return merged, others.where(codes | (ratio("_b1", "_base") < least)).select(*group).distinct()
+    folded = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    rows = items.select(
+        F.struct(*keys, "quantity").alias("_k"), F.struct("line_id").alias("_l"), F.col(seq).alias("_s"), folded(F.col("name")).alias("_fold"), folded(F.regexp_replace("name", code, " ")).alias("_base"),
+        F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("name", F.lit("")), F.lit(code), F.lit(0)))).alias("_codes"), F.struct("source").alias("_src"), (F.coalesce("required_specs", F.lit("")) != "").alias("_specs"),
+    )
+    kinds = dict(rows.dtypes)
+
+    def replay(batches):
+        def rows_of():
+            for b in batches:
+                yield from b.to_pylist()
+
+        for key, part in groupby(rows_of(), key=lambda r: r["_k"]):
+            standing: dict = {}
+            names: Counter = Counter()
+            for r in part:
+                line, name = r["_l"]["line_id"], (r["_fold"], r["_src"]["source"])
+                old = standing.get(line)
+                if old is None:
+                    if not names[name]:
+                        standing[line] = [r, name, False]
+                        names[name] += 1
+                    continue
+                codes, others = r["_codes"], old[0]["_codes"]
+                old[2] = old[2] or (codes and others and codes != others) or names_differ(old[0]["_base"], r["_base"], least)
+                if r["_specs"] and not old[0]["_specs"]:
+                    names[old[1]] -= 1
+                    names[name] += 1
+                    old[:2] = [r, name]
+            out = [{"_k": key, "_l": {"line_id": line}, "_s": r["_s"], "differ": bool(differ)} for line, (r, _, differ) in standing.items()]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    shape = pa.schema([(c, to_arrow_type(rows.schema[c].dataType)) for c in ("_k", "_l", "_s")] + [("differ", pa.bool_())])
+    found = rows.repartition("_k").sortWithinPartitions("_k", "_s").mapInArrow(replay, f"_k {kinds['_k']}, _l {kinds['_l']}, _s {kinds['_s']}, differ boolean")
+    found = cut_lineage(found.select("_k.*", "_l.line_id", F.col("_s").alias(seq), "differ"))
+    marks = found.select(*[F.col(c).alias(f"_{c}") for c in [*group, seq]])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, seq]])
+    return items.join(marks, same, "left_semi"), found.where("differ").select(*group).distinct()
 
 
 def promote_items(cases: DataFrame, items: DataFrame, candidates: DataFrame, prices: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame]:

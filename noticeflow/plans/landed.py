@@ -75,11 +75,16 @@ def src_intake(spark, sf):
     return files.accept_files(f, suppliers, ledger, most_bytes=5000).select(F.col("file_id").alias("doc_id"), "decision")
 
 
-@query(f"WITH {NOTICES} SELECT 'import-zakazy-ceha:' || tender_number AS unique_key, title, 'import-zakazy-ceha' AS source, title || ' ' || tender_number || CASE WHEN customer = '' THEN '' ELSE ' ' || customer END || ' ' || replace(printf('%.2f', price), '.', ',') || ' ' || strftime(deadline, '%d.%m.%Y %H:%M') || ' Заказы цеха' AS raw_text, CASE WHEN customer = '' THEN NULL ELSE customer END AS customer, round(price, 2) AS price, strftime(deadline, '%Y-%m-%d %H:%M') AS deadline FROM n WHERE tender_number NOT LIKE 'c%'")
+@query(
+    f"""WITH {NOTICES}, t AS (SELECT *, replace(printf('%.2f', price), '.', ',') AS sum, strftime(deadline, '%d.%m.%Y %H:%M') AS until FROM n WHERE tender_number NOT LIKE 'c%')
+SELECT 'import-zakazy-ceha:' || tender_number AS unique_key, title, 'import-zakazy-ceha' AS source, CASE WHEN seq % 3 = 0 THEN 'a "' || title || '";' || chr(10) || chr(10) || 'b; ' || region ELSE concat_ws(' ', title, tender_number, nullif(customer, ''), sum, until, 'Заказы цеха') END AS raw_text,
+ nullif(customer, '') AS customer, round(price, 2) AS price, strftime(deadline, '%Y-%m-%d %H:%M') AS deadline FROM t"""
+)
 def src_delimited(spark, sf):
-    """SRC-01, SNK-04: notices written as delimited files and imported."""
+    """SRC-01, SNK-04: notices written as delimited files and imported; every third has a description of several lines with quotes and delimiters."""
     n = notices(spark, sf)
-    rows = n.select(F.col("title").alias("Название"), F.lit("").alias("Ссылка"), F.col("tender_number").alias("Номер"), F.col("customer").alias("Организатор"), F.replace(F.format_string("%.2f", "price"), F.lit("."), F.lit(",")).alias("Начальная_цена"), F.date_format("deadline", "dd.MM.yyyy HH:mm").alias("Дата окончания"), F.lit("Заказы цеха").alias("Площадка"))
+    said = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('a "'), "title", F.lit('";\n\nb; '), "region"))
+    rows = n.select(F.col("title").alias("Название"), F.lit("").alias("Ссылка"), F.col("tender_number").alias("Номер"), F.col("customer").alias("Организатор"), F.replace(F.format_string("%.2f", "price"), F.lit("."), F.lit(",")).alias("Начальная_цена"), F.date_format("deadline", "dd.MM.yyyy HH:mm").alias("Дата окончания"), said.alias("Описание"), F.lit("Заказы цеха").alias("Площадка"))
     path = shared_folder(spark, "import")
     sinks.write_case_csv(rows, path, ~F.startswith("Номер", F.lit("c")))
     out, _ = files.read_delimited(spark, path)

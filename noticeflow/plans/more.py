@@ -344,14 +344,6 @@ def cl_items(spark, sf):
     return cases.text_items(t).select("case_id", "line_id", "name", "quantity")
 
 
-@query()
-def dd_items(spark, sf):
-    """DD-09: groups of items whose names differ across documents."""
-    load(spark, sf, "lineitem", "part")
-    i = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_id"), F.lit("1").alias("quantity"), F.col("p_name").alias("name"), F.col("l_suppkey").alias("source"), F.lit("").alias("required_specs"), F.col("l_partkey").alias("seq"))
-    return cases.reconcile_items(i)[1]
-
-
 @query(
     f"""WITH {BATCHES}, old AS (SELECT unique_key, max(seq) AS seq FROM e WHERE d < 15 GROUP BY 1), cur AS (SELECT unique_key, max(seq) AS seq FROM e WHERE d = 15 GROUP BY 1)
 SELECT unique_key, max(seq) AS seq FROM (SELECT * FROM old UNION ALL SELECT * FROM cur) GROUP BY 1"""

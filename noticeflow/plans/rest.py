@@ -98,11 +98,15 @@ def fn_devices(spark, sf):
     return spark.table("part").select(k.alias("k"), F.array_join(models, ",").alias("models"), kind.alias("kind"), devices.same_kind(item, product, _KINDS).alias("same"), F.array_join(made, "; ").alias("queries"), devices.is_any_of(["^стол", "^шкаф"], item).alias("other"))
 
 
-@query("SELECT doc_id, trim(substr(t, CAST(greatest(1, CASE WHEN place > 0 THEN place ELSE 1 END - 80) AS INT), 240)) AS snippet FROM (SELECT doc_id, t, instr(lower(t), 'with') AS place FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents))".replace("\\\\", "\\"))
+@query(
+    r"""WITH d AS (SELECT doc_id, text, least(coalesce(nullif(instr(n, 'with'), 0), 1000000000), coalesce(nullif(instr(n, 'une'), 0), 1000000000)) - 1 AS hit
+  FROM (SELECT doc_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents))
+SELECT doc_id, CASE WHEN hit > 900000000 THEN substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 480) ELSE trim(regexp_replace(substr(text, greatest(0, hit - 240) + 1, hit + 240 - greatest(0, hit - 240)), '\s+', ' ', 'g')) END AS snippet FROM d"""
+)
 def fn_snippet(spark, sf):
-    """FN-19: the part of each document around a word."""
+    """FN-19: the part of each document on both sides of the first of two words."""
     load(spark, sf, "documents")
-    return spark.table("documents").select("doc_id", text.snippet("text", F.array(F.lit("with"))).alias("snippet"))
+    return spark.table("documents").select("doc_id", text.snippet("text", F.array(F.lit("with"), F.lit("une"))).alias("snippet"))
 
 
 _TYPES = {"школа": (["школа", "сош"], ["лицей"]), "больница": (["больница"], ["поликлиник"])}
@@ -412,17 +416,51 @@ def cl_questions(spark, sf):
     return cases.questions(found, said, {"missing_*": "get {subject}", "installation": "which installation"}, {"payment": "when paid", "delivery": "when delivered"}, c)
 
 
-@query(
-    """WITH t AS (SELECT l_orderkey AS case_id, l_linenumber AS line_id, 'q' || (l_partkey % 2) AS quantity, lower(p_name) AS name, l_suppkey % 2 AS source, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS seq FROM lineitem JOIN part ON p_partkey = l_partkey),
-h AS (SELECT *, row_number() OVER (PARTITION BY case_id, line_id, quantity ORDER BY seq) AS head FROM t),
-a AS (SELECT *, row_number() OVER (PARTITION BY case_id, name, quantity, source ORDER BY seq) AS nth FROM h WHERE head = 1) SELECT case_id, line_id, name, seq FROM a WHERE nth = 1"""
-)
+#: Items as several documents give them, few lines and quantities a case; a third of the names hold a code, a fifth of the items specs.
+_STATED = """stated AS (SELECT l_orderkey AS case_id, l_partkey % 3 AS line_id, 'q' || (l_linenumber % 2) AS quantity, p_name AS base, CASE WHEN l_partkey % 4 = 0 THEN '28.13.11.1' || (10 + l_suppkey % 2) END AS code, l_suppkey % 2 AS source,
+ CASE WHEN l_quantity > 40 THEN 'x' ELSE '' END AS specs, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS seq FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+#: The longest block of two names that is equal in both, the first in both of equal ones, then those before and after it; twice their sum over both lengths is the ratio.
+#: Then items are replayed one by one, `kept` holding those that stand.
+_REPLAYED = f"""WITH RECURSIVE {_STATED},
+i AS (SELECT *, row_number() OVER (PARTITION BY case_id, quantity ORDER BY seq) AS rn FROM (SELECT DISTINCT * FROM stated)),
+p AS (SELECT DISTINCT x.base AS a, y.base AS b FROM i x JOIN i y ON x.case_id = y.case_id AND x.quantity = y.quantity AND x.line_id = y.line_id AND x.seq < y.seq),
+seg AS (SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi, 0 AS m FROM p
+ UNION ALL
+ SELECT a, b, CASE side WHEN 0 THEN alo ELSE best.k - best.i END, CASE side WHEN 0 THEN -best.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE best.k - best.j END, CASE side WHEN 0 THEN -best.j ELSE bhi END, CASE side WHEN 0 THEN best.k ELSE 0 END
+ FROM (SELECT *, list_reverse_sort(flatten(list_transform(range(alo, ahi), lambda i: flatten(list_transform(range(blo, bhi), lambda j: list_transform(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k)), lambda k: {{'k': k, 'i': -i, 'j': -j}}))))))[1] AS best
+  FROM seg WHERE alo < ahi AND blo < bhi), (VALUES (0), (1)) s(side) WHERE best IS NOT NULL),
+ratio AS (SELECT a, b, 2.0 * sum(m) / (length(a) + length(b)) AS r FROM seg GROUP BY a, b),
+st AS (
+ SELECT case_id, quantity, rn, [{{'line': line_id, 'base': base, 'code': code, 'source': source, 'specs': specs, 'seq': seq, 'differ': false}}] AS kept FROM i WHERE rn = 1
+ UNION ALL
+ SELECT case_id, quantity, rn, CASE
+   WHEN old IS NULL AND len(list_filter(kept, lambda x: x.base = n.base AND x.code IS NOT DISTINCT FROM n.code AND x.source = n.source)) > 0 THEN kept
+   WHEN old IS NULL THEN list_append(kept, n)
+   ELSE list_transform(kept, lambda x: CASE WHEN x.line <> n.line THEN x ELSE {{'line': x.line, 'base': CASE WHEN swap THEN n.base ELSE x.base END, 'code': CASE WHEN swap THEN n.code ELSE x.code END, 'source': CASE WHEN swap THEN n.source ELSE x.source END,
+     'specs': CASE WHEN swap THEN n.specs ELSE x.specs END, 'seq': CASE WHEN swap THEN n.seq ELSE x.seq END, 'differ': x.differ OR coalesce(old.code <> n.code, false) OR r < 0.8}} END) END
+ FROM (SELECT z.*, r, n.specs <> '' AND old.specs = '' AS swap FROM (
+   SELECT st.case_id, st.quantity, i.rn, st.kept, {{'line': line_id, 'base': base, 'code': code, 'source': source, 'specs': specs, 'seq': seq, 'differ': false}} AS n, list_filter(st.kept, lambda x: x.line = i.line_id)[1] AS old
+   FROM st JOIN i ON i.case_id = st.case_id AND i.quantity = st.quantity AND i.rn = st.rn + 1) z LEFT JOIN ratio ON a = old.base AND b = n.base)),
+done AS (SELECT case_id, quantity, unnest(arg_max(kept, rn)) AS x FROM st GROUP BY 1, 2)"""
+
+
+def _stated_items(spark, sf):
+    load(spark, sf, "lineitem", "part")
+    i = spark.sql(f"WITH {_STATED} SELECT DISTINCT * FROM stated")
+    return i.select("case_id", "line_id", "quantity", F.concat_ws(" ", "base", "code").alias("name"), "source", F.col("specs").alias("required_specs"), "seq")
+
+
+@query(f"{_REPLAYED} SELECT case_id, quantity, x.line AS line_id, concat_ws(' ', x.base, x.code) AS name, x.source AS source, x.seq AS seq FROM done")
 def dd_items_merged(spark, sf):
     """DD-09: items of several documents as one, without those that repeat a name, quantity and source."""
-    load(spark, sf, "lineitem", "part")
-    i = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
-    one = i.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_id"), F.concat(F.lit("q"), (F.col("l_partkey") % 2).cast("string")).alias("quantity"), F.lower("p_name").alias("name"), (F.col("l_suppkey") % 2).alias("source"), F.lit("").alias("required_specs"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("seq"))
-    return cases.reconcile_items(one)[0].select("case_id", "line_id", "name", "seq")
+    return cases.reconcile_items(_stated_items(spark, sf))[0].select("case_id", "quantity", "line_id", "name", "source", "seq")
+
+
+@query(f"{_REPLAYED} SELECT case_id, quantity, x.line AS line_id FROM done WHERE x.differ")
+def dd_items(spark, sf):
+    """DD-09: lines whose names or codes differ across documents."""
+    return cases.reconcile_items(_stated_items(spark, sf))[1].select("case_id", "quantity", "line_id")
 
 
 @query("SELECT DISTINCT o.l_orderkey AS case_id, CAST(o.l_linenumber AS STRING) AS line_id, p_name AS name, CAST(CAST(o.l_quantity AS INT) AS STRING) AS quantity, 'Размер: ' || p_size || '; Цвет: белый' AS required_specs FROM lineitem o JOIN part ON p_partkey = o.l_partkey")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import blank_null, source_slug, unique_key
 from ..functions.text import normalize, parse_price, parse_ts
+from ..operators.lineage import cut_lineage
 
 #: Names under which an import may give each field, folded.
 ALIASES: Mapping[str, tuple[str, ...]] = {
@@ -29,27 +31,42 @@ def fold_header(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, "[\ufeff]", "")), r"[\s_]+", " "))
 
 
+def _file_name() -> Column:
+    return F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, its first line's folded names (`_names`) and its delimiter (`_sep`)."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), _file_name().alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("nth"))
+    heads = lines.groupBy("file").agg(F.min_by("line", "nth").alias("line"))
+    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
+    sep = F.when(count(";") >= count(","), ";").otherwise(",")
+    # a delimiter within quotes stands before an odd number of quotes
+    cells = F.split("line", F.concat(sep, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)')))
+    return heads.select("file", sep.alias("_sep"), F.transform(cells, lambda c: fold_header(F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))).alias("_names"))
+
+
 def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = ALIASES) -> tuple[DataFrame, DataFrame]:
     """Import files to notices and rejects (file, line, reason). A file's first line is its header and settles its delimiter.
 
-    A row needs a title and a number or link; bad rows do not stop a file. Without a link
-    it is import://file/number; the source is import- and the slug of its name or the
-    file's; without a description the text is all known values of the row. Lines are records.
+    Records may go over several lines within quotes. A row needs a title and a number or
+    link; bad rows do not stop a file. Without a link it is import://file/number; the source is
+    import- and the slug of its name or the file's; without a description the text is all
+    known values of the row.
     """
-    lines = spark.read.text(path).select("value", F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))).alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("_n"))
-    text = F.regexp_replace("value", "^\ufeff", "")
-    heads = lines.groupBy("file").agg(F.min_by(text, "_n").alias("_head"), F.min("_n").alias("_first"))
-    count = lambda c: F.length("_head") - F.length(F.replace("_head", F.lit(c), F.lit("")))
-    heads = heads.withColumn("_sep", F.when(count(";") >= count(","), ";").otherwise(","))
-    # one row per file: the header's names with their places
-    rows = lines.join(heads, "file").where((F.col("_n") > F.col("_first")) & (F.trim("value") != ""))
-    split = lambda x: F.transform(F.split(x, F.concat(F.col("_sep"), F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)'))), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    rows = rows.withColumns({"_names": F.transform(split(F.col("_head")), fold_header), "_cells": split(text)})
+    heads = cut_lineage(_headers(spark, path))
+    kinds = heads.groupBy("_sep").agg(F.max(F.size("_names")).alias("width")).collect()  # one row per delimiter
+    parts = []
+    for kind in kinds or [{"_sep": ";", "width": 1}]:
+        names = [f"c{k}" for k in range(kind["width"])]
+        records = spark.read.options(sep=kind["_sep"], header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").schema(", ".join(f"{c} string" for c in names)).csv(path)
+        parts.append(records.select(F.array(*names).alias("_cells"), _file_name().alias("file"), F.monotonically_increasing_id().alias("_n")).join(heads.where(F.col("_sep") == kind["_sep"]), "file"))
+    rows = reduce(DataFrame.union, parts).withColumn("_cells", F.slice("_cells", 1, F.size("_names")))
     place = lambda names: F.array_min(F.array_compact(F.array(*[F.nullif(F.array_position("_names", n).cast("int"), F.lit(0)) for n in names])))
     cell = {f: blank_null(F.trim(F.try_element_at("_cells", place(names)))) for f, names in aliases.items()}
     rows = rows.withColumns({f"_{f}": c for f, c in cell.items()})
     reason = F.when(F.col("_title").isNull(), "no_title").when(F.col("_tender_number").isNull() & F.col("_url").isNull(), "no_number_or_url")
-    rejects = rows.where(reason.isNotNull()).select("file", F.col("value").alias("line"), reason.alias("reason"))
+    rejects = rows.where(reason.isNotNull()).select("file", F.concat_ws(";", F.transform("_cells", lambda c: F.coalesce(c, F.lit("")))).alias("line"), reason.alias("reason"))
     good = rows.where(reason.isNull())
     slug = source_slug(F.coalesce("_source", F.regexp_replace("file", r"\.[^.]*$", "")))
     source = F.concat(F.lit("import-"), F.coalesce(blank_null(slug), F.lit("manual")))
@@ -59,7 +76,7 @@ def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequenc
     notices = good.select(
         F.col("_title").alias("title"), url.alias("url"), source.alias("source"), F.col("_tender_number").alias("tender_number"), F.col("_customer").alias("customer"), F.col("_region").alias("region"),
         parse_price("_price", require_currency=False).alias("price"), parse_ts("_deadline").alias("deadline"), F.lit("Актуально").alias("status"), parse_ts("_published_at").alias("published_at"),
-        F.coalesce(F.col("_raw_text"), F.array_join(F.array_compact(values), " ")).alias("raw_text"), F.lit("imported").alias("detail_status"), F.lit(0.8).alias("source_confidence"), unique_key(source, "_tender_number", url).alias("unique_key"), F.col("_n.id").alias("seq"),
+        F.coalesce(F.col("_raw_text"), F.array_join(F.array_compact(values), " ")).alias("raw_text"), F.lit("imported").alias("detail_status"), F.lit(0.8).alias("source_confidence"), unique_key(source, "_tender_number", url).alias("unique_key"), F.col("_n").alias("seq"),
     )
     return notices, rejects
 

@@ -46,8 +46,8 @@ def run_report(profile: str, totals: DataFrame, health: DataFrame) -> DataFrame:
 
 
 def write_case_csv(df: DataFrame, path: str, keep: Column) -> None:
-    """Rows that satisfy the condition, with semicolons and a header."""
-    df.where(keep).write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
+    """Rows that satisfy the condition, with semicolons and a header; quotes are doubled, and quoted values may hold line breaks."""
+    df.where(keep).write.mode("overwrite").options(sep=";", header=True, quote='"', escape='"').csv(path)
 
 
 def _last_version(spark: SparkSession, table: str) -> tuple[int, str | None]:

@@ -143,10 +143,27 @@ def test_reconciled_names(spark):
     rows = [(1, 1, "2", names[0], "a", "", 1), (1, 1, "2", names[1], "b", "мощность", 2), (1, 1, "2", names[2], "c", "", 3), (1, 2, "1", names[3], "a", "", 4), (1, 2, "1", names[4], "b", "", 5), (1, 3, "1", names[3], "a", "", 6), (2, 1, "1", names[3], "a", "", 7), (2, 1, "1", names[3], "b", "", 8)]
     merged, conflicts = cases.reconcile_items(spark.createDataFrame(rows, "case_id int, line_id int, quantity string, name string, source string, required_specs string, seq int"))
     assert sorted((r["case_id"], r["line_id"], r["seq"]) for r in merged.collect()) == [(1, 1, 2), (1, 2, 4), (2, 1, 7)]
-    assert sorted((r["case_id"], r["line_id"]) for r in conflicts.collect()) == [(1, 1), (1, 2)]
+    # the third name of line 1 is compared with the second one's, which took its place and has no code
+    assert sorted((r["case_id"], r["line_id"]) for r in conflicts.collect()) == [(1, 2)]
+    rows = [(1, 1, "1", "насос", "a", "", 1), (1, 2, "1", "Насос", "a", "", 2), (1, 2, "1", "фильтр", "a", "", 3), (1, None, None, None, None, None, 4), (1, None, None, "x", "a", None, 5)]
+    merged, conflicts = cases.reconcile_items(spark.createDataFrame(rows, "case_id int, line_id int, quantity string, name string, source string, required_specs string, seq int"))
+    assert sorted(r["seq"] for r in merged.collect()) == [1, 3, 4]
+    assert [r["line_id"] for r in conflicts.collect()] == [None]
     assert SequenceMatcher(None, "труба стальная", "насос погружной").ratio() < 0.8
 
 
+def test_bounds_of_the_ratio():
+    from difflib import SequenceMatcher
+
+    from noticeflow.operators.cases import names_differ
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 14)))
+        b = "".join(c for c in a if rng.random() < 0.9) + "".join(rng.choice("abx") for _ in range(rng.randrange(0, 3)))
+        assert names_differ(a, b) == (SequenceMatcher(None, a, b).ratio() < 0.8)
+
+
 def test_risks_and_decision(spark):
     D = "decimal(18,2)"
     cases = spark.createDataFrame([(1, True, True, 60, 5)], "case_id int, own_delivery boolean, requires_installation boolean, payment_days int, delivery_days int")

@@ -21,6 +21,16 @@ def test_delimited(spark, tmp_path):
     assert sorted(r["reason"] for r in rejects.collect()) == ["no_number_or_url", "no_title"]
 
 
+def test_delimited_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Название;Номер;Описание\r\n"Насос; ""x""\nвторой";1;"первая\n\nвторая; часть"\r\n\r\nТруба;2\r\nЛишнее;3;x;y;z\r\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('title,number,"raw text"\n"A\nB",4,"c;d"\n', encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    notices, rejects = files.read_delimited(spark, str(tmp_path))
+    got = {r["tender_number"]: (r["title"], r["raw_text"]) for r in notices.collect()}
+    assert got == {"1": ('Насос; "x"\nвторой', "первая\n\nвторая; часть"), "2": ("Труба", "Труба 2"), "3": ("Лишнее", "x"), "4": ("A\nB", "c;d")}
+    assert rejects.count() == 0
+
+
 def test_grid(spark):
     cells = [("f", "s", 1, 1, "отчет"), ("f", "s", 3, 1, "Артикул"), ("f", "s", 3, 2, "Наименование"), ("f", "s", 3, 3, "Цена"), ("f", "s", 4, 1, "A1"), ("f", "s", 4, 2, "Насос"), ("f", "s", 4, 3, "10")]
     grid = spark.createDataFrame(cells, "file string, sheet string, row int, col int, value string")
