@@ -144,8 +144,8 @@ def summed(parts: DataFrame, length: int, most_names: int = 1000) -> dict[str, n
     return out
 
 
-#: Cells of a set of marks, as a power of two, and of one of its blocks.
-MARK_BITS, MARK_BLOCK = 22, 15
+#: Cells of a set of marks, as a power of two, and of one of its blocks; tasks that mark.
+MARK_BITS, MARK_BLOCK, MARK_TASKS = 22, 15, 24
 
 
 def mark_cells(keys: np.ndarray) -> np.ndarray:
@@ -161,23 +161,13 @@ def _mark(batches):
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([b.tobytes() for b in blocks[full]], pa.binary())], names=["blk", "body"])
 
 
-def _join_marks(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for blk, body in zip(batch.column("blk").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            bits = np.frombuffer(body, np.uint8)
-            total[blk] = total[blk] | bits if blk in total else bits
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["blk", "body"])
-
-
 def marks(df: DataFrame) -> np.ndarray:
-    """Which of 2 ** MARK_BITS cells the column of large integers falls into: half a megabyte, joined on the executors.
+    """Which of 2 ** MARK_BITS cells the column of large integers falls into: half a megabyte from each of MARK_TASKS tasks.
 
-    Rows without a mark have none of the values; with very many values all cells are marked.
+    What isn't marked isn't among the values; with very many values all cells are marked.
     """
-    joined = df.mapInArrow(_mark, "blk int, body binary").repartition("blk").mapInArrow(_join_marks, "blk int, body binary")
     out = np.zeros((1 << (MARK_BITS - MARK_BLOCK), (1 << MARK_BLOCK) // 8), np.uint8)
-    for row in joined.collect():
+    for row in df.coalesce(MARK_TASKS).mapInArrow(_mark, "blk int, body binary").collect():
         out[row["blk"]] |= np.frombuffer(bytes(row["body"]), np.uint8)
     return out.reshape(-1)
 

@@ -306,20 +306,19 @@ def _block_pairs(rows: list[tuple], bands: Bands, lo: int, hi: int, share: int):
                 yield min(node[x], node[k]).item(), max(node[x], node[k]).item()
 
 
-def _in_blocks(placed: DataFrame, nodes: DataFrame, bands: Bands, share: int) -> DataFrame:
+def _several(placed: DataFrame) -> DataFrame:
+    """Buckets of several components: key, the largest component, sets in it and outside it."""
+    sizes = placed.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts"))
+    return sizes.where("parts > 1 and n > 2").select("key", F.col("m.component").alias("main"), F.col("m.count").alias("inside"), (F.col("n") - F.col("m.count")).alias("outside"))
+
+
+def _in_blocks(placed: DataFrame, several: DataFrame, nodes: DataFrame, bands: Bands, share: int) -> DataFrame:
     """Candidates of buckets that hold several components; their rows meet the buckets' sizes in SALTS shares.
 
     Sets outside a bucket's largest component are dealt into blocks 0 to few - 1, those of the
     largest into blocks few and up. A group is one of the first blocks with itself or any other.
     """
-    sizes = placed.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and n > 2")
-    if share < 1024:
-        main = main.where(F.col("n") - F.col("m.count") > MEMBERS)
-    main = main.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / MEMBERS).cast("int").alias("few"), F.ceil(F.col("m.count") / MEMBERS).cast("int").alias("many"))
-    main = stored(main, "split")
-    if main.isEmpty():
-        return placed.sparkSession.createDataFrame([], "a long, b long")
+    main = several.select("key", "main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.ceil(F.col("outside") / MEMBERS).cast("int").alias("few"), F.ceil(F.col("inside") / MEMBERS).cast("int").alias("many"))
     rows = placed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")).join(main, ["key", "salt"])
     rows = rows.withColumn("stray", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("few")).otherwise(F.col("many"))).cast("int") + F.when(F.col("stray"), 0).otherwise(F.col("few")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
@@ -384,18 +383,28 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
         # the nodes grow with the table, and are not to be sent to every task
         return near.join(some.hint("merge"), "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
 
-    links = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
-    found = stored(components(links), "components")
     compared = nodes.select("node", "n", "own", "higher")
-    for share in (SOME, 1024):
-        placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = stored(_in_blocks(stored(placed, "placed"), compared, bands, share), "candidates")
-        if pairs.isEmpty():
-            continue
-        late = stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
-        if not late.isEmpty():
-            links = links.union(late)
-            found = stored(components(links), "components")
+    linked_by = lambda pairs: stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
+    found = stored(components(linked_by(pairs)), "components")
+    first = True
+    while True:
+        placed = stored(shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        several = stored(_several(placed), "several")
+        # in large buckets a part of the pairs first
+        large = several.where(F.col("outside") > MEMBERS)
+        some = first and not large.isEmpty()
+        pairs = stored(_in_blocks(placed, large if some else several, compared, bands, SOME if some else 1024), "candidates")
+        if not pairs.isEmpty():
+            # components are joined by links between them
+            of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+            late = linked_by(pairs).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            late = stored(components(late), "components").select(F.col("node").alias("old"), F.col("component").alias("new"))
+            whole = found.union(late.join(found.select(F.col("component").alias("old")).distinct(), "old", "left_anti").select("old", "old"))
+            renamed = late.select(F.col("old").alias("_old"), "new")
+            found = stored(whole.join(renamed, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("new", "component").alias("component")), "components")
+        if not some:
+            break
+        first = False
 
     named = heads.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
