@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 The lengths are reduced to a histogram, which no input makes larger than
-capacity x MOST_SALTS. The configuration linear program over it (least number of
+the capacity. The configuration linear program over it (least number of
 sequences, each filled by a combination of lengths, every length used up) gets its
 columns by multiplicative weights: a length that the proposed configurations use too
 much loses weight, one that they neglect gains, and a knapsack dynamic program prices,
@@ -14,6 +14,12 @@ and so on until a program places nothing more. Best fit takes that rest. Where t
 result stays above the bound, it is tried again with other first weights and with
 faster ones; should best fit alone need fewer sequences, its result stands.
 
+With at most EXCHANGED different lengths, where sequences can often not be full and
+weights alone settle slowly, the amounts are carried on to the program's optimum: of the
+configurations found so far, and then of the knapsack's, the one of most value enters a
+basis until none is worth more than a sequence. Its whole parts are taken and the rest is
+solved again, the largest part first where all are below one.
+
 Rows then find their sequence by their rank among the rows of their length, which
 spreads over salted windows.
 
@@ -35,14 +41,16 @@ from .common import slices, stored
 from .pieces import WordPieces, encoder
 
 CAPACITY = 2048
-#: Windows over which the rows of one length are ranked: at least and at most so many, one for so many rows.
-LEAST_SALTS, MOST_SALTS, SALT_ROWS = 32, 256, 1 << 20
+#: Windows over which the rows of one length are ranked: at least so many, one for so many rows.
+LEAST_SALTS, SALT_ROWS = 32, 1 << 20
 #: Rates of the weights, and whether they begin with the heaviest weights or with the lengths, tried in this order; pricings of one program; steps of the amounts; programs at most.
 TRIES, PRICINGS, STEPS, PROGRAMS = ((2e-3, False), (2e-3, True), (0.5, True)), 10, 60, 30
 #: What a configuration's value may lack to the best, in programs that place ever less.
 SLACKS = (0.0, 1e-3, 0.03, 1.0)
 #: A result within this share of the bound, or one sequence, is good.
 GAP = 2e-4
+#: Different lengths up to which the program is solved to its optimum; parts from which a rest's configurations are taken together.
+EXCHANGED, LARGE_PART = 256, 0.6
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -174,6 +182,102 @@ def program(demand: np.ndarray, capacity: int, rate: float, heaviest: bool = Fal
     return groups, left, bound
 
 
+def best_sequence(value: np.ndarray, limit: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """Bounded knapsack as in `price`, of the whole room only: its value, and how often each length is in it."""
+    items = [(s, n) for s in np.flatnonzero((value > 0) & (limit > 0))[::-1].tolist() for n in _powers(min(int(limit[s]), capacity // s))]
+    best, taken = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for j, (size, n) in enumerate(items):
+        gain = best[: capacity + 1 - size * n] + value[size] * n
+        taken[j, size * n :] = better = gain > best[size * n :] + 1e-12
+        np.copyto(best[size * n :], gain, where=better)
+    room, counts = capacity, {}
+    for j in range(len(items) - 1, -1, -1):
+        if taken[j, room]:
+            size, n = items[j]
+            room -= size * n
+            counts[size] = counts.get(size, 0) + n
+    return float(best[capacity]), counts
+
+
+def _powers(n: int) -> list[int]:
+    """Powers of two, and a rest, whose sums are all numbers up to n."""
+    out, k = [], 1
+    while n > 0:
+        out.append(min(k, n))
+        n, k = n - k, 2 * k
+    return out
+
+
+def optimum(demand: np.ndarray, capacity: int, found: list[Configuration]) -> tuple[list[Configuration], np.ndarray, float]:
+    """A basis of configurations, their amounts that use up the demand, and the program's bound; found configurations are tried first."""
+    sizes = np.flatnonzero(demand)
+    need, at = demand[sizes].astype(float), np.full(capacity + 1, -1)
+    at[sizes] = np.arange(len(sizes))
+
+    def column(config: Configuration) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        for s, n in config:
+            out[at[s]] += n
+        return out
+
+    basis: list[Configuration] = [((s, min(int(demand[s]), capacity // s)),) for s in sizes.tolist()]
+    inverse = np.diag([1.0 / c[0][1] for c in basis])
+    x, bound, value = inverse @ need, 0.0, np.zeros(capacity + 1)
+    known = np.array([column(c) for c in found]).reshape(-1, len(sizes))
+    for _ in range(30 * len(sizes) + 200):  # ends before, but for rounding errors
+        dual = inverse.sum(axis=0)
+        worth = known @ dual
+        if len(found) and worth.max() > 1 + 1e-7:
+            config, enters = found[int(worth.argmax())], known[int(worth.argmax())]
+        else:
+            value[sizes] = np.maximum(dual, 0)
+            best, counts = best_sequence(value, demand, capacity)
+            bound = max(bound, float(need @ value[sizes]) / best)
+            if best <= 1 + 1e-7:
+                break
+            config = tuple(sorted(counts.items(), reverse=True))
+            enters = column(config)
+        step = inverse @ enters
+        leaves = int(np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf).argmin())
+        row = inverse[leaves] / step[leaves]
+        inverse -= np.outer(step, row)
+        inverse[leaves], basis[leaves] = row, config
+        x = np.maximum(inverse @ need, 0)
+    return basis, x, bound
+
+
+def solved(demand: np.ndarray, capacity: int) -> tuple[list[tuple[Configuration, int]], float, int]:
+    """As `plan`, by optima of the program over what is left."""
+    count = lambda groups: sum(c for _, c in groups)
+    left, groups, bound, found = demand.astype(np.int64).copy(), [], None, list(columns(demand, capacity, TRIES[0][0], SLACKS[2])[0])
+    best, made = None, 0
+
+    def take(config: Configuration, n: int) -> int:
+        n = min([n, *(int(left[s]) // k for s, k in config)])
+        if n > 0:
+            groups.append((config, n))
+            for s, k in config:
+                left[s] -= k * n
+        return max(n, 0)
+
+    while left.any():
+        basis, x, dual = optimum(left, capacity, found)
+        bound, found = dual if bound is None else bound, []
+        whole = np.floor(x + 1e-6).astype(np.int64)
+        placed = sum(take(basis[j], int(whole[j])) for j in np.flatnonzero(whole).tolist())
+        part = x - whole
+        for j in np.argsort(-part).tolist():
+            if part[j] < LARGE_PART and placed:
+                break
+            placed += take(basis[j], 1)
+        rest = best_fit(left.copy(), capacity)
+        if best is None or count(groups) + count(rest) < count(best):
+            best, made = groups + rest, count(groups)
+        if count(best) <= np.ceil(bound - 1e-6) or not placed:
+            break
+    return best, bound or 0.0, made
+
+
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Whole sequences for the items of a histogram: longest first, each into the fullest open sequence that takes it."""
     room: dict[int, list[list]] = {}  # free units: [pattern, copies]
@@ -222,7 +326,10 @@ def plan(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[Confi
     count = lambda groups: sum(c for _, c in groups)
     alone = best_fit(rest, capacity)
     best, made, bound = None, 0, 0.0
-    for rate, heaviest in TRIES if rest.any() else ():
+    few = np.count_nonzero(rest) <= EXCHANGED
+    if few and rest.any():
+        best, bound, made = solved(rest, capacity)
+    for rate, heaviest in TRIES if rest.any() and not few else ():
         groups, left, dual = program(rest, capacity, rate, heaviest)
         bound, by_program = max(bound, dual), count(groups)
         groups = groups + best_fit(left, capacity)
@@ -298,23 +405,24 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int |
     sequence_id, offset. Only documents longer than a sequence are cut.
     """
     pieces = stored(cut(df, tokenizer, capacity, end_id, id_col, text_col), "packing")
-    salts = int(np.clip(pieces.count() // SALT_ROWS, LEAST_SALTS, MOST_SALTS))
+    salts = max(LEAST_SALTS, pieces.count() // SALT_ROWS)
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for row in pieces.groupBy("length", "salt").count().collect():  # at most capacity x MOST_SALTS rows
-        counts[row["length"], row["salt"]] = row["count"]
-    groups, _, _ = plan(counts.sum(1), capacity)
-    places = Places(groups, capacity)
-    before = np.cumsum(counts, axis=1) - counts
+    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    demand = np.zeros(capacity + 1, np.int64)
+    for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most a row for each length
+        demand[row["length"]] = row["n"]
+    places = Places(plan(demand, capacity)[0], capacity)
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("length", "salt", earlier.alias("before"))
 
     def place(batches):
         for b in batches:
-            length, salt = b.column("length").to_numpy(), b.column("salt").to_numpy()
-            sequence, offset = places(length, before[length, salt] + b.column("nth").to_numpy().astype(np.int64) - 1)
+            length = b.column("length").to_numpy()
+            sequence, offset = places(length, b.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("nth", nth).select("id", "piece", "start", "length", "ids_crc32", "salt", "nth")
+    ranked = pieces.withColumn("nth", nth).join(before, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     kind = df.schema[id_col].dataType.simpleString()
     out = ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

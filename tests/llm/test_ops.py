@@ -71,6 +71,33 @@ def valid(groups, demand, capacity):
     return sum(c for _, c in groups)
 
 
+def _histogram(name, seed):
+    rng = np.random.default_rng(seed)
+    if name == "between a quarter and a half":
+        return np.bincount(rng.integers(75, 128, 3000), minlength=257), 256
+    if name == "short":
+        return np.bincount(rng.integers(20, 101, 2000), minlength=151), 150
+    few, n = (10, 5000) if name == "ten" else (6, 4000)
+    return np.bincount(rng.choice(rng.integers(300, 1300, few), n), minlength=2049), 2048
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("name", ["between a quarter and a half", "short", "ten", "six"])
+def test_plan_reaches_the_program(name, seed):
+    """Where sequences can't be full: the program's optimum rounded up, or one sequence more; a weight for each length proves it."""
+    demand, capacity = _histogram(name, seed)
+    groups, bound, made = packing.plan(demand, capacity)
+    bins = valid(groups, demand, capacity)
+    assert bins <= np.ceil(bound - 1e-6) + 1 and made >= 0.95 * bins
+    basis, x, dual = packing.optimum(demand, capacity, [])
+    used = np.zeros(capacity + 1)
+    for config, amount in zip(basis, x, strict=True):
+        assert sum(s * n for s, n in config) <= capacity
+        for s, n in config:
+            used[s] += n * amount
+    assert np.allclose(used, demand) and dual == pytest.approx(x.sum(), rel=1e-6) and bound == pytest.approx(dual, rel=1e-6)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_histogram_exactly(seed):
     rng = np.random.default_rng(seed)
