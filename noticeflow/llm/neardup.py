@@ -2,12 +2,12 @@
 
 Equal texts are one text. A text is the multiset of its runs of five words
 (lower case, split at ASCII marks; fewer words: the one run of all); a shingle
-weighs (1 + ln tf) x idf. The idf is FLOOR + (1 - FLOOR) x ln(1 + n / df) / ln(1 + sqrt n),
-at most 1: runs in fewer than sqrt n texts are rare, those in all texts weigh about
-FLOOR. n and df count texts up to copies: a text counts one over the number of texts
-with the same smallest shingle, so that a group of thousands of near copies doesn't
-make its own words common. All counts are kept in 2**20 hashed cells less their mean
-load.
+weighs (1 + ln tf) x idf, with the idf FLOOR + (1 - FLOOR) x ln(1 + n / df) / ln(1 + n):
+1 for runs of one text, about FLOOR for those of all. n and df count texts up to copies: a
+text counts one over the number of texts that share its smallest shingle, in that one of
+SKETCHES hashed orders in which most do, so that a group of thousands of near copies
+counts about once and doesn't make its own words common. All counts are kept in 2**20
+hashed cells less their mean load.
 Improved consistent weighted sampling draws BANDS x ROWS samples of each text, equal
 with a probability of the weighted Jaccard similarity; texts that share a band are
 candidates, and links are candidates whose weighted Jaccard similarity reaches
@@ -37,11 +37,11 @@ from .components import components
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 14, 4
-CELLS, FLOOR = 1 << 20, 0.25
+CELLS, FLOOR, SKETCHES = 1 << 20, 0.25, 4
 #: A text's part in the counts is a whole number of 1 / PARTS.
 PARTS = 1 << 12
 #: Shingles sampled at a time; texts of a bucket in one block; shares of a bucket's rows.
-BLOCK, MEMBERS, SALTS = 1 << 16, 256, 16
+BLOCK, MEMBERS, SALTS = 1 << 16, 512, 16
 
 _WORD = np.ones(256, bool)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = False
@@ -93,8 +93,12 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number of each text that has shingles, by its smallest shingle."""
-    return _mix(sh[at[:-1][np.diff(at) > 0]].astype(np.uint64))
+    """SKETCHES numbers of each text that has shingles, by its smallest shingle in as many hashed orders."""
+    first = at[:-1][np.diff(at) > 0]
+    out = np.zeros((len(first), SKETCHES), np.uint64)
+    for k in range(SKETCHES if len(first) else 0):
+        out[:, k] = _mix(np.minimum.reduceat(_mix(sh.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(40))), first))
+    return out
 
 
 def _shingle_rows(batches):
@@ -105,9 +109,10 @@ def _shingle_rows(batches):
             bodies = [sh[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             more = np.concatenate([[0], np.cumsum(tf > 1)])[at]
             times = [tf[a:b].astype("<u4").tobytes() if d else b"" for a, b, d in zip(bounds, bounds[1:], np.diff(more).tolist(), strict=False)]
-            sketch = np.zeros(len(at) - 1, np.uint64)
+            sketch = np.zeros((len(at) - 1, SKETCHES), np.uint64)
             sketch[np.diff(at) > 0] = sketches(sh, at)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary()), pa.array(times, pa.binary()), pa.array(sketch.view(np.int64))], names=["id", "sh", "tf", "sketch"])
+            some = pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1).view(np.int64)), SKETCHES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bodies, pa.binary()), pa.array(times, pa.binary()), some], names=["id", "sh", "tf", "sketch"])
 
 
 def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,33 +134,40 @@ def _less_load(cells: np.ndarray) -> np.ndarray:
     return cells - (cells.sum() - cells) / (CELLS - 1)
 
 
+def _of_batch(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("sketch").flatten().to_numpy().reshape(-1, SKETCHES)
+
+
 def _count_sketches(batches):
-    total = np.zeros(CELLS, np.int64)
+    total = np.zeros((SKETCHES, CELLS), np.int64)
     for batch in batches:
-        total += np.bincount(_cell(batch.column("sketch").to_numpy()), minlength=CELLS)
-    yield vector_rows({"sketches": total})
+        for k, cell in enumerate(_cell(_of_batch(batch)).T):
+            total[k] += np.bincount(cell, minlength=CELLS)
+    yield vector_rows({str(k): v for k, v in enumerate(total)})
 
 
 def parts(sketch: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """How much each text counts: PARTS over the number of texts of its sketch, at least 1."""
-    return np.maximum(PARTS / np.maximum(_less_load(alike)[_cell(sketch)], 1.0), 1.0).round()
+    """How much each text counts: PARTS over the most texts that share one of its sketches, at least 1."""
+    shared = np.max([_less_load(n)[cell] for n, cell in zip(alike, _cell(sketch).T, strict=True)], axis=0)
+    return np.maximum(PARTS / np.maximum(shared, 1.0), 1.0).round()
 
 
 def idf(cells: np.ndarray, texts: float) -> np.ndarray:
-    """Factor of each cell: 1 for rare shingles, about FLOOR for those in all texts."""
+    """Factor of each cell: 1 for shingles of one text, about FLOOR for those in all texts."""
     df = np.clip(_less_load(cells), 1, max(1.0, texts))
-    return (FLOOR + (1 - FLOOR) * (np.log1p(texts / df) / np.log1p(max(1.0, texts) ** 0.5)).clip(max=1)).astype(np.float32)
+    return (FLOOR + (1 - FLOOR) * (np.log1p(texts / df) / np.log1p(max(1.0, texts))).clip(max=1)).astype(np.float32)
 
 
 def factors(texts: DataFrame) -> np.ndarray:
     """The idf factor of each cell over all texts (columns sh, tf, sketch)."""
-    alike = summed(texts.select("sketch").mapInArrow(_count_sketches, VECTOR_SCHEMA), CELLS).get("sketches", np.zeros(CELLS, np.int64))
+    found = summed(texts.select("sketch").mapInArrow(_count_sketches, VECTOR_SCHEMA), CELLS)
+    alike = np.array([found.get(str(k), np.zeros(CELLS, np.int64)) for k in range(SKETCHES)]).astype(np.int32)
 
     def count(batches):
         total, of_texts = np.zeros(CELLS), 0
         for batch in batches:
             sh, _, at = _unpack(batch)
-            part = parts(batch.column("sketch").to_numpy(), alike)
+            part = parts(_of_batch(batch), alike)
             total += np.bincount(sh >> np.uint32(12), weights=np.repeat(part, np.diff(at)), minlength=CELLS)
             of_texts += int(part.sum())
         yield vector_rows({"cells": total, "texts": np.array([of_texts])})
@@ -335,7 +347,7 @@ def classes(df: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_co
     owned = df.select(F.col(id_col).alias("head"), F.col(text_col).alias("text"), F.md5(F.col(text_col)).alias("digest")).where("text is not null")
     # repeated rows go where the join has dealt them
     firsts = owned.join(heads, ["head", "digest"]).dropDuplicates(["head", "digest"]).select(F.col("node").alias("id"), "text")
-    texts = stored(firsts.mapInArrow(_shingle_rows, "id long, sh binary, tf binary, sketch long").where("length(sh) > 0"), "shingles")
+    texts = stored(firsts.mapInArrow(_shingle_rows, "id long, sh binary, tf binary, sketch array<long>").where("length(sh) > 0"), "shingles")
     factor = factors(texts)
 
     def sample(batches):

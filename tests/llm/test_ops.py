@@ -669,15 +669,16 @@ def brute_similarity(texts):
     """Weighted Jaccard similarity of all pairs of different texts, by dictionaries."""
     terms = [brute_shingles(t) for t in texts]
     sh, _, at = neardup.shingles(pa.array(texts))
-    alike = Counter(neardup.sketches(sh, at).tolist())
-    counts = iter(1 / alike[k] for k in neardup.sketches(sh, at).tolist())
+    sketch = neardup.sketches(sh, at).T.tolist()
+    alike = [Counter(column) for column in sketch]
+    counts = iter(1 / max(a[x] for a, x in zip(alike, row, strict=True)) for row in zip(*sketch, strict=True))
     part = [next(counts) if t else 0 for t in terms]
     n = sum(part)
     df = Counter()
     for t, p in zip(terms, part, strict=True):
         for g in t:
             df[g] += p
-    rare = lambda d: min(1, np.log1p(n / max(1, d)) / np.log1p(max(1, n) ** 0.5))
+    rare = lambda d: min(1, np.log1p(n / max(1, d)) / np.log1p(max(1, n)))
     weight = [{g: (1 + np.log(k)) * (neardup.FLOOR + (1 - neardup.FLOOR) * rare(df[g])) for g, k in t.items()} for t in terms]
     total = [sum(w.values()) for w in weight]
     for i, a in enumerate(weight):
