@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..functions import ids, sql, text
 from ..operators import classify, dedup, economics, freshness, match, products, register, report, search
 from ..sources import pages as pg
 from ..sources import unions
@@ -80,6 +80,20 @@ def fn_parse(spark, sf):
     return rows.select("k", text.parse_price("p").alias("price"), F.date_format(text.parse_ts("d"), "yyyy-MM-dd HH:mm").alias("at"), F.when(text.parse_price("q").isNotNull(), "ok").alias("priced"))
 
 
+@query(
+    rf"""SELECT 't' || doc_id AS k, len(list_distinct([x for x in regexp_extract_all({_NORM.format("text")}, '[a-zа-я0-9]+(?:[-/.][a-zа-я0-9]+)*') if length(x) >= 2])) AS n, NULL::DOUBLE AS price, NULL AS at FROM documents UNION ALL
+SELECT 'o' || o_orderkey, NULL, CAST(o_totalprice AS DECIMAL(18, 2))::DOUBLE * CASE o_orderkey % 3 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1 END, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M') FROM orders"""
+)
+def fn_sql(spark, sf):
+    """FN-01 to FN-05 as SQL functions: tokens of all texts, prices and dates of all orders, by SQL text alone."""
+    load(spark, sf, "documents", "orders")
+    sql.register(spark)
+    return spark.sql("""
+SELECT concat('t', doc_id) AS k, CAST(size(nf_tokens(text)) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS STRING) AS at FROM documents UNION ALL
+SELECT concat('o', o_orderkey), NULL, nf_price(concat('Цена: ', replace(format_string('%.2f', o_totalprice), '.', ','), element_at(array(' руб.', ' тыс. руб.', ' млн ₽'), CAST(o_orderkey % 3 + 1 AS INT))), true),
+ date_format(nf_time(date_format(o_orderdate, 'dd.MM.yyyy HH:mm')), 'yyyy-MM-dd HH:mm') FROM orders""")
+
+
 @query(
     """
 SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,

@@ -89,3 +89,18 @@ def test_devices(spark):
     rows = df.select(models.alias("m"), kind.alias("k"), devices.same_kind("x", "y", kinds).alias("s"), devices.search_queries(kind, models, F.array(F.lit("CE505A")), {"картридж": ["тонер"]}).alias("q"), devices.is_any_of(["^стол"], "x").alias("a")).collect()
     assert [r["m"] for r in rows] == [["hp-2035n"], []] and [r["k"] for r in rows] == ["картридж", None] and [r["s"] for r in rows] == ["pass", "unknown"]
     assert rows[0]["q"] == ["CE505A", "картридж hp-2035n", "тонер hp-2035n"] and [r["a"] for r in rows] == [False, True]
+
+
+def test_sql_functions(spark):
+    """The same as the column functions, and inlined."""
+    from noticeflow.functions import sql, text
+
+    sql.register(spark)
+    xs = ["  Ёлка\u00a0 Большая 12,5 тыс. руб", "Цена 1 234.50 ₽", "5 usd", None, "05.06.2026 10:00", "2026-01-02T03:04:05Z", "1.234,5 млн руб", "hp-2035n a b-c"]
+    df = spark.createDataFrame([(x,) for x in xs], "x string")
+    df.createOrReplaceTempView("sql_functions")
+    got = spark.sql("SELECT nf_normalize(x), nf_stem(x), nf_tokens(x), nf_price(x, true), nf_price(x, false), nf_time(x) FROM sql_functions")
+    want = df.select(text.normalize("x"), text.stem("x"), text.search_tokens("x"), text.parse_price("x"), text.parse_price("x", False), text.parse_ts("x"))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "nf_" not in plan and "Python" not in plan
