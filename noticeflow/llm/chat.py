@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices
 from .pieces import BytePieces, encoder
@@ -111,7 +112,7 @@ def conversations(df: DataFrame, tokenizer: str, learn: str = "assistant", conv_
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
     kind = df.schema[conv_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(df.schema[conv_col].dataType)
 
     def finished(chat, groups):
         rendered = [render(turns, learn) for _, turns in groups]

@@ -158,11 +158,21 @@ def packed(data: bytes, compression: int, level: int = 4) -> bytes:
     raise ValueError(f"compression {compression} is not known")
 
 
+def _inflated(data: bytes, size: int) -> bytes:
+    """The wanted bytes of a stream, however many it holds; its checksum counts if it ends there."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, max(size, 1))
+    if len(out) < size:
+        raise ValueError(f"{len(out)} of {size} bytes")
+    stream.decompress(stream.unconsumed_tail, 1)
+    return out[:size]
+
+
 def unpacked(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return _inflated(data, size)
     if compression == PACKBITS:
         return unpack_bits(data, size)
     if compression == LZW:

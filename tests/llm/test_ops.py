@@ -204,6 +204,22 @@ def test_chat(spark, vocab):
     assert chat.conversations(df.where("conv_id > 9"), vocab(BYTE)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(20,3)", "date", "smallint"])
+def test_chat_ids_of_any_type(spark, vocab, kind):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "user", "c")], "n int, turn long, role string, text string")
+    conv = F.date_add(F.lit("2026-01-01"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
+    got = chat.conversations(rows.withColumn("conv_id", conv).drop("n"), vocab(BYTE))
+    assert got.schema["conv_id"].dataType.simpleString() == kind and got.count() == 2
+
+
+def test_inflated_stops_at_the_size():
+    bomb = zlib.compress(bytes(50_000_000))
+    assert tiff.unpacked(bomb, tiff.DEFLATE, 64) == bytes(64)
+    for broken in (bomb[:5], zlib.compress(b"ab"), zlib.compress(b"x" * 64)[:-1] + b"?"):
+        with pytest.raises((ValueError, zlib.error)):
+            tiff.unpacked(broken, tiff.DEFLATE, 64)
+
+
 def test_long_conversations(spark, vocab):
     """Many turns, and a text of two million characters."""
     long = "long words <|im_end|> and more " * 70_000
