@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,18 @@ MEMBERS, BYTES, RATIO = 2000, 200_000_000, 200.0
 ENTRY = "path string, member string, xml string, error string"
 
 
+def xml_text(content: bytes) -> str:
+    """XML as UTF-8, else in the encoding that it declares, else as Windows Cyrillic."""
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        said = re.match(rb"""<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", content.lstrip())
+        try:
+            return content.decode(said[1].decode() if said else "cp1251")
+        except (LookupError, UnicodeDecodeError):
+            return content.decode("cp1251", "replace")
+
+
 def landed(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Stream of new files, the newest first; the checkpoint remembers which were seen."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -26,7 +39,7 @@ def unpacked(files: DataFrame, members: int = MEMBERS, size: int = BYTES, ratio:
 
     def one(path: str, content: bytes):
         if not zipfile.is_zipfile(io.BytesIO(content)):
-            return [(path, None, content.decode("utf-8", "replace"), None)] if content.lstrip()[:1] == b"<" else [(path, None, None, "not_an_archive")]
+            return [(path, None, xml_text(content), None)] if content.lstrip()[:1] == b"<" else [(path, None, None, "not_an_archive")]
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
                 infos = [i for i in z.infolist() if i.filename.lower().endswith(".xml")]
@@ -35,7 +48,7 @@ def unpacked(files: DataFrame, members: int = MEMBERS, size: int = BYTES, ratio:
                     return [(path, None, None, "too_large")]
                 if total > ratio * max(1, len(content)):
                     return [(path, None, None, "ratio")]
-                return [(path, i.filename, z.read(i).decode("utf-8", "replace"), None) for i in infos]
+                return [(path, i.filename, xml_text(z.read(i)), None) for i in infos]
         except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, OSError) as e:
             return [(path, None, None, f"broken: {type(e).__name__}")]
 

@@ -117,6 +117,13 @@ def test_archives(spark, tmp_path):
     assert [r["xml"] for part in archives.retry(spark, rejects) for r in part.collect()] == ["<x>3</x>"]
 
 
+def test_encodings_of_archives():
+    text = "<x>Насос</x>"
+    declared = '<?xml version="1.0" encoding="koi8-r"?>' + text
+    assert [archives.xml_text(b) for b in (text.encode(), text.encode("utf-8-sig"), text.encode("cp1251"), declared.encode("koi8-r"))] == [text, text, text, declared]
+    assert archives.xml_text(b'<?xml encoding="none-such"?>\xcd') == '<?xml encoding="none-such"?>Н'
+
+
 ROWS = [("a", 1, "excluded"), ("b", 2, "hot"), ("a", 3, "review"), ("a", 4, "hot"), ("b", 5, "excluded"), ("c", 6, None)]
 
 
