@@ -565,6 +565,40 @@ def src_json_xml(spark, sf):
     return payloads.read_notice_json(body.select("payload"), rules).select("unique_key", "title", "customer", F.round("price", 2).alias("price"))
 
 
+_XML = "'<n><num>' || doc_id || '</num><t>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</t></n>'"
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, doc_id // 50 AS g, {_XML} AS xml FROM documents)
+SELECT doc_id::VARCHAR || '.xml' AS member, md5(xml) AS digest, NULL AS error, CASE g WHEN 2 THEN 'retried' ELSE 'landed' END AS how FROM m WHERE g <> 1 UNION ALL
+SELECT 'a1.zip', NULL, 'too_large', 'rejected'"""
+)
+def src_zips(spark, sf):
+    """SRC-07: documents as members of zip files, fifty to a file, that land in two passes, a few newest files at a time.
+
+    One file has more members than allowed, and one lands broken and is read again when it is mended.
+    """
+    load(spark, sf, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<n><num>"), F.col("doc_id").cast("string"), F.lit("</num><t>"), escaped, F.lit("</t></n>"))
+    rows = spark.table("documents").select(F.expr("doc_id div 50").alias("g"), F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("member"), xml.alias("content"))
+    more = spark.range(100).select(F.lit(1).cast("long").alias("g"), F.concat(F.lit("more"), F.col("id").cast("string"), F.lit(".xml")).alias("member"), F.lit("<n/>").alias("content"))
+    rows = rows.union(more).withColumn("archive", F.concat(F.lit("a"), F.col("g").cast("string")))
+    landing, late, out, rejects, marks = (shared_folder(spark, name) for name in ("landing", "mended", "members", "rejects", "marks"))
+    for k in (0, 1):
+        sinks.write_archives(rows.where((F.col("g") % 2 == k) & (F.col("g") != 2)), landing).count()
+        if k:
+            spark.range(1).select(F.lit("not a zip").alias("value")).coalesce(1).write.text(f"{landing}/broken")
+        archives.ingest(spark, landing, out, rejects, marks, files_per_batch=50, members=60)
+    failed = spark.read.parquet(rejects)
+    sinks.write_archives(rows.where("g = 2"), late).count()
+    mended = failed.where("error = 'not_an_archive'").select(F.lit(f"{late}/a2.zip").alias("path")).distinct()
+    again = next(archives.retry(spark, mended, members=60))
+    shown = lambda df, how: df.select("member", F.md5("xml").alias("digest"), F.lit(None).cast("string").alias("error"), F.lit(how).alias("how"))
+    large = failed.where("error = 'too_large'").select(F.element_at(F.split("path", "/"), -1).alias("member"), F.lit(None).cast("string").alias("digest"), "error", F.lit("rejected").alias("how"))
+    return shown(spark.read.parquet(out), "landed").union(shown(again, "retried")).union(large)
+
+
 @query("SELECT doc_id % 50 AS doc, count(*) AS lines, sum(length(t)) AS chars, 'docs' AS section FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) GROUP BY 1".replace("\\\\", "\\").replace("count(*) AS lines, sum(length(t)) AS chars", "count(*) AS lines, CAST(sum(length(t)) AS BIGINT) AS chars"))
 def src_documents(spark, sf):
     """SRC-09: documents written as text files in folders and loaded."""

@@ -72,3 +72,31 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     if version is None:
         raise ValueError(f"{table} has no published version")
     return spark.read.parquet(f"{table}/{version}")
+
+
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """Zip files `archive`.zip of their members (archive, member, content) in a folder that all executors share; returns archive, members.
+
+    A file is written by one task, member by member; a task that runs again writes it anew.
+    """
+
+    def run(batches):
+        import zipfile
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for name, members in groupby(every, key=lambda r: r[0]):
+            n = 0
+            with system.open_output_stream(f"{root}/{name}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, member, content in members:
+                    z.writestr(zipfile.ZipInfo(member), content, zipfile.ZIP_DEFLATED)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "members"])
+
+    ordered = rows.select("archive", "member", F.col("content").cast("binary").alias("content")).repartition("archive").sortWithinPartitions("archive", "member")
+    return ordered.mapInArrow(run, "archive string, members long")

@@ -61,11 +61,11 @@ def unpacked(files: DataFrame, members: int = MEMBERS, size: int = BYTES, ratio:
     return files.select("path", "content").mapInArrow(run, ENTRY)
 
 
-def ingest(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint: str, files_per_batch: int = 100) -> None:
+def ingest(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint: str, files_per_batch: int = 100, members: int = MEMBERS, size: int = BYTES, ratio: float = RATIO) -> None:
     """Writes the members of all files that have landed; failures go to a table from which `retry` takes them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = unpacked(batch)
+        rows = unpacked(batch, members, size, ratio)
         rows.where("error is null").write.mode("overwrite").parquet(f"{out}/batch={number}")
         rows.where("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
 
@@ -73,13 +73,13 @@ def ingest(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint:
     query.awaitTermination()
 
 
-def retry(spark: SparkSession, rejects: DataFrame, block: int = 1000) -> Iterator[DataFrame]:
+def retry(spark: SparkSession, rejects: DataFrame, block: int = 1000, members: int = MEMBERS, size: int = BYTES, ratio: float = RATIO) -> Iterator[DataFrame]:
     """Reads all failed files again, a block of paths at a time: members, or the error that they still have.
 
     The driver holds the paths of one block; the caller writes each block before the next.
     """
     paths = (r["path"] for r in rejects.select("path").distinct().toLocalIterator())
     while part := list(islice(paths, block)):
-        yield unpacked(spark.read.format("binaryFile").load(part).select("path", "content"))
+        yield unpacked(spark.read.format("binaryFile").load(part).select("path", "content"), members, size, ratio)
 
 
