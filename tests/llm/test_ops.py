@@ -254,6 +254,27 @@ def test_shards(spark, edge, nothing):
     assert (mix.max(axis=1) - mix.min(axis=1) <= 2).all()
 
 
+def test_shards_equal_sorted_rows(spark, sf_dir):
+    """The law by sorting in Python: seeded hash within each source, then fractional rank over all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 11 > 0, F.col("source")))
+    docs = docs.union(docs.where("doc_id % 17 = 0"))
+    rows = docs.select("source", F.xxhash64(F.lit(17), F.col("doc_id")).alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r["source"], []).append((r["h"], r["doc_id"], zlib.crc32(r["text"].encode()), len(r["text"].encode()) + 1))
+    ranked = []
+    for source, members in by_source.items():
+        members.sort()
+        ranked += [((k + 0.5) / len(members), source is not None, source or "", k, m) for k, m in enumerate(members)]
+    ranked.sort(key=lambda x: x[:4])
+    want, n = [], len(ranked)
+    for place, (*_, m) in enumerate(ranked):
+        shard = place * 16 // n
+        want.append((m[1], m[3], m[2], shard, place - -(-shard * n // 16)))
+    got = [tuple(r) for r in sharding.interleave(docs).select("doc_id", "size", "text_crc32", "shard", "slot").collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- 4 BPE -----------------------------------------------------------------
 
 
