@@ -47,9 +47,9 @@ def candidate_pairs(q: DataFrame, p: DataFrame, k: int, light: int, allow: bool
     """
     items = p.select("product_id", F.explode(_items(F.col("_stems"), F.col("_tokens"))).alias("item"))
     heavy = cut_lineage(items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > light).select("item"))
-    # one row, of at most all items / light
-    known = heavy.agg(F.sort_array(F.collect_set("item")).alias("_heavy")).withColumn("_one", F.lit(0))
-    with_heavy = lambda df: df.withColumn("_one", F.lit(0)).join(F.broadcast(known), "_one").drop("_one")
+    # at most all items / light
+    known = F.array(*[F.lit(r["item"]) for r in heavy.orderBy("item").collect()]).cast("array<string>")
+    with_heavy = lambda df: df.withColumn("_heavy", known)
     articles = p.where("_article <> ''").groupBy("_article").agg((F.count(F.lit(1)) > light).alias("_often"))
     q_items = q.select("query_id", F.explode(_items(F.col("_qs"), F.col("_qt"))).alias("item"))
     by_item = q_items.join(items.join(heavy, "item", "left_anti"), "item").select("query_id", "product_id")
@@ -69,7 +69,7 @@ def candidate_pairs(q: DataFrame, p: DataFrame, k: int, light: int, allow: bool
     columns = ["_sig", "_hs", "_lead", "_cat", "_art", "_for", "priority", "price", "name", "product_id"]
     members = cut_lineage(top(signed.select(*columns), ["_sig"], _first_order()))
     heads = members.where("_nth = 1").drop("_nth")
-    wanted = with_heavy(q_items).where(F.array_contains("_heavy", F.col("item"))).select("query_id", "item")
+    wanted = q_items.join(heavy, "item").select("query_id", "item")
     met = wanted.join(heads.select("_sig", F.explode("_hs").alias("item")), "item").select("query_id", "_sig").distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -121,7 +121,9 @@ def match_products(queries: DataFrame, products: DataFrame, k: int = 10, least:
     """
     q = queries.select(F.col(query_id).alias("query_id"), normalize(query).alias("_q"), *([F.col(category).alias("_qc")] if category else []))
     q = q.withColumn("_qt", search_tokens("_q", stop_words)).where(F.size("_qt") > 0).withColumn("_qs", stems(F.col("_qt")))
-    p = product_keys(products)
+    # both are read many times
+    q = cut_lineage(q)
+    p = cut_lineage(product_keys(products))
     light = max(20 * k, products.count() // 64) if light is None else light
     both = candidate_pairs(q, p, k, light, category is not None).join(q, "query_id").join(p, "product_id")
     if category:
