@@ -469,10 +469,11 @@ def cl_table(spark, sf):
     load(spark, sf, "lineitem", "part")
     i = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
     s = lambda c: F.col(c).cast("string")
-    i = i.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
-    head = F.array(F.concat(s("l_linenumber"), F.lit(".")), F.col("p_name"), F.lit("x"), F.lit("Размер"), s("p_size"), F.lit("шт"), F.col("l_quantity").cast("int").cast("string"))
+    # parts of one name and size give equal items, of which the SQL has one
+    i = i.withColumn("l_quantity", F.col("l_quantity").cast("int")).groupBy("l_orderkey", "l_linenumber", "p_name", "p_size", "l_quantity").agg(F.min("l_partkey").alias("l_partkey"))
+    head = F.array(F.concat(s("l_linenumber"), F.lit(".")), F.col("p_name"), F.lit("x"), F.lit("Размер"), s("p_size"), F.lit("шт"), s("l_quantity"))
     more = F.array(F.lit(""), F.lit(""), F.lit(""), F.lit("Цвет"), F.lit("белый"), F.lit(""), F.lit(""))
-    rows = i.select(F.col("l_orderkey").alias("case_id"), F.lit("t").alias("table"), F.posexplode(F.array(head, more)).alias("k", "cells"), "l_linenumber", "l_partkey", "l_quantity").select("case_id", "table", (((F.col("l_linenumber") * 10000000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("int")) * 2 + F.col("k")).alias("row"), "cells")
+    rows = i.select(F.col("l_orderkey").alias("case_id"), F.lit("t").alias("table"), F.posexplode(F.array(head, more)).alias("k", "cells"), "l_linenumber", "l_partkey", "l_quantity").select("case_id", "table", F.struct("l_linenumber", "l_partkey", "l_quantity", "k").alias("row"), "cells")
     return cases.table_items(rows).select("case_id", "line_id", "name", "quantity", "required_specs")
 
 
