@@ -186,6 +186,23 @@ def card_clusters(df: DataFrame, title: str = "title", deadline: str = "deadline
     return rows.withColumn("cluster", F.coalesce("_fitted", seq)).select(*df.columns, "cluster")
 
 
+def card_links(df: DataFrame, title: str = "title", deadline: str = "deadline", price: str = "price", region: str = "region", source: str = "source", seq: str = "seq") -> DataFrame:
+    """Adds cluster: the least seq of a row and of all rows of other sources with its title, deadline date and region and a price within one unit.
+
+    Each row is compared with the others themselves, so that links don't carry over: unlike
+    card_clusters, two rows with one link in common need not have one cluster. Rows of one
+    card, source and price count as one, and meet those of their own and the next price cells.
+    """
+    card = ["_title", "_day", "_region", "_source", "_price"]
+    rows = df.withColumns({"_title": F.nullif(title_key(title), F.lit("")), "_day": F.to_date(deadline), "_region": F.col(region), "_source": normalize(source), "_price": F.col(price)})
+    points = rows.where(" and ".join(f"{c} is not null" for c in card)).groupBy(*card).agg(F.min(seq).alias("_seq"))
+    points = points.withColumn("_cell", F.floor("_price"))
+    near = points.select("_title", "_day", "_region", F.col("_source").alias("_s"), F.col("_price").alias("_p"), F.col("_seq").alias("_other"), F.explode(F.array(*[F.col("_cell") + k for k in (-1, 0, 1)])).alias("_cell"))
+    linked = points.join(near, ["_title", "_day", "_region", "_cell"]).where((F.col("_source") != F.col("_s")) & (F.abs(F.col("_price") - F.col("_p")) < 1.0))
+    least = linked.groupBy(*card).agg(F.min("_other").alias("_least"))
+    return rows.join(least, card, "left").withColumn("cluster", F.least(seq, "_least")).select(*df.columns, "cluster")
+
+
 def merge_clusters(df: DataFrame, cluster: str, rank: str, filled: Sequence[str], largest: Sequence[str] = (), joined: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """One row per cluster: that of the highest rank (ties: the earliest).
 
