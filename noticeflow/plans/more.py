@@ -144,7 +144,8 @@ def jn_requirements(spark, sf):
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % (len(_ASKED) + 1)
     lines = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
     asked = F.coalesce(*[F.when(kind == k, F.replace(F.replace(F.lit(said), F.lit("{name}"), F.col("p_name")), F.lit("{brand}"), F.lit("Brand#4"))) for k, (said, _) in enumerate(_ASKED)], F.lit(" ; "))
-    lines = lines.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("line_id"), F.col("l_partkey").alias("product_id"), asked.alias("required_specs")).distinct()
+    # with part keys of seven digits lines of different products share a line_id: their requirements stay apart
+    lines = lines.select(F.struct(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("line_id"), F.col("l_partkey").alias("product_id")).alias("line"), F.col("l_partkey").alias("product_id"), asked.alias("required_specs")).distinct()
     part = spark.table("part").withColumn("product_id", F.col("p_partkey"))
     text = F.concat_ws(
         ". ", F.concat(F.lit("Ресурс печати "), F.col("p_partkey") % 9, F.lit(" тыс. страниц")), F.when(F.col("p_partkey") % 3 == 0, "подходит к HP 2035n, lx 1"), F.when(F.col("p_partkey") % 4 == 0, "XQ77"),
@@ -154,8 +155,9 @@ def jn_requirements(spark, sf):
     none = F.lit(None).cast("double")
     size = F.concat(F.col("p_size").cast("string"), F.lit(" см"))
     attributes = rows(0, "Размер корпуса", size, none, None).union(rows(1, "Цена", F.col("p_retailprice").cast("string"), F.col("p_retailprice"), "руб")).union(rows(2, "Марка", F.col("p_brand"), none, None))
-    req = requirements.parse_requirements(lines, ["line_id"])
-    return requirements.compliance(requirements.check_requirements(req, attributes, lines, texts=part.select("product_id", F.lit("").alias("title"), text.alias("text"))))
+    req = requirements.parse_requirements(lines, ["line"])
+    out = requirements.compliance(requirements.check_requirements(req, attributes, lines, "line", texts=part.select("product_id", F.lit("").alias("title"), text.alias("text"))), "line")
+    return out.select("line.line_id", "product_id", "passed", "failed", "unknown", "status")
 
 
 @query(
