@@ -550,8 +550,9 @@ def src_procedures(spark, sf):
     o = spark.table("orders").join(lots, k == F.col("l_orderkey")).join(spark.table("customer"), F.col("c_custkey") == F.col("o_custkey"))
     number = F.concat(F.when(k % 4 == 0, "<s:remoteId>").otherwise("<s:registryNumber>"), k.cast("string"), F.when(k % 4 == 0, "</s:remoteId>").otherwise("</s:registryNumber>"))
     one = F.concat(F.lit("<s:procedure>"), F.when(k % 3 != 0, F.concat(F.lit("<s:title>all "), k.cast("string"), F.lit("</s:title>"))).otherwise(""), number, F.lit("<s:currency>"), F.when(k % 2 == 0, "RUB").otherwise("USD"), F.lit("</s:currency><s:organizer><s:fullName>"), F.col("c_name"), F.lit("</s:fullName></s:organizer><s:lots>"), "lots", F.lit("</s:lots></s:procedure>"))
-    answers = o.groupBy(F.pmod(k, F.lit(64)).alias("file")).agg(F.concat(F.lit('<e:Envelope xmlns:e="u" xmlns:s="v"><e:Body>'), F.array_join(F.collect_list(one), ""), F.lit("</e:Body></e:Envelope>")).alias("xml"))
-    out, _ = payloads.read_procedures(answers.select(F.col("file").cast("string").alias("file"), "xml"))
+    # the number of answers grows with the orders, not their length
+    answers = o.groupBy(F.concat_ws("/", F.pmod(k, F.lit(64)), F.expr("o_orderkey div 20000")).alias("file")).agg(F.concat(F.lit('<e:Envelope xmlns:e="u" xmlns:s="v"><e:Body>'), F.array_join(F.collect_list(one), ""), F.lit("</e:Body></e:Envelope>")).alias("xml"))
+    out, _ = payloads.read_procedures(answers)
     return out.select("unique_key", "title", F.round("price", 2).alias("price"), F.col("lots").cast("long").alias("lots"), "customer")
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from xml.etree.ElementTree import Element, TreeBuilder
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,47 @@ class XmlRules:
     source: str = "xml"
 
 
-def _tag(xml: Column, name: str) -> Column:
-    return F.expr(f"trim(xpath_string(_xml, \"string((//*[local-name()='{name}'])[1])\"))")
+def _tree(xml: str) -> Element:
+    """The root element; names keep their prefixes, which needn't be declared."""
+    build, parser = TreeBuilder(), expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = build.start, build.end, build.data
+    parser.Parse(xml, True)
+    return build.close()
+
+
+def _tags(xml: Column, names: Sequence[str]) -> Column:
+    """The whole text of the first element of each local name, empty without one. A text is parsed once for all names."""
+
+    @F.pandas_udf("array<string>")
+    def first(texts: pd.Series) -> pd.Series:
+        def of(text):
+            if text is None:
+                return None
+            found: dict = {}
+            for e in _tree(text).iter():
+                found.setdefault(e.tag.rpartition(":")[2], e)
+            return ["".join(found[n].itertext()) if n in found else "" for n in names]
+
+        return texts.map(of)
+
+    # else a filter on the values parses once more
+    return first.asNondeterministic()(xml)
+
+
+def _paths(xml: Column, firsts: Sequence[str], every: Sequence[str]) -> Column:
+    """Per path below the root: the whole text of the first element, then of `every` path all texts that aren't empty. Parsed once for all paths."""
+
+    @F.pandas_udf("array<array<string>>")
+    def values(texts: pd.Series) -> pd.Series:
+        def of(text):
+            root = _tree(text)
+            own = lambda e: [t for t in (e.text, *(c.tail for c in e)) if t]
+            return [["".join(e.itertext()) for e in root.findall(p)[:1]] for p in firsts] + [[t for e in root.findall(p) for t in own(e)] for p in every]
+
+        return texts.map(of)
+
+    # else a filter on the values parses once more
+    return values.asNondeterministic()(xml)
 
 
 def read_notice_xml(files: DataFrame, rules: XmlRules, xml_col: str = "xml", file_col: str = "file") -> tuple[DataFrame, DataFrame]:
@@ -34,7 +76,9 @@ def read_notice_xml(files: DataFrame, rules: XmlRules, xml_col: str = "xml", fil
     plain = F.regexp_replace(F.regexp_replace(xml_col, r"<(/?)[A-Za-z_][\w.-]*:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"|\s\w+:\w+=\"[^\"]*\"", "")
     pieces = F.regexp_extract_all(plain, F.lit(rf"(?s)<(?:{names})(?:\s[^>]*)?>.*?</(?:{names})>"), F.lit(0))
     rows = files.where(~bad).select(F.col(file_col).alias("file"), F.posexplode(pieces).alias("_pos", "_xml"))
-    found = {f: F.coalesce(*[blank_null(_tag(F.col("_xml"), t)) for t in tags]) for f, tags in rules.fields.items()}
+    tags = sorted({t for ts in rules.fields.values() for t in ts})
+    rows = rows.withColumn("_v", _tags(F.col("_xml"), tags)).drop("_xml")
+    found = {f: F.coalesce(*[blank_null(F.trim(F.get("_v", F.lit(tags.index(t))))) for t in ts]) for f, ts in rules.fields.items()}
     rows = rows.withColumns({f: found.get(f, F.lit(None).cast("string")) for f in ("title", "tender_number", "customer", "price", "deadline", "time", "published_at", "status", "url", "region")})
     from ..operators.dedup import keep_first
 
@@ -88,21 +132,26 @@ def read_procedures(files: DataFrame, source: str = "soap", xml_col: str = "xml"
     bad = F.col(xml_col).rlike(r"(?i)<!(DOCTYPE|ENTITY)")
     plain = F.regexp_replace(F.regexp_replace(xml_col, r"<(/?)[A-Za-z_][\w.-]*:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"|\s\w+:\w+=\"[^\"]*\"", "")
     pieces = F.regexp_extract_all(plain, F.lit(r"(?s)<procedure(?:\s[^>]*)?>.*?</procedure>"), F.lit(0))
-    rows = files.where(~bad).select(F.col(file_col).alias("file"), F.explode(pieces).alias("_xml"))
-    one = lambda path: blank_null(F.trim(F.expr(f"xpath_string(_xml, '{path}')")))
-    every = lambda path: F.expr(f"xpath(_xml, '{path}/text()')")
-    subjects, prices = every("/procedure/lots/lot/subject"), F.array_compact(F.transform(every("/procedure/lots/lot/startPrice"), lambda p: F.translate(p, ",", ".").try_cast("double")))
-    customers = F.filter(every("/procedure/lots/lot/customers/customer/fullName"), lambda c: F.trim(c) != "")
+    # answers are long rows, of which few bytes make many to parse: they are dealt to all tasks
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.where(~bad).repartition(tasks, F.col(file_col)).select(F.explode(pieces).alias("_xml"))
+    firsts = ["title", "registryNumber", "eisRegistryNumber", "remoteId", "url_to_showcase", "organizer/fullName", "currency", "dateEndRegistration", "datePublished"]
+    lists = ["lots/lot/subject", "lots/lot/startPrice", "lots/lot/customers/customer/fullName"]
+    rows = rows.select(_paths(F.col("_xml"), firsts, lists).alias("_v"))
+    every = lambda path: F.get("_v", F.lit([*firsts, *lists].index(path)))
+    one = lambda path: blank_null(F.trim(F.get(every(path), F.lit(0))))
+    subjects, prices = every("lots/lot/subject"), F.array_compact(F.transform(every("lots/lot/startPrice"), lambda p: F.translate(p, ",", ".").try_cast("double")))
+    customers = F.filter(every("lots/lot/customers/customer/fullName"), lambda c: F.trim(c) != "")
     rows = rows.select(
-        F.coalesce(one("/procedure/title"), F.get(F.filter(subjects, lambda s: F.trim(s) != ""), F.lit(0))).alias("title"),
-        F.coalesce(one("/procedure/registryNumber"), one("/procedure/eisRegistryNumber"), one("/procedure/remoteId")).alias("tender_number"),
-        F.coalesce(one("/procedure/url_to_showcase"), F.lit("")).alias("url"),
-        F.coalesce(F.get(customers, F.lit(0)), one("/procedure/organizer/fullName")).alias("customer"),
-        F.when(F.upper(one("/procedure/currency")).isin(*ROUBLES) & (F.size(prices) > 0), F.aggregate(prices, F.lit(0.0), lambda a, p: a + p)).alias("price"),
-        one("/procedure/eisRegistryNumber").alias("official_number"),
-        parse_ts(one("/procedure/dateEndRegistration")).alias("deadline"),
-        parse_ts(one("/procedure/datePublished")).alias("published_at"),
-        F.size(every("/procedure/lots/lot/startPrice")).alias("lots"),
+        F.coalesce(one("title"), F.get(F.filter(subjects, lambda s: F.trim(s) != ""), F.lit(0))).alias("title"),
+        F.coalesce(one("registryNumber"), one("eisRegistryNumber"), one("remoteId")).alias("tender_number"),
+        F.coalesce(one("url_to_showcase"), F.lit("")).alias("url"),
+        F.coalesce(F.get(customers, F.lit(0)), one("organizer/fullName")).alias("customer"),
+        F.when(F.upper(one("currency")).isin(*ROUBLES) & (F.size(prices) > 0), F.aggregate(prices, F.lit(0.0), lambda a, p: a + p)).alias("price"),
+        one("eisRegistryNumber").alias("official_number"),
+        parse_ts(one("dateEndRegistration")).alias("deadline"),
+        parse_ts(one("datePublished")).alias("published_at"),
+        F.size(every("lots/lot/startPrice")).alias("lots"),
     )
     out = rows.where("title is not null and tender_number is not null").withColumns({"source": F.lit(source), "unique_key": unique_key(F.lit(source), "tender_number", "url")})
     return out, files.where(bad).select(file_col, F.lit("doctype").alias("reason"))
@@ -131,11 +180,12 @@ def read_notice_json(payloads: DataFrame, rules: JsonRules, json_col: str = "pay
         parsed = parsed.where(F.col(f"r.{rules.allow[0]}").isin(*rules.allow[1]))
     if rules.xml:
         declared = F.col(f"r.{rules.xml}").rlike(r"(?i)<!(DOCTYPE|ENTITY)")
-        parsed = parsed.withColumn("_xml", F.when(~declared, F.col(f"r.{rules.xml}")))
+        tags = sorted({t for ts in rules.tags.values() for t in ts})
+        parsed = parsed.withColumn("_xml", F.when(~declared, F.col(f"r.{rules.xml}"))).withColumn("_v", _tags(F.col("_xml"), tags))
 
     def text(name: str) -> Column:
         own = [blank_null(F.trim(F.col(f"r.{p}").cast("string"))) for p in rules.fields.get(name, ())]
-        inner = [blank_null(_tag(F.col("_xml"), t)) for t in rules.tags.get(name, ())] if rules.xml else []
+        inner = [blank_null(F.trim(F.get("_v", F.lit(tags.index(t))))) for t in rules.tags.get(name, ())] if rules.xml else []
         return F.coalesce(*own, *inner, F.lit(None).cast("string"))
 
     rows = parsed.select(
