@@ -5,17 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
-from functools import reduce
-from itertools import groupby
-from operator import and_
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.text import normalize
-from .lineage import cut_lineage
 from .match import match_terms
 
 
@@ -153,6 +150,17 @@ def names_differ(a: str, b: str, least: float = 0.8) -> bool:
     return SequenceMatcher(None, a, b).ratio() < least
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; each different string is decoded once."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        found = column.dictionary_encode()
+        known = [*found.dictionary.to_pylist(), None]
+        return [known[k] for k in found.indices.fill_null(-1).to_numpy().tolist()]
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy().tolist()
+    return column.to_pylist()
+
+
 def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: str = "seq", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Items of several documents with one line and quantity as one, and the groups whose names or codes differ.
 
@@ -162,48 +170,58 @@ def reconcile_items(items: DataFrame, keys: Sequence[str] = ("case_id",), seq: s
     place if only it has specs. Only items of one quantity meet, so that each case and
     quantity is replayed by itself, row by row; what it keeps are the items that stand.
     items: keys, line_id, quantity, name, source, required_specs, seq (different numbers in a case).
+    Each of the two tables replays the items when it is read.
     """
-    group = [*keys, "line_id", "quantity"]
+    group, columns = [*keys, "line_id", "quantity"], items.columns
     code = r"\b\d{2}(?:\.\d{2}){2}\.\d{3}\b"
     folded = lambda x: F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    rows = items.select(
-        F.struct(*keys, "quantity").alias("_k"), F.struct("line_id").alias("_l"), F.col(seq).alias("_s"), folded(F.col("name")).alias("_fold"), folded(F.regexp_replace("name", code, " ")).alias("_base"),
-        F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("name", F.lit("")), F.lit(code), F.lit(0)))).alias("_codes"), F.struct("source").alias("_src"), (F.coalesce("required_specs", F.lit("")) != "").alias("_specs"),
-    )
-    kinds = dict(rows.dtypes)
+    codes = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("name", F.lit("")), F.lit(code), F.lit(0))))
+    rows = items.repartition(*keys, "quantity").sortWithinPartitions(*keys, "quantity", seq)
+    rows = rows.select("*", folded(F.col("name")).alias("_fold"), folded(F.regexp_replace("name", code, " ")).alias("_base"), F.array_join(codes, " ").alias("_codes"), (F.coalesce("required_specs", F.lit("")) != "").alias("_specs"))
 
     def replay(batches):
-        def rows_of():
-            for b in batches:
-                yield from b.to_pylist()
-
-        for key, part in groupby(rows_of(), key=lambda r: r["_k"]):
-            standing: dict = {}
-            names: Counter = Counter()
-            for r in part:
-                line, name = r["_l"]["line_id"], (r["_fold"], r["_src"]["source"])
+        differ_ = lru_cache(1 << 16)(partial(names_differ, least=least))
+        current, standing, names = None, {}, Counter()
+
+        def shown(table, at, differ):
+            return pa.RecordBatch.from_arrays([*table.take(pa.array(at, pa.int64())).columns[: len(columns)], pa.array(differ, pa.bool_())], names=[*columns, "_differ"])
+
+        for batch in batches:
+            c = {n: _values(batch.column(n)) for n in {*group, "source", "_fold", "_base", "_codes", "_specs"}}
+            at, differ = [], []
+            # an item that stands: its table and row there, what is compared, and whether the group differs
+            for i, (key, line, name, codes, base, specs) in enumerate(zip(zip(*[c[k] for k in [*keys, "quantity"]], strict=True), c["line_id"], zip(c["_fold"], c["source"], strict=True), c["_codes"], c["_base"], c["_specs"], strict=True)):
+                if key != current:
+                    for x in standing.values():
+                        if x[0] is batch:
+                            at.append(x[1])
+                            differ.append(x[6])
+                        else:
+                            yield shown(x[0], [x[1]], [x[6]])
+                    current, standing, names = key, {}, Counter()
                 old = standing.get(line)
                 if old is None:
                     if not names[name]:
-                        standing[line] = [r, name, False]
+                        standing[line] = [batch, i, name, codes, base, specs, False]
                         names[name] += 1
                     continue
-                codes, others = r["_codes"], old[0]["_codes"]
-                old[2] = old[2] or (codes and others and codes != others) or names_differ(old[0]["_base"], r["_base"], least)
-                if r["_specs"] and not old[0]["_specs"]:
-                    names[old[1]] -= 1
+                old[6] = bool(old[6] or (codes and old[3] and codes != old[3]) or differ_(old[4], base))
+                if specs and not old[5]:
+                    names[old[2]] -= 1
                     names[name] += 1
-                    old[:2] = [r, name]
-            out = [{"_k": key, "_l": {"line_id": line}, "_s": r["_s"], "differ": bool(differ)} for line, (r, _, differ) in standing.items()]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=shape)
-
-    shape = pa.schema([(c, to_arrow_type(rows.schema[c].dataType)) for c in ("_k", "_l", "_s")] + [("differ", pa.bool_())])
-    found = rows.repartition("_k").sortWithinPartitions("_k", "_s").mapInArrow(replay, f"_k {kinds['_k']}, _l {kinds['_l']}, _s {kinds['_s']}, differ boolean")
-    found = cut_lineage(found.select("_k.*", "_l.line_id", F.col("_s").alias(seq), "differ"))
-    marks = found.select(*[F.col(c).alias(f"_{c}") for c in [*group, seq]])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, seq]])
-    return items.join(marks, same, "left_semi"), found.where("differ").select(*group).distinct()
+                    old[:6] = [batch, i, name, codes, base, specs]
+            if at:
+                yield shown(batch, at, differ)
+            # of a group that goes on, only its rows are kept
+            last = [x for x in standing.values() if x[0] is batch]
+            held = batch.take(pa.array([x[1] for x in last], pa.int64()))
+            for k, x in enumerate(last):
+                x[:2] = [held, k]
+        for x in standing.values():
+            yield shown(x[0], [x[1]], [x[6]])
+
+    found = rows.mapInArrow(replay, StructType([*items.schema.fields, StructField("_differ", BooleanType())]))
+    return found.drop("_differ"), found.where("_differ").select(*group)
 
 
 def promote_items(cases: DataFrame, items: DataFrame, candidates: DataFrame, prices: DataFrame, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
