@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_of, normalize, search_tokens, snippet
 from .contain import contained
-from .lineage import cut_lineage
+from .lineage import stored
 
 #: What an occurrence of the whole phrase counts.
 PHRASE = 100
@@ -17,28 +17,42 @@ PHRASE = 100
 
 def document_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """Postings word, id, n of the texts' words between blanks. Written once, they serve any number of searches."""
+    return _counted(_words(docs, id_col, text_col, path_col))
+
+
+def _words(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     words = F.split(_searched(text_col, path_col), " ")
-    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).where("word <> ''").groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).where("word <> ''")
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _searched(text_col: str, path_col: str | None) -> Column:
     return normalize(F.concat_ws(" ", *([F.col(path_col)] if path_col else []), F.col(text_col)))
 
 
-def _postings(index: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+def _postings(index: DataFrame | None, words: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Postings list, id, value: `t:` lists count a token's occurrences, `p:` lists PHRASE for each of a phrase.
 
     What has no blank stands within words, so that the index's words tell its occurrences.
     A phrase of several words is looked for in the texts that have its rarest word; the
-    first of its words ends a word of the text, and the last begins one.
+    first of its words ends a word of the text, and the last begins one. Without an index
+    only the words in which something asked for stands are counted.
     """
     tokens = queries.select(F.explode("_qt").alias("s")).distinct()
     phrases = queries.select(F.col("_q").alias("phrase")).distinct()
     parts = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("nth", "s"), (F.size(F.split("phrase", " ")) - 1).alias("last"))
-    inside = cut_lineage(contained(index.select("word").distinct(), tokens.union(parts.select("s")), "word", "word", "s"))
+    # read several times for each class of strings
+    vocabulary = stored((words if index is None else index).select("word").distinct())
+    inside = stored(contained(vocabulary, tokens.union(parts.select("s")), "word", "word", "s"))
+    if index is None:
+        index = stored(_counted(words.join(inside.select("word").distinct(), "word")))
     times = count_of(F.col("word"), F.col("s"))
-    counts = lambda wanted: index.join(inside.join(wanted.select("s").distinct(), "s").withColumn("times", times), "word").groupBy("s", "id").agg(F.sum(F.col("n") * F.col("times")).alias("value"))
-    single = counts(parts.where("last = 0"))
+    # a token and a phrase of one word may be the same string, which is counted once
+    asked = tokens.withColumn("kind", F.lit("t:")).union(parts.where("last = 0").select("s", F.lit("p:").alias("kind"))).distinct()
+    counts = index.join(inside.join(asked.select("s").distinct(), "s").withColumn("times", times), "word").groupBy("s", "id").agg(F.sum(F.col("n") * F.col("times")).alias("value")).join(asked, "s")
 
     fits = F.when(F.col("nth") == 0, F.endswith("word", F.col("s"))).when(F.col("nth") == F.col("last"), F.startswith("word", F.col("s"))).otherwise(F.col("word") == F.col("s"))
     usable = parts.where("last > 0").join(inside, "s").where(fits)
@@ -46,8 +60,8 @@ def _postings(index: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFra
     rarest = usable.join(holding, "word").groupBy("phrase", "nth").agg(F.sum("texts").alias("texts")).groupBy("phrase").agg(F.min_by("nth", F.struct("texts", "nth")).alias("nth"))
     held = usable.join(rarest, ["phrase", "nth"]).join(index, "word").select("phrase", "id").distinct()
     found = held.join(texts, "id").select(F.col("phrase").alias("s"), "id", count_of(F.col("_all"), F.col("phrase")).alias("value")).where("value > 0")
-    named = lambda kind, rows, by: rows.select(F.concat(F.lit(kind), "s").alias("list"), "id", (F.col("value") * by).alias("value"))
-    return named("t:", counts(tokens), 1).union(named("p:", single, PHRASE)).union(named("p:", found, PHRASE))
+    named = lambda rows: rows.select(F.concat("kind", "s").alias("list"), "id", (F.col("value") * F.when(F.col("kind") == "p:", PHRASE).otherwise(1)).alias("value"))
+    return named(counts).union(named(found.withColumn("kind", F.lit("p:"))))
 
 
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -56,13 +70,15 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: s
     A query's score is a sum over lists of postings, one for each token and one for the
     phrase. The k best are found in three steps: the sum over the lists' own k best gives
     a score that the k-th best reaches; a text that reaches it has at least an equal share
-    of it in some list; and only such texts are scored in full. The ids of docs are unique.
+    of it in some list; and only such texts are scored in full. Equal queries are searched
+    once. The ids of docs are unique.
     """
-    q = queries.select("query_id", normalize("query").alias("_q")).withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0)
-    index = cut_lineage(document_index(docs, id_col, text_col, path_col)) if index is None else index
+    asked = queries.select("query_id", normalize("query").alias("_q"))
+    # a query's text stands for its number until the end
+    q = asked.select(F.col("_q").alias("query_id"), "_q").distinct().withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0)
     tie = F.col(path_col or id_col).alias("_tie")
     texts = docs.select(F.col(id_col).alias("id"), _searched(text_col, path_col).alias("_all"))
-    posts = cut_lineage(_postings(index, q, texts))
+    posts = stored(_postings(index, _words(docs, id_col, text_col, path_col), q, texts))
     lists = q.select("query_id", F.explode(F.concat(F.transform("_qt", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("p:"), "_q")))).alias("list"), (F.size("_qt") + 1).alias("_m"))
 
     nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
@@ -75,8 +91,9 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: s
     scored = some.join(lists, "query_id").join(posts, ["list", "id"]).groupBy("query_id", "id").agg(F.sum("value").alias("score"))
     scored = scored if path_col is None else scored.join(docs.select(F.col(id_col).alias("id"), tie), "id")
     ranked = scored.withColumn("rank", nth("query_id", F.desc("score"), "_tie" if path_col else "id")).where(F.col("rank") <= k)
-    out = ranked.join(q.select("query_id", "_qt"), "query_id").join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
-    return out.select("query_id", F.col("id").alias(id_col), "score", "rank", snippet("_text", F.col("_qt")).alias("snippet"))
+    shown = ranked.withColumn("_qt", search_tokens("query_id")).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
+    out = shown.select(F.col("query_id").alias("_q"), "id", "score", "rank", snippet("_text", F.col("_qt")).alias("snippet")).join(asked, "_q")
+    return out.select("query_id", F.col("id").alias(id_col), "score", "rank", "snippet")
 
 
 def search_notices(register: DataFrame, queries: DataFrame, fields: Sequence[str], k: int = 20, recent: int = 5000, key: str = "unique_key", title: str = "title", seen: str = "last_seen_at", deadline: str = "deadline") -> DataFrame:
