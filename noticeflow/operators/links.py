@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.ids import blank_null, host, law_for_number
 from ..functions.text import normalize, quoted, search_tokens
 from .contain import contained
+from .lineage import stored
+
+#: Notices of one title that one task pairs with its documents.
+SHARE = 2000
 
 
 def direct_links(df: DataFrame, registries: Sequence[str], platforms: Sequence[str], mixed: Sequence[str], registry_host: str, registry_name: str) -> DataFrame:
@@ -102,9 +106,22 @@ def apply_evidence(notices: DataFrame, evidence: DataFrame, key: str = "unique_k
     n = notices.select(key, normalize("tender_number").alias("_num"), normalize("title").alias("_title"))
     d = evidence.select("doc_id", normalize("text").alias("_text"))
     tokens = d.select("doc_id", F.explode(search_tokens("_text")).alias("_num"))
-    by_number = n.where("_num <> ''").join(tokens, "_num").select(key, "doc_id")
-    found = contained(d, n, "doc_id", "_text", "_title")
-    return by_number.union(n.join(found, "_title").select(key, "doc_id")).distinct()
+    found = stored(contained(d, n, "doc_id", "_text", "_title"))
+    # a key's number and titles give a pair once each: pairs by number that a title gives go, and keys of several titles are made distinct
+    titled = n.select(key, "_title").where("_title <> ''").distinct()
+    by_number = n.select(key, "_num").where("_num <> ''").distinct().join(tokens, "_num").select(key, "doc_id").distinct()
+    here, there = F.col(key).eqNullSafe(F.col("_key")), titled.withColumnRenamed(key, "_key")
+    twice = by_number.join(there, here).join(found, ["doc_id", "_title"]).select("_key", F.col("doc_id").alias("_doc")).distinct()
+    by_number = by_number.join(twice, here & (F.col("doc_id") == F.col("_doc")), "left_anti")
+    titles = titled.groupBy(key).agg(F.collect_list("_title").alias("_titles"))
+    several = titles.where(F.size("_titles") > 1).select(key, F.explode("_titles").alias("_title")).join(found, "_title").select(key, "doc_id").distinct()
+    single = titles.where(F.size("_titles") == 1).select(key, F.col("_titles")[0].alias("_title"))
+    # a title of many notices is dealt to many tasks, each with its documents
+    shares = single.groupBy("_title").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares")).where("_shares > 1")
+    share = F.pmod(F.xxhash64(key), F.coalesce("_shares", F.lit(1))).cast("int")
+    one = single.join(shares, "_title", "left").select(key, "_title", share.alias("_share"))
+    dealt = found.join(shares, "_title", "left").select("_title", "doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("_share"))
+    return one.join(dealt, ["_title", "_share"]).select(key, "doc_id").union(several).union(by_number)
 
 
 def enrich(notices: DataFrame, pairs: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
