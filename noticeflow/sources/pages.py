@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import unique_key
 from ..functions.text import normalize, parse_price, parse_ts
 
+#: Rows of pages that are gathered before they go on.
+ROWS = 1024
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -87,13 +90,22 @@ def _mapped(pages: DataFrame, columns: str, names: Sequence[str], cut, id_col: s
     kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in f"page_id {kind}, {columns}".split(", "))])
 
+    def made(rows_: list) -> pa.RecordBatch:
+        columns_ = list(zip(*rows_, strict=True)) or [[]] * (len(names) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns_, schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]):
+        out = []
         for batch in batches:
-            out = []
-            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(page, *row) for row in cut(url or "", html)]
-            columns_ = list(zip(*out, strict=True)) or [[]] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns_, schema, strict=True)], schema=schema)
+            # one page at a time is text of Python, and rows go on before many are gathered
+            for n in range(batch.num_rows):
+                page, url, html = (c[n].as_py() for c in batch.columns)
+                for row in cut(url or "", html):
+                    out.append((page, *row))
+                    if len(out) == ROWS:
+                        yield made(out)
+                        out = []
+        yield made(out)
 
     return rows.mapInArrow(run, f"page_id {kind}, {columns}")
 
