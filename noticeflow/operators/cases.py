@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.text import normalize
+from .lineage import stored
 from .match import match_terms
 
 
@@ -43,7 +44,8 @@ def active_rows(df: DataFrame, keys: Sequence[str], flag: str = "active", order:
 def document_evidence(docs: DataFrame, dictionary: DataFrame, stops: DataFrame, region: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: terms (in the dictionary's order), stop terms and region that it holds."""
     t = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    pairs = match_terms(t, dictionary.select("term").union(stops.select("term")).distinct(), id_col, "_text")
+    # read for the dictionary and for the stop terms
+    pairs = stored(match_terms(t, dictionary.select("term").union(stops.select("term")).distinct(), id_col, "_text"))
     ranked = lambda table, o, name: pairs.join(table.select(normalize("term").alias("term"), F.col(o).alias("_o")).groupBy("term").agg(F.min("_o").alias("_o")), "term").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_set(F.struct("_o", "term"))), lambda x: x["term"]).alias(name))
     out = docs.withColumn("region", region).select(id_col, "region").join(ranked(dictionary, "term_ord", "terms"), id_col, "left").join(ranked(stops, "ord", "stop_terms"), id_col, "left")
     none = F.array().cast("array<string>")

@@ -1,8 +1,8 @@
-"""Terms of a dictionary in texts, by key joins.
+"""Terms of a dictionary in texts, by keys.
 
 Every word start of a text gives a key of up to four characters; a term is looked
 up by the key of the place that must be a word start, and each candidate pair is
-verified. No term is compared with every text.
+verified. No term is compared with every text, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -78,11 +78,12 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "id", text_col
     """
     t = texts.select(F.col(id_col).alias("_id"), normalize(text_col).alias("_text"), normalize(title_col or text_col).alias("_title"))
     rules = dictionary_terms(terms, term_col, blocked_col, stop_words)
-    # only ids and keys are exploded; a text meets its candidates once
+    # a text looks its keys up in the whole rule table, which goes to every task as one row
     keys = word_keys(F.col("_text")) if title_col is None else F.array_distinct(F.concat(word_keys(F.col("_text")), word_keys(F.col("_title"))))
-    found = t.select("_id", F.explode(keys).alias("key")).join(rules.withColumn("key", F.explode("keys")).drop("keys"), "key")
-    found = found.groupBy("_id").agg(F.collect_set(F.struct("term", "phrase", "blocked", "bare", "parts")).alias("_found"))
-    both = t.join(found, "_id")
+    by_key = rules.select(F.explode("keys").alias("key"), F.struct("term", "phrase", "blocked", "bare", "parts").alias("rule")).groupBy("key").agg(F.collect_list("rule").alias("rules"))
+    table = by_key.agg(F.map_from_entries(F.collect_list(F.struct("key", "rules"))).alias("_rules"))
+    found = F.array_distinct(F.flatten(F.transform(F.array_intersect(keys, F.map_keys("_rules")), lambda k: F.try_element_at("_rules", k))))
+    both = t.where("_id is not null").crossJoin(F.broadcast(table)).select("_id", "_text", "_title", found.alias("_found"))
 
     def verified(c):
         word = _word_hit(F.col("_title"), c["term"], c["bare"], c["blocked"])
