@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .text import BLANKS
+from .text import BLANKS, shape
 
 #: name, parameters, result and body; later bodies use earlier functions.
 FUNCTIONS = (
@@ -27,7 +27,7 @@ FUNCTIONS = (
     ),
     (
         "nf_time", "x STRING", "TIMESTAMP",
-        "coalesce(" + ", ".join(f"try_to_timestamp(trim(coalesce(x, '')), '{f}')" for f in ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"))
+        "coalesce(" + ", ".join(f"CASE WHEN trim(coalesce(x, '')) RLIKE r'{shape(f)}' THEN try_to_timestamp(trim(coalesce(x, '')), '{f}') END" for f in ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"))
         + r", CASE WHEN trim(coalesce(x, '')) RLIKE r'^\d{4}-\d{2}-\d{2}T' THEN try_cast(regexp_replace(trim(coalesce(x, '')), r'(Z|[+-]\d{2}:?\d{2})$', '') AS TIMESTAMP) END)",
     ),
 )

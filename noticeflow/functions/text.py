@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def normalize(x: Column | str) -> Column:
     """Lower case, single blanks, `ё` as `е`; null gives an empty string."""
     plain = F.translate(F.coalesce(col(x), F.lit("")), BLANKS + "ёЁ", " " * len(BLANKS) + "еЕ")
@@ -40,25 +46,42 @@ def stems(tokens: Column) -> Column:
 
 def parse_price(x: Column | str, require_currency: bool = True) -> Column:
     """Roubles as a number: comma is the decimal point where there is one; millions and thousands are multiplied out."""
-    t = normalize(x)
     # runs of digits, blanks and separators, from a digit to a digit; a single digit is no price
-    runs = F.transform(F.regexp_extract_all(t, F.lit(r"[0-9][0-9\s.,]*"), F.lit(0)), lambda r: F.rtrim(r, F.lit(" .,")))
-    found = F.coalesce(F.get(F.filter(runs, lambda r: F.length(r) > 1), F.lit(0)), F.lit(""))
-    parts = F.split(F.translate(found, " ", ""), ",")
-    number = F.when(F.size(parts) > 1, F.array_join(F.transform(parts, lambda p: F.translate(p, ".", "")), ".")).otherwise(parts[0])
-    tail = F.substring(t, F.instr(t, found) + F.length(found), F.length(t))
-    times = F.when(tail.rlike(r"^\s*млн"), 1_000_000.0).when(tail.rlike(r"^\s*тыс"), 1_000.0).otherwise(1.0)
-    foreign = F.contains(t, F.lit("$")) | F.contains(t, F.lit("usd")) | F.contains(t, F.lit("без указания цены"))
-    rouble = F.contains(t, F.lit("₽")) | F.contains(t, F.lit("руб"))
-    return F.when((found != "") & ~foreign & (rouble if require_currency else F.lit(True)), number.try_cast("double") * times)
+    runs = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"[0-9][0-9\s.,]*"), F.lit(0)), lambda r: F.rtrim(r, F.lit(" .,")))
+    first = lambda t: F.coalesce(F.get(F.filter(runs(t), lambda r: F.length(r) > 1), F.lit(0)), F.lit(""))
+
+    def value(t: Column, found: Column) -> Column:
+        parts = F.split(F.translate(found, " ", ""), ",")
+        number = F.when(F.size(parts) > 1, F.array_join(F.transform(parts, lambda p: F.translate(p, ".", "")), ".")).otherwise(parts[0])
+        tail = F.substring(t, F.instr(t, found) + F.length(found), F.length(t))
+        times = F.when(tail.rlike(r"^\s*млн"), 1_000_000.0).when(tail.rlike(r"^\s*тыс"), 1_000.0).otherwise(1.0)
+        foreign = F.contains(t, F.lit("$")) | F.contains(t, F.lit("usd")) | F.contains(t, F.lit("без указания цены"))
+        rouble = F.contains(t, F.lit("₽")) | F.contains(t, F.lit("руб"))
+        return F.when((found != "") & ~foreign & (rouble if require_currency else F.lit(True)), number.try_cast("double") * times)
+
+    return once(normalize(x), lambda t: once(first(t), lambda found: value(t, found)))
+
+
+def shape(form: str) -> str | None:
+    """What every text of a format of plain numbers begins with; none for formats with names or optional parts."""
+    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]", form)
+    if any(p[0] not in "yMdHms" or p[0] == "M" and len(p) > 2 for p in parts if p.isalpha()) or re.search(r"['\[\]{}#]", form):
+        return None
+    return "^" + "".join(r"[+-]?\d+" if p.isalpha() else re.escape(p) for p in parts)
 
 
 def parse_ts(x: Column | str, formats: Sequence[str] = ("dd.MM.yyyy HH:mm", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")) -> Column:
-    """The first of the formats that fits, else an ISO time whose zone is cut off."""
-    t = F.trim(F.coalesce(col(x), F.lit("")))
-    iso = F.regexp_replace(t, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    tried = [F.try_to_timestamp(t, F.lit(f)) for f in formats]
-    return F.coalesce(*tried, F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}T"), iso.try_cast("timestamp")))
+    """The first of the formats that fits, else an ISO time whose zone is cut off.
+
+    Only formats whose shape the text has are tried: a try that fails costs many times one that doesn't.
+    """
+
+    def value(t: Column) -> Column:
+        iso = F.regexp_replace(t, r"(Z|[+-]\d{2}:?\d{2})$", "")
+        tried = [F.when(t.rlike(shape(f)), F.try_to_timestamp(t, F.lit(f))) if shape(f) else F.try_to_timestamp(t, F.lit(f)) for f in formats]
+        return F.coalesce(*tried, F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T"), iso.try_cast("timestamp")))
+
+    return once(F.trim(F.coalesce(col(x), F.lit(""))), value)
 
 
 #: Names of months in the genitive.

@@ -532,7 +532,8 @@ def src_rss(spark, sf):
     said = F.concat(F.lit("<p>Номер: "), "tender_number", F.lit("</p><br/>Организатор: "), "customer", F.lit("<br>Регион: "), "region", F.lit("<br>Цена: "), F.format_string("%.2f", "price"), F.lit(" руб.<br>Окончание: "), F.date_format("deadline", "dd.MM.yyyy"))
     link = F.concat(F.lit("http://x/"), F.col("seq").cast("string"), F.lit("?a=1&amp;b=2"))
     item = F.concat(F.lit("<item><title><![CDATA["), "title", F.lit("]]></title>"), F.when(F.col("seq") % 4 == 0, F.concat(F.lit("<guid>"), link, F.lit("</guid>"))).otherwise(F.concat(F.lit("<link>"), link, F.lit("</link>"))), F.lit("<description>"), F.replace(F.replace(said, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</description><pubDate>Mon, "), F.date_format("discovered_at", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
-    feeds = n.groupBy("region", F.col("seq") % 30).agg(F.concat(F.lit("<rss><channel><title>all</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml")).select(F.lit("f").alias("file"), "xml")
+    # the number of feeds grows with the notices, not their length
+    feeds = n.groupBy("region", F.col("seq") % 30, F.expr("seq div 80000")).agg(F.concat(F.lit("<rss><channel><title>all</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml")).select(F.lit("f").alias("file"), "xml")
     labels = {"tender_number": ["Номер"], "customer": ["Организатор", "Заказчик"], "region": ["Регион поставки", "Регион"], "price": ["Цена"], "deadline": ["Окончание"]}
     out, _ = payloads.read_rss(feeds, labels)
     return out.select("unique_key", "title", "url", F.coalesce("customer", F.lit("")).alias("customer"), "region", F.round("price", 2).alias("price"), F.date_format("deadline", "yyyy-MM-dd").alias("deadline"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))

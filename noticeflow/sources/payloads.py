@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import blank_null, unique_key
-from ..functions.text import parse_price, parse_ts
+from ..functions.text import once, parse_price, parse_ts
 
 
 @dataclass(frozen=True)
@@ -106,15 +106,20 @@ def read_rss(files: DataFrame, labels: Mapping[str, Sequence[str]], source: str
     """
     bad = F.col(xml_col).rlike(r"(?i)<!(DOCTYPE|ENTITY)")
     items = F.regexp_extract_all(xml_col, F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))
-    rows = files.where(~bad).select(F.col(file_col).alias("file"), F.posexplode(items).alias("pos", "_item"))
-    tag = lambda name: blank_null(F.trim(_inner_text(F.regexp_extract("_item", rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1))))
-    lines = F.regexp_replace(F.regexp_replace(F.coalesce(tag("description"), F.lit("")), r"(?i)<(?:br|/p|/div|/li)\s*/?>", "\n"), r"(?s)<[^>]*>", "")
-    rows = rows.select("file", "pos", tag("title").alias("title"), F.coalesce(tag("link"), tag("guid")).alias("url"), tag("pubDate").alias("_published"), lines.alias("_lines"))
-    value = lambda name: F.coalesce(*[blank_null(F.trim(F.regexp_extract("_lines", rf"(?iU)(?:^|\n)\s*{label}\s*:\s*([^\n]*)", 1))) for label in labels[name]]) if name in labels else F.lit(None).cast("string")
-    published = F.try_to_timestamp(F.regexp_replace("_published", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
-    out = rows.where("title is not null and url is not null").select(
-        "title", "url", F.lit(source).alias("source"), value("tender_number").alias("tender_number"), value("customer").alias("customer"), value("region").alias("region"), parse_price(value("price"), False).alias("price"),
-        parse_ts(value("deadline")).alias("deadline"), published.alias("published_at"), F.trim(F.regexp_replace(F.concat_ws(" ", "title", "_lines"), r"(?U)\s+", " ")).alias("raw_text"), unique_key(F.lit(source), value("tender_number"), "url").alias("unique_key"),
+    tag = lambda item, name: once(F.trim(_inner_text(F.regexp_extract(item, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1))), blank_null)
+    plain = lambda item: F.regexp_replace(F.regexp_replace(F.coalesce(tag(item, "description"), F.lit("")), r"(?i)<(?:br|/p|/div|/li)\s*/?>", "\n"), r"(?s)<[^>]*>", "")
+    # taken from the item before items become rows, and without a filter that Spark derives for inner rows: else they are taken several times
+    parsed = F.transform(items, lambda i: F.struct(tag(i, "title").alias("title"), F.coalesce(tag(i, "link"), tag(i, "guid")).alias("url"), tag(i, "pubDate").alias("_published"), plain(i).alias("_lines")))
+    rows = files.where(~bad).select(F.inline_outer(parsed)).where("title is not null and url is not null")
+
+    def value(name: str) -> Column:
+        found = [once(F.trim(F.regexp_extract("_lines", rf"(?iU)(?:^|\n)\s*{label}\s*:\s*([^\n]*)", 1)), blank_null) for label in labels.get(name, ())]
+        return F.coalesce(*found, F.lit(None).cast("string"))
+
+    rows = rows.select("title", "url", "_lines", *[value(n).alias(n) for n in ("tender_number", "customer", "region", "price", "deadline")], F.try_to_timestamp(F.regexp_replace("_published", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"))
+    out = rows.select(
+        "title", "url", F.lit(source).alias("source"), "tender_number", "customer", "region", parse_price("price", False).alias("price"), parse_ts("deadline").alias("deadline"), "published_at",
+        F.trim(F.regexp_replace(F.concat_ws(" ", "title", "_lines"), r"(?U)\s+", " ")).alias("raw_text"), unique_key(F.lit(source), "tender_number", "url").alias("unique_key"),
     )
     return out, files.where(bad).select(file_col, F.lit("doctype").alias("reason"))
 
