@@ -519,7 +519,9 @@ def src_labels(spark, sf):
     k, s = F.col("c_custkey"), lambda c: F.col(c).cast("string")
     row = lambda a, b: F.concat(F.lit("<tr><td>"), a, F.lit("</td><td>"), b, F.lit("</td></tr>"))
     html = F.concat(F.lit("<table>"), row(F.lit("Заказчик:"), F.col("c_name")), row(F.lit("Место"), F.when(k % 3 == 0, "информация отсутствует").otherwise(F.concat(F.lit("first "), s("c_custkey")))), row(F.lit("Адрес"), F.concat(F.lit("second "), s("c_custkey"))), F.lit("</table><dl><dt>Телефон</dt><dd>"), F.when(k % 4 != 0, s("c_nationkey")).otherwise(""), F.lit("</dd></dl>"))
-    p = spark.table("customer").select(k.alias("page_id"), F.lit("http://x").alias("url"), html.alias("html"))
+    # a file of few bytes makes many pages: its rows are dealt to all tasks before pages are made of them
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = spark.table("customer").select("c_custkey", "c_name", "c_nationkey").repartition(tasks, "c_custkey").select(k.alias("page_id"), F.lit("http://x").alias("url"), html.alias("html"))
     return pages.extract_label_values(p, {"customer": ["Заказчик"], "place": ["Место", "Адрес"], "phone": ["Телефон"]}).select("page_id", "customer", "place", "phone")
 
 
