@@ -94,8 +94,9 @@ def read_cell_grid(grid: DataFrame, roles: Mapping[str, Sequence[str]], required
     full = have.where(F.size(F.array_intersect("_roles", F.array(*[F.lit(r) for r in required]))) == len(required))
     heads = full.groupBy(*keys).agg(F.min("row").alias("_head"))
     columns = tagged.join(heads, list(keys)).where("row = _head").groupBy(*keys, "_role", "_head").agg(F.min("col").alias("_col"))
-    cells = grid.join(columns.withColumnRenamed("_col", "col"), [*keys, "col"]).where("row > _head")
-    return cells.groupBy(*keys, "row").pivot("_role", list(roles)).agg(F.first("value"))
+    # a row per sheet and role goes to the cells: sheets and columns are few, and as keys of a shuffle they'd part the cells unevenly
+    cells = grid.join(F.broadcast(columns.withColumnRenamed("_col", "col")), [*keys, "col"]).where("row > _head")
+    return cells.groupBy(*keys, "row").agg(*[F.first(F.when(F.col("_role") == r, F.col("value")), ignorenulls=True).alias(r) for r in roles])
 
 
 #: Characters of bytes 128 to 255 in the Windows Cyrillic code page, ISO order on the other side.
