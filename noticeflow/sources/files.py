@@ -54,13 +54,14 @@ def read_delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequenc
     import- and the slug of its name or the file's; without a description the text is all
     known values of the row.
     """
+    # one row per file: it goes to the records, whose few files would else be the keys of a shuffle
     heads = cut_lineage(_headers(spark, path))
     kinds = heads.groupBy("_sep").agg(F.max(F.size("_names")).alias("width")).collect()  # one row per delimiter
     parts = []
     for kind in kinds or [{"_sep": ";", "width": 1}]:
         names = [f"c{k}" for k in range(kind["width"])]
         records = spark.read.options(sep=kind["_sep"], header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8").schema(", ".join(f"{c} string" for c in names)).csv(path)
-        parts.append(records.select(F.array(*names).alias("_cells"), _file_name().alias("file"), F.monotonically_increasing_id().alias("_n")).join(heads.where(F.col("_sep") == kind["_sep"]), "file"))
+        parts.append(records.select(F.array(*names).alias("_cells"), _file_name().alias("file"), F.monotonically_increasing_id().alias("_n")).join(F.broadcast(heads.where(F.col("_sep") == kind["_sep"])), "file"))
     rows = reduce(DataFrame.union, parts).withColumn("_cells", F.slice("_cells", 1, F.size("_names")))
     place = lambda names: F.array_min(F.array_compact(F.array(*[F.nullif(F.array_position("_names", n).cast("int"), F.lit(0)) for n in names])))
     cell = {f: blank_null(F.trim(F.try_element_at("_cells", place(names)))) for f, names in aliases.items()}

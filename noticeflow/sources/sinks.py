@@ -45,9 +45,12 @@ def run_report(profile: str, totals: DataFrame, health: DataFrame) -> DataFrame:
     return totals.select(F.lit(profile).alias("profile"), F.struct(*totals.columns).alias("summary")).crossJoin(sources)
 
 
-def write_case_csv(df: DataFrame, path: str, keep: Column) -> None:
-    """Rows that satisfy the condition, with semicolons and a header; quotes are doubled, and quoted values may hold line breaks."""
-    df.where(keep).write.mode("overwrite").options(sep=";", header=True, quote='"', escape='"').csv(path)
+def write_case_csv(df: DataFrame, path: str, keep: Column, most_rows: int = 50_000) -> None:
+    """Rows that satisfy the condition, with semicolons and a header; quotes are doubled, and quoted values may hold line breaks.
+
+    A file with such values is read by one task, so it has no more than `most_rows` rows.
+    """
+    df.where(keep).write.mode("overwrite").options(sep=";", header=True, quote='"', escape='"', maxRecordsPerFile=most_rows).csv(path)
 
 
 def _last_version(spark: SparkSession, table: str) -> tuple[int, str | None]:
