@@ -155,12 +155,16 @@ def assign_supplier(assignments: DataFrame, requests: DataFrame, key: str = "lin
     a = assignments.select(F.col(key).alias("_k"), F.col("supplier").alias("_s"), F.col("status").alias("_st"))
     rows = requests.join(a, F.col(key) == F.col("_k"), "left")
     fit = F.when(F.col("supplier") == F.col("_s"), 0).when(blank_null("supplier").isNull(), 1)
+    # one order for both windows, and one pass for rows that stay and rows that are added: rows are sorted once
     first = Window.partitionBy(key).orderBy(F.coalesce(fit, F.lit(2)), "n")
-    rows = rows.withColumns({"_fit": fit, "_nth": F.row_number().over(first), "_last": F.max("n").over(Window.partitionBy(key))})
+    whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_fit": fit, "_nth": F.row_number().over(first), "_last": F.max("n").over(whole)})
     hit = F.col("_s").isNotNull() & (F.col("_nth") == 1)
-    kept = rows.select(key, "n", F.when(hit & F.col("_fit").isNotNull(), F.col("_s")).otherwise(F.col("supplier")).alias("supplier"), F.when(hit & F.col("_fit").isNotNull(), F.col("_st")).otherwise(F.col("status")).alias("status"))
-    added = rows.where(hit & F.col("_fit").isNull()).select(key, (F.col("_last") + 1).alias("n"), F.col("_s").alias("supplier"), F.col("_st").alias("status"))
-    return kept.union(added)
+    taken = hit & F.col("_fit").isNotNull()
+    one = lambda n, supplier, status: F.struct(n.alias("n"), supplier.alias("supplier"), status.alias("status"))
+    kept = one(F.col("n"), F.when(taken, F.col("_s")).otherwise(F.col("supplier")), F.when(taken, F.col("_st")).otherwise(F.col("status")))
+    added = F.when(hit & F.col("_fit").isNull(), one(F.col("_last") + 1, F.col("_s"), F.col("_st")))
+    return rows.select(key, F.inline_outer(F.array_compact(F.array(kept, added))))
 
 
 def with_suffixes(rows: DataFrame, known: DataFrame, base: str = "supplier_id", order: str = "seq") -> DataFrame:

@@ -26,6 +26,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
+    """A table dealt by keys to tasks of about so many rows, where the session's partitions would hold more; the rows are counted first.
+
+    What is sorted or aggregated by these keys afterwards stays in its tasks, whose memory doesn't grow with the table.
+    """
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

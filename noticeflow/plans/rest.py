@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import devices, ids, text
 from ..operators import cases, classify, customers, economics, freshness, links, match, register, report, search
+from ..operators.lineage import dealt
 from ..sources import files, pages, payloads, sinks
 from ..streaming import archives
 from .landed import shared_folder
@@ -259,7 +260,7 @@ def jn_assign(spark, sf):
     """JN-13: suppliers assigned to lines of requests."""
     load(spark, sf, "lineitem")
     n = F.col("l_linenumber")
-    req = spark.table("lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("line_id"), n.alias("n"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("").alias("supplier"), F.lit("new").alias("status"))
+    req = dealt(spark.table("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey").distinct().select(F.col("l_orderkey").alias("line_id"), n.alias("n"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("").alias("supplier"), F.lit("new").alias("status"))
     a = req.where("line_id % 2 = 0").select("line_id", F.lit("A").alias("supplier"), F.lit("sent").alias("status")).distinct()
     return customers.assign_supplier(a, req)
 
