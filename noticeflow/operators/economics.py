@@ -86,27 +86,31 @@ def case_risks(cases: DataFrame, lines: DataFrame, expenses: DataFrame, tolerate
     far = cases.where("own_delivery").join(paid("delivery"), "case_id", "left_anti")
     fit = cases.where("requires_installation").join(paid("installation"), "case_id", "left_anti")
     late = cases.where(F.col("payment_days") > tolerated_days)
-    open_lines = lines.where(F.col("offer_unit_cost_gross").isNull() & F.col("mandatory"))
-    given = lines.where(F.col("offer_unit_cost_gross").isNotNull())
-    slow = given.join(cases.select("case_id", "delivery_days"), "case_id").where(F.col("offer_lead_days") > F.col("delivery_days"))
     unsure = expenses.where((F.col("amount_gross") > 0) & ~F.col("confirmed"))
-    line = F.col("line_id")
+    # lines are read once for all their rules
+    line, given = F.col("line_id"), F.col("offer_unit_cost_gross").isNotNull()
+    by_line = lines.join(cases.select("case_id", "delivery_days"), "case_id", "left")
+    rules = [
+        (4, ~given & F.col("mandatory"), "question", "product:"),
+        (5, given & (F.col("offer_compliance_status") == "conditional"), "risk", "conditional:"),
+        (6, given & (F.coalesce("offer_evidence", F.lit("")) == ""), "risk", "no_evidence:"),
+        (7, given & (F.col("offer_lead_days") > F.col("delivery_days")), "risk", "lead_days:"),
+    ]
+    found = [F.when(when, F.struct(F.lit(rule).alias("rule"), line.cast("long").alias("line"), F.lit(kind).alias("kind"), F.concat(F.lit(text), line.cast("string")).alias("text"))) for rule, when, kind, text in rules]
     parts = [
         rows(far, 1, "risk", F.lit("delivery_cost")),
         rows(far, 1, "question", F.lit("delivery_quote")),
         rows(fit, 2, "risk", F.lit("installation_cost")),
         rows(fit, 2, "question", F.lit("installation_quote")),
         rows(late, 3, "risk", F.concat(F.lit("payment_days:"), F.col("payment_days").cast("string"))),
-        rows(open_lines, 4, "question", F.concat(F.lit("product:"), line.cast("string")), line),
-        rows(given.where("offer_compliance_status = 'conditional'"), 5, "risk", F.concat(F.lit("conditional:"), line.cast("string")), line),
-        rows(given.where(F.coalesce("offer_evidence", F.lit("")) == ""), 6, "risk", F.concat(F.lit("no_evidence:"), line.cast("string")), line),
-        rows(slow, 7, "risk", F.concat(F.lit("lead_days:"), line.cast("string")), line),
+        by_line.select("case_id", F.inline_outer(F.array_compact(F.array(*found)))).where("rule is not null"),
         rows(unsure, 8, "risk", F.concat(F.lit("unconfirmed:"), F.col("category"))),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.groupBy("case_id", "kind", "text").agg(F.min(F.struct("rule", "line")).alias("n"))
+    # a text has one rule, so that both least ones are of one row; two numbers need no sort
+    return out.groupBy("case_id", "kind", "text").agg(F.min("rule").alias("_rule"), F.min("line").alias("_line")).select("case_id", "kind", "text", F.struct(F.col("_rule").alias("rule"), F.col("_line").alias("line")).alias("n"))
 
 
 def _net(gross: Column, rate: Column) -> Column:
