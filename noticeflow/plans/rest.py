@@ -580,7 +580,7 @@ SELECT doc_id::VARCHAR || '.xml' AS member, md5(xml) AS digest, NULL AS error, C
 SELECT 'a1.zip', NULL, 'too_large', 'rejected'"""
 )
 def src_zips(spark, sf):
-    """SRC-07: documents as members of zip files, fifty to a file, that land in two passes, a few newest files at a time.
+    """SRC-07: documents as members of zip files, fifty to a file, that land in eight folders in two passes, a few newest files of a folder at a time.
 
     One file has more members than allowed, and one lands broken and is read again when it is mended.
     """
@@ -590,12 +590,14 @@ def src_zips(spark, sf):
     rows = spark.table("documents").select(F.expr("doc_id div 50").alias("g"), F.concat(F.col("doc_id").cast("string"), F.lit(".xml")).alias("member"), xml.alias("content"))
     more = spark.range(100).select(F.lit(1).cast("long").alias("g"), F.concat(F.lit("more"), F.col("id").cast("string"), F.lit(".xml")).alias("member"), F.lit("<n/>").alias("content"))
     rows = rows.union(more).withColumn("archive", F.concat(F.lit("a"), F.col("g").cast("string")))
+    folders = [str(k) for k in range(8)]
+    dealt = rows.withColumn("archive", F.concat_ws("/", F.pmod(F.expr("g div 2"), F.lit(8)).cast("string"), "archive"))
     landing, late, out, rejects, marks = (shared_folder(spark, name) for name in ("landing", "mended", "members", "rejects", "marks"))
     for k in (0, 1):
-        sinks.write_archives(rows.where((F.col("g") % 2 == k) & (F.col("g") != 2)), landing).count()
+        sinks.write_archives(dealt.where((F.col("g") % 2 == k) & (F.col("g") != 2)), landing).count()
         if k:
-            spark.range(1).select(F.lit("not a zip").alias("value")).coalesce(1).write.text(f"{landing}/broken")
-        archives.ingest(spark, landing, out, rejects, marks, files_per_batch=50, members=60)
+            spark.range(1).select(F.lit("not a zip").alias("value")).coalesce(1).write.text(f"{landing}/0/broken")
+        archives.ingest_folders(spark, landing, folders, out, rejects, marks, files_per_batch=50, members=60)
     failed = spark.read.parquet(rejects)
     sinks.write_archives(rows.where("g = 2"), late).count()
     mended = failed.where("error = 'not_an_archive'").select(F.lit(f"{late}/a2.zip").alias("path")).distinct()

@@ -80,6 +80,7 @@ def current(spark: SparkSession, table: str) -> DataFrame:
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Zip files `archive`.zip of their members (archive, member, content) in a folder that all executors share; returns archive, members.
 
+    The name of an archive may begin with folders.
     A file is written by one task, member by member; a task that runs again writes it anew.
     """
 
@@ -91,11 +92,14 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
+        made = set()
         every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for name, members in groupby(every, key=lambda r: r[0]):
-            n = 0
-            with system.open_output_stream(f"{root}/{name}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            n, path = 0, f"{root}/{name}.zip"
+            if (inner := path.rpartition("/")[0]) not in made:
+                system.create_dir(inner, recursive=True)
+                made.add(inner)
+            with system.open_output_stream(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                 for _, member, content in members:
                     z.writestr(zipfile.ZipInfo(member), content, zipfile.ZIP_DEFLATED)
                     n += 1

@@ -139,6 +139,90 @@ def test_archives(spark, tmp_path):
     assert [r["xml"] for part in archives.retry(spark, rejects) for r in part.collect()] == ["<x>3</x>"]
 
 
+def test_a_batch_of_archives_is_opened_once(spark, tmp_path, monkeypatch):
+    """Forty files, one of them broken, in a batch: each is opened once."""
+    src, opened = tmp_path / "in", tmp_path / "opened"
+    src.mkdir()
+    opened.mkdir()
+    for k in range(39):
+        with zipfile.ZipFile(src / f"{k}.zip", "w") as z:
+            z.writestr(f"{k}.xml", f"<x>{k}</x>")
+    (src / "bad.zip").write_bytes(b"nothing")
+
+    def noted(content):
+        import uuid
+
+        (opened / uuid.uuid4().hex).write_bytes(content)
+        return content.decode()
+
+    monkeypatch.setattr(archives, "xml_text", noted)
+    archives.ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "ck"))
+    want = sorted(f"<x>{k}</x>" for k in range(39))
+    assert sorted(r["xml"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    assert [r["error"] for r in spark.read.parquet(str(tmp_path / "rej")).collect()] == ["not_an_archive"]
+    assert sorted(f.read_text() for f in opened.iterdir()) == want
+
+
+def test_archives_of_folders(spark, tmp_path):
+    """Each folder's newest files first, so many a batch; a folder that comes later is read then; failures of all are in one table."""
+    import os
+
+    def land(folder, k):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(path := tmp_path / "in" / folder / f"{k}.zip", "w") as z:
+            z.writestr(f"{folder}{k}.xml", f"<x>{k}</x>")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+
+    def go():
+        archives.ingest_folders(spark, str(tmp_path / "in"), ["a", "b", "c"], str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "ck"), files_per_batch=2)
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return {(r["folder"], r["batch"]): sorted(x["member"] for x in rows if (x["folder"], x["batch"]) == (r["folder"], r["batch"])) for r in rows}, len(rows)
+
+    for k in range(3):
+        land("a", k)
+    land("b", 0)
+    first = {("a", 0): ["a1.xml", "a2.xml"], ("a", 1): ["a0.xml"], ("b", 0): ["b0.xml"]}
+    assert go() == (first, 4)
+    assert spark.read.parquet(str(tmp_path / "rej")).count() == 0
+    land("c", 0)
+    land("b", 9)
+    (tmp_path / "in" / "a" / "bad.zip").write_bytes(b"nothing")
+    assert go() == go() == (first | {("b", 1): ["b9.xml"], ("c", 0): ["c0.xml"]}, 6)
+    assert [(r["path"].rpartition("/")[2], r["folder"]) for r in spark.read.parquet(str(tmp_path / "rej")).collect()] == [("bad.zip", "a")]
+
+
+def test_streams_of_folders_share_the_cores(spark, tmp_path, monkeypatch):
+    """Of four streams on four cores, each reads a batch of forty small files in two tasks or less; the session's settings are as before."""
+    for k in range(44):
+        (tmp_path / "in" / (folder := "abcd"[k % 4 if k < 4 else 0])).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / f"{k}.xml").write_text(f"<x>{k}</x>")
+    tasks, read = [], archives.unpacked
+    monkeypatch.setattr(archives, "unpacked", lambda files, *limits: tasks.append(files.rdd.getNumPartitions()) or read(files, *limits))
+    was = [spark.conf.get(k, None) for k in (archives.LOOKUPS, archives.READS)]
+    archives.ingest_folders(spark, str(tmp_path / "in"), "abcd", str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 44
+    assert len(tasks) == 4 and max(tasks) <= 2
+    assert [spark.conf.get(k, None) for k in (archives.LOOKUPS, archives.READS)] == was
+
+
+def test_a_batch_of_archives_that_runs_again(spark, tmp_path):
+    """A batch that was not committed leaves no failures that it no longer has."""
+    (tmp_path / "in").mkdir()
+    go = lambda: archives.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "ck"))
+    (tmp_path / "in" / "a.xml").write_text("<x>a</x>")
+    go()
+    (tmp_path / "in" / "b.xml").write_text("nothing")
+    go()
+    assert spark.read.parquet(str(tmp_path / "rej")).count() == 1
+    for f in (tmp_path / "ck" / "commits").iterdir():
+        if f.name.strip(".").split(".")[0] == "1":
+            f.unlink()
+    (tmp_path / "in" / "b.xml").write_text("<x>b</x>")
+    go()
+    assert sorted(r["xml"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["<x>a</x>", "<x>b</x>"]
+    assert spark.read.parquet(str(tmp_path / "rej")).count() == 0
+
+
 def test_encodings_of_archives():
     text = "<x>Насос</x>"
     declared = '<?xml version="1.0" encoding="koi8-r"?>' + text
