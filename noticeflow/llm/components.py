@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.where("v < u")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("_u", "m").alias("m") if large else F.col("m"))
-    joined = both.join(least, F.col("u") == F.col("_u"))
+    # nodes grow with the table, and are not to be sent to every task
+    joined = both.join(least.hint("merge"), F.col("u") == F.col("_u"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -33,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, marks, slices, stored, text_bytes
+from .common import marked, marks, slices, text_bytes
+from .common import stored as written
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -49,6 +50,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _M1, _M2, _PRIME = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x100000001B3)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A work table that joins sort and merge: a small file may hold many rows, and a broadcast brings them to the driver whole."""
+    return written(df, name).hint("merge")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -380,8 +386,7 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
                 yield batch.filter(pa.array(marked(bits, batch.column("h").to_numpy()))).select(["id", "text"])
 
         near = texts.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(marked_texts, texts.schema)
-        # the nodes grow with the table, and are not to be sent to every task
-        return near.join(some.hint("merge"), "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
+        return near.join(some, "id").select("node", "k1", "k2", "text").mapInArrow(bodies_of, "node long, runs binary").dropDuplicates(["node"])
 
     compared = nodes.select("node", "n", "own", "higher")
     linked_by = lambda pairs: stored(_links(pairs, stored(bodies(pairs), "sets"), percent), "links")
@@ -408,7 +413,7 @@ def linked(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: st
 
     named = heads.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("k1", "k2", "component_id")
+    named = named.join(least.hint("merge"), "component").select("k1", "k2", "component_id").hint("merge")
     out = full.select("id", "n", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n", "component_id")
     alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
