@@ -1,11 +1,11 @@
-"""Texts that contain given strings, by their rarest grams.
-
-A pattern's key is the rarest of its grams, in an order that both sides share: by how
-often the gram's cell occurs in the texts, then by the gram's hash. A text gives the
-least gram of each window of W grams, so that a pattern that stands in it, and is as
-long as a window, finds its key among them: about two keys for W + 1 bytes. Patterns
-come in classes by their bytes, each with grams and windows that fit the shortest.
-Keys that no pattern can have, by a bitmap of fixed size, are not sent.
+"""Texts that contain given strings, by the parts of texts that may be one of them.
+
+All strings' bytes are known to each task by two bitmaps of fixed size: of what the strings
+begin with, and of the strings themselves (their first LONG bytes). A text gives each of
+its parts that both bitmaps know, once, and parts equal strings by a join. So what is sent
+is what stands in the texts, and few others; only longer strings are looked for in the text
+again. A place in a text is hashed for 1, 2, 4, 8 and so on bytes; a string of n bytes
+begins with the largest of these that n holds, and two such hashes make up that of n bytes.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a pattern from which a class holds, bytes of its grams, grams of its windows.
-CLASSES = ((24, 9, 16), (12, 6, 7), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
-#: Counted cells of grams, and cells of the bitmap of keys, as powers of two; bytes of texts at a time.
-CELL_BITS, MAP_BITS, SLICE = 16, 18, 1 << 20
+#: Bytes of a string that are compared by the join; cells of a bitmap as a power of two; bytes of texts, and parts, at a time.
+LONG, MAP_BITS, SLICE, ROWS = 96, 24, 1 << 20, 1 << 14
+
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slices(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -38,130 +38,95 @@ def _slices(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def _hashes(data: np.ndarray, bounds: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams that lie in one text, and where they begin."""
-    n = len(data) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(q):
-        h = h * np.uint64(0x100000001B3) + data[k : k + n].astype(np.uint64) + np.uint64(1)
-    inside = np.ones(n, bool)
-    for k in range(1, q):  # a gram that begins up to q - 1 bytes before a bound crosses it
-        cut = bounds[1:-1] - k
-        inside[cut[(cut >= 0) & (cut < n)]] = False
-    where = np.flatnonzero(inside)
-    h = h[where]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), where
-
-
-def _window_minima(v: np.ndarray, w: int) -> np.ndarray:
-    size = 1
-    while size * 2 <= w:
-        v = np.minimum(v[:-size], v[size:])
-        size *= 2
-    return np.minimum(v[: len(v) - (w - size)], v[w - size :]) if size < w else v
-
-
-def _rows_of(begin: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return np.searchsorted(bounds, begin, side="right") - 1
-
-
-def _cell_counts(texts: DataFrame, q: int) -> np.ndarray:
-    """How often each cell's grams occur in the texts."""
-
-    def count(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for _, data, bounds in _slices(batch.column(0)):
-                total += np.bincount((_hashes(data, bounds, q)[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], names=["cell", "n"])
-
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    for r in texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
-    return out
-
-
-def _ordered(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The hashes as numbers that ascend with the gram's frequency."""
-    return (rank[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
-
-
-def _map_cell(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-
-def _class_keys(texts: DataFrame, patterns: DataFrame, q: int, w: int) -> tuple[DataFrame, DataFrame]:
-    """Keys of the patterns (key, pattern) and those of the texts (key, text_id)."""
-    # a power of two of occurrences in 6 bits
-    rank = np.floor(np.log2(np.maximum(_cell_counts(texts.select("text"), q), 1))).astype(np.uint64)
-
-    def of_patterns(batches):
-        for batch in batches:
-            for first, data, bounds in _slices(batch.column("pattern")):
-                h, begin = _hashes(data, bounds, q)
-                v, row = _ordered(h, rank), _rows_of(begin, bounds)
-                edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-                least = np.minimum.reduceat(v, edge) if len(edge) else v
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), batch.column("pattern").take(pa.array(first + row[edge]))], names=["key", "pattern"])
-
-    keys = patterns.select("pattern").mapInArrow(of_patterns, "key long, pattern string")
-
-    def cells(batches):
-        seen = np.zeros(1 << MAP_BITS, bool)
-        for batch in batches:
-            seen[_map_cell(batch.column(0).to_numpy().view(np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["cell"])
-
-    wanted = np.zeros(1 << MAP_BITS, bool)
-    wanted[[r["cell"] for r in keys.select("key").mapInArrow(cells, "cell int").distinct().collect()]] = True
-
-    def of_texts(batches):
-        for batch in batches:
-            for first, data, bounds in _slices(batch.column("text")):
-                h, begin = _hashes(data, bounds, q)
-                if len(h) < w:
-                    continue
-                v, row = _window_minima(_ordered(h, rank), w), _rows_of(begin, bounds)
-                # windows whose grams all lie in one text
-                inside = row[: len(v)] == row[w - 1 :]
-                v, row = v[inside], row[: len(inside)][inside]
-                new = np.ones(len(v), bool)
-                new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
-                v, row = v[new], row[new]
-                known = wanted[_map_cell(v)]
-                v, row = v[known], row[known]
-                order = np.lexsort((v, row))
-                v, row = v[order], row[order]
-                new = np.ones(len(v), bool)
-                new[1:] = (v[1:] != v[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(v[new].view(np.int64)), batch.column("text_id").take(pa.array(first + row[new]))], names=["key", "text_id"])
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _M1
+    return h ^ (h >> np.uint64(32))
+
+
+def _joined(h: np.ndarray, later: np.ndarray, n: int) -> np.ndarray:
+    return _mix(h * _M2 + later + np.uint64(n))
+
+
+def _starts(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For 1, 2, 4 and so on bytes up to LONG: hashes of so many bytes from each place on."""
+    q, h = 1, _mix(data.astype(np.uint64) + np.uint64(1))
+    while q <= LONG and len(h):
+        yield q, h
+        h = _joined(h[: len(h) - q], h[q:], 2 * q) if len(h) > q else h[:0]
+        q *= 2
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-    kind = texts.schema["text_id"].dataType.simpleString()
-    return keys, texts.mapInArrow(of_texts, f"key long, text_id {kind}")
+
+def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    cell = _cells(h)
+    return (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _pattern_bits(batches):
+    """Words of 64 cells: of kind 0, what patterns begin with; of kind 1, patterns; of kind 2, their lengths."""
+    for batch in batches:
+        for _, data, bounds in _slices(batch.column(0)):
+            size = np.minimum(np.diff(bounds), LONG)
+            kinds, cells = [np.full(len(size), 2)], [size]
+            for q, h in _starts(data):
+                for n in np.unique(size[(size >= q) & (size < 2 * q)]).tolist():
+                    at = bounds[:-1][size == n]
+                    kinds += [np.zeros(len(at), np.int64), np.ones(len(at), np.int64)]
+                    cells += [_cells(h[at]), _cells(_joined(h[at], h[at + n - q], n))]
+            kind, cell = np.concatenate(kinds), np.concatenate(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array((cell >> 6).astype(np.int32)), pa.array(np.left_shift(np.uint64(1), (cell & 63).astype(np.uint64)).view(np.int64))], names=["kind", "word", "bits"])
+
+
+def _bitmaps(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Both bitmaps, 2 MB each at most, and the lengths of patterns up to LONG."""
+    out = np.zeros((3, 1 << (MAP_BITS - 6)), np.uint64)
+    words = patterns.select("pattern").mapInArrow(_pattern_bits, "kind int, word int, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[words.column("kind").to_numpy(), words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    lengths = [n for n in range(1, LONG + 1) if out[2][n >> 6] >> np.uint64(n & 63) & np.uint64(1)]
+    return out[0], out[1], lengths
+
+
+def _parts_of(batches, begins: np.ndarray, whole: np.ndarray, lengths: list[int]):
+    """(text_id, part): the parts of each text that patterns may be, each once."""
+    for batch in batches:
+        for first, data, bounds in _slices(batch.column("text")):
+            for q, h in _starts(data):
+                some = [n for n in lengths if q <= n < 2 * q]
+                if not some:
+                    continue
+                at = np.flatnonzero(_known(begins, h))
+                row = np.searchsorted(bounds, at, side="right") - 1
+                left = bounds[row + 1] - at
+                for n in some:
+                    fits = left >= n
+                    place, of = at[fits], row[fits]
+                    name = _joined(h[place], h[place + n - q], n)
+                    there = _known(whole, name)
+                    place, of, name = place[there], of[there], name[there]
+                    order = np.lexsort((name, of))
+                    place, of, name = place[order], of[order], name[order]
+                    new = np.ones(len(name), bool)
+                    new[1:] = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
+                    place, of = place[new], of[new]
+                    for k in range(0, len(place), ROWS):
+                        body = data[place[k : k + ROWS, None] + np.arange(n)]
+                        part = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, (len(body) + 1) * n, n, dtype=np.int32)), pa.py_buffer(body.tobytes())])
+                        yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(first + of[k : k + ROWS])), part], names=["text_id", "part"])
 
 
 def candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs (text_id, pattern) among which are all whose text contains the pattern.
+    """Pairs (text_id, pattern) of the texts that contain the pattern, or its first LONG bytes.
 
-    texts: text_id, text; patterns: pattern, different strings, not empty. Both are read
-    once for each class that has patterns.
+    texts: text_id, text; patterns: pattern, different strings, not empty. Patterns are
+    read twice, texts once.
     """
-    size = F.octet_length("pattern")
-    upper = None
-    out = texts.select("text_id").limit(0).withColumn("pattern", F.lit(""))
-    sizes = patterns.agg(*[F.count_if((size >= least) & ((size < above) if above else F.lit(True))).alias(f"n{least}") for (least, _, _), above in zip(CLASSES, [None, *(c[0] for c in CLASSES)], strict=False)]).first()
-    for least, q, w in CLASSES:
-        if sizes[f"n{least}"]:
-            some = patterns.where((size >= least) & ((size < upper) if upper else F.lit(True)))
-            keys, places = _class_keys(texts, some, q, w)
-            out = out.union(places.join(keys, "key").select("text_id", "pattern"))
-        upper = least
-    return out
+    begins, whole, lengths = _bitmaps(patterns)
+    kind = texts.schema["text_id"].dataType.simpleString()
+    parts = texts.select("text_id", "text").mapInArrow(lambda batches: _parts_of(batches, begins, whole, lengths), f"text_id {kind}, part binary")
+    return parts.join(patterns.select("pattern", F.substring(F.col("pattern").cast("binary"), 1, LONG).alias("part")), "part").select("text_id", "pattern")
 
 
 def contained(texts: DataFrame, patterns: DataFrame, text_id: str = "text_id", text: str = "text", pattern: str = "pattern") -> DataFrame:
@@ -171,5 +136,8 @@ def contained(texts: DataFrame, patterns: DataFrame, text_id: str = "text_id", t
     """
     t = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")).where("text is not null")
     p = patterns.select(F.col(pattern).alias("pattern")).where("pattern <> ''").distinct()
-    pairs = candidates(t, p).distinct().join(t, "text_id").where(F.contains("text", F.col("pattern")))
+    pairs = candidates(t, p)
+    if not p.where(F.octet_length("pattern") > LONG).isEmpty():
+        pairs = pairs.join(t.withColumnRenamed("text_id", "_id"), F.col("text_id").eqNullSafe(F.col("_id")) & (F.octet_length("pattern") > LONG), "left")
+        pairs = pairs.where((F.octet_length("pattern") <= LONG) | F.contains("text", F.col("pattern")))
     return pairs.select(F.col("text_id").alias(text_id), F.col("pattern").alias(pattern)).distinct()

@@ -12,7 +12,7 @@ from ..functions.text import normalize, quoted, search_tokens
 from .contain import contained
 from .lineage import stored
 
-#: Notices of one title that one task pairs with its documents.
+#: Notices of one title, and documents, whose pairs one task gives together.
 SHARE = 2000
 
 
@@ -101,14 +101,15 @@ def verify_links(df: DataFrame, pages: DataFrame, not_found: Sequence[str], numb
 def apply_evidence(notices: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
     """Pairs (key, doc_id) of notices whose number is a token of a document, or whose title stands in it.
 
-    Numbers join as tokens, titles by their rarest grams (operators.contain). evidence: doc_id, text.
+    Numbers join as tokens, titles as parts of texts (operators.contain). evidence: doc_id, text.
     """
     n = notices.select(key, normalize("tender_number").alias("_num"), normalize("title").alias("_title"))
     d = evidence.select("doc_id", normalize("text").alias("_text"))
     tokens = d.select("doc_id", F.explode(search_tokens("_text")).alias("_num"))
-    found = stored(contained(d, n, "doc_id", "_text", "_title"))
+    # small files of many rows, which grow with the tables: not to be sent to every task
+    titled = stored(n.select(key, "_title").where("_title <> ''").distinct()).hint("merge")
+    found = stored(contained(d, titled, "doc_id", "_text", "_title")).hint("merge")
     # a key's number and titles give a pair once each: pairs by number that a title gives go, and keys of several titles are made distinct
-    titled = n.select(key, "_title").where("_title <> ''").distinct()
     by_number = n.select(key, "_num").where("_num <> ''").distinct().join(tokens, "_num").select(key, "doc_id").distinct()
     here, there = F.col(key).eqNullSafe(F.col("_key")), titled.withColumnRenamed(key, "_key")
     twice = by_number.join(there, here).join(found, ["doc_id", "_title"]).select("_key", F.col("doc_id").alias("_doc")).distinct()
@@ -116,12 +117,23 @@ def apply_evidence(notices: DataFrame, evidence: DataFrame, key: str = "unique_k
     titles = titled.groupBy(key).agg(F.collect_list("_title").alias("_titles"))
     several = titles.where(F.size("_titles") > 1).select(key, F.explode("_titles").alias("_title")).join(found, "_title").select(key, "doc_id").distinct()
     single = titles.where(F.size("_titles") == 1).select(key, F.col("_titles")[0].alias("_title"))
-    # a title of many notices is dealt to many tasks, each with its documents
-    shares = single.groupBy("_title").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_shares")).where("_shares > 1")
-    share = F.pmod(F.xxhash64(key), F.coalesce("_shares", F.lit(1))).cast("int")
-    one = single.join(shares, "_title", "left").select(key, "_title", share.alias("_share"))
-    dealt = found.join(shares, "_title", "left").select("_title", "doc_id", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)).alias("_share"))
-    return one.join(dealt, ["_title", "_share"]).select(key, "doc_id").union(several).union(by_number)
+    return _paired(single, found, key).union(several).union(by_number)
+
+
+def _paired(titles: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, doc_id) of equal titles. A title's notices and documents go in shares; each share of the ones meets each of the others, in as many tasks as the pairs need."""
+    many = lambda df, name: df.groupBy("_title").agg(F.count(F.lit(1)).alias(name))
+    sizes = stored(many(titles, "_notices").join(many(found, "_docs"), "_title"))
+    pairs = sizes.agg(F.sum(F.col("_notices") * F.col("_docs"))).first()[0] or 0
+    tasks = max(pairs // SHARE**2, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = lambda n: F.ceil(F.col(n) / SHARE).cast("int")
+    large = sizes.where((F.col("_notices") > SHARE) | (F.col("_docs") > SHARE)).select("_title", shares("_notices").alias("_rows"), shares("_docs").alias("_columns"))
+    own = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    block = ["_title", "_row", "_column"]
+    rows = titles.join(large, "_title", "left").select(key, "_title", own(key, "_rows").alias("_row"), every("_columns").alias("_column"))
+    columns = found.join(large, "_title", "left").select("doc_id", "_title", own("doc_id", "_columns").alias("_column"), every("_rows").alias("_row"))
+    return rows.repartition(tasks, *block).hint("merge").join(columns.repartition(tasks, *block), block).select(key, "doc_id")
 
 
 def enrich(notices: DataFrame, pairs: DataFrame, evidence: DataFrame, key: str = "unique_key") -> DataFrame:
