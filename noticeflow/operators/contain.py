@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import count_of
+
 #: Bytes of a string that are compared by the join; cells of a bitmap as a power of two; bytes of texts, and parts, at a time.
 LONG, MAP_BITS, SLICE, ROWS = 96, 24, 1 << 20, 1 << 14
 
@@ -89,8 +91,22 @@ def _bitmaps(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return out[0], out[1], lengths
 
 
+def _apart(place: np.ndarray, new: np.ndarray, n: int) -> np.ndarray:
+    """Of each group of ascending places, how many are n apart, from the first on."""
+    edge = np.flatnonzero(new)
+    count = np.diff(np.append(edge, len(place)))
+    near = np.flatnonzero((np.diff(place) < n) & ~new[1:])
+    for g in np.unique(np.searchsorted(edge, near, side="right") - 1).tolist():
+        last, kept = -n, 0
+        for x in place[edge[g] : edge[g] + count[g]].tolist():
+            if x - last >= n:
+                last, kept = x, kept + 1
+        count[g] = kept
+    return count
+
+
 def _parts_of(batches, begins: np.ndarray, whole: np.ndarray, lengths: list[int]):
-    """(text_id, part): the parts of each text that patterns may be, each once."""
+    """(text_id, part, n): the parts of each text that patterns may be, each once, and how often they stand there without overlap."""
     for batch in batches:
         for first, data, bounds in _slices(batch.column("text")):
             for q, h in _starts(data):
@@ -110,23 +126,28 @@ def _parts_of(batches, begins: np.ndarray, whole: np.ndarray, lengths: list[int]
                     place, of, name = place[order], of[order], name[order]
                     new = np.ones(len(name), bool)
                     new[1:] = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
+                    times = _apart(place, new, n)
                     place, of = place[new], of[new]
                     for k in range(0, len(place), ROWS):
                         body = data[place[k : k + ROWS, None] + np.arange(n)]
                         part = pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, (len(body) + 1) * n, n, dtype=np.int32)), pa.py_buffer(body.tobytes())])
-                        yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(first + of[k : k + ROWS])), part], names=["text_id", "part"])
+                        yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(first + of[k : k + ROWS])), part, pa.array(times[k : k + ROWS])], names=["text_id", "part", "n"])
 
 
 def candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pairs (text_id, pattern) of the texts that contain the pattern, or its first LONG bytes.
+    """Pairs (text_id, pattern) of the texts that contain the pattern, or its first LONG bytes; n, how often these stand there without overlap.
 
     texts: text_id, text; patterns: pattern, different strings, not empty. Patterns are
     read twice, texts once.
     """
     begins, whole, lengths = _bitmaps(patterns)
     kind = texts.schema["text_id"].dataType.simpleString()
-    parts = texts.select("text_id", "text").mapInArrow(lambda batches: _parts_of(batches, begins, whole, lengths), f"text_id {kind}, part binary")
-    return parts.join(patterns.select("pattern", F.substring(F.col("pattern").cast("binary"), 1, LONG).alias("part")), "part").select("text_id", "pattern")
+    parts = texts.select("text_id", "text").mapInArrow(lambda batches: _parts_of(batches, begins, whole, lengths), f"text_id {kind}, part binary, n long")
+    return parts.join(patterns.select("pattern", F.substring(F.col("pattern").cast("binary"), 1, LONG).alias("part")), "part").select("text_id", "pattern", "n")
+
+
+def _long(patterns: DataFrame) -> bool:
+    return not patterns.where(F.octet_length("pattern") > LONG).isEmpty()
 
 
 def contained(texts: DataFrame, patterns: DataFrame, text_id: str = "text_id", text: str = "text", pattern: str = "pattern") -> DataFrame:
@@ -137,7 +158,19 @@ def contained(texts: DataFrame, patterns: DataFrame, text_id: str = "text_id", t
     t = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")).where("text is not null")
     p = patterns.select(F.col(pattern).alias("pattern")).where("pattern <> ''").distinct()
     pairs = candidates(t, p)
-    if not p.where(F.octet_length("pattern") > LONG).isEmpty():
+    if _long(p):
         pairs = pairs.join(t.withColumnRenamed("text_id", "_id"), F.col("text_id").eqNullSafe(F.col("_id")) & (F.octet_length("pattern") > LONG), "left")
         pairs = pairs.where((F.octet_length("pattern") <= LONG) | F.contains("text", F.col("pattern")))
     return pairs.select(F.col("text_id").alias(text_id), F.col("pattern").alias(pattern)).distinct()
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text_id, pattern, n): how often each pattern stands in each text that has it, without overlap.
+
+    texts: text_id, text; text_id is unique. patterns: pattern, different strings, not empty.
+    """
+    found = candidates(texts.where("text is not null"), patterns)
+    if not _long(patterns):
+        return found
+    again = found.where(F.octet_length("pattern") > LONG).join(texts, "text_id").select("text_id", "pattern", count_of(F.col("text"), F.col("pattern")).alias("n"))
+    return found.where(F.octet_length("pattern") <= LONG).union(again.where("n > 0"))

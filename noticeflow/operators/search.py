@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, normalize, search_tokens, snippet
-from .contain import contained
+from .contain import contained, occurrences
 from .lineage import stored
 
 #: What an occurrence of the whole phrase counts.
 PHRASE = 100
+#: Cells of lists that share a least value.
+CELLS = 1 << 16
 
 
 def document_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -33,26 +35,41 @@ def _searched(text_col: str, path_col: str | None) -> Column:
     return normalize(F.concat_ws(" ", *([F.col(path_col)] if path_col else []), F.col(text_col)))
 
 
-def _postings(index: DataFrame | None, words: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+def _postings(index: DataFrame | None, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Postings list, id, value: `t:` lists count a token's occurrences, `p:` lists PHRASE for each of a phrase.
 
+    Without an index, what is asked for is counted where the texts lie. A token and a phrase
+    of one word may be the same string, which is counted once.
+    """
+    tokens = queries.select(F.explode("_qt").alias("s"))
+    phrases = queries.select(F.col("_q").alias("phrase")).distinct()
+    # one row for each different string that a query asks for
+    single = stored(tokens.withColumn("kind", F.lit("t:")).union(phrases.where(~F.contains("phrase", F.lit(" "))).select("phrase", F.lit("p:"))).distinct())
+    named = lambda rows: rows.select(F.concat("kind", "s").alias("list"), "id", (F.col("value") * F.when(F.col("kind") == "p:", PHRASE).otherwise(1)).alias("value"))
+    if index is not None:
+        counts, found = _from_index(index, single, phrases, texts)
+    else:
+        t = texts.select(F.col("id").alias("text_id"), F.col("_all").alias("text"))
+        index = stored(occurrences(t, single.select(F.col("s").alias("pattern")).distinct()).select(F.col("pattern").alias("word"), F.col("text_id").alias("id"), "n"))
+        counts = index.select(F.col("word").alias("s"), "id", F.col("n").alias("value"))
+        longer = stored(phrases.where(F.contains("phrase", F.lit(" "))))
+        found = occurrences(t, longer.select(F.col("phrase").alias("pattern"))).select(F.col("pattern").alias("s"), F.col("text_id").alias("id"), F.col("n").alias("value"))
+    return named(counts.join(single, "s")).union(named(found.withColumn("kind", F.lit("p:"))))
+
+
+def _from_index(index: DataFrame, single: DataFrame, phrases: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, id, value) of strings without a blank, and of phrases of several words.
+
     What has no blank stands within words, so that the index's words tell its occurrences.
     A phrase of several words is looked for in the texts that have its rarest word; the
-    first of its words ends a word of the text, and the last begins one. Without an index
-    only the words in which something asked for stands are counted.
+    first of its words ends a word of the text, and the last begins one.
     """
-    tokens = queries.select(F.explode("_qt").alias("s")).distinct()
-    phrases = queries.select(F.col("_q").alias("phrase")).distinct()
     parts = phrases.select("phrase", F.posexplode(F.split("phrase", " ")).alias("nth", "s"), (F.size(F.split("phrase", " ")) - 1).alias("last"))
-    # read several times for each class of strings
-    vocabulary = stored((words if index is None else index).select("word").distinct())
-    inside = stored(contained(vocabulary, tokens.union(parts.select("s")), "word", "word", "s"))
-    if index is None:
-        index = stored(_counted(words.join(inside.select("word").distinct(), "word")))
+    # read several times
+    vocabulary = stored(index.select("word").distinct())
+    inside = stored(contained(vocabulary, single.select("s").union(parts.select("s")), "word", "word", "s"))
     times = count_of(F.col("word"), F.col("s"))
-    # a token and a phrase of one word may be the same string, which is counted once
-    asked = tokens.withColumn("kind", F.lit("t:")).union(parts.where("last = 0").select("s", F.lit("p:").alias("kind"))).distinct()
-    counts = index.join(inside.join(asked.select("s").distinct(), "s").withColumn("times", times), "word").groupBy("s", "id").agg(F.sum(F.col("n") * F.col("times")).alias("value")).join(asked, "s")
+    counts = index.join(inside.join(single.select("s").distinct(), "s").withColumn("times", times), "word").groupBy("s", "id").agg(F.sum(F.col("n") * F.col("times")).alias("value"))
 
     fits = F.when(F.col("nth") == 0, F.endswith("word", F.col("s"))).when(F.col("nth") == F.col("last"), F.startswith("word", F.col("s"))).otherwise(F.col("word") == F.col("s"))
     usable = parts.where("last > 0").join(inside, "s").where(fits)
@@ -60,8 +77,7 @@ def _postings(index: DataFrame | None, words: DataFrame, queries: DataFrame, tex
     rarest = usable.join(holding, "word").groupBy("phrase", "nth").agg(F.sum("texts").alias("texts")).groupBy("phrase").agg(F.min_by("nth", F.struct("texts", "nth")).alias("nth"))
     held = usable.join(rarest, ["phrase", "nth"]).join(index, "word").select("phrase", "id").distinct()
     found = held.join(texts, "id").select(F.col("phrase").alias("s"), "id", count_of(F.col("_all"), F.col("phrase")).alias("value")).where("value > 0")
-    named = lambda rows: rows.select(F.concat("kind", "s").alias("list"), "id", (F.col("value") * F.when(F.col("kind") == "p:", PHRASE).otherwise(1)).alias("value"))
-    return named(counts).union(named(found.withColumn("kind", F.lit("p:"))))
+    return counts, found
 
 
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -75,19 +91,22 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: s
     """
     asked = queries.select("query_id", normalize("query").alias("_q"))
     # a query's text stands for its number until the end
-    q = asked.select(F.col("_q").alias("query_id"), "_q").distinct().withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0)
+    q = stored(asked.select(F.col("_q").alias("query_id"), "_q").distinct().withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0))
     tie = F.col(path_col or id_col).alias("_tie")
     texts = docs.select(F.col(id_col).alias("id"), _searched(text_col, path_col).alias("_all"))
-    posts = stored(_postings(index, _words(docs, id_col, text_col, path_col), q, texts))
+    posts = stored(_postings(index, q, texts))
     lists = q.select("query_id", F.explode(F.concat(F.transform("_qt", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("p:"), "_q")))).alias("list"), (F.size("_qt") + 1).alias("_m"))
 
     nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
     best = posts.withColumn("_nth", nth("list", F.desc("value"), "id")).where(F.col("_nth") <= k).select("list", "id", "value")
     sums = lists.join(best, "list").groupBy("query_id", "id").agg(F.sum("value").alias("_sum"))
     floor = sums.withColumn("_nth", nth("query_id", F.desc("_sum"), "id")).where(F.col("_nth") == k).select("query_id", F.col("_sum").alias("_floor"))
-    bound = lists.join(floor, "query_id", "left").withColumn("_least", F.coalesce(F.ceil(F.col("_floor") / F.col("_m")), F.lit(0)))
-    wanted = bound.join(posts.select("list", "value").distinct(), "list").where("value >= _least").select("query_id", "list", "value")
-    some = wanted.join(posts, ["list", "value"]).select("query_id", "id").distinct()
+    bound = stored(lists.join(floor, "query_id", "left").withColumn("_least", F.coalesce(F.ceil(F.col("_floor") / F.col("_m")), F.lit(0))))
+    # what no query of a cell of lists can use is left out where it lies
+    cell = F.pmod(F.xxhash64("list"), F.lit(CELLS)).alias("_cell")
+    able = posts.join(F.broadcast(bound.groupBy(cell).agg(F.min("_least").alias("_any"))), cell == F.col("_cell")).where("value >= _any").select("list", "id", "value")
+    wanted = bound.join(able.select("list", "value").distinct(), "list").where("value >= _least").select("query_id", "list", "value")
+    some = wanted.join(able, ["list", "value"]).select("query_id", "id").distinct()
     scored = some.join(lists, "query_id").join(posts, ["list", "id"]).groupBy("query_id", "id").agg(F.sum("value").alias("score"))
     scored = scored if path_col is None else scored.join(docs.select(F.col(id_col).alias("id"), tie), "id")
     ranked = scored.withColumn("rank", nth("query_id", F.desc("score"), "_tie" if path_col else "id")).where(F.col("rank") <= k)
