@@ -145,7 +145,9 @@ def jn_requirements(spark, sf):
     lines = spark.table("lineitem").join(spark.table("part"), F.col("p_partkey") == F.col("l_partkey"))
     asked = F.coalesce(*[F.when(kind == k, F.replace(F.replace(F.lit(said), F.lit("{name}"), F.col("p_name")), F.lit("{brand}"), F.lit("Brand#4"))) for k, (said, _) in enumerate(_ASKED)], F.lit(" ; "))
     # with part keys of seven digits lines of different products share a line_id: their requirements stay apart
-    lines = lines.select(F.struct(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("line_id"), F.col("l_partkey").alias("product_id")).alias("line"), F.col("l_partkey").alias("product_id"), asked.alias("required_specs")).distinct()
+    lines = lines.select(F.struct(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("line_id"), F.col("l_partkey").alias("product_id")).alias("line"), F.col("l_partkey").alias("product_id"), asked.alias("required_specs"))
+    # dealt by lines once, for all that goes by them
+    lines = lines.repartition("line").distinct()
     part = spark.table("part").withColumn("product_id", F.col("p_partkey"))
     text = F.concat_ws(
         ". ", F.concat(F.lit("Ресурс печати "), F.col("p_partkey") % 9, F.lit(" тыс. страниц")), F.when(F.col("p_partkey") % 3 == 0, "подходит к HP 2035n, lx 1"), F.when(F.col("p_partkey") % 4 == 0, "XQ77"),
