@@ -90,8 +90,8 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: s
     once. The ids of docs are unique.
     """
     asked = queries.select("query_id", normalize("query").alias("_q"))
-    # a query's text stands for its number until the end
-    q = stored(asked.select(F.col("_q").alias("query_id"), "_q").distinct().withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0))
+    # one number for equal queries until the end
+    q = stored(asked.select("_q").distinct().withColumn("_qt", search_tokens("_q")).where(F.size("_qt") > 0).withColumn("query_id", F.monotonically_increasing_id()))
     tie = F.col(path_col or id_col).alias("_tie")
     texts = docs.select(F.col(id_col).alias("id"), _searched(text_col, path_col).alias("_all"))
     posts = stored(_postings(index, q, texts))
@@ -110,8 +110,8 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: s
     scored = some.join(lists, "query_id").join(posts, ["list", "id"]).groupBy("query_id", "id").agg(F.sum("value").alias("score"))
     scored = scored if path_col is None else scored.join(docs.select(F.col(id_col).alias("id"), tie), "id")
     ranked = scored.withColumn("rank", nth("query_id", F.desc("score"), "_tie" if path_col else "id")).where(F.col("rank") <= k)
-    shown = ranked.withColumn("_qt", search_tokens("query_id")).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
-    out = shown.select(F.col("query_id").alias("_q"), "id", "score", "rank", snippet("_text", F.col("_qt")).alias("snippet")).join(asked, "_q")
+    shown = ranked.join(q, "query_id").join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
+    out = shown.select("_q", "id", "score", "rank", snippet("_text", F.col("_qt")).alias("snippet")).join(asked, "_q")
     return out.select("query_id", F.col("id").alias(id_col), "score", "rank", "snippet")
 
 
